@@ -3,7 +3,8 @@
 from pactum.llm.byte_bpe import op8_byte_bpe
 from pactum.llm.mixing import op9_mixing
 from pactum.llm.simhash import op1_simhash
+from pactum.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op8_byte_bpe, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op7_toxicity, op8_byte_bpe, op9_mixing)}
 
 ORACLES: dict[str, str] = {}
