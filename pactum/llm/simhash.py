@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.components import connected_components
@@ -69,27 +69,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_partners(fps: DataFrame) -> DataFrame:
-    """Of distinct fingerprints (fp), those that share a variant on two thirds of the bits with another one."""
+    """Of distinct fingerprints (fp), those that share a variant on two thirds of the bits with another one. The third
+    left out is told by its lowest bit; if keys of two thirds should meet, a fingerprint more goes on, none less."""
     keys = F.array(*[
-        F.struct(F.lit(k).alias("third"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(flip)).alias("variant"))
-        for k, (a, b) in enumerate(THIRDS)
-        for mask in [((1 << 64) - 1) ^ ((1 << b) - (1 << a))]
+        F.col("fp").bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ ((1 << b) - (1 << a))))).bitwiseXOR(F.lit(flip ^ _signed(1 << a)))
+        for a, b in THIRDS
         for flip in _flips([i for i in range(BITS) if not a <= i < b], RADIUS // 4)
     ])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.third", "k.variant")
-    met = rows.groupBy("third", "variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    return rows.join(met, ["third", "variant"], "left_semi").select("fp").distinct()
+    met = Window.partitionBy("key")
+    rows = _spread(fps).select("fp", F.explode(keys).alias("key"))
+    return rows.select("fp", F.min("fp").over(met).alias("low"), F.max("fp").over(met).alias("high")).where("low <> high").select("fp").distinct()
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect exactly those within four bits of each other, directly or in steps."""
     ball = F.array(*[F.lit(m) for m in _flips(list(range(BITS)), RADIUS // 2)])
-    met = fps.select("fp", F.explode(ball).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    groups = met.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    links = groups.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a <> b").distinct()
+    met = _spread(fps).select("fp", F.explode(ball).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    links = met.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("variant")).alias("b")).where("a <> b").distinct()
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """fps in as many partitions as a shuffle has: each row is about to become hundreds."""
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: documents whose fingerprints differ in four bits or fewer are
     linked, component_id is the smallest doc_id reachable.
