@@ -4,8 +4,9 @@ from pactum.llm.byte_bpe import op8_byte_bpe
 from pactum.llm.mixing import op9_mixing
 from pactum.llm.simhash import op1_simhash
 from pactum.llm.substrings import op6_substrings
+from pactum.llm.token_store import op3_token_store
 from pactum.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_store, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing)}
 
 ORACLES: dict[str, str] = {}
