@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import mix, slices, text_bytes, word_hashes, word_spans
+from pactum.llm.shared import materialize, mix, slices, text_bytes, word_hashes, word_spans
 
 #: Texts of each class that the models count, and texts that the curve is fitted on.
 MAX_DOCS, MAX_CALIBRATION = 3000, 8000
@@ -98,7 +98,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.offset, -700, 700)))
 
 
-def _count_contexts(texts: DataFrame) -> pa.Table:
+def _count_contexts(texts: DataFrame) -> DataFrame:
     """For each (toxic, word before, word, stems) of the sampled texts, how many different words stand before the two:
     a passage that many copies share counts once, as in the lower orders of Kneser-Ney."""
     names = ["toxic", "g", "h", "w", *(f"s{k}" for k in STEMS)]
@@ -111,7 +111,7 @@ def _count_contexts(texts: DataFrame) -> pa.Table:
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *(pa.array(x.view(np.int64)) for x in (_before(before, first), before, words, *stems))], names)
 
     rows = texts.select("text", "toxic").mapInArrow(run, ", ".join(["toxic int", *(f"{x} bigint" for x in names[1:])]))
-    return rows.distinct().groupBy("toxic", *names[2:]).agg(F.count("*").alias("n")).toArrow()
+    return materialize(rows.distinct().groupBy("toxic", *names[2:]).agg(F.count("*").alias("n")))
 
 
 def _corpus_counts(docs: DataFrame, tables: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -150,23 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = MAX
     each = [r["n"] for r in own.where(~curve).groupBy("toxic").agg(F.count("*").alias("n")).collect()]
     most = min([max_docs, *each]) if len(each) == 2 else 0
     counted = sample_ids(own, ~curve & (F.col("toxic") == 1), most, "doc_id").union(sample_ids(own, ~curve & (F.col("toxic") == 0), most, "doc_id"))
-    got = _count_contexts(docs.join(F.broadcast(counted), "doc_id"))
-    side, n = np.array(got["toxic"]), np.array(got["n"], float)
-    h, *forms = (np.array(got[x], np.int64).view(np.uint64) for x in ("h", "w", *(f"s{k}" for k in STEMS)))
+    seen_in = _count_contexts(docs.join(F.broadcast(counted), "doc_id"))
+    by_class = lambda x: [F.sum(F.when(F.col("toxic") == c, x).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)]
+    forms = ["w", *(f"s{k}" for k in STEMS)]
     # spreads: a word counts the different words before it, a stem the different longer forms that begin with it
-    rows = [side == c for c in (0, 1)]
     keys, spreads, parents = [], [], []
     for k, form in enumerate(forms):
-        kind, place = np.unique(form, return_inverse=True)
-        longer = np.stack([place, np.unique(forms[k - 1] if k else h, return_inverse=True)[1]])
-        spread = [np.bincount(np.unique(longer[:, mine], axis=1)[0], minlength=len(kind)).astype(float) for mine in rows]
-        often = spread[0] + spread[1] >= CUT
-        keys.append(kind[often])
-        spreads.append([x[often] for x in spread])
-        parent = np.zeros(len(kind), np.uint64)
-        if k + 1 < len(forms):
-            parent[place] = forms[k + 1]
-        parents.append(parent[often])
+        rows = seen_in.select("toxic", forms[k - 1] if k else "h", *forms[k : k + 2]).distinct()
+        found = rows.groupBy(form).agg(*by_class(F.lit(1)), F.min(forms[k + 1] if k + 1 < len(forms) else F.lit(0)).alias("parent")).where(F.col("n0") + F.col("n1") >= CUT).toArrow()
+        key = np.array(found[form], np.int64).view(np.uint64)
+        order = np.argsort(key)
+        keys.append(key[order])
+        spreads.append([np.array(found[f"n{c}"], float)[order] for c in (0, 1)])
+        parents.append(np.array(found["parent"], np.int64).view(np.uint64)[order])
     shares, total = _corpus_counts(docs, keys) if len(keys[0]) else ([np.zeros(len(x)) for x in keys], 0)
     lifts: list[list[np.ndarray]] = [[] for _ in forms]
     for k in reversed(range(len(forms))):
@@ -176,23 +172,27 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = MAX
             spread, all_kinds = spreads[k][c], max(spreads[k][c].sum(), 1.0)
             pull = (DISCOUNT * (spread > 0).sum() + strength * all_kinds) * np.where(above >= 0, lifts[k + 1][c][above] if k + 1 < len(forms) and len(keys[k + 1]) else 1.0, 1.0)
             lifts[k].append((np.maximum(spread - DISCOUNT, 0) / share + pull) / (all_kinds * (1 + strength)))
-    word, context = _find(keys[0], forms[0]), _find(keys[0], h)
-    both = (word >= 0) & (context >= 0) & (h != 0)
-    pair_keys, pair = np.unique(_pair(h[both], forms[0][both]), return_inverse=True)
-    kept = np.bincount(pair, n[both], len(pair_keys)) >= CUT
+    usual = seen_in.groupBy("w").agg(F.countDistinct("toxic", "h").alias("spread")).where(F.col("spread") >= CUT).select(F.col("w").alias("h"))
+    contexts = seen_in.where("h <> 0").join(usual, "h", "left_semi").groupBy("h").agg(*by_class(F.col("n")), *[x.alias(f"t{c}") for c, x in enumerate(by_class(F.least(F.col("n"), F.lit(DISCOUNT))))]).toArrow()
+    pairs = seen_in.where("h <> 0").groupBy("h", "w").agg(*by_class(F.col("n"))).where(F.col("n0") + F.col("n1") >= CUT).toArrow()
+    h, w = (np.array(pairs[x], np.int64).view(np.uint64) for x in ("h", "w"))
+    at_word, at_context = _find(keys[0], w), _find(keys[0], h)
+    both = (at_word >= 0) & (at_context >= 0)
+    pair_keys, at_word, at_context = _pair(h[both], w[both]), at_word[both], at_context[both]
+    order = np.argsort(pair_keys)
+    place = _find(keys[0], np.array(contexts["h"], np.int64).view(np.uint64))
     logs_context, logs_pair = [], []
     for c in (0, 1):
-        mine = side[both] == c
-        seen, taken = (np.bincount(context[both][mine], x[mine], len(keys[0])) for x in (n[both], np.minimum(n[both], DISCOUNT)))
+        seen, taken = np.zeros(len(keys[0])), np.zeros(len(keys[0]))
+        seen[place[place >= 0]], taken[place[place >= 0]] = np.array(contexts[f"n{c}"], float)[place >= 0], np.array(contexts[f"t{c}"], float)[place >= 0]
         weight = np.where(seen > 0, (taken + strength * seen) / np.maximum(seen * (1 + strength), 1e-9), 1.0)
-        direct, at_word, at_context = np.zeros(len(pair_keys)), np.zeros(len(pair_keys), int), np.zeros(len(pair_keys), int)
-        direct[pair[mine]] = np.maximum(n[both][mine] - DISCOUNT, 0)
-        at_word[pair], at_context[pair] = word[both], context[both]
+        direct = np.maximum(np.array(pairs[f"n{c}"], float)[both] - DISCOUNT, 0) / np.maximum(seen[at_context] * (1 + strength), 1e-9)
         single = (lifts[0][c] * (shares[0] + 0.5) / (total + 1.0))[at_word]
         logs_context.append(np.log(weight))
-        logs_pair.append(np.log(direct / np.maximum(seen[at_context] * (1 + strength), 1e-9) + weight[at_context] * single)[kept])
+        logs_pair.append(np.log(direct + weight[at_context] * single)[order])
+    pair_keys = pair_keys[order]
     levels = [(x, np.log(lift[1]) - np.log(lift[0])) for x, lift in zip(keys, lifts, strict=True)]
-    model = Model(levels, logs_context[1] - logs_context[0], pair_keys[kept], logs_pair[1] - logs_pair[0], mixture, length_power)
+    model = Model(levels, logs_context[1] - logs_context[0], pair_keys, logs_pair[1] - logs_pair[0], mixture, length_power)
     _fit_curve(model, docs, sample_ids(own, curve, max_calibration, "doc_id"))
     return model
 
