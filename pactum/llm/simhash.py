@@ -91,7 +91,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 def _spread(fps: DataFrame) -> DataFrame:
     """fps in as many partitions as a shuffle has: each row is about to become hundreds."""
-    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like others; repeated rows get equal results; an empty table gives an empty result.
     """
     found = materialize(fingerprints(docs, id_col, text_col))
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     some = materialize(with_partners(distinct.select("fp")))
     roots = connected_components(fingerprint_links(some))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
