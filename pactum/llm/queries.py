@@ -1,12 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 from pactum.llm.byte_bpe import op8_byte_bpe
+from pactum.llm.embedding_dedup import op5_embedding_dedup
 from pactum.llm.mixing import op9_mixing
 from pactum.llm.simhash import op1_simhash
 from pactum.llm.substrings import op6_substrings
 from pactum.llm.token_store import op3_token_store
+from pactum.llm.topk import op10_topk
 from pactum.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_store, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_token_store, op5_embedding_dedup, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing, op10_topk)}
 
 ORACLES: dict[str, str] = {}
