@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,57 +22,103 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import mix, shared_folder, slices, window_hashes
+from pactum.llm.shared import mix, shared_folder, slices
 
 #: Ids that decide a cut; mean distance of cuts; least and greatest length of a chunk.
 SPAN, MEAN, LEAST, MOST = 16, 512, 128, 4096
 #: Words whose ids a worker keeps; beyond it starts anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 400_000
 BLOCK = 1024
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, _Words] = {}
+#: What the byte-level step makes of each byte: printable Latin-1 stays, the rest follows from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class _Words(dict):
+    """Packed ids of words, encoded by the tokenizers library when they are first met; one for each Python worker.
+
+    The rules of this tokenizer (lower case, runs of letters, of other signs, single digits) never join what white space
+    parts, nor a run of letters and the sign after it, so a word's ids are those of its runs. Plain runs of letters go to
+    the library's model directly, everything else through all of its steps."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
+        self.library, self.runs = Tokenizer.from_file(path), {}
+        self.split = _splits_runs(self.library)
+
+    def _run(self, run: bytes) -> bytes:
+        got = self.runs.get(run)
+        if got is None:
+            text = run.decode().lower()
+            if self.split and text.isalpha() and max(text) < "\u0250":
+                shown = text if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
+                got = array("I", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+            else:
+                got = array("I", self.library.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+            self.runs[run] = got
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.runs.clear()
+        low = word.lower() if self.split and b"<" not in word else word
+        got = self.runs.get(low)
+        if got is None:
+            if self.split and low[-1] in b".," and low[:-1].decode("utf-8", "ignore").isalpha():
+                got = self._run(low[:-1]) + self._run(low[-1:])
+            else:
+                got = self._run(low)
+        self[word] = got
+        return got
+
+
+def _splits_runs(library) -> bool:
+    """Whether the library's own rules treat letters, signs and case as _Words does: told by examples, so that another
+    tokenizer's words go through all of its steps."""
+    of = lambda x: library.encode(x, add_special_tokens=False).ids
+    direct = lambda x: [t.id for t in library.model.tokenize(x.encode().decode("latin-1").translate(_SHOWN))]
+    return all(of(x + s) == direct(x.lower()) + of(s) == of(x.lower()) + of(s) for x in ("Word", "\xc9t\xe9", "stra\xdfenbahnen", "a") for s in ".,")
 
 
 def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, end_id after each. The tokenizer's rules never join what white space parts, so a text's ids are
-    those of its words in turn, and words met before are not encoded again."""
-    library, known = _tokenizer(path)
-    words = [text.encode().split() for text in texts]
-    new = list({w for own in words for w in own if w not in known})
-    if len(known) + len(new) > KEPT_WORDS:
-        known.clear()
-        new = list({w for own in words for w in own})
-    for start in range(0, len(new), 10_000):
-        part = new[start : start + 10_000]
-        for w, x in zip(part, library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(x.ids, np.uint32).tobytes()
-    end = np.array([end_id], np.uint32).tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, own)) + end, np.uint32) for own in words]
-
-
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    marks = np.flatnonzero(window_hashes(mix(ids.astype(np.uint64)), SPAN) % np.uint64(MEAN) == 0) + SPAN
+    """Ids of whole texts, end_id after each."""
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path)
+    get, end = _tokenizers[path].__getitem__, array("I", [end_id]).tobytes()
+    return [np.frombuffer(b"".join(map(get, text.encode().split())) + end, np.uint32) for text in texts]
+
+
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Places in ids, ascending, where the rolling sum of the last SPAN ids' hashes asks for a cut."""
+    if len(ids) < SPAN:
+        return np.zeros(0, int)
+    total = np.cumsum(_HASHES[ids & 0xFFFF] if int(ids.max()) < 1 << 16 else mix(ids.astype(np.uint64)), dtype=np.uint64)
+    rolled = total[SPAN - 1 :].copy()
+    rolled[1:] -= total[:-SPAN]
+    return np.flatnonzero(rolled < np.uint64((1 << 64) // MEAN)) + SPAN
+
+
+def cut(n: int, marks: np.ndarray) -> list[int]:
+    """Ends of the chunks of a document of n ids, given the marks within it."""
     ends, start = [], 0
-    for mark in [*marks.tolist(), len(ids)]:
+    for mark in [*marks.tolist(), n]:
         while mark - start > MOST:
             start += MOST
             ends.append(start)
-        if mark - start >= LEAST or mark == len(ids) and mark > start:
+        if mark - start >= LEAST or mark == n and mark > start:
             start = mark
             ends.append(start)
     return ends
 
 
+_HASHES = mix(np.arange(1 << 16, dtype=np.uint64))
+
+
 def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
     """(kind, k, n, payload, recipe): a chunk row for each chunk that its batch holds first, a recipe row for each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -83,9 +130,13 @@ def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
                 seen: set[bytes] = set()
                 keys, ns, payloads, recipes, kinds = [], [], [], [], []
                 press = zstandard.ZstdCompressor(level=3)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode_texts([x or "" for x in part.column(1).to_pylist()], path, end_id), strict=True):
+                encoded = encode_texts([x or "" for x in part.column(1).to_pylist()], path, end_id)
+                marks, at = cut_marks(np.concatenate(encoded)), 0
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
                     digests, lengths, start = [], [], 0
-                    for end in cut(ids):
+                    own_marks = marks[np.searchsorted(marks, at + SPAN) : np.searchsorted(marks, at + len(ids))] - at
+                    at += len(ids)
+                    for end in cut(len(ids), own_marks):
                         own = ids[start:end]
                         digest = hashlib.sha256(own.tobytes()).digest()
                         digests.append(digest)
@@ -114,7 +165,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, i
 
     Repeated rows are documents of their own, in a row; a null doc_id comes first. An empty table gives empty tables."""
     spark = docs.sparkSession
-    wide = _tokenizer(tokenizer)[0].get_vocab_size() > 65535 or end_id > 65535
+    wide = _Words(tokenizer).library.get_vocab_size() > 65535 or end_id > 65535
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _chunked(own, tokenizer, end_id, wide).repartition(parts, "k")
