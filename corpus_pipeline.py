@@ -1,10 +1,67 @@
-"""The corpus pipeline: stages that each call one operator of the llm subpackage."""
+"""The corpus pipeline: toxicity, SimHash near-dedup, substring dedup, mixing to target weights, byte-level BPE.
 
-from pactum.llm.byte_bpe import encode
+Each stage takes (spark, docs, sf_dir) and calls one operator of the llm subpackage on all that the stage before it kept.
+All but the last return the columns of documents: doc_id, text, lang, source, n_chars.
+"""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pactum.llm.byte_bpe import encode_decode_digests
+from pactum.llm.mixing import mix
+from pactum.llm.shared import materialize
+from pactum.llm.simhash import near_duplicates
+from pactum.llm.substrings import repeats
+from pactum.llm.toxicity import toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not reject. Labels of the held-out quarter are not read here either."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 4 == 2, carry=("text", "lang", "source", "n_chars"))
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id; rows with one doc_id are one document."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that also stand elsewhere; a text without such words is left as it is."""
+    found = repeats(docs, carry=("text", "lang", "source"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_text"))
+    return found.withColumn("text", text).select("doc_id", "text", F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = mix(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
+    import public_tokenizers
+
+    return encode_decode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_duplicates), ("substrings", cut_repeats), ("mixing", mix_sources), ("byte_bpe", encode)]
+
+#: SQL cannot express language models, meet-in-the-middle hashing, Newton's method or BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each stage's result is written as Parquet to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if k + 1 == len(STAGES) else materialize(docs)
+    return docs

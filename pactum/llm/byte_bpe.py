@@ -91,21 +91,23 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def encode_decode_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, in one pass: the digests of encode() and of decode() after it."""
+def encode_decode_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, in one pass: the digests of encode() and of decode()
+    after it; with_ids adds ids array<int>."""
 
     def run(batches):
         own = encoding(ranks, pattern)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = encode_text(own, text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
-            n, ids_sha, data_sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for start in range(0, len(batch), 512):
+                part, rows = batch.slice(start, 512), []
+                for text in part.column(1):
+                    ids = np.array(encode_text(own, text.as_py() or ""), "<u4")
+                    rows.append((ids, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode_bytes(ids.tolist())).hexdigest()))
+                columns = [part.column(0), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

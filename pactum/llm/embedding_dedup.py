@@ -147,6 +147,11 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[
     return [(int(ids[i]), int(ids[by[root[i]]])) for i in np.flatnonzero(root != order)]
 
 
+def _sound(e: Column) -> Column:
+    """Whether an array<double> is a vector that has a direction."""
+    return e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+
+
 def _result(ids: np.ndarray, links: np.ndarray, stars: list[tuple[int, int]]) -> pa.Table:
     some = links > 0
     rows = [(int(i), int(n), None) for i, n in zip(ids[some], links[some], strict=True)] + [(a, 0, b) for a, b in stars]
@@ -202,8 +207,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing
     and are their own component. Equal vectors are one vector with a count, so copies link with each other and share
     all else without being paired. Repeated rows count once and each get the result. An empty table gives an empty one."""
-    e = F.col("e")
-    sound = F.col("label").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    sound = F.col("label").isNotNull() & _sound(F.col("e"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(sound)
     distinct = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")))
@@ -260,9 +264,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = 200, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, true_links) for at most `sample` vectors spread by a hash of their id, each compared with every row
     of its label: recall is sum(n_links) / sum(true_links). The sample is the only part sent to all executors."""
-    own = vectors.where(F.col("label").isNotNull()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    pairs = vectors.join(F.broadcast(own.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")), "label").where("vec_id <> q")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s.cast("double") * t), F.lit(0.0), lambda s, t: s + t)
+    vectors = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("label").isNotNull() & _sound(F.col("embedding")))
+    own = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    pairs = vectors.join(F.broadcast(own.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")), "label").where((F.col("vec_id") != F.col("q")) & (F.size("embedding") == F.size("x")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     near = dot(F.col("embedding"), F.col("x")) >= cosine * F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("x"), F.col("x")))
     true = pairs.groupBy("q").agg(F.count(F.when(near, 1)).alias("true_links"))
     return found.join(F.broadcast(true), F.col("vec_id") == F.col("q")).select("vec_id", "n_links", "true_links")

@@ -3,6 +3,7 @@
 from pactum.llm.byte_bpe import op8_byte_bpe
 from pactum.llm.embedding_dedup import op5_embedding_dedup
 from pactum.llm.html_text import op2_html_text
+from pactum.llm.licences import op4_licences
 from pactum.llm.mixing import op9_mixing
 from pactum.llm.simhash import op1_simhash
 from pactum.llm.substrings import op6_substrings
@@ -10,6 +11,6 @@ from pactum.llm.token_store import op3_token_store
 from pactum.llm.topk import op10_topk
 from pactum.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_token_store, op5_embedding_dedup, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_token_store, op4_licences, op5_embedding_dedup, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing, op10_topk)}
 
 ORACLES: dict[str, str] = {}

@@ -112,7 +112,7 @@ def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans, carried columns) of every row.
+    """(doc_id, n_words, n_removed, kept, spans, carried columns under their names after an underscore) of every row.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Each word covered by a window of `window` words whose sequence also starts
     anywhere else (same text included) is removed; windows are judged on the input. kept has the other words, joined by
@@ -121,7 +121,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     hashes of 64 and 32 bits are. carry names columns to hand on as they are. An empty table gives an empty result.
     """
     half = (window + 1) // 2
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     batches = max(1, math.ceil(size / batch_bytes))
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
@@ -171,13 +171,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             kept.append(b" ".join(words).decode())
             spans.append(own_spans)
         columns = {"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(one.first), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
-        return pa.table(columns | {c: table.column(f"_{c}") for c in carry})
+        return pa.table(columns | {f"_{c}": table.column("text" if c == text_col else f"_{c}") for c in carry})
 
     by = dealt.groupBy("batch")
     hits = by.applyInArrow(anchors, _PACKED_DDL).groupBy("bucket").applyInArrow(lambda t: _match(t, True), _FOUND_DDL)
     whole = by.cogroup(hits.groupBy("batch")).applyInArrow(around, _PACKED_DDL).groupBy("bucket").applyInArrow(lambda t: _match(t, False), _FOUND_DDL)
-    kinds = [f"`{f.name[1:]}` {f.dataType.simpleString()}" for f in own.schema if f.name not in ("doc_id", "text")]
-    return by.cogroup(whole.groupBy("batch")).applyInArrow(remove, ", ".join([f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:int,end:int>>", *kinds]))
+    kinds = [f"`_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    kinds = ", ".join([f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:int,end:int>>", *kinds])
+    return by.cogroup(whole.groupBy("batch")).applyInArrow(remove, kinds)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, i
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/parts").where("kind = 'chunk'").select(F.col("k").alias("digest"), "n", "payload")
+    return spark.read.schema("kind string, k binary, n bigint, payload binary").parquet(f"{folder}/parts").where("kind = 'chunk'").select(F.col("k").alias("digest"), "n", "payload")
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:

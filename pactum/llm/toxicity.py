@@ -201,7 +201,7 @@ def _fit_curve(model: Model, docs: DataFrame, ids: DataFrame) -> None:
     """Logistic regression of the label on the evidence, by Newton's method with a slight pull of the slope to 0."""
     found = _scored(docs.join(F.broadcast(ids), "doc_id"), model, "evidence", ["toxic"]).select("toxic", "evidence").toArrow()
     y, x = np.array(found["toxic"], float), np.array(found["evidence"], float)
-    scale = x.std() or 1.0
+    scale = (x.std() if len(x) else 0.0) or 1.0
     a, b = 0.0, 0.0
     for _ in range(50 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
@@ -225,15 +225,16 @@ def _scored(docs: DataFrame, model: Model, what: str, keep: list[str]) -> DataFr
     return docs.select("doc_id", *keep, "text").mapInArrow(run, f"{kinds}, {what} double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row, from its whole text alone. Labels of held_out ids are not read.
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, carried columns) of every row, from its whole text alone. Labels of held_out
+    ids are not read.
 
     A null, empty or wordless text has no evidence either way and gets the curve's value at 0. Repeated rows get equal
-    scores; an empty table gives an empty result; columns other than the two named are not read."""
+    scores; an empty table gives an empty result; columns that are neither named nor carried are not read."""
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     model = fit(own, labels.select("doc_id", "toxic"), ~out)
-    return _scored(own, model, "score", []).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return _scored(own, model, "score", [f"_{c}" for c in carry]).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,307 @@
+"""Each operator against a brute-force version on small tables with nulls, empty and long texts, ties, repeats and clashing names."""
+
+import hashlib
+import html
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pactum.llm import byte_bpe, components, embedding_dedup, html_text, licences, mixing, simhash, substrings, token_store, topk, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that operators use inside stand beside the ones they are asked to read.
+DOCS = "doc_id long, text string, source string, batch string, fp string, kept string, size string, n string, label string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, s, "b", "f", "k", "s", "n", "l") for i, t, s in rows], DOCS)
+
+
+def sample_docs(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(300)] + ["é", "ß'", "日本", "1,2"]
+    passage = " ".join(rng.choice(vocabulary, 60))
+    rows = []
+    for k in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(1, 120))))
+        if k % 7 == 0:
+            words = words[:10] + passage.split() + words[10:]
+        rows.append((k, " ".join(words), f"s{k % 3}" if k % 5 else None))
+    rows += [(100, rows[3][1], "s0"), (101, rows[3][1] + " extra", "s0"), (102, None, None), (103, "", "s1"), (104, " \t\n ", "s1"), (105, "one two", "s2"), (106, "a b " * 4000, "s2"), (107, "x\n" * 40, "s9"), (7, rows[7][1], rows[7][2])]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return sample_docs(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return docs_of(spark, rows)
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 7), (3, 10), (10, 11), (None, 3)], "a long, b long")
+    got = {r.node: r.root for r in components.connected_components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 4: 4, 5: 4, 7: 7, 8: 7}
+    assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def brute_fingerprint(text):
+    words = [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or [" ".join(words)]
+    votes = Counter(b for s in shingles for h in [xxhash.xxh64_intdigest(s.encode(), seed=42)] for b in range(64) if h >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
+
+
+def brute_components(items, linked):
+    root = dict.fromkeys(items)
+    for i in sorted(items):
+        if root[i] is None:
+            todo, root[i] = [i], i
+            while todo:
+                a = todo.pop()
+                for b in items:
+                    if root[b] is None and linked(a, b):
+                        root[b] = i
+                        todo.append(b)
+    return root
+
+
+def test_simhash(docs, rows):
+    prints = {i: brute_fingerprint(t) for i, t, _ in rows}
+    root = brute_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{p:016x}", root[i]) for i, p in prints.items()}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_every_distance(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
+    prints = {b ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in (0, 1, 2, 3, 4, 5, 6) for _ in range(3)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    fps = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {r.node: r.root for r in components.connected_components(simhash.fingerprint_links(simhash.with_partners(fps))).collect()}
+    root = brute_components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    assert {p: got.get(p, p) for p in signed} == root
+
+
+def brute_repeats(rows, window=35):
+    texts = [WORD.findall(t or "") for _, t, _ in rows]
+    seen = Counter(tuple(w[k : k + window]) for w in texts for k in range(len(w) - window + 1))
+    out = []
+    for (i, _, _), w in zip(rows, texts, strict=True):
+        gone = {k + j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(window)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch_bytes", [1 << 22, 2000])
+def test_substrings(docs, rows, batch_bytes):
+    got = substrings.repeats(docs, batch_bytes=batch_bytes, carry=("text", "batch"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_repeats(rows)
+    for r in got.collect():
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed and r._batch == "b"
+    assert substrings.repeats(docs.limit(0)).count() == 0
+
+
+def test_byte_bpe(docs, rows, spark):
+    import tiktoken
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = byte_bpe.encoding(ranks, public_tokenizers.PATTERN)
+    got = byte_bpe.encode_decode_digests(docs, ranks, public_tokenizers.PATTERN)
+    expected = []
+    for i, t, _ in rows:
+        ids = own.encode_ordinary(t or "")
+        expected.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    assert sorted((r.doc_id, bytes(r.data).decode()) for r in byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).collect()) == sorted((i, t or "") for i, t, _ in rows)
+    assert got.limit(0).count() == 0 and isinstance(own, tiktoken.Encoding)
+
+
+def test_byte_bpe_long_texts():
+    own = byte_bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    import regex
+
+    for text in ("ab c's  d\n" * 9000, "x" + " " * 50_000 + "b c", "y\n" + " \t" * 9000, "ab" * 20_000, "a " + "　" * 9000 + " z"):
+        expected = [t for m in regex.findall(public_tokenizers.PATTERN, text) for t in own._encode_single_piece(m)]
+        assert byte_bpe.encode_text(own, text) == expected
+
+
+def test_token_store(docs, rows, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/store"
+    library = Tokenizer.from_file(path)
+    token_store.write_store(docs, folder, path)
+    expected, start = [], 0
+    for i, t, _ in sorted(rows, key=lambda r: r[0]):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        expected.append((i, start, ids))
+        start += len(ids)
+    got = token_store.document_digests(spark, folder).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, s, x in expected)
+    assert sorted((r.doc_id, r.start, r.ids) for r in token_store.read_documents(spark, folder).collect()) == sorted(expected)
+    assert token_store.verify(spark, folder).count() == 0
+    assert token_store.read_chunks(spark, folder).groupBy("digest").count().where("count > 1").count() == 0
+    empty = f"file://{tmp_path}/empty"
+    token_store.write_store(docs.limit(0), empty, path)
+    assert token_store.document_digests(spark, empty).count() == 0
+
+
+def brute_targets(sizes):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    full, total = set(), 1.5 * sum(sizes.values())
+    while True:
+        rest = [s for s in order if s not in full]
+        left = total - sum(2 * sizes[s] for s in full)
+        target = {s: 2.0 * sizes[s] if s in full else left * weight[s] / sum(weight[r] for r in rest) for s in order}
+        over = {s for s in rest if target[s] > 2 * sizes[s]}
+        if not over:
+            return target
+        full |= over
+
+
+def test_mixing(docs, rows):
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    target, source = brute_targets(sizes), {i: s for i, _, s in rows}
+    taken = Counter()
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[r.doc_id]
+        assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size and r.copies in (0, 1, 2)
+        taken[s] += r.taken
+    for s, most in ((s, max(len(WORD.findall(t or "")) for _, t, q in rows if q == s)) for s in sizes):
+        assert abs(taken[s] - target[s]) <= most
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, cell string, rep string, dim string"
+
+
+def vectors_of(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, [float(x) for x in base[k % 40] + 0.02 * rng.normal(size=8)], k % 3) for k in range(300)]
+    rows += [(1000, rows[0][1], 0), (1001, rows[0][1], 0), (1002, rows[0][1], None), (1003, None, 1), (1004, [0.0] * 8, 1), (1005, [float("nan")] * 8, 1), (1100, [None] + [1.0] * 7, 1), (1007, [2 * x for x in rows[3][1]], 0), (1008, [], 2), (1200, [1.0, 2.0], 1)]
+    return [(i, v, label, "c", "r", "d") for i, v, label in rows]
+
+
+def sound(v):
+    return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+@pytest.mark.parametrize("limits", [(250, 600), (10, 20)])
+def test_embedding_dedup(spark, limits, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", limits[0])
+    monkeypatch.setattr(embedding_dedup, "SHARD", limits[1])
+    rows = vectors_of(spark)
+    table = spark.createDataFrame(rows, VECTORS)
+    exact = {i: np.array(np.array(v, np.float32), float) if sound(v) and label is not None else None for i, v, label, *_ in rows}
+    label = {r[0]: r[2] for r in rows}
+
+    def linked(a, b):
+        x, y = exact[a], exact[b]
+        return a != b and x is not None and y is not None and label[a] == label[b] and len(x) == len(y) and x @ y >= 0.98 * np.sqrt((x @ x) * (y @ y))
+
+    root = brute_components(list(exact), linked)
+    found = embedding_dedup.near_duplicates(table)
+    got = {r.vec_id: r for r in found.collect()}
+    true = {i: sum(linked(i, j) for j in exact) for i in exact}
+    assert set(got) == set(exact) and all(got[i].n_links <= true[i] for i in exact)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(true.values())
+    assert all(got[i].component_id == root[i] and got[i].kept == (root[i] == i) for i in exact)
+    audit = embedding_dedup.audit_recall(table, found, 50).agg(F.sum("n_links"), F.sum("true_links")).first()
+    assert audit[0] >= 0.9 * audit[1] > 0
+    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_topk(spark, block):
+    rows = vectors_of(spark) + [(r[0] + 5000, r[1], *r[2:]) for r in vectors_of(spark)[:40]]
+    whole = {i: np.floor(1024 * np.array(np.array(v, np.float32), float)).astype(int) for i, v, *_ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    expected = []
+    for q in whole:
+        if q % 100 == 0:
+            scores = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:10]
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    table = spark.createDataFrame(rows, VECTORS)
+    got = topk.top_k(table, F.col("vec_id") % 100 == 0, row_block=block, query_block=2)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert topk.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_html_text(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header>
+    <nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><!-- ad --><aside>Side</aside>
+    <article><h1>Title &amp; more</h1><p><b>First   line<br>goes&nbsp;on<p>Second &lt;b&gt; &eacute;.</p><form><p>Mail</p></form>
+    <ul><li>one<li>two</ul><section class="comments"><p>Reader says</p></section><footer>by me</footer></article>
+    <footer>&copy; x</footer>"""
+    expected = "Title & more\n\nFirst line goes on\n\nSecond <b> é.\n\none\n\ntwo"
+    assert html_text.page_text(page) == expected
+    shared = '<div class="box"><div class="x7">Same words on all pages</div></div>'
+    rows = [(k, f"http://h.example/{k}", f"<body><div class=top>Shop now today</div><div id=c{k}><p>Story {k} text {k * k}</p></div>{shared}</body>") for k in range(20)]
+    rows += [(100, "http://h.example/z", page), (101, None, page), (102, "http://h.example/n", None), (103, "u", ""), (104, "http://h.example/0", rows[0][2])]
+    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, low string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(table).collect()}
+    assert len(got) == len(rows)
+    assert got[3] == ("Story 3 text 9", 14) and got[104] == got[0]
+    assert got[100] == got[101] == (expected, len(expected)) and got[102] == got[103] == ("", 0)
+    assert html_text.extract(table.limit(0)).count() == 0
+    assert html.unescape("&am") == "&am"
+
+
+def test_licences(spark, rows):
+    found = [t for _, t in licences.TEMPLATES]
+    extra = [(200 + k, f"some words here\n{t}\nmore words", "s") for k, t in enumerate(found)] + [(300, "Licensed under the Frobnicator Vendor License, which has terms of its own you must read.", "s")]
+    got = {r.doc_id: r for r in licences.document_licences(docs_of(spark, rows + extra)).collect()}
+    for k, (family, _) in enumerate(licences.TEMPLATES):
+        assert got[200 + k].licences == family, (family, got[200 + k])
+    assert all(got[i].licences == "" and got[i].n_unknown == 0 for i, _, _ in rows) and got[300].n_confirmed == 0
+    assert licences.document_licences(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(2)
+    plain, bad = [f"word{k}" for k in range(80)], ["vileish", "vileous", "grubby", "scornful"]
+    texts, labels = [], []
+    for k in range(600):
+        words, toxic = list(rng.choice(plain, int(rng.integers(20, 80)))), int(k % 6 == 0)
+        if toxic:
+            for _ in range(4):
+                words.insert(int(rng.integers(len(words))), str(rng.choice(bad)))
+        texts.append((k, " ".join(words), "s"))
+        labels.append((k, toxic))
+    texts += [(1000, None, "s"), (1001, "", "s"), (1002, "idle " * 5000, "s"), (5, texts[5][1], "s")]
+    labels += [(None, 1), (7, None), (0, 1)]
+    table, marks = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    got = toxicity.toxicity(table, marks, held).collect()
+    assert len(got) == len(texts)
+    truth = dict(labels[:600])
+    judged = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
+    assert sum(a == b for a, b in judged) >= 0.95 * len(judged) and sum(b for a, b in judged if a) >= 0.9 * sum(a for a, _ in judged)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    flipped = spark.createDataFrame([(i, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, t in labels[:600]], "doc_id long, toxic int")
+    first, second = ({r.doc_id: r.score for r in toxicity.toxicity(table, m, held).collect()} for m in (spark.createDataFrame(labels[:600], "doc_id long, toxic int"), flipped))
+    assert all(abs(first[i] - second[i]) < 1e-9 for i in first)
+    assert toxicity.toxicity(table.limit(0), marks, held).count() == 0
+    assert len({r.score for r in toxicity.toxicity(table, marks.limit(0), held).collect()}) == 1
