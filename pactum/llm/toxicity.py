@@ -26,6 +26,8 @@ CUT = 3
 #: Stems (first bytes of a word) that a rare word backs off to, the longer first.
 STEMS = (6, 4)
 DISCOUNT, THRESHOLD = 0.75, 0.3
+#: Bytes of text that are scored at once.
+SLICE = 2 << 20
 #: How much the shared counts weigh, as a multiple of a class's own; how much of a toxic text its own model explains,
 #: the rest being ordinary; the power of the length that divides the difference of log-likelihoods.
 STRENGTH, MIXTURE, LENGTH_POWER = 0.01, 0.01, 1.0
@@ -105,7 +107,7 @@ def _count_contexts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words, *stems, first = _words(part.column(0))
                 toxic, before = np.repeat(np.array(part.column(1)), np.diff(first)), _before(words, first)
                 yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *(pa.array(x.view(np.int64)) for x in (_before(before, first), before, words, *stems))], names)
@@ -121,7 +123,7 @@ def _corpus_counts(docs: DataFrame, tables: list[np.ndarray]) -> tuple[list[np.n
     def run(batches):
         counts, total = np.zeros(size, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 *forms, first = _words(part.column(0))
                 total, start = total + int(first[-1]), 0
                 for keys, form in zip(shared.value, forms, strict=True):
@@ -212,17 +214,19 @@ def _fit_curve(model: Model, docs: DataFrame, ids: DataFrame) -> None:
     model.slope, model.offset = float(a / scale), float(b)
 
 
-def _scored(docs: DataFrame, model: Model, what: str, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model, what: str, keep: list[str], with_text: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", *keep, *["text"] * with_text]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                values = getattr(shared.value, what)(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values, pa.float64())], [*part.schema.names[:-1], what])
+            for part in slices(batch, "text", SLICE):
+                values = getattr(shared.value, what)(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, what])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema)
-    return docs.select("doc_id", *keep, "text").mapInArrow(run, f"{kinds}, {what} double")
+    rows = docs.select("doc_id", *keep, "text")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, {what} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -232,9 +236,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     A null, empty or wordless text has no evidence either way and gets the curve's value at 0. Repeated rows get equal
     scores; an empty table gives an empty result; columns that are neither named nor carried are not read."""
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
     model = fit(own, labels.select("doc_id", "toxic"), ~out)
-    return _scored(own, model, "score", [f"_{c}" for c in carry]).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"_{c}").alias(c) for c in carry])
+    scored = _scored(own, model, "score", [f"_{c}" for c in carry if c != text_col], text_col in carry)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col("text" if c == text_col else f"_{c}").alias(c) for c in carry])
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
