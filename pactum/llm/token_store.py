@@ -1,7 +1,8 @@
 """Token ids in a content-addressed store.
 
 Texts become ids; a rolling hash over the ids cuts each document into chunks wherever its low bits are zero, so equal
-passages give equal chunks. A chunk is kept once, under the SHA-256 of its ids; a document is a recipe, the list of its
+passages give equal chunks. A chunk is kept once, under the SHA-256 of its
+ids as bytes; a document is a recipe, the list of its
 chunks; a manifest is a Merkle tree over the recipes in ascending order of doc_id. Three Parquet tables below one folder:
 
 chunks   digest, n, payload (the ids as little-endian 16 or 32-bit unsigned integers, compressed with zstd)
@@ -15,6 +16,7 @@ import hashlib
 import os
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,15 @@ SPAN, MEAN, LEAST, MOST = 16, 512, 128, 4096
 KEPT_WORDS = 400_000
 BLOCK = 1024
 
-_tokenizers: dict[str, _Words] = {}
+_tokenizers: dict[tuple[str, str], _Words] = {}
 #: What the byte-level step makes of each byte: printable Latin-1 stays, the rest follows from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
 _SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+_ID = attrgetter("id")
+
+
 class _Words(dict):
     """Packed ids of words, encoded by the tokenizers library when they are first met; one for each Python worker.
 
@@ -43,22 +48,28 @@ class _Words(dict):
     parts, nor a run of letters and the sign after it, so a word's ids are those of its runs. Plain runs of letters go to
     the library's model directly, everything else through all of its steps."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, code: str = "I"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.runs = Tokenizer.from_file(path), {}
-        self.split = _splits_runs(self.library)
+        self.library, self.runs, self.code = Tokenizer.from_file(path), {}, code
+        self.tokenize = self.library.model.tokenize
+        self.plain = _splits_runs(self.library)
+        self.signs = {s: self.whole(s) for s in ".,"}
+
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: bytes) -> bytes:
+    def letters(self, run: str) -> bytes:
+        """Ids of a lower-case run of letters."""
         got = self.runs.get(run)
         if got is None:
-            text = run.decode().lower()
-            if self.split and text.isalpha() and max(text) < "\u0250":
-                shown = text if text.isascii() else text.encode().decode("latin-1").translate(_SHOWN)
-                got = array("I", [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+            if run.isascii():
+                got = array(self.code, map(_ID, self.tokenize(run))).tobytes()
+            elif max(run) < "\u0250":
+                got = array(self.code, map(_ID, self.tokenize(run.encode().decode("latin-1").translate(_SHOWN)))).tobytes()
             else:
-                got = array("I", self.library.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+                got = self.whole(run)
             self.runs[run] = got
         return got
 
@@ -66,13 +77,14 @@ class _Words(dict):
         if len(self) > KEPT_WORDS:
             self.clear()
             self.runs.clear()
-        low = word.lower() if self.split and b"<" not in word else word
-        got = self.runs.get(low)
-        if got is None:
-            if self.split and low[-1] in b".," and low[:-1].decode("utf-8", "ignore").isalpha():
-                got = self._run(low[:-1]) + self._run(low[-1:])
-            else:
-                got = self._run(low)
+        text = word.decode()
+        low = text.lower()
+        if self.plain and low.isalpha() and (low.isascii() or max(text) < "\u0250"):
+            got = self.letters(low)
+        elif self.plain and low[-1] in ".," and (stem := low[:-1]).isalpha() and (low.isascii() or max(text) < "\u0250"):
+            got = self.letters(stem) + self.signs[low[-1]]
+        else:
+            got = self.whole(text)
         self[word] = got
         return got
 
@@ -85,19 +97,19 @@ def _splits_runs(library) -> bool:
     return all(of(x + s) == direct(x.lower()) + of(s) == of(x.lower()) + of(s) for x in ("Word", "\xc9t\xe9", "stra\xdfenbahnen", "a") for s in ".,")
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts, end_id after each."""
-    if path not in _tokenizers:
-        _tokenizers[path] = _Words(path)
-    get, end = _tokenizers[path].__getitem__, array("I", [end_id]).tobytes()
-    return [np.frombuffer(b"".join(map(get, text.encode().split())) + end, np.uint32) for text in texts]
+def encode_texts(texts: list[str], path: str, end_id: int, code: str = "I") -> list[np.ndarray]:
+    """Ids of whole texts, end_id after each; code is the array type of the ids, I or H."""
+    if (path, code) not in _tokenizers:
+        _tokenizers[path, code] = _Words(path, code)
+    get, end = _tokenizers[path, code].__getitem__, array(code, [end_id]).tobytes()
+    return [np.frombuffer(b"".join([*map(get, text.encode().split()), end]), np.dtype(code)) for text in texts]
 
 
 def cut_marks(ids: np.ndarray) -> np.ndarray:
     """Places in ids, ascending, where the rolling sum of the last SPAN ids' hashes asks for a cut."""
     if len(ids) < SPAN:
         return np.zeros(0, int)
-    total = np.cumsum(_HASHES[ids & 0xFFFF] if int(ids.max()) < 1 << 16 else mix(ids.astype(np.uint64)), dtype=np.uint64)
+    total = np.cumsum(_HASHES[ids] if ids.dtype == np.uint16 else mix(ids.astype(np.uint64)), dtype=np.uint64)
     rolled = total[SPAN - 1 :].copy()
     rolled[1:] -= total[:-SPAN]
     return np.flatnonzero(rolled < np.uint64((1 << 64) // MEAN)) + SPAN
@@ -124,13 +136,12 @@ def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        small = np.dtype("<u4" if wide else "<u2")
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 seen: set[bytes] = set()
                 keys, ns, payloads, recipes, kinds = [], [], [], [], []
-                press = zstandard.ZstdCompressor(level=3)
-                encoded = encode_texts([x or "" for x in part.column(1).to_pylist()], path, end_id)
+                press = zstandard.ZstdCompressor(level=1)
+                encoded = encode_texts([x or "" for x in part.column(1).to_pylist()], path, end_id, "I" if wide else "H")
                 marks, at = cut_marks(np.concatenate(encoded)), 0
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
                     digests, lengths, start = [], [], 0
@@ -145,7 +156,7 @@ def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
                             seen.add(digest)
                             keys.append(digest)
                             ns.append(end - start)
-                            payloads.append(press.compress(own.astype(small).tobytes()))
+                            payloads.append(press.compress(own.tobytes()))
                             recipes.append(None)
                             kinds.append("chunk")
                         start = end
@@ -214,10 +225,9 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
 def _ids(digest: bytes, n: int, payload: bytes) -> np.ndarray:
     """A chunk's ids; an error if they are not what the digest names."""
     data = zstandard.ZstdDecompressor().decompress(payload)
-    ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
-    if hashlib.sha256(ids.tobytes()).digest() != digest:
+    if hashlib.sha256(data).digest() != digest:
         raise ValueError(f"chunk {digest.hex()} does not match its digest")
-    return ids
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
