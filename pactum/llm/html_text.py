@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import slices
+from pactum.llm.shared import materialize, slices
 
 #: Branches below this importance go; pages of a host that a branch must be on; share of a node's own presentation that
 #: each presentation style leaves to its children; levels of the tree.
@@ -187,7 +187,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every row, from its whole html. A null or empty html, or one without a main text,
     gives the empty string; repeated rows stay; pages without a host are judged by their elements alone; an empty table
     gives an empty result. Only the three named columns are read."""
-    low = style_tree(pages, id_col, url_col, html_col).where((F.col("importance") < LOW) & (F.col("pages") >= FEWEST))
+    low = materialize(style_tree(pages, id_col, url_col, html_col).where((F.col("importance") < LOW) & (F.col("pages") >= FEWEST)))
     by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
     size = low.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 16), F.lit(0))).first()[0]
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
