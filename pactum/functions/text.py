@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Currency markers, scale words, function words of the two languages.
@@ -29,7 +29,12 @@ def matches(text: Column, pattern: str) -> Column:
         stop = begin + F.length(pair["raw"])
         return F.struct(stop.alias("at"), F.concat(state["out"], F.array(F.struct(pair["raw"].alias("raw"), begin.alias("start"), stop.alias("end")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<raw:string,start:int,end:int>>"))
+    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<raw:string,start:int,end:int>>"))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later expressions read instead of each working it out again."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def money_amount(raw: Column) -> Column:

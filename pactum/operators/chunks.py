@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.functions.text import garbled_ratio, language, matches, text_search_config
+from pactum.functions.text import garbled_ratio, language, matches, once, text_search_config
 
 MAX_CHARS, HEADING_CHARS, HEADING_UPPER = 1200, 120, 0.70
 SPAN, ITEM = "array<struct<start:int,end:int>>", "array<struct<start:int,end:int,kind:string>>"
@@ -102,17 +102,16 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     text = F.col("page_text")
     tables = F.coalesce(F.col("tables"), F.array().cast(SPAN)) if "tables" in pages.columns else F.array().cast(SPAN)
     own = pages.select("document_id", "page_number", F.col(text_col).alias("page_text"), tables.alias("tables")).where(text.isNotNull())
-    parts = own.withColumn("blocks", without(blocks(text), F.col("tables"))).withColumn("heads", F.transform("blocks", lambda b: is_heading(_cut(text, b["start"], b["end"]))))
+    parts = once(once(own, "blocks", without(blocks(text), F.col("tables"))), "heads", F.transform("blocks", lambda b: is_heading(_cut(text, b["start"], b["end"]))))
     item = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"))
     prose = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("heads").alias("h")), lambda z: F.when(z["h"], F.array(item(z["b"], F.lit("heading")))).otherwise(F.transform(split_long(text, z["b"], most), lambda s: item(s, F.lit("paragraph"))))))
     items = F.array_sort(F.concat(F.transform("tables", lambda t: item(t, F.lit("table"))).cast(ITEM), prose.cast(ITEM)))
-    found = parts.withColumn("items", items).select("document_id", "page_number", "page_text", F.col("items"), F.posexplode(grouped(F.col("items"), most)).alias("place", "c"))
+    found = once(parts, "items", items).select("document_id", "page_number", "page_text", F.col("items"), F.posexplode(grouped(F.col("items"), most)).alias("place", "c"))
     found = found.withColumns({"chunk_text": _cut(text, F.col("c.start"), F.col("c.end"))}).where(F.trim(F.regexp_replace("chunk_text", r"\s+", " ")) != "")
     lead = F.element_at(F.filter("items", lambda i: i["start"] == F.col("c.start")), 1)
     title = F.when(lead["kind"] == "heading", F.substring(F.trim(_cut(text, lead["start"], lead["end"])), 1, 512))
     page = Window.partitionBy("document_id", "page_number").orderBy("place")
-    lang = language(F.col("chunk_text"))
-    out = found.withColumns({"section_title": F.last(title, ignorenulls=True).over(page), "language": lang, "fts_config": text_search_config(lang)})
+    out = once(found, "language", language(F.col("chunk_text"))).withColumns({"section_title": F.last(title, ignorenulls=True).over(page), "fts_config": text_search_config(F.col("language"))})
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "place")) - 1
     if after is not None:
         out = out.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("base")), "document_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.functions.ratings import normalise
-from pactum.functions.text import largest_money, matches
+from pactum.functions.text import largest_money, matches, once
 
 CONTEXT, MIN_QUOTE, CANDIDATES = 400, 60, 200
 _TAIL = r"[^.;]{0,80}?of\s+not\s+(more|less)\s+than\s+(\d+(?:\.\d+)?)\s*(?:times|x\b)"
@@ -60,9 +60,9 @@ def with_quotes(found: DataFrame) -> DataFrame:
     """Adds char_start, char_end and quote: the match widened to its sentence, and by the next one if that is short."""
     text = F.col("chunk_text")
     left = F.coalesce(F.greatest(_rfind(text, ". ", F.col("m.start")), _rfind(text, "\n\n", F.col("m.start"))) + 2, F.lit(0))
-    out = found.withColumns({"char_start": left, "_end": _sentence_end(text, F.col("m.end"))})
+    out = once(once(found, "char_start", left), "_end", _sentence_end(text, F.col("m.end")))
     end = F.when(F.col("_end") - F.col("char_start") < MIN_QUOTE, _sentence_end(text, F.col("_end"))).otherwise(F.col("_end"))
-    out = out.withColumn("char_end", F.least(end, F.length(text))).drop("_end").where("char_end > char_start")
+    out = once(out, "char_end", F.least(end, F.length(text))).drop("_end").where("char_end > char_start")
     return out.withColumn("quote", F.substring(text, F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
 
 
@@ -91,10 +91,9 @@ def with_terms(found: DataFrame, agencies: DataFrame | None = None) -> DataFrame
     money = largest_money(F.when(holds == "nearby", near).when(holds == "amount", raw))
     around = F.substring(text, F.greatest(F.col("m.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(CONTEXT)) + CONTEXT)
     kind = F.col("covenant_type")
-    return found.withColumns({
+    return once(found, "_money", money).withColumns({
         "operator": F.when(direction.isin("more", "tidak melebihi"), "lte").when(direction.isin("less", "tidak kurang daripada"), "gte").when(kind == "minimum_net_worth", "gte"),
         "threshold_ratio": F.when(holds == "ratio", pick(2)).try_cast("decimal(12,6)"),
-        "_money": money,
         "trigger_rating": F.when(holds == "rating", normalise(pick(2))),
         "rating_agency": F.when(holds == "rating", F.coalesce(agency_in(around), *([F.col("agency")] if agencies is not None else []))),
         "severity": F.when(kind == "shariah_non_compliance", "critical").when(kind.isin("cross_default", "rating_trigger", "negative_pledge", "change_of_control"), "high").when(kind.isNotNull(), "medium"),

@@ -69,7 +69,7 @@ def prose(spark: SparkSession, d: str) -> DataFrame:
     """A chunk of covenant prose for each part."""
     s, k = F.col("p_size"), F.col("p_partkey")
     words = F.concat(F.lit("The Issuer shall at all times maintain a consolidated gearing ratio of not more than "), F.floor(s / 10).cast("string"), F.lit("."), (s % 10).cast("string"), F.lit(" times. It is a cross default if indebtedness above RM"), s.cast("string"), F.lit(" million is unpaid for 14 days. The rating given by MARC is downgraded below "), _item(NOTCHES, s * 5 % 19), F.lit(" at any time. Redemption on 2028-06-"), F.lpad((s % 28 + 1).cast("string"), 2, "0"), F.lit(" 102.00 Optional ends here."))
-    return table(spark, d, "part").select(k.cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.lit(0).alias("ordinal"), words.alias("chunk_text"), F.concat(F.lit("h"), k.cast("string")).alias("hash"))
+    return tables.spread(table(spark, d, "part")).select(k.cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.lit(0).alias("ordinal"), words.alias("chunk_text"), F.concat(F.lit("h"), k.cast("string")).alias("hash"))
 
 
 @query(f"""WITH {SQL_INST}, {SQL_HOLD}, held AS (SELECT DISTINCT portfolio_id, instrument_id FROM hold)
@@ -165,7 +165,7 @@ PAGES_SQL = "pages_ AS (SELECT doc_id, source, length(text) AS n, doc_id % 13 <>
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    return table(spark, d, "documents").select(F.col("source").alias("document_id"), k.alias("page_number"), "text", (k % 10 / 10.0).alias("image_area_ratio"), (k % 13 != 0).alias("has_text_layer"), (k % 3 == 0).alias("has_table_hint"), (k % 5 == 0).alias("table_extraction_failed"))
+    return tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), k.alias("page_number"), "text", (k % 10 / 10.0).alias("image_area_ratio"), (k % 13 != 0).alias("has_text_layer"), (k % 3 == 0).alias("has_table_hint"), (k % 5 == 0).alias("table_extraction_failed"))
 
 
 @query(f"WITH {PAGES_SQL} SELECT doc_id AS page_number, round(greatest(0.0, 1 - cost), 6) AS confidence, cost > 0 AS needs_vlm, concat_ws(',', CASE WHEN NOT layer THEN 'no_text_layer' END, CASE WHEN n < 120 THEN 'low_char_count' END, CASE WHEN ratio > 0.7 THEN 'high_image_area' END, CASE WHEN failed THEN 'table_extraction_failed' END) AS reasons FROM scored")
@@ -185,13 +185,13 @@ _M, _E = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (text.MALA
 v AS (SELECT doc_id, len([x for x in ws if list_contains({_M}, x)]) AS m, len([x for x in ws if list_contains({_E}, x)]) AS e FROM w)
 SELECT doc_id, CASE WHEN m >= 2 AND m > e THEN 'ms' WHEN e >= 2 AND e > m THEN 'en' ELSE 'unknown' END AS language FROM v""")
 def language_vote(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+    return tables.spread(table(spark, d, "documents")).select("doc_id", text.language(F.col("text")).alias("language"))
 
 
 @query("""SELECT doc_id, CAST(CASE WHEN w = 0 THEN 0 ELSE greatest(n // 3, CAST(floor(w * 1.35) AS BIGINT), 1) END AS INTEGER) AS tokens, CAST(CASE WHEN w = 0 THEN 0 ELSE greatest(n // 3, CAST(floor(w * 1.35) AS BIGINT), 1) END * 3.0 / 1000000 AS DECIMAL(12,6)) AS cost_usd
 FROM (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS w FROM documents)""")
 def token_costs(spark, d):
-    calls = table(spark, d, "documents").select("doc_id", F.lit("m").alias("model_id"), text.token_estimate(F.col("text")).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"))
+    calls = tables.spread(table(spark, d, "documents")).select("doc_id", F.lit("m").alias("model_id"), text.token_estimate(F.col("text")).alias("prompt_tokens"), F.lit(0).alias("completion_tokens"))
     prices = calls.limit(0).select("model_id").union(calls.select("model_id").distinct()).withColumns({"input_usd": F.lit("3.0").cast("decimal(10,4)"), "output_usd": F.lit("15.0").cast("decimal(10,4)")})
     return ledger.price(calls, prices)[0].select("doc_id", F.col("prompt_tokens").alias("tokens"), "cost_usd")
 
@@ -204,14 +204,14 @@ def content_dedup(spark, d):
 @query()
 def document_chunks(spark, d):
     """Chunks of every document; SQL cannot express the greedy splits, tests hold them against a plain loop."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
+    docs = tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
     return chunks.chunk(docs)
 
 
 @query("SELECT CAST(0 AS BIGINT) AS violations")
 def chunk_span_check(spark, d):
     """Chunks that are no slice of their page: there must be none."""
-    docs = table(spark, d, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
+    docs = tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
     return chunks.span_violations(chunks.chunk(docs), docs).agg(F.count("*").alias("violations"))
 
 
@@ -304,7 +304,7 @@ TOKENS = "regexp_extract_all(lower(text), '[0-9a-z]+')"
 s AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM i JOIN q USING (w) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT item_id AS query_id, doc_id AS chunk_id, CAST(hits / 10.0 AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
 def keyword_search(spark, d):
-    index = retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
+    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return retrieval.keyword_top(index, asked)
 

@@ -13,6 +13,13 @@ def read(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files in as many partitions as there are cores, for work that is heavy by row; one that already has as
+    many partitions is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def first_of_content(uploads: DataFrame, content: str = "content", order: tuple[str, ...] = ("arrived_at", "upload_id")) -> DataFrame:
     """Adds sha256 and duplicate: of uploads with the same bytes the first is the document."""
     rows = uploads.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
