@@ -13,4 +13,21 @@ from pactum.llm.toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_token_store, op4_licences, op5_embedding_dedup, op6_substrings, op7_toxicity, op8_byte_bpe, op9_mixing, op10_topk)}
 
-ORACLES: dict[str, str] = {}
+#: Vectors without null or non-finite components, a row for each component.
+_COMPONENTS = "SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE embedding IS NOT NULL AND len([y for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0"
+
+#: The others hash, encode, learn or iterate by rules that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op5_embedding_dedup": f"""WITH RECURSIVE u AS ({_COMPONENTS}), n AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS n FROM u GROUP BY 1),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.i = b.i AND a.label = b.label AND a.vec_id <> b.vec_id JOIN n p ON p.vec_id = a.vec_id JOIN n q ON q.vec_id = b.vec_id WHERE p.n > 0 AND q.n > 0 GROUP BY 1, 2, p.n, q.n HAVING sum(CAST(a.x AS DOUBLE) * b.x) >= 0.98 * p.n * q.n),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN k ON k.a = c.a""",
+    "op6_substrings": """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS t FROM s), c AS (SELECT t FROM g GROUP BY t HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN c USING (t), range(0, 35) AS r(k)), x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+o AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept, count(*) AS n FROM x LEFT JOIN h ON h.doc_id = x.doc_id AND h.p = x.p WHERE h.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+    "op10_topk": f"""WITH u AS (SELECT vec_id, i, CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) AS x FROM ({_COMPONENTS})),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(sum(a.x * b.x) AS BIGINT) AS score FROM u a JOIN u b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
