@@ -526,3 +526,173 @@ def model_reconciliation(spark, d):
     model = table(spark, d, "part").select(k.alias("record_id"), F.concat(F.lit("h"), k.cast("string")).alias("hash"), F.lit(60).alias("char_start"), F.lit(200).alias("char_end"), F.when(k % 3 == 1, "other").otherwise("cross_default").alias("covenant_type"), (s * 1_000_000 + F.when(k % 3 == 2, s * 20_000).otherwise(0)).cast("decimal(20,4)").alias("threshold_amount"), F.lit(None).cast("decimal(12,6)").alias("threshold_ratio"), F.lit(None).cast("string").alias("operator"))
     out = extraction.disagreements(extraction.match_rules(model, found)).withColumns({"threshold_amount": F.when(F.col("llm_record_id") > -1, F.col("rule_threshold_amount") * F.lit(100_000_001) / 45_000_000), "confidence": F.when(F.col("llm_record_id") % 3 == 0, 0.8).otherwise(0.9)})
     return extraction.review_trigger(out.withColumn("threshold_amount", F.col("threshold_amount").cast("decimal(28,4)"))).select(F.col("llm_record_id").alias("record_id"), "disagrees", "trigger_reason")
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN strlen(text) > 20000 THEN 'too large' WHEN left(text, 2) <> 'Th' THEN 'not the right format' ELSE 'accepted' END AS verdict FROM documents")
+def admitted_files(spark, d):
+    files = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    good, bad = tables.admit(files, 20000, "Th")
+    return good.select("doc_id", F.lit("accepted").alias("verdict")).union(bad.select("doc_id", "reason"))
+
+
+@query("SELECT o_orderkey AS clause_id FROM orders WHERE NOT (o_orderstatus <> 'F' AND o_custkey % 3 = 0) UNION ALL SELECT -o_orderkey FROM orders WHERE o_custkey % 3 = 0")
+def rerun_output(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("clause_id"), F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("review_status"))
+    again = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("document_id"))
+    new = rows.join(again, "document_id", "left_semi").select((-F.col("clause_id")).alias("clause_id"), "document_id")
+    return tables.replace_machine_output(rows, new, rows.select(F.col("clause_id").alias("entity_id"), F.lit("pending").alias("status")), again)[0].select("clause_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 20 OFFSET 40")
+def filtered_page(spark, d):
+    return portfolio.where_equal(table(spark, d, "orders"), ["o_orderkey"], 20, 40, o_orderstatus="F", o_orderpriority="1-URGENT", o_custkey=None).select("o_orderkey")
+
+
+@query("SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
+def rows_by_ids(spark, d):
+    return portfolio.by_ids(table(spark, d, "customer"), table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id = 7 ORDER BY ts DESC, event_id LIMIT 100")
+def audit_trail(spark, d):
+    audit = table(spark, d, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("audit_id"))
+    return review.trail(audit, "click", "7").select(F.col("audit_id").alias("event_id"))
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 50")
+def recent_queries(spark, d):
+    return review.recent(table(spark, d, "events"), "ts", "event_id").select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderkey IS NULL AS orphan FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0) o ON o_orderkey = l_orderkey WHERE l_linenumber < 3")
+def covenants_with_clauses(spark, d):
+    covenants = table(spark, d, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("clause_id"), "l_linenumber")
+    shown, missing = portfolio.with_clauses(covenants, table(spark, d, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("clause_id")))
+    return shown.withColumn("orphan", F.lit(False)).union(missing.withColumn("orphan", F.lit(True))).select(F.col("clause_id").alias("l_orderkey"), "l_linenumber", "orphan")
+
+
+@query("SELECT p_partkey AS instrument_id, coalesce(n, 0) AS calls, first_call, CAST(1 AS INTEGER) AS triggers FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first_call FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
+def instrument_details(spark, d):
+    calls_ = table(spark, d, "lineitem").select(F.col("l_partkey").alias("instrument_id"), F.to_date("l_shipdate").alias("call_date"), F.lit(100).alias("call_price"), F.lit("optional").alias("call_type"))
+    own = triggers(spark, d).where("source_clause_id is null")
+    covenants = own.select("instrument_id", F.col("instrument_id").alias("covenant_id"), F.lit("rating_trigger").alias("covenant_type"))
+    out = portfolio.instrument_detail(instruments(spark, d), calls_, own, covenants)
+    return out.select("instrument_id", F.coalesce(F.nullif(F.size("calls"), F.lit(-1)), F.lit(0)).cast("bigint").alias("calls"), F.col("calls")[0]["call_date"].alias("first_call"), F.size("triggers").alias("triggers"))
+
+
+@query("SELECT item_id AS clause_id, CASE WHEN item_id % 4 > 0 THEN 7 END AS quote_start, CASE WHEN item_id % 4 > 0 THEN CAST(7 + length(text) AS INTEGER) END AS quote_end FROM benchmark")
+def clause_provenance(spark, d):
+    b = table(spark, d, "benchmark")
+    clauses = b.select(F.col("item_id").alias("clause_id"), F.col("item_id").alias("source_chunk_id"), F.col("text").alias("source_quote"))
+    chunks_ = b.where("item_id % 4 > 0").select(F.col("item_id").alias("hash"), F.concat(F.lit("Before "), F.col("text")).alias("chunk_text"))
+    return portfolio.provenance(clauses, chunks_, b.select(F.col("item_id").alias("clause_id"), F.lit("other").alias("covenant_type"))).select("clause_id", "quote_start", "quote_end")
+
+
+@query("SELECT 'clause' AS kind, CAST(item_id AS VARCHAR) AS id, left(text, 600) AS quote FROM benchmark WHERE item_id % 5 = 0 UNION ALL SELECT 'chunk', CAST(doc_id AS VARCHAR), left(text, 600) FROM documents WHERE doc_id % 50 = 1")
+def cited_sources(spark, d):
+    b, docs = tables.read(spark, d, "benchmark", "documents")
+    clauses = b.select(F.col("item_id").cast("string").alias("clause_id"), F.col("text").alias("source_quote"))
+    chunks_ = docs.select(F.col("doc_id").cast("string").alias("hash"), F.col("text").alias("chunk_text"))
+    return portfolio.cite(clauses, chunks_, clauses.where("clause_id % 5 = 0"), chunks_.where("hash % 50 = 1").select(F.col("hash").alias("chunk_id")))
+
+
+@query("WITH x AS (SELECT doc_id % 2 = 0 AS llm, doc_id % 10 = 0 AS bad FROM documents) SELECT count(*) FILTER (WHERE llm) AS llm, count(*) FILTER (WHERE llm AND bad) AS disagreements, round((count(*) FILTER (WHERE llm) - count(*) FILTER (WHERE llm AND bad)) / count(*) FILTER (WHERE llm), 9) AS agreement FROM x")
+def extractor_agreement(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.when(k % 2 == 0, "llm").otherwise("rule").alias("method"), (k % 10 == 0).alias("disagrees"))
+    return ledger.agreement(rows).withColumn("agreement", F.round("agreement", 9))
+
+
+@query(f"""WITH w AS (SELECT source, regexp_extract_all(lower(text), '[a-z'']+(?:-[a-z'']+)*') AS ws FROM documents), v AS (SELECT source, len([x for x in ws if list_contains({_M}, x)]) AS m, len([x for x in ws if list_contains({_E}, x)]) AS e FROM w),
+l AS (SELECT source, CASE WHEN m >= 2 AND m > e THEN 'ms' WHEN e >= 2 AND e > m THEN 'en' END AS g FROM v) SELECT source AS document_id, CASE count(DISTINCT g) WHEN 0 THEN 'unknown' WHEN 1 THEN max(g) ELSE 'mixed' END AS language FROM l GROUP BY 1""")
+def document_languages(spark, d):
+    rows = tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), text.language(F.col("text")).alias("language"))
+    return chunks.document_language(rows)
+
+
+@query("""WITH p AS (SELECT source, count(*) AS pages, count(*) FILTER (WHERE doc_id % 4 = 0) AS flagged FROM documents GROUP BY 1) SELECT source AS document_id, pages, flagged AS flagged_pages, pages AS chunks, flagged AS embedded, flagged = pages AS searchable FROM p""")
+def pipeline_status(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("document_id"), (F.col("doc_id") % 4 == 0).alias("needs_vlm"), F.when(F.col("doc_id") % 4 == 0, F.lit(1.0)).alias("embedding"))
+    jobs = docs.select("document_id", F.lit("succeeded").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("created_at"))
+    return review.document_status(docs.select("document_id").distinct(), docs, docs, jobs).select("document_id", "pages", "flagged_pages", "chunks", "embedded", "searchable")
+
+
+@query("SELECT o_custkey AS k, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) FILTER (WHERE o_totalprice > 300000) AS large FROM orders GROUP BY 1")
+def backlog_counts(spark, d):
+    return review.coverage(table(spark, d, "orders").withColumnRenamed("o_custkey", "k"), "k", pending=F.col("o_orderstatus") == "P", large=F.col("o_totalprice") > 300000)
+
+
+@query("SELECT DISTINCT 'm' || CAST(label % 3 AS VARCHAR) AS model FROM embeddings WHERE label % 3 <> 1")
+def model_mismatches(spark, d):
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model"))
+    return retrieval.model_mismatch(rows, "m1")
+
+
+@query("""WITH h AS (SELECT o_custkey % 50 AS doc, o_orderpriority AS ex, CASE WHEN o_orderstatus = 'F' THEN 'fts' ELSE 'vector' END AS leg, o_orderkey AS c, o_totalprice / 100000 AS s FROM orders), f AS (SELECT * FROM h WHERE (leg = 'fts' AND s >= 1) OR (leg = 'vector' AND s >= 0.4)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, ex, leg ORDER BY s DESC, c) AS n FROM f), o AS (SELECT doc, c, max(s) AS s FROM k WHERE n <= 3 GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY s DESC, c) AS INTEGER) AS place FROM o) SELECT doc AS document_id, c AS chunk_id, place FROM r WHERE place <= 25""")
+def semantic_candidates(spark, d):
+    hits = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("document_id"), F.col("o_orderpriority").alias("exemplar"), F.when(F.col("o_orderstatus") == "F", "fts").otherwise("vector").alias("leg"), F.col("o_orderkey").alias("chunk_id"), (F.col("o_totalprice") / 100000).alias("score"))
+    return retrieval.semantic_candidates(hits).select("document_id", "chunk_id", "place")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) SELECT doc_id AS chunk_id, count(DISTINCT w) AS lexemes, count(*) AS words FROM t GROUP BY 1")
+def posting_sizes(spark, d):
+    return retrieval.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("chunk_id").agg(F.count("*").alias("lexemes"), F.sum("tf").alias("words"))
+
+
+@query(f"WITH t AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents)) SELECT doc_id AS chunk_id, 1.0 AS norm FROM t")
+def hashed_vectors(spark, d):
+    """Hashed bag-of-words vectors have length 1."""
+    v = retrieval.hashed_embedding(table(spark, d, "documents"), "doc_id", "text")
+    return v.groupBy("chunk_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
+
+
+@query("SELECT p_partkey AS record_id, CAST((p_size % 3 = 0)::INT + (p_size % 5 = 0)::INT + (p_size % 7 = 0)::INT AS INTEGER) AS violations FROM part")
+def model_record_checks(spark, d):
+    s = F.col("p_size")
+    payload = F.to_json(F.struct(F.when(s % 3 == 0, " ").otherwise("quote").alias("source_quote"), F.when(s % 5 == 0, F.lit(1.5)).otherwise(0.5).alias("confidence"), F.lit("10").alias("threshold_amount"), F.when(s % 7 != 0, "MYR").alias("threshold_currency")))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("record_id"), payload.alias("payload"))
+    return extraction.validate_records(rows).select("record_id", F.size("violations").alias("violations"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'clause' ELSE (CASE WHEN p_size % 4 = 1 THEN 'trigger' ELSE 'covenant' END) END AS kind FROM part WHERE p_size % 4 < 3")
+def persisted_rows(spark, d):
+    """What the gate lets through, by its last table: clauses without a covenant, covenants, triggers of linked instruments."""
+    k, s = F.col("p_partkey"), F.col("p_size") % 4
+    rows = table(spark, d, "part").select(k.cast("string").alias("document_id"), F.lit("h").alias("hash"), F.lit("x").alias("clause_type"), F.when(s == 1, "rating_trigger").when(s == 2, "cross_default").alias("covenant_type"), F.lit(0).alias("char_start"), F.lit(0.9).alias("confidence"), F.lit(1).cast("decimal(20,4)").alias("threshold_amount"), (s < 3).alias("verified"), k.alias("instrument_id"), F.when(s == 1, "A").alias("trigger_rating"))
+    out = extraction.persist_gate(rows)
+    kinds = [out["clauses"].where("covenant_type is null").withColumn("kind", F.lit("clause")), out["covenants"].where("covenant_type <> 'rating_trigger'").withColumn("kind", F.lit("covenant")), out["rating_triggers"].withColumn("kind", F.lit("trigger"))]
+    return kinds[0].union(kinds[1]).union(kinds[2]).select(F.col("instrument_id").alias("k"), "kind")
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 3 > 0) AS passed, count(*) AS questions, 1.0 AS refusal_precision, round(count(*) FILTER (WHERE doc_id % 6 = 2) / count(*) FILTER (WHERE doc_id % 2 = 0 AND doc_id % 3 <> 1), 9) AS refusal_recall FROM documents WHERE doc_id % 6 IN (0, 1, 2, 3, 5)")
+def answer_scores(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").where(k % 6 != 4)
+    golden = rows.select(k.alias("question_id"), F.array(F.lit("yes")).alias("must_contain"), F.lit(1).alias("min_citations"), (k % 2 == 0).alias("expect_refusal"))
+    given = rows.select(k.alias("question_id"), F.when(k % 3 == 0, "no").otherwise("oh Yes").alias("answer"), F.lit(2).alias("citations"), (k % 6 == 2).alias("refused"), F.lit(True).alias("faithful"))
+    return evaluation.answer_report(evaluation.score_answers(given, golden)).select("passed", "questions", "refusal_precision", F.round("refusal_recall", 9).alias("refusal_recall"))
+
+
+@query("SELECT p_partkey AS query_id, p_brand || '-' || p_partkey || 'qqq.pdf' AS filename FROM part WHERE p_partkey % 2 = 0")
+def named_documents(spark, d):
+    k = F.col("p_partkey")
+    name = F.concat("p_brand", F.lit("-"), k.cast("string"), F.lit("qqq.pdf"))
+    rows = table(spark, d, "part").select(k.alias("query_id"), name.alias("filename"), F.concat(F.lit("in the brand pdf "), F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit("qqq"))).otherwise("12")).alias("question"))
+    return questions.mentioned_documents(rows, rows, ["brand", "pdf"])
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 3 = 1 AND c_custkey % 2 = 0 OR c_custkey % 3 = 2")
+def narrowed_rows(spark, d):
+    rows = table(spark, d, "customer").select((F.col("c_custkey") % 3).alias("query_id"), F.col("c_custkey").alias("k"))
+    return questions.narrowed(rows, rows.where("query_id = 1 and k % 2 = 0"), "k").select("k")
+
+
+@query("SELECT l_orderkey AS label_id, l_linenumber AS n FROM lineitem WHERE l_linenumber = 1")
+def matched_labels(spark, d):
+    """Greedy one-to-one matching: each order's labels meet their own predictions best."""
+    line = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("label_id"), "l_linenumber", (F.col("l_orderkey") % 500).alias("group"))
+    other = line.select(F.col("label_id").alias("prediction_id"), "group")
+    scored = line.join(other, "group").withColumn("score", -F.abs(F.col("label_id") - F.col("prediction_id")))
+    kept = evaluation.greedy_matches(scored.select("group", "label_id", "prediction_id", "score"), ["group"]).where("label_id = prediction_id")
+    return kept.join(line.select("label_id", F.col("l_linenumber").alias("n")), "label_id").select("label_id", "n")
