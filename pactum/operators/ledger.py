@@ -39,13 +39,13 @@ def extraction_ceiling(candidates: DataFrame, prefix_tokens: int, output_tokens:
     return candidates.groupBy("document_id").agg(F.count("*").alias("candidates"), F.sum(F.lit(prefix_tokens) + F.col("tokens")).alias("prompt_tokens"), cost.cast("decimal(12,6)").alias("ceiling")).withColumn("over_cap", F.col("ceiling") > F.lit(cap).cast("decimal(12,6)"))
 
 
-def budget_audit(calls: DataFrame, per_call: str, total: str, per_document: str, buckets: int = 64) -> DataFrame:
+def budget_audit(calls: DataFrame, per_call: str, total: str, per_document: str, buckets: int | None = None) -> DataFrame:
     """calls(call_id, ts, document_id, estimate, cost_usd) -> adds spent_before, document_before and the first limit that
     fails: call, total, document, else admitted. Spend before a call plus its estimate may reach a limit.
 
     Sums over all calls go by time buckets: totals of earlier buckets plus the sum within the call's own, so no window
     holds all rows; spend with one time stamp is in order of call_id."""
-    money = "decimal(20,6)"
+    money, buckets = "decimal(20,6)", buckets or 4 * int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = calls.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
     rows = calls.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
     width = F.greatest((F.col("hi") - F.col("lo") + buckets) / buckets, F.lit(1.0))

@@ -78,6 +78,11 @@ def covenants_of(covenants: DataFrame, clauses: DataFrame, instruments: DataFram
     return rows.where(F.col("covenant_type") == covenant_type) if covenant_type else rows
 
 
+def without_covenants(documents: DataFrame, clauses: DataFrame, covenants: DataFrame) -> DataFrame:
+    """Documents from which nothing was extracted."""
+    return documents.join(clauses.join(covenants.select("clause_id"), "clause_id").select("document_id").distinct(), "document_id", "left_anti")
+
+
 def triggers_with_clauses(triggers: DataFrame, clauses: DataFrame) -> DataFrame:
     """Triggers with the clause they cite, if any; of equal ones (agency, rating, direction) of an instrument the cited one,
     then the tightest."""
@@ -143,8 +148,7 @@ def link_issuers(chunks: DataFrame, instruments: DataFrame, first: int = 20) ->
 
 
 def page_of(rows: DataFrame, order: list, page: int, size: int = 50) -> DataFrame:
-    """One page of sorted rows, the number clamped to those there are; order ends with a unique key."""
-    place = rows.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-    last = place.select(F.greatest(F.ceil(F.max("_place") / size), F.lit(1)).alias("_last"))
-    wanted = F.least(F.greatest(F.lit(page), F.lit(1)), F.col("_last"))
-    return place.withColumn("_one", F.lit(1)).join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one").where(F.ceil(F.col("_place") / size) == wanted).drop("_last", "_one")
+    """One page of sorted rows, the number clamped to those there are; order ends with a unique key. Only the rows up to the
+    page are kept while sorting, and only their number comes to the driver."""
+    last = max(1, -(-rows.count() // size))
+    return rows.orderBy(*order).offset((min(max(page, 1), last) - 1) * size).limit(size)

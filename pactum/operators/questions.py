@@ -19,6 +19,7 @@ INTENTS = [
 ]
 COVENANTS = [("negative pledge", "negative_pledge"), ("cross default", "cross_default"), ("cross-default", "cross_default"), ("gearing", "gearing_ratio"), ("nisbah gearan", "gearing_ratio"), ("interest cover", "interest_cover"), ("finance service cover", "finance_service_cover"), ("net worth", "minimum_net_worth"), ("rating trigger", "rating_trigger"), ("shariah", "shariah_non_compliance"), ("change of control", "change_of_control")]
 GRAMMAR = "a an the this that these those there it its i we our you they is are was were be been do does did have has can could will would shall may what which who when where why how and or not no of for to in on at by with from about between any each every all much many more less most give show list tell me please below above under over worse before after next last largest total sum count number current today".split()
+SUBJECTS = "exposure rated breach breached compliance comply trip trips triggered hold holds held own owns bond bonds sukuk note notes fund funds portfolios largest smallest outstanding".split()
 STRUCTURED = ("instrument_lookup", "portfolio_query", "covenant_breach_check")
 
 
@@ -47,7 +48,7 @@ def asks_about_calls(question: Column) -> Column:
 def known_words(extra: list[str] | None = None) -> list[str]:
     """Words that questions may use without a claim on the data: grammar, and the words of the readable columns."""
     columns = {w for name, own in READABLE.items() for c in [name, *own] for w in c.split("_")}
-    return sorted(set(GRAMMAR) | columns | {w for _, v in COVENANTS for w in v.split("_")} | {n.lower() for n in ("AAA", "AA", "BBB", "BB", "CCC", "CC")} | set(extra or []))
+    return sorted(set(GRAMMAR) | set(SUBJECTS) | columns | {w for _, v in COVENANTS for w in v.split("_")} | {n.lower() for n in ("AAA", "AA", "BBB", "BB", "CCC", "CC")} | set(extra or []))
 
 
 def unsupported_terms(questions: DataFrame, names: DataFrame, extra: list[str] | None = None) -> DataFrame:

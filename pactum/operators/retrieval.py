@@ -35,12 +35,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = 8) -> DataFrame:
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None) -> DataFrame:
     """vectors(chunk_id, embedding, model), queries(query_id, embedding, model) -> the k most similar of the same model.
-    Every vector meets every query of its model, in blocks of queries; k rows for each query and task go on."""
-    left = vectors.select("chunk_id", "model", F.col("embedding").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = queries.select("query_id", "model", F.col("embedding").alias("q")).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    return _top(left.join(right, ["model", "part"]).select("query_id", "chunk_id", cosine(F.col("v"), F.col("q")).alias("score")).where("score is not null"), k)
+    Vectors are dealt into parts, the stated queries are sent to each part, and k rows for each query and part go on."""
+    parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = vectors.select("chunk_id", "model", F.col("embedding").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
+    right = queries.select("query_id", "model", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    scored = left.join(right, ["model", "part"]).select("query_id", "chunk_id", "part", cosine(F.col("v"), F.col("q")).alias("score")).where("score is not null")
+    near = Window.partitionBy("part", "query_id").orderBy(F.desc("score"), "chunk_id")
+    return _top(scored.withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= k).drop("_k", "part"), k)
 
 
 def fuse(legs: list[DataFrame], k: int = 10) -> DataFrame:

@@ -53,6 +53,11 @@ def pending(reviews: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return reviews.where("status = 'pending'").orderBy("created_at", "review_id").offset(offset).limit(limit)
 
 
+def unverified(clauses: DataFrame, limit: int = 100) -> DataFrame:
+    """Clauses whose quote was not found in its source."""
+    return clauses.where("not coalesce(citation_verified, false)").orderBy("clause_id").limit(limit)
+
+
 def trail(audit: DataFrame, entity_type: str, entity_id: str, limit: int = 100) -> DataFrame:
     """What happened to one entity, newest first."""
     return audit.where((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)).orderBy(F.desc("created_at"), "audit_id").limit(limit)

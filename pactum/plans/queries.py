@@ -482,7 +482,7 @@ def question_intents(spark, d):
     return questions.classify(asked(spark, d)).select("query_id", "intent", "covenant_type", "rating_below")
 
 
-@query("""WITH w AS (SELECT p_partkey, [x for x in list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) if length(x) >= 2] AS own, CASE p_partkey % 6 WHEN 0 THEN ['should', 'buy'] WHEN 1 THEN [] WHEN 2 THEN [] WHEN 3 THEN ['limit'] WHEN 4 THEN ['rated'] ELSE ['summarise'] END AS base FROM part),
+@query("""WITH w AS (SELECT p_partkey, [x for x in list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) if length(x) >= 2] AS own, CASE p_partkey % 6 WHEN 0 THEN ['should', 'buy'] WHEN 1 THEN [] WHEN 2 THEN [] WHEN 3 THEN ['limit'] WHEN 4 THEN [] ELSE ['summarise'] END AS base FROM part),
 n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS x FROM part WHERE p_size > 49), o AS (SELECT p_partkey, unnest(own) AS x FROM w), c AS (SELECT p_partkey, count(*) AS k FROM o WHERE x NOT IN (SELECT x FROM n) GROUP BY 1)
 SELECT w.p_partkey AS query_id, CAST(len(base) + coalesce(k, 0) AS INTEGER) AS unknown FROM w LEFT JOIN c ON c.p_partkey = w.p_partkey""")
 def unknown_words(spark, d):

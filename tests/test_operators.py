@@ -313,3 +313,30 @@ def test_questions(spark):
 @pytest.mark.parametrize("name", ["instruments", "portfolio_holdings"])
 def test_readable_columns_exist(name):
     assert len(set(tables.READABLE[name])) == len(tables.READABLE[name])
+
+
+def test_answers_by_intent(spark):
+    asked = spark.createDataFrame([(1, "what is our exposure by portfolio"), (2, "which instruments are rated below AAA"), (3, "what is the gearing covenant"), (4, "find the weather of kuala lumpur"), (5, "should we buy"), (6, "what is our exposure to weather")], "query_id int, question string")
+    names = spark.createDataFrame([("Green Sukuk",)], "name string")
+    instruments = portfolio.enrich(spark.createDataFrame([("i", "Green Sukuk", "A1")], "instrument_id string, instrument_name string, current_rating string"))
+    held = spark.createDataFrame([("p", "i", D(5)), ("p", "i", None)], "portfolio_id string, instrument_id string, market_value decimal(20,4)")
+    covenants = spark.createDataFrame([("c1", "gearing_ratio", "not more than 1.75 times", 3, 0.9)], "clause_id string, covenant_type string, source_quote string, page_number int, confidence double")
+    hits = spark.createDataFrame([(4, "h", "rain in kuala lumpur")], "query_id int, chunk_id string, chunk_text string")
+    got = {r.query_id: r for r in questions.answer(asked, names, instruments, held, covenants, hits).collect()}
+    assert got[1].answer == "p 5.0000" and got[1].confidence == 0.95 and not got[1].refused
+    assert got[2].answer == "Green Sukuk A1" and got[3].answer == "not more than 1.75 times p.3" and got[3].citations == 1 and got[3].confidence == 0.9
+    assert got[4].confidence == 0.55 and not got[4].refused
+    assert got[5].refused and got[6].refused and got[6].confidence == 0 and got[6].answer is None
+
+
+def test_book_and_backlogs(spark):
+    held = spark.createDataFrame([("p", "i"), ("q", "i"), ("p", "j")], "portfolio_id string, instrument_id string")
+    covenants = spark.createDataFrame([("i", "gearing_ratio", D("1.75"), "medium"), ("z", "gearing_ratio", D("1"), "medium")], "instrument_id string, covenant_type string, threshold_ratio decimal(12,6), severity string")
+    triggers = spark.createDataFrame([("i", "BBB", "high"), ("j", "A", "high")], "instrument_id string, trigger_rating string, severity string")
+    facts = spark.createDataFrame([("i", D("1.9"), "BBB+")], "instrument_id string, gearing_ratio decimal(12,6), current_rating string")
+    got = sorted((r.instrument_id, r.covenant_type, r.status) for r in rules.evaluate_book(held, covenants, triggers, facts).collect())
+    assert got == [("i", "gearing_ratio", "breach"), ("i", "rating_trigger", "ok"), ("j", "rating_trigger", "insufficient_data")]
+    clauses = spark.createDataFrame([("c1", "d", True), ("c2", "e", False)], "clause_id string, document_id string, citation_verified boolean")
+    docs = spark.createDataFrame([("d",), ("e",), ("f",)], "document_id string")
+    assert sorted(r[0] for r in portfolio.without_covenants(docs, clauses, clauses.where("clause_id = 'c1'").select("clause_id")).collect()) == ["e", "f"]
+    assert [r.clause_id for r in review.unverified(clauses).collect()] == ["c2"]
