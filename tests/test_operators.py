@@ -68,25 +68,13 @@ def test_language_and_quality(spark):
 
 
 def loop_split(body, most):
-    """Sentences packed into pieces of at most `most`, one at a time."""
-    bounds = [m.end() for m in re.finditer(r"(?<=[.!?;])\s+", body)] + [len(body)]
-    pieces, start, packed = [], 0, 0
-    for b in bounds:
-        if b - start > most:
-            if packed > start:
-                pieces.append((start, packed))
-                start = packed
-            while b - start > most:
-                pieces.append((start, start + most))
-                start += most
-        packed = b
-    pieces.append((start, packed))
-    out = []
-    for a, b in pieces:
-        piece = body[a:b]
-        left, right = len(piece) - len(piece.lstrip()), len(piece.rstrip())
-        if right > left:
-            out.append((a + left, a + right))
+    """From each start the last sentence end within reach, or as far as it goes if there is none."""
+    ends, out, at = [m.end() for m in re.finditer(r"[.!?;]\s+|$", body)], [], 0
+    while at < len(body):
+        stop = max([e for e in ends if at < e <= at + most], default=at + most)
+        piece = body[at:stop]
+        out.append((at + len(piece) - len(piece.lstrip()), at + len(piece.rstrip())))
+        at = stop
     return out
 
 
