@@ -37,7 +37,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 # Words in class, id and role that name what is not the article.
 HINTS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 OUTER_HINTS = frozenset(("header",))
-_PARTS, _DIGITS = re.compile(r"[^a-z0-9]+"), re.compile(r"\d+")
+#: Hints that also count at the start or end of a longer word.
+STEMS = ("advert", "breadcrumb", "cookie", "disqus", "footer", "masthead", "navbar", "newsletter", "sidebar", "sponsor")
+_PARTS, _DIGITS, _CAMEL = re.compile(r"[^a-z0-9]+"), re.compile(r"\d+"), re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class _Page(HTMLParser):
@@ -85,12 +87,12 @@ class _Page(HTMLParser):
             return
         if tag in GONE:
             self.flush()
-        own = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
+        own = {k: (_CAMEL.sub("-", v) if v and k in ("class", "id") else v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")}
         self.open.append((tag, self.path, self.landmark, self.plain, self.gone))
         names = f"{own.get('class', '')} {own.get('id', '')}"
         words = set(_PARTS.split(f"{names} {own.get('role', '')}"))
         outside = self.landmark is None
-        self.gone = self.gone or tag in GONE or bool(words & HINTS) or outside and (tag == "header" or bool(words & OUTER_HINTS)) or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+        self.gone = self.gone or tag in GONE or bool(words & HINTS) or any(w.startswith(STEMS) or w.endswith(STEMS) for w in words) or outside and (tag == "header" or bool(words & OUTER_HINTS)) or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         if tag in BLOCK:
             if self.path.count("/") < DEPTH:
                 step = tag + "".join(f".{x}" for x in sorted(_DIGITS.sub("0", names).split()))

@@ -35,9 +35,15 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """Where each text begins in its buffer, whichever width of offsets the session has Arrow use."""
+    wide = np.dtype(np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    return np.frombuffer(texts.buffers()[1], wide, len(texts) + 1, texts.offset * wide.itemsize)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Parts of batch with about limit bytes of text each; no row is cut or left out."""
-    sizes = np.diff(np.frombuffer(batch.column(column).buffers()[1], np.int32, len(batch) + 1, batch.column(column).offset * 4)) if len(batch) else np.zeros(0, int)
+    sizes = np.diff(_offsets(batch.column(column))) if len(batch) else np.zeros(0, int)
     ends, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < len(batch):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
@@ -50,8 +56,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = texts.fill_null("") if texts.null_count else texts
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data, at = texts.buffers()[2], _offsets(texts).astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
 
 

@@ -257,6 +257,12 @@ def test_html_text(spark):
     <footer>&copy; x</footer>"""
     expected = "Title & more\n\nFirst line goes on\n\nSecond <b> é.\n\none\n\ntwo"
     assert html_text.page_text(page) == expected
+    odd = """<HTML><BODY><DIV CLASS='siteHeader'>Brand</DIV><div id=topNav>Menu</div><div class="leftsidebar">Links</div><MAIN><div class="post-body">Lead text
+    <p>One<br><br>two &mdash; three</p>tail <em>words</em></div><table><tr><td>a<td>b</table><pre>x   y</pre><blockquote>Quote</blockquote><figure><img src=a><figcaption>Caption</figcaption></figure>
+    <div class="adContainer">Buy</div><div role="search">Find</div><div hidden>Secret</div><article class="comment"><p>Reader</p></article><noscript>No</noscript></MAIN><div>After</div>"""
+    assert html_text.page_text(odd) == "Lead text\n\nOne two — three\n\ntail words\n\na\n\nb\n\nx y\n\nQuote\n\nCaption"
+    assert html_text.page_text("<body><nav>Menu</nav><h2>Head</h2>Loose text<p>Para<ul><li>item</ul><footer>f</footer>") == "Head\n\nLoose text\n\nPara\n\nitem"
+    assert html_text.page_text("<article>Only &lt; text") == "Only < text" and html_text.page_text("plain") == "plain" and html_text.page_text("<p></p><![CDATA[x]]><!doctype>") == ""
     shared = '<div class="box"><div class="x7">Same words on all pages</div></div>'
     rows = [(k, f"http://h.example/{k}", f"<body><div class=top>Shop now today</div><div id=c{k}><p>Story {k} text {k * k}</p></div>{shared}</body>") for k in range(20)]
     rows += [(100, "http://h.example/z", page), (101, None, page), (102, "http://h.example/n", None), (103, "u", ""), (104, "http://h.example/0", rows[0][2])]
