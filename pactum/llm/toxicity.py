@@ -6,8 +6,10 @@ after another backs off to the word, a rare word to its stems, and all levels to
 classes share, so a rare expression weighs little until a class has shown it in several contexts. A toxic text is taken as
 mostly ordinary words with some of its own, so its model is interpolated with the ordinary one.
 
-The models are fitted on bounded samples (max_docs texts a class, max_calibration texts for the curve), so the tables
-sent to the executors have a bound; the shared counts cover every document.
+The models count every labelled text of either class, so their tables grow with the labelled vocabulary; only the
+curve's two numbers are fitted on a bounded sample (max_calibration texts). The shared counts cover every document. They
+are taken for expressions of labelled texts alone: where neither class has shown one, its shared count is the same factor
+of both likelihoods and falls out of their difference.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ from pyspark.sql import functions as F
 
 from pactum.llm.shared import materialize, mix, slices, text_bytes, word_hashes, word_spans
 
-#: Texts of each class that the models count, and texts that the curve is fitted on.
-MAX_DOCS, MAX_CALIBRATION = 3000, 8000
-#: Expressions that the samples show in fewer contexts are left to what they back off to.
+#: Texts that the curve is fitted on.
+MAX_CALIBRATION = 8000
+#: Expressions that the labelled texts show in fewer contexts are left to what they back off to.
 CUT = 3
 #: Stems (first bytes of a word) that a rare word backs off to, the longer first.
 STEMS = (6, 4)
 DISCOUNT, THRESHOLD = 0.75, 0.3
-#: Bytes of text that are scored at once.
-SLICE = 2 << 20
+#: Bytes of text that are scored at once, and whose expressions are gathered at once.
+SLICE, GATHERED = 2 << 20, 16 << 20
 #: How much the shared counts weigh, as a multiple of a class's own; how much of a toxic text its own model explains,
 #: the rest being ordinary; the power of the length that divides the difference of log-likelihoods.
 STRENGTH, MIXTURE, LENGTH_POWER = 0.01, 0.01, 1.0
@@ -100,20 +102,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.offset, -700, 700)))
 
 
-def _count_contexts(texts: DataFrame) -> DataFrame:
-    """For each (toxic, word before, word, stems) of the sampled texts, how many different words stand before the two:
-    a passage that many copies share counts once, as in the lower orders of Kneser-Ney."""
-    names = ["toxic", "g", "h", "w", *(f"s{k}" for k in STEMS)]
+def _count_contexts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, w, n0, n1): for each word before another in the labelled texts, how many different words stand before the two, in
+    ordinary and in toxic texts: a passage that many copies share counts once, as in the lower orders of Kneser-Ney.
+    (w, stems, in0, in1): each word, its stems and whether ordinary and toxic texts have it."""
+    stems = [f"s{k}" for k in STEMS]
 
-    def run(batches):
+    def contexts(batches):
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                words, *stems, first = _words(part.column(0))
-                toxic, before = np.repeat(np.array(part.column(1)), np.diff(first)), _before(words, first)
-                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *(pa.array(x.view(np.int64)) for x in (_before(before, first), before, words, *stems))], names)
+            for part in slices(batch, "text", GATHERED):
+                words, *_, first = _words(part.column(0))
+                before = _before(words, first)
+                # 40 bits tell the words before one pair apart; the class is the lowest bit
+                far = (mix(_before(before, first)) >> np.uint64(24) << np.uint64(1)) | np.repeat(np.array(part.column(1)), np.diff(first)).astype(np.uint64)
+                order = np.argsort(words, kind="stable")  # like stands beside like: the shuffle packs it
+                far, before, words = far[order], before[order], words[order]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (far, before, words)), pa.array((before & np.uint64(7)).astype(np.int32))], ["g", "h", "w", "salt"])
+
+    def forms(batches):
+        for batch in batches:
+            for part in slices(batch, "text", GATHERED):
+                *found, first = _words(part.column(0))
+                toxic = np.repeat(np.array(part.column(1)), np.diff(first))
+                _, at = np.unique(mix(found[0], 1) ^ toxic.astype(np.uint64), return_index=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in found), *(pa.array((toxic[at] == c).astype(np.int32)) for c in (0, 1))], ["w", *stems, "in0", "in1"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, ", ".join(["toxic int", *(f"{x} bigint" for x in names[1:])]))
-    return materialize(rows.distinct().groupBy("toxic", *names[2:]).agg(F.count("*").alias("n")))
+    # one shuffle, by a frequent word's eighths, serves both steps: rows that agree in (h, w) are in one partition already
+    rows = texts.mapInArrow(contexts, "g bigint, h bigint, w bigint, salt int").repartition("w", "salt").distinct()
+    seen_in = rows.groupBy("h", "w", "salt").agg(*[F.count(F.when(F.col("g") % 2 == c, 1)).alias(f"n{c}") for c in (0, 1)]).drop("salt")
+    known = texts.mapInArrow(forms, ", ".join([*(f"{x} bigint" for x in ("w", *stems)), "in0 int, in1 int"])).groupBy("w").agg(*[F.min(x).alias(x) for x in stems], *[F.max(x).alias(x) for x in ("in0", "in1")])
+    return materialize(seen_in.sortWithinPartitions("w", "h")), materialize(known)
 
 
 def _corpus_counts(docs: DataFrame, tables: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -142,24 +160,29 @@ def _corpus_counts(docs: DataFrame, tables: list[np.ndarray]) -> tuple[list[np.n
     return np.split(counts, np.cumsum([len(t) for t in tables])[:-1]), int(n[key < 0].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = MAX_DOCS, max_calibration: int = MAX_CALIBRATION, mixture: float = MIXTURE, length_power: float = LENGTH_POWER, strength: float = STRENGTH) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | None = None, max_calibration: int = MAX_CALIBRATION, mixture: float = MIXTURE, length_power: float = LENGTH_POWER, strength: float = STRENGTH) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> the model. Labels are read where `allowed` (a condition on doc_id)
-    holds: three quarters of those for the counts, as many of either class, the others for the curve. Null labels are
+    holds: three quarters of those for the counts (max_docs texts a class, if given), the others for the curve. Null labels are
     left out; an id labelled twice counts as toxic if one label says so. Without texts of both classes the evidence is 0
     and all scores are equal."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
-    each = [r["n"] for r in own.where(~curve).groupBy("toxic").agg(F.count("*").alias("n")).collect()]
-    most = min([max_docs, *each]) if len(each) == 2 else 0
-    counted = sample_ids(own, ~curve & (F.col("toxic") == 1), most, "doc_id").union(sample_ids(own, ~curve & (F.col("toxic") == 0), most, "doc_id"))
-    seen_in = _count_contexts(docs.join(F.broadcast(counted), "doc_id"))
-    by_class = lambda x: [F.sum(F.when(F.col("toxic") == c, x).otherwise(0)).cast("double").alias(f"n{c}") for c in (0, 1)]
+    classes = own.where(~curve).select("toxic").distinct().count()
+    counted = own.where(~curve & F.lit(classes == 2))
+    if max_docs is not None:
+        counted = sample_ids(counted, F.col("toxic") == 1, max_docs, "doc_id").union(sample_ids(counted, F.col("toxic") == 0, max_docs, "doc_id"))
+    seen_in, known = _count_contexts(docs.join(F.broadcast(counted), "doc_id").select("text", "toxic"))
+    by_class = lambda x, name="n": [F.sum(F.expr(x.format(c))).cast("double").alias(f"{name}{c}") for c in (0, 1)]
     forms = ["w", *(f"s{k}" for k in STEMS)]
     # spreads: a word counts the different words before it, a stem the different longer forms that begin with it
+    usual = materialize(seen_in.groupBy("w").agg(*by_class("int(n{} > 0)")).where(F.col("n0") + F.col("n1") >= CUT))
     keys, spreads, parents = [], [], []
     for k, form in enumerate(forms):
-        rows = seen_in.select("toxic", forms[k - 1] if k else "h", *forms[k : k + 2]).distinct()
-        found = rows.groupBy(form).agg(*by_class(F.lit(1)), F.min(forms[k + 1] if k + 1 < len(forms) else F.lit(0)).alias("parent")).where(F.col("n0") + F.col("n1") >= CUT).toArrow()
+        if not k:
+            found = usual.join(known.select("w", F.col(forms[1]).alias("parent")), "w").toArrow()
+        else:
+            rows = known.groupBy(forms[k - 1 : k + 2]).agg(F.max("in0").alias("in0"), F.max("in1").alias("in1")) if k > 1 else known
+            found = rows.groupBy(form).agg(*by_class("in{}"), F.min(forms[k + 1] if k + 1 < len(forms) else F.lit(0)).alias("parent")).where(F.col("n0") + F.col("n1") >= CUT).toArrow()
         key = np.array(found[form], np.int64).view(np.uint64)
         order = np.argsort(key)
         keys.append(key[order])
@@ -174,9 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = MAX
             spread, all_kinds = spreads[k][c], max(spreads[k][c].sum(), 1.0)
             pull = (DISCOUNT * (spread > 0).sum() + strength * all_kinds) * np.where(above >= 0, lifts[k + 1][c][above] if k + 1 < len(forms) and len(keys[k + 1]) else 1.0, 1.0)
             lifts[k].append((np.maximum(spread - DISCOUNT, 0) / share + pull) / (all_kinds * (1 + strength)))
-    usual = seen_in.groupBy("w").agg(F.countDistinct("toxic", "h").alias("spread")).where(F.col("spread") >= CUT).select(F.col("w").alias("h"))
-    contexts = seen_in.where("h <> 0").join(usual, "h", "left_semi").groupBy("h").agg(*by_class(F.col("n")), *[x.alias(f"t{c}") for c, x in enumerate(by_class(F.least(F.col("n"), F.lit(DISCOUNT))))]).toArrow()
-    pairs = seen_in.where("h <> 0").groupBy("h", "w").agg(*by_class(F.col("n"))).where(F.col("n0") + F.col("n1") >= CUT).toArrow()
+    by_context = seen_in.where("h <> 0").groupBy("h").agg(*by_class("n{}"), *by_class(f"least(n{{}}, {DISCOUNT}d)", "t"))
+    contexts = by_context.join(usual.select(F.col("w").alias("h")), "h", "left_semi").toArrow()
+    pairs = seen_in.where("h <> 0").where(F.col("n0") + F.col("n1") >= CUT).toArrow()
     h, w = (np.array(pairs[x], np.int64).view(np.uint64) for x in ("h", "w"))
     at_word, at_context = _find(keys[0], w), _find(keys[0], h)
     both = (at_word >= 0) & (at_context >= 0)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -311,3 +312,15 @@ def test_toxicity(spark):
     assert all(abs(first[i] - second[i]) < 1e-9 for i in first)
     assert toxicity.toxicity(table.limit(0), marks, held).count() == 0
     assert len({r.score for r in toxicity.toxicity(table, marks.limit(0), held).collect()}) == 1
+
+
+def test_toxicity_counts_every_labelled_text(spark):
+    rng = np.random.default_rng(8)
+    texts = [(k, " ".join(str(w) for w in rng.choice([f"word{j}" for j in range(40)] + [f"own{k // 40}x"], 30)), "s") for k in range(800)]
+    labels = spark.createDataFrame([(k, int(k % 40 == 0)) for k in range(800)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts).select("doc_id", "text"), labels, F.lit(True))
+    counted = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) > 0).collect()}
+    contexts = {(k % 40 == 0, before, word) for k, t, _ in texts if k in counted for before, word in zip(["", *t.split()], t.split())}
+    expected = {w for w, n in Counter(w for *_, w in contexts).items() if n >= toxicity.CUT}
+    hashes = {w: int(toxicity._words(pa.array([w]))[0][0]) for w in expected}
+    assert set(model.levels[0][0].tolist()) == set(hashes.values()) and sum(w.startswith("own") for w in expected) == 20
