@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pactum.llm.byte_bpe import encode_decode_digests
 from pactum.llm.mixing import mix
 from pactum.llm.shared import materialize
-from pactum.llm.simhash import near_duplicates
+from pactum.llm.simhash import without_near_duplicates
 from pactum.llm.substrings import repeats
 from pactum.llm.toxicity import toxicity
 
@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; rows with one doc_id are one document."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the document with the smallest doc_id (null last), of equal ids that with the least
+    hash of its text. Different texts stay, whatever their ids."""
+    return without_near_duplicates(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    mixed = mix(docs, carry=tuple(COLUMNS[1:])).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", *[F.col(f"_{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,8 +73,8 @@ def solve_rates(counts: DataFrame, targets: DataFrame, tolerance: float = 1e-6,
     return state
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row: copies is 0, 1 or 2 and taken is copies * size.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken, carried columns as _name) of every row: copies is 0, 1 or 2 and taken is copies * size.
 
     A document's size is its number of words [^\\x20\\x09-\\x0D]+ (null: 0); null is a source of its own. Rates become
     copies by systematic rounding in order of size: document i of a source gets the whole numbers passed between the
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source nor thousands of equal documents meet in one task. Repeated rows are documents of their own; an empty table
     gives an empty result."""
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"),
-        F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name")).alias("source_key"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).alias("salt")))
+        F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name")).alias("source_key"), F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col))), F.lit(SALTS)).alias("salt"), F.xxhash64(F.col(text_col)).alias("hash"), *[F.col(c).alias(f"_{c}") for c in carry]))
     slices = materialize(sized.groupBy("source_key", "size", "salt").agg(F.count("*").alias("n")))
     counts = slices.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
     sources = counts.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).withColumn("source", F.when(~F.col("source_key.none"), F.col("source_key.name")))
@@ -99,11 +99,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     begun = summed.join(begin, "source_key").withColumn("base", F.col("base") + F.col("begin")).drop("n", "begin")
     by_salt = Window.partitionBy("source_key", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.withColumn("before", F.coalesce(F.sum("n").over(by_salt), F.lit(0))).drop("n").join(begun, ["source_key", "size"])
-    own = Window.partitionBy("source_key", "size", "salt").orderBy("doc_id")
+    own = Window.partitionBy("source_key", "size", "salt").orderBy("doc_id", "hash")
     placed = sized.withColumn("place", F.row_number().over(own)).join(offsets, ["source_key", "size", "salt"])
     after = F.col("base") + F.col("rate") * (F.col("before") + F.col("place"))
     copies = F.shiftright(after, SHIFT) - F.shiftright(after - F.col("rate"), SHIFT)
-    return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[f"_{c}" for c in carry])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,18 +54,20 @@ def text_fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * votes > len(found), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row. A-Z become lower case, words are [^\\x20\\x09-\\x0D]+; a null or wordless text has
-    fingerprint 0, one with fewer words than a shingle is a shingle itself. Repeated rows stay; only two columns are read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, carried columns as _name) of every row. A-Z become lower case, words are [^\\x20\\x09-\\x0D]+; a null or wordless text has
+    fingerprint 0, one with fewer words than a shingle is a shingle itself. Repeated rows stay; only the named columns are read."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [text_fingerprint((x or "").encode().lower().split()) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *names])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    names = [f"_{c}" for c in carry]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *names)]
+    return rows.mapInArrow(run, ", ".join([kinds[0], "fp bigint", *kinds[1:]]))
 
 
 def with_partners(fps: DataFrame) -> DataFrame:
@@ -102,14 +104,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like others; repeated rows get equal results; an empty table gives an empty result.
     """
     found = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    some = materialize(with_partners(distinct.select("fp")))
-    roots = connected_components(fingerprint_links(some))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = _with_roots(materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(smallest, "root").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_roots(distinct: DataFrame) -> DataFrame:
+    """distinct(fp, least) -> (fp, least, root): the fingerprint that stands for its component."""
+    roots = connected_components(fingerprint_links(materialize(with_partners(distinct.select("fp")))))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One whole row of docs for each component: that with the smallest id (null last), of equal ids that with the least
+    hash of its text, then the least in its other columns. Ids need be neither present nor unique, for no join reads
+    them; a large component comes down by partial minima."""
+    rest = tuple(c for c in docs.columns if c != id_col)
+    found = fingerprints(docs, id_col, text_col, rest)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(f"_{text_col}").alias("hash"), *[f"_{c}" for c in rest])
+    kept = _with_roots(materialize(found.groupBy("fp").agg(F.min(order).alias("least")))).groupBy("root").agg(F.min("least").alias("least"))
+    return kept.select(*[F.col("least")["doc_id" if c == id_col else f"_{c}"].alias(c) for c in docs.columns])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

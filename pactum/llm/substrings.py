@@ -125,7 +125,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     batches = max(1, math.ceil(size / batch_bytes))
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bucket_bytes))
-    dealt = own.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    dealt = own.withColumn("batch", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(batches)))
 
     def anchors(table: pa.Table) -> pa.Table:
         one, batch = _Batch(table, window), table.column("batch")[0].as_py()

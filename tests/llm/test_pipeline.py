@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+from pactum.llm import mixing
 
 
 def test_stages_chain(spark, tmp_path):
@@ -14,3 +17,20 @@ def test_stages_chain(spark, tmp_path):
             assert 0.5 * before < docs.count() <= before
     last = corpus_pipeline.STAGES[-1][1](spark, docs, source)
     assert last.count() == docs.count() and last.where("size(ids) <> n_tokens").count() == 0
+
+
+def test_rows_with_null_and_shared_ids_stay(spark):
+    def text(k):
+        return " ".join(f"w{(k * 7919 + j * j * 31) % 5003}x{k}" for j in range(40 + k))
+
+    ids = [None, None, 5, 5, 6, None, 7, 8, 8]
+    texts = [text(0), text(1), text(2), text(3), text(4), text(4), text(5), text(6), text(6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    expected = sorted([(-1, text(0)), (-1, text(1)), (5, text(2)), (5, text(3)), (6, text(4)), (7, text(5)), (8, text(6))])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect()) == expected
+    cut = corpus_pipeline.cut_repeats(spark, kept, "")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in cut.collect()) == expected
+    copies = sorted((r.text, r.copies) for r in mixing.mix(kept, carry=("text",)).withColumnRenamed("_text", "text").collect())
+    mixed = Counter(r.text for r in corpus_pipeline.mix_sources(spark, kept, "").collect())
+    assert len(copies) == 7 and mixed == Counter({t: n for t, n in copies if n}) and sum(mixed.values()) > 7
