@@ -1,36 +1,46 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Equal vectors of a label become one. The others of a label are dealt into overlapping shards, each vector to the cells of
-its two nearest pivots; a cell that is too large is dealt again by pivots of its own. Each shard builds a graph of pruned
-nearest neighbours, the adjacency lists of a vector are united over its shards, and every vector is sought in its shards:
-a greedy search from the medoid, then on through all neighbours of what lies within the range. Pairs found are verified
-by their cosine in double precision. A pair that two shards have in common counts in the smaller one. A cell that
-stays too large, as thousands of near copies do, is compared block by block instead, exactly.
+Equal vectors of a label become one. The others of a label are dealt into overlapping shards: a vector is a member of the
+cells of its two nearest pivots, and a cell that is too large is dealt again by pivots of its own, however dense it is.
+Besides, a vector visits the cells of all pivots within twice the range of it, where members no farther from their pivot
+than the range may be linked with it, and those nearly as near as its second. Each shard builds a graph of pruned nearest
+neighbours, the adjacency lists of a vector are united over its shards, and members and visitors are sought in each shard:
+a greedy search from the medoid (and a member's own place), then on through all neighbours of what lies within the range.
+So a group of near copies is cut like anything else, and its links between shards are found by visits. Pairs found are
+verified by their cosine in double precision and counted in the first shard that has both; none is written out.
+A sample compared with all rows audits the recall of each run.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.components import connected_components
-from pactum.llm.shared import materialize
+from pactum.llm.shared import discard, materialize, tidy
 
 COSINE = 0.98
-#: Mean size of a cell and greatest size of a shard; pivots of a cell; times that cells are dealt.
-CELL, SHARD, PIVOTS, LEVELS = 250, 600, 256, 3
+#: Mean size of a cell and greatest number of a shard's members; pivots of a cell; times that cells are dealt by pivots,
+#: after which members are dealt by a hash and all rows of the cell visit each part.
+CELL, SHARD, PIVOTS, LEVELS = 250, 600, 256, 8
 #: Neighbours kept by pruning, its slack, vectors held during a search.
 DEGREE, SLACK, BEAM = 16, 1.2, 24
-SALT_ROWS = 20_000
-#: Greatest cosine of two pivots of a cell.
-APART = 0.8
+#: Rows of a cell that are dealt at once; visitors that search a shard at once; queries of a search that share arrays.
+SALT_ROWS, VISITORS, BLOCK = 8192, 1024, 256
+#: Radians by which a pivot may be farther than the second nearest and is visited still.
+NEARLY = 0.035
+#: Vectors that the audit compares with all rows of their label, and the least recall that passes.
+AUDITED, LEAST_RECALL = 100, 0.9
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Unit rows in double precision."""
-    x = np.array([row for row in column.to_pylist()], float).reshape(len(column), -1)
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0)])
+    x = flat.reshape(len(column), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -56,12 +66,8 @@ def prune(x: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> list[np.
     return out
 
 
-def _connected(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Adjacency with every link in both directions, and links between the medoid and the middle of each part that none
-    reaches: a dense group's nearest neighbours are all of its own."""
-    n = len(table)
-    a, b = np.repeat(np.arange(n), table.shape[1]), table.ravel()
-    a, b = a[b >= 0], b[b >= 0]
+def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes is connected with by links a, b."""
     part = np.arange(n)
     while len(a):
         low = part.copy()
@@ -71,7 +77,16 @@ def _connected(table: np.ndarray, x: np.ndarray) -> np.ndarray:
         if (low == part).all():
             break
         part = low
-    start = int(np.argmax(x @ x.mean(0)))
+    return part
+
+
+def graph(x: np.ndarray, neighbours: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """(adjacency table filled up with -1, medoid): every link in both directions, and links between the medoid and the
+    middle of each part that none reaches, since a dense group's nearest neighbours are all of its own."""
+    n = len(x)
+    a = np.repeat(np.arange(n), [len(own) for own in neighbours])
+    b = np.concatenate([*neighbours, np.zeros(0, int)]).astype(int)
+    part, start = _parts(n, a, b), int(np.argmax(x @ x.mean(0)))
     middles = np.array([rows[np.argmax(x[rows] @ x[rows].mean(0))] for p in np.unique(part) if p != part[start] for rows in [np.flatnonzero(part == p)]], int)
     hub = np.full(len(middles), start)
     pairs = np.unique(np.concatenate([a * n + b, b * n + a, middles * n + hub, hub * n + middles]))
@@ -79,72 +94,55 @@ def _connected(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     count = np.bincount(a, minlength=n)
     out = np.full((n, max(1, int(count.max(initial=0)))), -1)
     out[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
-    return out
-
-
-def range_search(x: np.ndarray, neighbours: list[np.ndarray], cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, other) of rows within the range that a search of every row reaches from the medoid and from the row's
-    own place in the graph, all rows at once."""
-    n = len(x)
-    width = max(1, max((len(a) for a in neighbours), default=1))
-    table = np.full((n, width), -1)
-    for row, own in enumerate(neighbours):
-        table[row, : len(own)] = own
-    table = _connected(table, x)
-    width = table.shape[1]
-    seen, sims = np.zeros((n, n), bool), np.full((n, n), -2.0)
-    start = int(np.argmax(x @ x.mean(0)))
-    seen[:, start] = True
-    sims[:, start] = x @ x[start]
-    done, everyone = np.zeros((n, n), bool), np.arange(n)
-
-    def visit(query: np.ndarray, node: np.ndarray) -> None:
-        done[query, node] = True
-        q, v = np.repeat(query, width), table[node].ravel()
-        fresh = v >= 0
-        q, v = q[fresh], v[fresh]
-        fresh = ~seen[q, v]
-        q, v = q[fresh], v[fresh]
-        seen[q, v] = True
-        for at in range(0, len(q), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            sims[q[part], v[part]] = np.einsum("ij,ij->i", x[q[part]], x[v[part]])
-
-    seen[everyone, everyone], sims[everyone, everyone] = True, 1.0
-    visit(everyone, everyone)
-    while True:  # greedy: the nearest of the beam that has not been expanded
-        held = np.argpartition(-sims, min(beam, n) - 1, axis=1)[:, : min(beam, n)]
-        value = np.where(done[everyone[:, None], held], -3.0, sims[everyone[:, None], held])
-        best = value.argmax(1)
-        live = value[everyone, best] > -2.0
-        if not live.any():
-            break
-        visit(everyone[live], held[everyone, best][live])
-    while True:  # the range: every vector within it is expanded
-        query, node = np.nonzero((sims >= cosine - 1e-9) & ~done)
-        if not len(query):
-            break
-        visit(query, node)
-    query, node = np.nonzero((sims >= cosine) & ~np.eye(n, dtype=bool))
-    return query, node
-
-
-def _stars(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links from each member of a connected group to the one with the least id: as many as rows, whatever the pairs."""
-    root = np.arange(n)
-    order = np.argsort(np.argsort(ids))
-    by = np.empty(n, int)
-    by[order] = np.arange(n)
-    root = order.copy()
-    while len(a):
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[by[low]]
-        if (low == root).all():
-            break
-        root = low
-    return [(int(ids[i]), int(ids[by[root[i]]])) for i in np.flatnonzero(root != order)]
+    return out, start
+
+
+def range_search(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarray, own: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row of x) within the range that a search of each query reaches from the medoid and from its own row
+    (own: its number, -1 if it has none), a block of queries at once. It moves in single precision and verifies in double."""
+    n, width, fine = len(x), table.shape[1], (x, queries)
+    x, queries = x.astype(np.float32), queries.astype(np.float32)
+    found: list[np.ndarray] = []
+    for first in range(0, len(queries), BLOCK):
+        asked, at = queries[first : first + BLOCK], own[first : first + BLOCK]
+        every = np.arange(len(asked))
+        seen, done, sims = np.zeros((len(asked), n), bool), np.zeros((len(asked), n), bool), np.full((len(asked), n), -2.0, np.float32)
+
+        def see(q: np.ndarray, v: np.ndarray, asked=asked, seen=seen, sims=sims) -> None:
+            seen[q, v] = True
+            for k in range(0, len(q), 1 << 14):
+                part = slice(k, k + (1 << 14))
+                sims[q[part], v[part]] = np.einsum("ij,ij->i", asked[q[part]], x[v[part]])
+
+        def visit(query: np.ndarray, node: np.ndarray, done=done, seen=seen, see=see) -> None:
+            done[query, node] = True
+            q, v = np.repeat(query, width), table[node].ravel()
+            fresh = v >= 0
+            q, v = q[fresh], v[fresh]
+            fresh = ~seen[q, v]
+            see(q[fresh], v[fresh])
+
+        see(every, np.full(len(asked), start))
+        at_home = np.flatnonzero(at >= 0)
+        see(at_home, at[at_home])
+        visit(at_home, at[at_home])
+        while True:  # greedy: the nearest of the beam that has not been expanded
+            held = np.argpartition(-sims, min(beam, n) - 1, axis=1)[:, : min(beam, n)]
+            value = np.where(done[every[:, None], held], -3.0, sims[every[:, None], held])
+            best = value.argmax(1)
+            live = value[every, best] > -2.0
+            if not live.any():
+                break
+            visit(every[live], held[every, best][live])
+        while True:  # the range: every vector within it is expanded
+            query, node = np.nonzero((sims >= cosine - 1e-5) & ~done)
+            if not len(query):
+                break
+            visit(query, node)
+        query, node = np.nonzero(sims >= cosine - 1e-5)
+        true = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", fine[1][first + query[k : k + (1 << 14)]], fine[0][node[k : k + (1 << 14)]]) >= cosine for k in range(0, len(query), 1 << 14))])
+        found.append(np.stack([first + query[true], node[true]]))
+    return tuple(np.concatenate([*found, np.zeros((2, 0), int)], axis=1))
 
 
 def _sound(e: Column) -> Column:
@@ -152,52 +150,103 @@ def _sound(e: Column) -> Column:
     return e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
 
 
-def _result(ids: np.ndarray, links: np.ndarray, stars: list[tuple[int, int]]) -> pa.Table:
-    some = links > 0
-    rows = [(int(i), int(n), None) for i, n in zip(ids[some], links[some], strict=True)] + [(a, 0, b) for a, b in stars]
-    return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("rep", "links", "other"))})
-
-
+_ROWS = "rep bigint, n bigint, e array<double>, cell string, member boolean"
 _RESULT = "rep bigint, links bigint, other bigint"
 
 
-def _deal(rows: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
-    """rows(rep, n, e, cell) of cells that are too large -> the same, each row in the cells of its two nearest pivots."""
-    ranked = rows.join(sizes, "cell").withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rep", F.lit(level)), "rep"))).where(F.col("k") <= PIVOTS)
-    pivots = materialize(ranked.where(F.col("k") <= F.greatest(F.lit(2), F.ceil(F.col("size") / CELL))).groupBy("cell", "size").agg(F.collect_list(F.struct("k", "e")).alias("pivots")))
+def _deal(rows: DataFrame, sizes: DataFrame, level: int, cosine: float) -> DataFrame:
+    """rows(rep, n, e, cell, member) of cells that are too large -> the same, each row in the cells of its pivots."""
+    own = rows.join(sizes, "cell")
+    ranked = own.where("member").withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rep", F.lit(level)), "rep"))).where(F.col("k") <= PIVOTS)
+    pivots = materialize(ranked.where(F.col("k") <= F.greatest(F.lit(3), F.ceil(F.col("size") / CELL))).groupBy("cell", "size").agg(F.collect_list(F.struct("k", "e")).alias("pivots")))
     salts = F.ceil(F.col("size") / SALT_ROWS)
-    left = rows.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), salts)).drop("size")
+    left = own.withColumn("salt", F.pmod(F.xxhash64("rep"), salts)).drop("size")
     right = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("size")
-
-    def nearest(own: pa.Table, around: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return own.drop_columns(["salt"])
-        cell, found = own.column("cell")[0].as_py(), sorted(around.column("pivots")[0].as_py(), key=lambda p: p["k"])
-        centres = _matrix(pa.chunked_array([_lists([p["e"] for p in found], pa.float64())]))
-        apart: list[int] = []
-        for k in range(len(centres)):  # pivots close together would part a dense group among them
-            if not apart or (centres[apart] @ centres[k]).max() < APART:
-                apart.append(k)
-        sims = _matrix(own.column("e")) @ centres[apart].T
+    reach = math.cos(min(math.pi, 2 * math.acos(cosine)))
+
+    def nearest(rows: pa.Table, around: pa.Table) -> pa.Table:
+        kept = rows.drop_columns(["cell", "salt", "member"])
+        if not rows.num_rows:
+            return kept.append_column("cell", pa.array([], pa.string())).append_column("member", pa.array([], pa.bool_()))
+        cell, found = rows.column("cell")[0].as_py(), sorted(around.column("pivots")[0].as_py(), key=lambda p: p["k"])
+        centres, member = _matrix(pa.chunked_array([_lists([p["e"] for p in found], pa.float64())])), np.array(rows.column("member"))
+        sims = _matrix(rows.column("e")) @ centres.T
         two = np.argsort(-sims, axis=1, kind="stable")[:, :2]
-        rows = np.repeat(np.arange(own.num_rows), two.shape[1])
-        return own.drop_columns(["cell", "salt"]).take(rows).append_column("cell", pa.array([f"{cell}/{p}" for p in two.ravel()]))
-
-    return left.select("rep", "n", "e", "cell", "salt").groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(nearest, "rep bigint, n bigint, e array<double>, cell string").distinct()
-
-
-def shards(distinct: DataFrame) -> DataFrame:
-    """distinct(rep, n, e, cell) -> the same with the leaf cells that each vector is in; some may have stayed too large."""
-    leaves, rows = None, distinct
-    for level in range(LEVELS):
+        second = np.arccos(np.clip(np.take_along_axis(sims, two[:, -1:], 1), -1, 1))
+        visits = (sims >= reach) | (sims >= np.cos(np.minimum(second + NEARLY, np.pi)))
+        home = np.zeros(sims.shape, bool)
+        np.put_along_axis(home, two, True, 1)
+        at, pivot = np.nonzero(visits | home)
+        out = kept.take(pa.array(at)).append_column("cell", pa.array([f"{cell}/{p}" for p in pivot.tolist()]))
+        tidy()
+        return out.append_column("member", pa.array(home[at, pivot] & member[at]))
+
+    return left.select("rep", "n", "e", "cell", "member", "salt").groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(nearest, _ROWS)
+
+
+def shards(distinct: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """distinct(rep, n, e, cell) -> (rep, n, e, cell, member): the leaf cells that each vector is a member of or visits. No
+    cell has more than SHARD members, or about CELL where hashing had to part them."""
+    leaves, rows = None, distinct.withColumn("member", F.lit(True))
+    for level in range(LEVELS + 1):
         rows = materialize(rows)
-        sizes = rows.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > SHARD)
+        sizes = rows.groupBy("cell").agg(F.count_if("member").alias("size")).where(F.col("size") > SHARD)
         if sizes.isEmpty():
             break
-        small = rows.join(sizes, "cell", "left_anti")
+        small = rows.join(sizes, "cell", "left_anti").select(*rows.columns)
         leaves = small if leaves is None else leaves.union(small)
-        rows = _deal(rows.join(sizes, "cell", "left_semi"), sizes, level)
-    return materialize(rows if leaves is None else leaves.union(rows.select(*leaves.columns)))
+        large = rows.join(sizes, "cell", "left_semi").select(*rows.columns)
+        if level < LEVELS:
+            rows = _deal(large, sizes, level, cosine)
+        else:
+            parts = F.ceil(F.col("size") / CELL)
+            rows = large.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select("rep", "n", "e", F.concat_ws("/", "cell", F.concat(F.lit("h"), "part")).alias("cell"), (F.col("member") & (F.pmod(F.xxhash64("rep", F.lit("part")), parts) == F.col("part"))).alias("member"))
+    return rows if leaves is None else leaves.union(rows.select(*leaves.columns))
+
+
+def _counted(query, node, here: int, homes: list, places: list) -> np.ndarray:
+    """Which pairs (query, node) this shard counts: those of which no shard with a lesser number has the query, and the node
+    as a member."""
+    others = np.unique(np.concatenate([np.array(h, np.int64) for h in homes] or [np.zeros(0, np.int64)]))
+    others = others[others < here]
+    if not len(others) or not len(query):
+        return np.ones(len(query), bool)
+    present = np.array([np.isin(others, p) for p in places])
+    belongs = np.array([np.isin(others, h) for h in homes])
+    out = np.ones(len(query), bool)
+    for k in range(len(others)):
+        out &= ~(present[query, k] & belongs[node, k])
+    return out
+
+
+def _search(table: pa.Table, cosine: float) -> pa.Table:
+    """(rep, links, other) of one shard and some of its visitors: for each query its counted links, and for each vector of a
+    connected group the group's least."""
+    order = np.argsort(~np.array(table.column("member")), kind="stable")  # members first
+    table = table.take(pa.array(order))
+    ids, n = np.array(table.column("rep")), int(np.array(table.column("member")).sum())
+    x, homes, places = _matrix(table.column("e")), table.column("homes").to_pylist(), table.column("places").to_pylist()
+    at = {v: k for k, v in enumerate(ids[:n].tolist())}
+    near = [np.array([at[v] for v in own or () if v in at], int) for own in table.column("near").to_pylist()[:n]]
+    if not n:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "links", "other")})
+    links, start = graph(x[:n], near)
+    asks = np.array(table.column("asks"))
+    asked = np.flatnonzero(asks)
+    query, node = range_search(x[:n], links, start, x[asked], np.where(asked < n, asked, -1), cosine)
+    query = asked[query]
+    both = (query < n) & asks[node]  # a link found from one end holds for both
+    pairs = np.unique(np.concatenate([query * len(ids) + node, node[both] * len(ids) + query[both]]))
+    query, node = pairs // len(ids), pairs % len(ids)
+    query, node = query[query != node], node[query != node]
+    counted = _counted(query, node, table.column("number")[0].as_py(), homes[:n], places)
+    totals = np.bincount(query[counted], np.array(table.column("n"))[node[counted]], len(ids)).astype(np.int64)
+    rank = np.argsort(np.argsort(ids))
+    by = np.argsort(ids)
+    least = ids[by[_parts(len(ids), rank[query], rank[node])]][rank]
+    some = (totals > 0) | (least != ids)
+    tidy()
+    return pa.table({"rep": pa.array(ids[some]), "links": pa.array(totals[some]), "other": pa.array(least[some])})
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -206,54 +255,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing
     and are their own component. Equal vectors are one vector with a count, so copies link with each other and share
-    all else without being paired. Repeated rows count once and each get the result. An empty table gives an empty one."""
+    all else without being paired. Repeated rows count once and each get the result. An empty table gives an empty one.
+    A group of g different near copies costs g * g / CELL searches, since each link counts; groups of equal vectors cost one."""
     sound = F.col("label").isNotNull() & _sound(F.col("e"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(sound)
     distinct = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")))
-    spread = shards(distinct.where(F.col("rep").isNotNull()).select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")))
-    cells = spread.groupBy("rep").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    sizes = spread.groupBy("cell").agg(F.count("*").alias("size"))
-    members = materialize(spread.join(cells, "rep").join(sizes, "cell"))
-    usual, large = members.where(F.col("size") <= SHARD), members.where(F.col("size") > SHARD)
+    spread = shards(distinct.where(F.col("rep").isNotNull()).select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")), cosine)
+    spread = materialize(spread.withColumn("number", F.xxhash64("cell")).drop("cell"))
 
     def build(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("rep"))
-        return pa.table({"rep": table.column("rep"), "near": _lists([ids[a] for a in prune(_matrix(table.column("e")))], pa.int64())})
-
-    def counted(cell: str, ids, weights, cells, query, node, stars) -> pa.Table:
-        first = np.array([min(set(cells[a]) & set(cells[b])) == cell for a, b in zip(query, node, strict=True)], bool) if len(query) else np.zeros(0, bool)
-        return _result(ids, np.bincount(query[first], weights[node[first]], len(ids)).astype(np.int64), stars)
-
-    def search(table: pa.Table) -> pa.Table:
-        ids, x = np.array(table.column("rep")), _matrix(table.column("e"))
-        at = {v: k for k, v in enumerate(ids.tolist())}
-        near = [np.array([at[v] for v in own if v in at], int) for own in table.column("near").to_pylist()]
-        query, node = range_search(x, near, cosine)
-        true = np.einsum("ij,ij->i", x[query], x[node]) >= cosine
-        query, node = query[true], node[true]
-        a, b = np.concatenate([query, node]), np.concatenate([node, query])  # a link found from one end holds for both
-        pairs = np.unique(a * len(ids) + b)
-        a, b = pairs // len(ids), pairs % len(ids)
-        return counted(table.column("cell")[0].as_py(), ids, np.array(table.column("n")), table.column("cells").to_pylist(), a, b, _stars(len(ids), a, b, ids))
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, x, side = np.array(table.column("rep")), _matrix(table.column("e")), np.array(table.column("own"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-        a, b = left[a], right[b]
-        a, b = (a[a != b], b[a != b]) if i == j else (np.concatenate([a, b]), np.concatenate([b, a]))
-        return counted(table.column("cell")[0].as_py(), ids, np.array(table.column("n")), table.column("cells").to_pylist(), a, b, _stars(len(ids), a, b, ids))
-
-    united = usual.select("cell", "rep", "e").groupBy("cell").applyInArrow(build, "rep bigint, near array<bigint>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = usual.join(united, "rep").groupBy("cell").applyInArrow(search, _RESULT)
-    blocks = F.ceil(F.col("size") / (SHARD // 2))
-    paired = large.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    paired = paired.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with")
-    found = materialize(found.union(paired.groupBy("cell", "i", "j").applyInArrow(compare, _RESULT)))
-
-    roots = connected_components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
+        near = [ids[a] for a in prune(_matrix(table.column("e")))]
+        tidy()
+        return pa.table({"rep": table.column("rep"), "near": _lists(near, pa.int64())})
+
+    united = spread.where("member").select("number", "rep", "e").groupBy("number").applyInArrow(build, "rep bigint, near array<bigint>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    places = spread.groupBy("rep").agg(F.sort_array(F.collect_list("number")).alias("places"), F.sort_array(F.collect_list(F.when(F.col("member"), F.col("number")))).alias("homes"))
+    crowds = spread.groupBy("number").agg(F.ceil(F.count_if(~F.col("member")) / VISITORS).alias("crowds"))
+    known = spread.join(united.join(places, "rep"), "rep").join(crowds, "number")
+    # the members of a shard stand in every crowd of its visitors, and search in the first
+    salt = F.when(F.col("member"), F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("crowds") - 1, F.lit(0)))).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.greatest(F.col("crowds"), F.lit(1)))))
+    dealt = known.withColumn("salt", F.explode(salt)).withColumn("asks", ~F.col("member") | (F.col("salt") == 0))
+    found = materialize(dealt.select("number", "salt", "rep", "n", "e", "member", "asks", F.when(F.col("member"), F.col("near")).alias("near"), "homes", "places").groupBy("number", "salt").applyInArrow(lambda t: _search(t, cosine), _RESULT))
+
+    roots = connected_components(found.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = distinct.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = good.join(by_rep, ["label", "e"]).select("vec_id", "n_links", "component_id")
@@ -261,7 +287,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = 200, cosine: float = COSINE) -> DataFrame:
+def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = AUDITED, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, true_links) for at most `sample` vectors spread by a hash of their id, each compared with every row
     of its label: recall is sum(n_links) / sum(true_links). The sample is the only part sent to all executors."""
     vectors = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("label").isNotNull() & _sound(F.col("embedding")))
@@ -273,5 +299,16 @@ def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = 200, cosine
     return found.join(F.broadcast(true), F.col("vec_id") == F.col("q")).select("vec_id", "n_links", "true_links")
 
 
+def audited(vectors: DataFrame, cosine: float = COSINE, least: float = LEAST_RECALL) -> DataFrame:
+    """near_duplicates() of vectors(vec_id, embedding, label), written to the shared folder and audited there: an error if a
+    sample of vectors has fewer than `least` of its links."""
+    found = materialize(near_duplicates(vectors, cosine=cosine))
+    got, true = audit_recall(vectors, found, cosine=cosine).agg(F.coalesce(F.sum("n_links"), F.lit(0)), F.coalesce(F.sum("true_links"), F.lit(0))).first()
+    if got < least * true:
+        discard(found)
+        raise RuntimeError(f"recall {got / true:.3f} of the audited vectors is below {least}")
+    return found
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return audited(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
