@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactum.functions.ratings import normalise
-from pactum.operators.portfolio import exposure, rated_below
-from pactum.sources.tables import READABLE
+from pactum.functions.ratings import NOTCHES, normalise, rank
+from pactum.operators.rules import evaluate
+from pactum.sources.tables import READABLE, saved
 
 # What questions of each kind say, in the order that they are tried.
 INTENTS = [
@@ -15,7 +15,7 @@ INTENTS = [
     ("covenant_breach_check", [r"\bbreach", r"\bviolat", r"\bin\s+compliance\b", r"\bcomply\b", r"\bcompliant\b", r"\bheadroom\b", r"\btrip(?:ped|s)?\b", r"\btrigger(?:ed)?\s+(?:by|at)\b", r"\bwould\s+be\s+triggered\b"]),
     ("portfolio_query", [r"\bportfolio", r"\bexposure\b", r"\bholding", r"\bnav\b", r"\bweight", r"\bfund\b", r"\bhow\s+much\s+do\s+we\s+(?:hold|own)\b"]),
     ("covenant_lookup", [r"\bcovenant", r"\bnegative\s+pledge\b", r"\bcross[\s-]?default\b", r"\bgearing\b", r"\bnisbah\s+gearan\b", r"\binterest\s+cover", r"\bfinance\s+service\s+cover", r"\brating\s+trigger\b", r"\bthreshold\b", r"\bcall\s+(?:date|price|schedule)\b", r"\bredeem\b", r"\bredemption\b", r"\bshariah\b", r"\bdissolution\b", r"\bpurchase\s+undertaking\b", r"\bevent\s+of\s+default\b", r"\bchange\s+of\s+control\b"]),
-    ("instrument_lookup", [r"\bissuer\b", r"\bmaturity\b", r"\bissue\s+size\b", r"\bisin\b", r"\brated\b", r"\brating\s+of\b", r"\bwhich\s+instruments?\b", r"\bsukuk\s+structure\b", r"\b(?:ijarah|wakalah|musharakah|mudharabah|murabahah)\b", r"\bistisna"]),
+    ("instrument_lookup", [r"\bissuer\b", r"\bmaturity\b", r"\bissue\s+size\b", r"\bisin\b", r"\brated\b", r"\brating\s+of\b", r"\bwhich\s+instruments?\b", r"\bsukuk\s+structure\b", r"\bijarah\b|\bwakalah\b|\bmusharakah\b|\bmudharabah\b|\bmurabahah\b|\bistisna"]),
 ]
 COVENANTS = [("negative pledge", "negative_pledge"), ("cross default", "cross_default"), ("cross-default", "cross_default"), ("gearing", "gearing_ratio"), ("nisbah gearan", "gearing_ratio"), ("interest cover", "interest_cover"), ("finance service cover", "finance_service_cover"), ("net worth", "minimum_net_worth"), ("rating trigger", "rating_trigger"), ("shariah", "shariah_non_compliance"), ("change of control", "change_of_control")]
 GRAMMAR = "a an the this that these those there it its i we our you they is are was were be been do does did have has can could will would shall may what which who when where why how and or not no of for to in on at by with from about between any each every all much many more less most give show list tell me please below above under over worse before after next last largest total sum count number current today".split()
@@ -62,7 +62,8 @@ def unsupported_terms(questions: DataFrame, names: DataFrame, extra: list[str] |
 
 
 def _runs(words: Column, most: int = 12) -> Column:
-    """Every run of 2 to `most` neighbouring words, joined by spaces."""
+    """Every run of 2 to `most` neighbouring words, joined by spaces. A longer run begins with one of `most` words, so a name
+    that only a longer run tells from others is found by standing whole in the question."""
     n = F.size(words)
     starts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n - s + 1, F.lit(most)))), lambda k: F.array_join(F.slice(words, s, k), " ")))))
@@ -77,7 +78,8 @@ def mentioned_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
     unique = own.groupBy("run").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1").select("run", "name")
     by_run = asked.join(unique, "run").select("query_id", "name")
     first = names.select("name", F.array_join(F.slice(words(F.col("name")), 1, 2), " ").alias("run")).where("run <> ''").distinct()
-    whole = asked.join(first, "run").where(F.contains(F.lower("question"), F.lower("name"))).select("query_id", "name")
+    single = questions.select("query_id", "question", F.explode(F.array_distinct(words(F.col("question")))).alias("run"))
+    whole = asked.select("query_id", "question", "run").union(single).join(first, "run").where(F.contains(F.lower("question"), F.lower("name"))).select("query_id", "name")
     return by_run.union(whole).distinct()
 
 
@@ -102,22 +104,95 @@ def classify(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"intent": intent(q), "covenant_type": covenant_type_in(q), "rating_below": rating_threshold_in(q), "about_calls": asks_about_calls(q)})
 
 
-def answer(questions: DataFrame, names: DataFrame, instruments: DataFrame, holdings: DataFrame, covenants: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, intent, answer, citations, confidence, refused) of every question, each intent by its own branch:
-    exposure of portfolios, instruments (strictly below a notch if asked), covenants with their clauses, and search hits.
-    Structured answers are 0.95 sure, covenants as sure as the least of them, search 0.55; a refusal is 0 sure."""
-    asked = unsupported_terms(classify(questions), names)
-    asked = asked.withColumn("_no", (F.col("intent") == "unsupported") | F.col("intent").isin(*STRUCTURED) & (F.size("unsupported") > 0))
-    go = asked.where("not _no")
-    text = lambda rows, line, n, sure: rows.groupBy("query_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set(line)), 1, 20), "; ").alias("answer"), n.alias("citations"), sure.alias("confidence"))
-    one = F.lit(1)
-    held = exposure(holdings.join(instruments.select("instrument_id"), "instrument_id")).withColumn("_j", one)
-    portfolio = text(go.where("intent = 'portfolio_query'").withColumn("_j", one).join(F.broadcast(held.orderBy(F.desc("exposure"), "portfolio_id").limit(20)), "_j"), F.concat_ws(" ", F.col("portfolio_id").cast("string"), F.col("exposure").cast("string")), F.lit(0), F.lit(0.95))
-    by_notch = rated_below(instruments, "AAA").select("instrument_name", "current_rating", "current_rating_rank").withColumn("_j", one)
-    lookup = text(go.where("intent = 'instrument_lookup'").withColumn("_j", one).join(by_notch.orderBy("current_rating_rank", "instrument_name").limit(1000), "_j"), F.concat_ws(" ", "instrument_name", "current_rating"), F.lit(0), F.lit(0.95))
-    cited = text(go.where("intent in ('covenant_lookup', 'covenant_breach_check')").join(covenants, "covenant_type"), F.concat_ws(" p.", "source_quote", F.col("page_number").cast("string")), F.count_distinct("clause_id"), F.min("confidence"))
-    found = text(go.where("intent = 'document_search'").join(hits, "query_id"), F.col("chunk_text"), F.count_distinct("chunk_id"), F.lit(0.55))
-    every = portfolio.unionByName(lookup).unionByName(cited.withColumn("confidence", F.col("confidence").cast("double"))).unionByName(found)
-    out = asked.join(every, "query_id", "left")
-    refused = F.col("_no") | F.col("answer").isNull() | (F.coalesce("citations", F.lit(0)) == 0) & ~F.col("intent").isin(*STRUCTURED)
-    return out.withColumn("refused", refused).select("query_id", "intent", F.when(~F.col("refused"), F.col("answer")).alias("answer"), F.coalesce("citations", F.lit(0)).alias("citations"), F.when(F.col("refused"), 0.0).otherwise(F.col("confidence")).alias("confidence"), "refused")
+#: What stands in a scope for everything.
+ALL = ""
+
+
+def _lines(rows: DataFrame, item: Column, line: Column, cited: Column | None = None, confidence: Column | float = 0.95, breach: Column | None = None, open_: Column | None = None) -> DataFrame:
+    no = F.lit(False)
+    sure = confidence if isinstance(confidence, Column) else F.lit(confidence)
+    return rows.select("scope", item.cast("string").alias("item"), line.alias("line"), (F.lit(None) if cited is None else cited).cast("string").alias("cited"), sure.cast("double").alias("confidence"), (no if breach is None else breach).alias("breach"), (no if open_ is None else open_).alias("open"))
+
+
+def answer(questions: DataFrame, instruments: DataFrame, portfolios: DataFrame, holdings: DataFrame, covenants: DataFrame, terms: DataFrame, facts: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, scopes, lines) of a log of questions(query_id, question).
+
+    answers(query_id, intent, headline, n_lines, citations, confidence, refused); scopes(query_id, scope) and lines(scope,
+    item, line, cited, ...) have the lines of each answer. Questions that ask the same of everything share one scope, so
+    that its lines are worked out and kept once; a question that names something has a scope of its own.
+
+    By intent: instruments strictly below the notch asked for, or those named, or all; exposure by portfolio, of those
+    named, below the notch; covenants of the type asked for, of the instruments named; the rules' verdicts on the terms of
+    the instruments named, or of all, where terms without facts are counted as open and not as compliant; search hits, also
+    where no covenant is found. Structured answers are 0.95 sure (verdicts 0.4 if all are open), covenants as sure as the
+    least of them, search 0.55; a refusal is 0 sure: advice, words that nothing here has, no rows, or nothing cited
+    where citations are due.
+
+    instruments(instrument_id, instrument_name, issuer_name, current_rating), portfolios(portfolio_id, name), holdings(
+    portfolio_id, instrument_id, market_value), covenants(clause_id, instrument_id, covenant_type, source_quote, page_number,
+    confidence), terms and facts as rules.evaluate takes them, terms with clause_id, hits(query_id, chunk_id, chunk_text)."""
+    rated = instruments.select("instrument_id", "instrument_name", "issuer_name", "current_rating", rank(F.col("current_rating")).alias("rank"))
+    called = rated.select("instrument_id", F.explode(F.array("instrument_name", "issuer_name")).alias("name")).where("name is not null").distinct()
+    names = called.select("name").union(portfolios.select("name")).distinct()
+    asked = saved(unsupported_terms(classify(questions), names)).withColumn("_no", (F.col("intent") == "unsupported") | F.col("intent").isin(*STRUCTURED) & (F.size("unsupported") > 0))
+    go = asked.where("not _no").select("query_id", "question", "intent", "covenant_type", "rating_below")
+    named = saved(mentioned_entities(go, names))
+    own_instruments = named.join(called, "name").select("query_id", "instrument_id").distinct()
+    own_portfolios = named.join(portfolios.select("name", "portfolio_id"), "name").select("query_id", "portfolio_id").distinct()
+    kind, below = F.col("intent"), F.col("rating_below")
+    by_name = F.when(kind == "portfolio_query", F.col("_p")).when((kind == "document_search") | (kind == "instrument_lookup") & below.isNotNull(), F.lit(False)).otherwise(F.col("_i"))
+    marks = own_instruments.select("query_id").distinct().withColumn("_i", F.lit(True)), own_portfolios.select("query_id").distinct().withColumn("_p", F.lit(True))
+    scoped = go.join(marks[0], "query_id", "left").join(marks[1], "query_id", "left").withColumn("own", F.coalesce(by_name, F.lit(False)) | (kind == "document_search"))
+    asked_for = F.when(kind == "covenant_lookup", F.col("covenant_type")).when(kind.isin("instrument_lookup", "portfolio_query"), below)
+    scoped = saved(scoped.withColumn("scope", F.concat_ws("|", kind, F.coalesce(asked_for, F.lit(ALL)), F.when(F.col("own"), F.col("query_id").cast("string")).otherwise(ALL))))
+    shared = scoped.where("not own").select("scope", "intent", "covenant_type", "rating_below").distinct()
+    mine = scoped.where("own").select("query_id", "scope", "intent", "covenant_type", "rating_below")
+    of = lambda rows, what: rows.where(kind == what)
+    everything = lambda rows, what: rows.withColumn("scope", F.lit(f"{what}||"))
+    # a threshold becomes the ranks below it, so that joins are on equal ranks
+    ranks = lambda rows: rows.where(below.isNotNull()).withColumn("rank", F.explode(F.sequence(rank(below) + 1, F.lit(len(NOTCHES)))))
+
+    picked = mine.join(own_instruments, "query_id").drop("query_id")
+    found = ranks(of(shared, "instrument_lookup")).select("scope", "rank").join(rated, "rank").select("scope", *rated.columns).unionByName(everything(rated, "instrument_lookup")).unionByName(of(picked, "instrument_lookup").select("scope", "instrument_id").join(rated, "instrument_id"))
+    lines = _lines(found, F.col("instrument_id"), F.concat_ws(" ", "instrument_name", "current_rating"))
+
+    held = holdings.join(rated.select("instrument_id", "rank"), "instrument_id").groupBy("portfolio_id", "rank").agg(F.count("*").alias("n"), F.sum("market_value").alias("v"))
+    whole = held.groupBy("portfolio_id").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    cut = ranks(of(shared, "portfolio_query")).select("scope", "rank").join(held, "rank").select("scope", "portfolio_id", "n", "v")
+    mine_p = of(mine, "portfolio_query").join(own_portfolios, "query_id").drop("query_id")
+    cut = cut.unionByName(ranks(mine_p).select("scope", "portfolio_id", "rank").join(held, ["portfolio_id", "rank"]).select("scope", "portfolio_id", "n", "v"))
+    cut = cut.groupBy("scope", "portfolio_id").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    cut = cut.unionByName(everything(whole, "portfolio_query")).unionByName(mine_p.where(below.isNull()).select("scope", "portfolio_id").join(whole, "portfolio_id"))
+    lines = lines.unionByName(_lines(cut, F.col("portfolio_id"), F.concat_ws(" ", F.col("portfolio_id").cast("string"), F.col("n").cast("string"), F.coalesce("v", F.lit(0)).cast("decimal(30,4)").cast("string"))))
+
+    have = covenants.select("clause_id", "instrument_id", "covenant_type", "source_quote", "page_number", "confidence")
+    typed = of(shared, "covenant_lookup").where("covenant_type is not null").select("scope", "covenant_type").join(have, "covenant_type")
+    chosen = of(picked, "covenant_lookup").select("scope", "instrument_id", F.col("covenant_type").alias("_t")).join(have, "instrument_id").where("_t is null or _t = covenant_type").drop("_t")
+    cited = typed.unionByName(everything(have, "covenant_lookup")).unionByName(chosen)
+    lines = lines.unionByName(_lines(cited, F.col("clause_id"), F.concat_ws(" p.", "source_quote", F.col("page_number").cast("string")), F.col("clause_id"), F.coalesce("confidence", F.lit(0.5))))
+
+    judged = evaluate(terms.join(facts, "instrument_id", "left")).select("instrument_id", "clause_id", "covenant_type", "status", "explanation")
+    judged = everything(judged, "covenant_breach_check").unionByName(of(picked, "covenant_breach_check").select("scope", "instrument_id").join(judged, "instrument_id"))
+    open_ = F.col("status") == "insufficient_data"
+    lines = lines.unionByName(_lines(judged, F.concat_ws(" ", F.col("instrument_id").cast("string"), "covenant_type", F.coalesce(F.col("clause_id").cast("string"), F.lit(""))), F.col("explanation"), F.when(~open_, F.col("clause_id")), 0.95, F.col("status") == "breach", open_))
+
+    passages = hits.join(scoped.where(kind.isin("document_search", "covenant_lookup")).select("query_id"), "query_id").withColumn("scope", F.concat_ws("|", F.lit("passages"), F.lit(ALL), F.col("query_id").cast("string")))
+    lines = lines.unionByName(_lines(passages, F.col("chunk_id"), F.col("chunk_text"), F.col("chunk_id"), 0.55))
+
+    lines = saved(lines)
+    sums = lines.groupBy("scope").agg(F.count_if(~F.col("open")).alias("n_lines"), F.count_if("open").alias("n_open"), F.count_if("breach").alias("breaches"), F.count("cited").alias("citations"), F.min("confidence").alias("confidence"))
+    passage = F.concat_ws("|", F.lit("passages"), F.lit(ALL), F.col("query_id").cast("string"))
+    known = scoped.select("query_id", "intent", "rating_below", F.when(kind == "document_search", passage).otherwise(F.col("scope")).alias("scope")).join(sums, "scope", "left")
+    # a covenant question that no covenant answers is searched for
+    again = known.where((kind == "covenant_lookup") & F.col("n_lines").isNull()).select("query_id", "intent", "rating_below", passage.alias("scope")).join(sums, "scope", "left")
+    known = known.where(~((kind == "covenant_lookup") & F.col("n_lines").isNull())).unionByName(again)
+    n = F.coalesce("n_lines", F.lit(0))
+    some = F.when(n.isNull(), False).otherwise((n > 0) | (F.coalesce("n_open", F.lit(0)) > 0))
+    structured = kind.isin(*STRUCTURED)
+    refused = ~some | ~structured & (F.coalesce("citations", F.lit(0)) == 0)
+    rest = F.when(below.isNotNull(), F.concat(F.lit(" rated below "), below)).otherwise("")
+    words = F.when(kind == "instrument_lookup", F.concat(n.cast("string"), F.lit(" instrument(s)"), F.when(below.isNotNull(), rest).otherwise(" matched"), F.lit("."))).when(kind == "portfolio_query", F.concat(n.cast("string"), F.lit(" portfolio(s)"), rest, F.lit("."))).when(kind == "covenant_breach_check", F.concat(F.when(F.col("breaches") > 0, F.col("breaches").cast("string")).otherwise("No"), F.lit(" covenant breach(es), "), F.coalesce("n_open", F.lit(0)).cast("string"), F.lit(" not evaluated."))).otherwise(F.concat(n.cast("string"), F.lit(" passage(s).")))
+    sure = F.when((kind == "covenant_breach_check") & (n == 0), F.lit(0.4)).otherwise(F.col("confidence"))
+    given = known.select("query_id", "scope", F.when(~refused, words).alias("headline"), n.alias("n_lines"), F.coalesce("citations", F.lit(0)).alias("citations"), F.when(refused, 0.0).otherwise(sure).alias("confidence"), refused.alias("refused"))
+    answers = asked.select("query_id", "intent").join(given, "query_id", "left").select("query_id", "intent", "headline", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("refused", F.lit(True)).alias("refused"))
+    return answers, given.where("not refused").select("query_id", "scope"), lines

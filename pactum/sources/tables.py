@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,23 @@ def read(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; without that setting a session that runs in one
+    process gets a temporary one, and a cluster an error."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not base and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='pactum-')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once to a work folder and read back, where several later steps start from it."""
+    path = f"{work_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of few files in as many partitions as there are cores, for work that is heavy by row; one that already has as
     many partitions is left where it is."""
