@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.sources.tables import saved
+
+#: Pairs of labels and predictions of one group that are assigned in a task.
+GROUP_PAIRS = 20_000
 FIELDS = {"threshold_ratio": "number", "threshold_amount": "number", "threshold_currency": "text", "operator": "enum", "trigger_rating": "text", "rating_agency": "text"}
 
 
@@ -21,10 +25,14 @@ def same(kind: str, expected: Column, actual: Column) -> Column:
     return expected == actual
 
 
-def greedy_matches(scored: DataFrame, group: list[str]) -> DataFrame:
+def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS) -> DataFrame:
     """scored(group, label_id, prediction_id, score) -> one-to-one pairs, best score first, ties by label then prediction.
-    Groups are the labels and predictions of one document and type."""
+
+    Groups are the labels and predictions of one document and type. One of at most `most` pairs is assigned in a task; a
+    larger one in rounds, in each of which the pairs go that are the best of both their sides, and all pairs of what they
+    take with them: the same pairs, without a task that holds the group."""
     kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
+    large = scored.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, kept = set(), set(), []
@@ -36,7 +44,16 @@ def greedy_matches(scored: DataFrame, group: list[str]) -> DataFrame:
                 kept.append(k)
         return rows.loc[kept]
 
-    return scored.groupBy(*group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
+    if large.isEmpty():
+        return scored.groupBy(*group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
+    out = scored.join(large, group, "left_anti").select(*scored.columns).groupBy(*group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
+    rest = saved(scored.join(large, group, "left_semi").select(*scored.columns))
+    best = lambda side: F.row_number().over(Window.partitionBy(*group, side).orderBy(F.desc("score"), "label_id", "prediction_id"))
+    while not rest.isEmpty():
+        taken = saved(rest.withColumns({"_l": best("label_id"), "_p": best("prediction_id")}).where("_l = 1 and _p = 1").select(*scored.columns))
+        out = out.unionByName(taken)
+        rest = saved(rest.join(taken.select(*group, "label_id"), [*group, "label_id"], "left_anti").join(taken.select(*group, "prediction_id"), [*group, "prediction_id"], "left_anti").select(*scored.columns))
+    return out
 
 
 def match_covenants(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -80,9 +97,13 @@ def recall_by_language(labels: DataFrame, matched: DataFrame) -> DataFrame:
     return hit.groupBy("language").agg(F.count("_hit").alias("found"), F.count("*").alias("labels"), F.try_divide(F.count("_hit"), F.count("*")).alias("recall"))
 
 
-def citation_tally(checked: DataFrame) -> DataFrame:
-    """checked(reverified, evidence_matched) and labels counted in n_labels -> precision, recall and verification rate."""
-    return checked.agg(F.count("*").alias("predicted"), F.count_if("reverified").alias("reverified"), F.count_if("evidence_matched").alias("matched")).withColumns({"verification_rate": F.try_divide("reverified", "predicted"), "precision": F.try_divide("matched", "predicted")})
+def citation_tally(checked: DataFrame, labels: DataFrame) -> DataFrame:
+    """checked(reverified, evidence_matched), one row a prediction, and one row a label -> counts, verification rate,
+    precision over the predictions and recall over the labels; a rate of nothing is null."""
+    n = labels.agg(F.count("*").alias("labels"))
+    counts = checked.agg(F.count("*").alias("predicted"), F.count_if("reverified").alias("reverified"), F.count_if("evidence_matched").alias("matched"))
+    both = counts.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+    return both.withColumns({"verification_rate": F.try_divide("reverified", "predicted"), "precision": F.try_divide("matched", "predicted"), "recall": F.try_divide("matched", "labels")})
 
 
 def completeness(labelled: DataFrame, present: DataFrame, key: str = "document_id") -> DataFrame:
