@@ -1,5 +1,6 @@
-"""Quotes against their chunks: exact, then with white space and look-alikes made equal, then by the best alignment of long
-quotes. The first two are expressions; only rows that both fail reach the vectorised function."""
+"""Quotes against their chunks: exact, then with white space, look-alikes and compatible characters made equal, then by the
+best alignment of long quotes. Expressions do the first and, but for compatible characters (ligatures, full-width letters),
+the second; only rows that fail both reach a vectorised function."""
 
 from __future__ import annotations
 
@@ -15,12 +16,34 @@ FUZZY, SHORTEST = 0.92, 40
 ALIKE = dict.fromkeys("‘’‚‛", "'") | dict.fromkeys("“”„‟", '"') | dict.fromkeys("‐‑‒–—―", "-") | {" ": " "}
 
 
+_ALIKE = str.maketrans(ALIKE)
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "".join(ALIKE), "".join(ALIKE.values())), r"\s+", " "))
 
 
 def _fold(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).translate(str.maketrans(ALIKE)).split())
+    return " ".join(unicodedata.normalize("NFKC", text).translate(_ALIKE).split())
+
+
+def _folded(text: str) -> tuple[str, list[int]]:
+    """A text with compatible characters, look-alikes and white space made equal, and the place of each of its characters in
+    the text as it is."""
+    out, at = [], []
+    for k, c in enumerate(text):
+        for x in unicodedata.normalize("NFKC", c).translate(_ALIKE):
+            space = x.isspace()
+            if not (space and (not out or out[-1] == " ")):
+                out.append(" " if space else x)
+                at.append(k)
+    return "".join(out), at
+
+
+def _find_folded(quote: str, text: str) -> tuple[int, int] | None:
+    sought, (folded, at) = _fold(quote), _folded(text)
+    place = folded.find(sought) if sought else -1
+    return None if place < 0 else (at[place], at[place + len(sought) - 1] + 1)
 
 
 def _align(quote: str, text: str) -> tuple[float, int, int]:
@@ -34,6 +57,13 @@ def _align(quote: str, text: str) -> tuple[float, int, int]:
     return best
 
 
+def _align_folded(quote: str, text: str) -> tuple[float, int, int]:
+    """_align() of both in folded form, with places in the text as it is."""
+    folded, at = _folded(text)
+    score, start, end = _align(_fold(quote), folded)
+    return (score, at[start], at[end - 1] + 1) if end > start else (score, 0, 0)
+
+
 def verify(pairs: DataFrame, legs: tuple[str, ...] = ("exact", "normalised", "fuzzy")) -> DataFrame:
     """pairs(quote, chunk_text) -> adds verified, score, char_start, char_end (in the chunk as it is) and method. A blank or
     null quote and a null chunk are not verified."""
@@ -48,16 +78,31 @@ def verify(pairs: DataFrame, legs: tuple[str, ...] = ("exact", "normalised", "fu
     start = F.when(exact, F.col("_at") - 1).when(alike, F.instr("_low", F.col("_found")) - 1).cast("int")
     length = F.when(exact, F.length(quote)).when(alike, F.length("_found"))
     rows = rows.withColumns({"score": F.when(exact, 1.0).when(alike, 0.99).otherwise(0.0), "char_start": start, "char_end": (start + length).cast("int")}).drop("_blank", "_at", "_found", "_low")
+    if "normalised" in legs:
+        odd = (F.col("method") == "not_found") & text.isNotNull() & (quote.rlike(r"[^\x00-\x7F]") | text.rlike(r"[^\x00-\x7F]"))
+        rows = rows.where(~F.coalesce(odd, F.lit(False))).unionByName(_compatible(rows.where(odd)))
     if "fuzzy" in legs:
         open_ = (F.col("method") == "not_found") & (F.length(F.trim(quote)) >= SHORTEST) & text.isNotNull()
         rows = rows.where(~F.coalesce(open_, F.lit(False))).unionByName(_fuzzy(rows.where(open_)))
     return rows.withColumn("verified", F.col("method").isin("exact", "normalised", "fuzzy"))
 
 
+def _compatible(rows: DataFrame) -> DataFrame:
+    """The second leg for characters that no table of single letters makes equal."""
+
+    @F.pandas_udf("char_start int, char_end int")
+    def find(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_find_folded(q, t) or (None, None) for q, t in zip(quotes, texts, strict=True)], columns=["char_start", "char_end"], dtype="Int32")
+
+    out = rows.withColumn("_f", find("quote", "chunk_text"))
+    hit = F.col("_f.char_start").isNotNull()
+    return out.withColumns({"method": F.when(hit, "normalised").otherwise("not_found"), "score": F.when(hit, 0.99).otherwise(0.0), "char_start": F.col("_f.char_start"), "char_end": F.col("_f.char_end")}).drop("_f")
+
+
 def _fuzzy(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("score double, char_start int, char_end int")
     def align(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_align(_fold(q), t) for q, t in zip(quotes, texts, strict=True)], columns=["score", "char_start", "char_end"])
+        return pd.DataFrame([_align_folded(q, t) for q, t in zip(quotes, texts, strict=True)], columns=["score", "char_start", "char_end"])
 
     out = rows.withColumn("_f", align("quote", "chunk_text"))
     hit = F.col("_f.score") >= FUZZY
