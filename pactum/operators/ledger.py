@@ -18,6 +18,13 @@ def spend_report(calls: DataFrame, documents: DataFrame, cap: str = "5.00") -> D
     return by.join(documents.select("document_id", "filename"), "document_id", "left").withColumns({"filename": F.coalesce("filename", F.lit("(deleted)")), "hit_rate": F.try_divide("cache_hits", "calls"), "over_cap": F.col("cost") > F.lit(cap).cast("decimal(20,6)")})
 
 
+def spend_summary(report: DataFrame) -> DataFrame:
+    """Over all documents of a spend report: how many there are, how many cost something, the mean of those, and how many
+    are over the cap."""
+    paid = F.when(F.col("cost") > 0, F.col("cost"))
+    return report.agg(F.count("*").alias("documents"), F.count(paid).alias("with_spend"), F.avg(paid).alias("mean_cost"), F.count_if("over_cap").alias("over_cap"))
+
+
 def agreement(covenants: DataFrame) -> DataFrame:
     """Share of model covenants that no rule disagrees with, null without model rows."""
     llm, bad = F.count_if(F.expr("method = 'llm'")), F.count_if(F.expr("method = 'llm' and disagrees"))

@@ -97,12 +97,14 @@ def as_of_latest(holdings: DataFrame) -> DataFrame:
     return holdings.join(latest, ["portfolio_id", "as_of_date"], "left_semi")
 
 
-def holdings_view(holdings: DataFrame, instruments: DataFrame, portfolio_id: str | None = None, as_of: str | None = None, rating_below: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(holdings with their instruments, holdings whose instrument is missing); as_of None means each portfolio's latest date."""
+def holdings_view(holdings: DataFrame, instruments: DataFrame, portfolio_id: str | None = None, as_of: str | None = None, rating_below: str | None = None, rated_at_most: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(holdings with their instruments, strictly below a notch or at most at one if asked, holdings whose instrument is
+    missing); as_of None means each portfolio's latest date."""
     rows = holdings.where(F.col("portfolio_id") == portfolio_id) if portfolio_id is not None else holdings
     rows = rows.where(F.col("as_of_date") == F.lit(as_of).cast("date")) if as_of is not None else as_of_latest(rows)
     joined = rows.join(instruments, "instrument_id")
-    return (rated_below(joined, rating_below) if rating_below else joined), rows.join(instruments, "instrument_id", "left_anti")
+    joined = rated_below(joined, rating_below) if rating_below else joined
+    return (rated_at_or_below(joined, rated_at_most) if rated_at_most else joined), rows.join(instruments, "instrument_id", "left_anti")
 
 
 def exposure(rows: DataFrame, key: str = "portfolio_id") -> DataFrame:
@@ -138,12 +140,15 @@ def cite(clauses: DataFrame, chunks: DataFrame, clause_ids: DataFrame, chunk_ids
 
 def link_issuers(chunks: DataFrame, instruments: DataFrame, first: int = 20) -> DataFrame:
     """(document_id, instrument_id): the one instrument whose issuer's name, white space and case apart, stands in a
-    document's first chunks; none if several do. Instruments are few beside chunks; each name is looked for whole."""
+    document's first chunks, from the beginning of a word; none if several do. Names meet documents by their first word, and
+    a document's text only those names; words are letters and digits of any script."""
     plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
     head = chunks.where(F.col("ordinal") < first).groupBy("document_id").agg(plain(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_text"))), lambda x: x["chunk_text"]), " ")).alias("head"))
-    words = head.select("document_id", "head", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    names = instruments.select("instrument_id", plain(F.col("issuer_name")).alias("name")).withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0)).where("word <> ''")
-    found = words.join(names, "word").where(F.contains("head", F.col("name"))).select("document_id", "instrument_id").distinct()
+    word = r"[\p{L}\p{N}]+"
+    words = head.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit(word), F.lit(0)))).alias("word"))
+    names = instruments.select("instrument_id", plain(F.col("issuer_name")).alias("name")).withColumn("word", F.regexp_extract("name", word, 0)).where("word <> ''")
+    near = words.join(names, "word").groupBy("document_id").agg(F.collect_set(F.struct("instrument_id", "name")).alias("near"))
+    found = head.join(near, "document_id").select("document_id", "head", F.explode("near").alias("n")).where(F.contains("head", F.col("n.name"))).select("document_id", F.col("n.instrument_id").alias("instrument_id")).distinct()
     return found.groupBy("document_id").agg(F.count("*").alias("n"), F.min("instrument_id").alias("instrument_id")).where("n = 1").drop("n")
 
 
