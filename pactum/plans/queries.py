@@ -123,15 +123,15 @@ def instruments_by_name(spark, d):
     return portfolio.find_instruments(instruments(spark, d), name="RING").select("instrument_id")
 
 
-@query("""WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d0, CAST(l_shipdate AS DATE) AS d1, CAST(o_orderkey % 15 AS INTEGER) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1)
-SELECT o_orderkey, CASE WHEN k = 0 THEN d0 ELSE CAST([x for x in [d0 + CAST(i AS INTEGER) for i in range(1, 40)] if isodow(x) < 6][k] AS DATE) END AS due,
+@query("""WITH x AS (SELECT o_orderkey, l_linenumber, CAST(o_orderdate AS DATE) AS d0, CAST(l_shipdate AS DATE) AS d1, CAST(o_orderkey % 15 AS INTEGER) AS k FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT o_orderkey, l_linenumber, CASE WHEN k = 0 THEN d0 ELSE CAST([x for x in [d0 + CAST(i AS INTEGER) for i in range(1, 40)] if isodow(x) < 6][k] AS DATE) END AS due,
 CAST(CASE WHEN d1 >= d0 THEN len([x for x in [d0 + CAST(i AS INTEGER) for i in range(1, 1 + date_diff('day', d0, d1))] if isodow(x) < 6]) ELSE -len([x for x in [d1 + CAST(i AS INTEGER) for i in range(1, 1 + date_diff('day', d1, d0))] if isodow(x) < 6]) END AS INTEGER) AS business_days,
 d1 > CAST(d0 + 30 AS DATE) AS overdue, CAST(d0 + 14 AS DATE) AS grace_end, CAST(date_diff('day', d0, d1) AS INTEGER) AS days FROM x""")
 def obligation_clocks(spark, d):
     o, line = tables.read(spark, d, "orders", "lineitem")
-    x = o.join(line.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.to_date("o_orderdate").alias("d0"), F.to_date("l_shipdate").alias("d1"), (F.col("o_orderkey") % 15).cast("int").alias("k"))
+    x = o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", F.to_date("o_orderdate").alias("d0"), F.to_date("l_shipdate").alias("d1"), (F.col("o_orderkey") % 15).cast("int").alias("k"))
     a, b = F.col("d0"), F.col("d1")
-    return x.select("o_orderkey", dates.add_business_days(a, F.col("k")).alias("due"), dates.business_days_between(a, b).alias("business_days"), dates.is_overdue(dates.grace_period_end(a, F.lit(30)), b).alias("overdue"), dates.grace_period_end(a, F.lit(14)).alias("grace_end"), dates.days_until(b, a).alias("days"))
+    return x.select("o_orderkey", "l_linenumber", dates.add_business_days(a, F.col("k")).alias("due"), dates.business_days_between(a, b).alias("business_days"), dates.is_overdue(dates.grace_period_end(a, F.lit(30)), b).alias("overdue"), dates.grace_period_end(a, F.lit(14)).alias("grace_end"), dates.days_until(b, a).alias("days"))
 
 
 @query("SELECT l_partkey AS instrument_id, CAST(min(l_shipdate) FILTER (WHERE l_shipdate >= DATE '1999-06-16') AS DATE) AS next_call FROM lineitem GROUP BY 1")
@@ -501,7 +501,7 @@ def named_entities(spark, d):
 @query("SELECT doc_id AS document_id, doc_id AS instrument_id FROM documents WHERE doc_id % 3 > 0 AND doc_id IN (SELECT p_partkey FROM part)")
 def issuer_links(spark, d):
     k = F.col("doc_id")
-    head = table(spark, d, "documents").select(k.alias("document_id"), F.lit(0).alias("ordinal"), F.concat_ws(" ", F.substring("text", 1, 200), F.when(k % 3 > 0, F.concat(F.lit("Issuer\n  No"), k.cast("string"), F.lit("x  BERHAD")))).alias("chunk_text"))
+    head = table(spark, d, "documents").select(k.alias("document_id"), F.lit(0).alias("ordinal"), F.concat_ws(" ", "text", F.when(k % 3 > 0, F.concat(F.lit("Issuer\n  No"), k.cast("string"), F.lit("x  BERHAD")))).alias("chunk_text"))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("instrument_id"), F.concat(F.lit("No"), F.col("p_partkey").cast("string"), F.lit("x Berhad")).alias("issuer_name"))
     return portfolio.link_issuers(head, names)
 
@@ -564,9 +564,9 @@ def recent_queries(spark, d):
     return review.recent(table(spark, d, "events"), "ts", "event_id").select("event_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, o_orderkey IS NULL AS orphan FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0) o ON o_orderkey = l_orderkey WHERE l_linenumber < 3")
+@query("SELECT l_orderkey, l_linenumber, o_orderkey IS NULL AS orphan FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 > 0) o ON o_orderkey = l_orderkey")
 def covenants_with_clauses(spark, d):
-    covenants = table(spark, d, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("clause_id"), "l_linenumber")
+    covenants = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("clause_id"), "l_linenumber")
     shown, missing = portfolio.with_clauses(covenants, table(spark, d, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("clause_id")))
     return shown.withColumn("orphan", F.lit(False)).union(missing.withColumn("orphan", F.lit(True))).select(F.col("clause_id").alias("l_orderkey"), "l_linenumber", "orphan")
 
@@ -665,13 +665,13 @@ def persisted_rows(spark, d):
     return kinds[0].union(kinds[1]).union(kinds[2]).select(F.col("instrument_id").alias("k"), "kind")
 
 
-@query("SELECT count(*) FILTER (WHERE doc_id % 3 > 0) AS passed, count(*) AS questions, 1.0 AS refusal_precision, round(count(*) FILTER (WHERE doc_id % 6 = 2) / count(*) FILTER (WHERE doc_id % 2 = 0 AND doc_id % 3 <> 1), 9) AS refusal_recall FROM documents WHERE doc_id % 6 IN (0, 1, 2, 3, 5)")
+@query("SELECT count(*) FILTER (WHERE doc_id % 6 IN (1, 2, 5)) AS passed, count(*) AS questions, round(count(*) FILTER (WHERE doc_id % 6 = 2) / count(*) FILTER (WHERE doc_id % 6 IN (2, 3)), 9) AS refusal_precision, round(count(*) FILTER (WHERE doc_id % 6 = 2) / count(*) FILTER (WHERE doc_id % 2 = 0), 9) AS refusal_recall, round(count(*) FILTER (WHERE doc_id % 6 IN (0, 1, 4, 5) AND doc_id % 5 > 0) / count(*) FILTER (WHERE doc_id % 6 IN (0, 1, 4, 5)), 9) AS faithfulness FROM documents")
 def answer_scores(spark, d):
     k = F.col("doc_id")
-    rows = table(spark, d, "documents").where(k % 6 != 4)
+    rows = table(spark, d, "documents")
     golden = rows.select(k.alias("question_id"), F.array(F.lit("yes")).alias("must_contain"), F.lit(1).alias("min_citations"), (k % 2 == 0).alias("expect_refusal"))
-    given = rows.select(k.alias("question_id"), F.when(k % 3 == 0, "no").otherwise("oh Yes").alias("answer"), F.lit(2).alias("citations"), (k % 6 == 2).alias("refused"), F.lit(True).alias("faithful"))
-    return evaluation.answer_report(evaluation.score_answers(given, golden)).select("passed", "questions", "refusal_precision", F.round("refusal_recall", 9).alias("refusal_recall"))
+    given = rows.select(k.alias("question_id"), F.when(k % 3 == 0, "no").otherwise("oh Yes").alias("answer"), F.lit(2).alias("citations"), (k % 6).isin(2, 3).alias("refused"), (k % 5 > 0).alias("faithful"))
+    return evaluation.answer_report(evaluation.score_answers(given, golden)).select("passed", "questions", *[F.round(c, 9).alias(c) for c in ("refusal_precision", "refusal_recall", "faithfulness")])
 
 
 @query("SELECT p_partkey AS query_id, p_brand || '-' || p_partkey || 'qqq.pdf' AS filename FROM part WHERE p_partkey % 2 = 0")
@@ -688,11 +688,10 @@ def narrowed_rows(spark, d):
     return questions.narrowed(rows, rows.where("query_id = 1 and k % 2 = 0"), "k").select("k")
 
 
-@query("SELECT l_orderkey AS label_id, l_linenumber AS n FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS label_id, l_linenumber AS prediction_id FROM lineitem WHERE l_linenumber % 3 <> 0")
 def matched_labels(spark, d):
-    """Greedy one-to-one matching: each order's labels meet their own predictions best."""
-    line = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("label_id"), "l_linenumber", (F.col("l_orderkey") % 500).alias("group"))
-    other = line.select(F.col("label_id").alias("prediction_id"), "group")
-    scored = line.join(other, "group").withColumn("score", -F.abs(F.col("label_id") - F.col("prediction_id")))
-    kept = evaluation.greedy_matches(scored.select("group", "label_id", "prediction_id", "score"), ["group"]).where("label_id = prediction_id")
-    return kept.join(line.select("label_id", F.col("l_linenumber").alias("n")), "label_id").select("label_id", "n")
+    """Each order's lines are labels, two thirds of them predictions too: a line's own prediction has its page and number."""
+    k = F.col("l_linenumber")
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit("cross_default").alias("covenant_type"), k.alias("id"), k.alias("page_number"), *[(F.lit(None) if c != "threshold_amount" else F.lit(1000) * k).cast(kind).alias(c) for c, kind in rules.TERMS.items() if c != "severity"], F.lit(None).cast("string").alias("rating_agency"))
+    found = evaluation.match_covenants(line.withColumnRenamed("id", "label_id"), line.where(k % 3 != 0).withColumnRenamed("id", "prediction_id").withColumnRenamed("l_linenumber", "x"))
+    return found.where("score >= 5").select("document_id", "label_id", "prediction_id")

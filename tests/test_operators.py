@@ -222,7 +222,8 @@ def test_retrieval(spark):
 
 def test_evaluation(spark):
     scored = spark.createDataFrame([("d", 1, 1, 5), ("d", 1, 2, 5), ("d", 2, 1, 4), ("d", 2, 2, 1)], "document_id string, label_id int, prediction_id int, score int")
-    assert sorted((r.label_id, r.prediction_id) for r in evaluation.greedy_matches(scored, ["document_id"]).collect()) == [(1, 1), (2, 2)]
+    for most in (20_000, 0):
+        assert sorted((r.label_id, r.prediction_id) for r in evaluation.greedy_matches(scored, ["document_id"], most).collect()) == [(1, 1), (2, 2)]
     pairs = spark.createDataFrame([(D("100"), D("100.4")), (D("100"), D("102")), (None, D("1")), (D("1"), None), (None, None), (D("0"), D("0"))], "label_x decimal(20,4), prediction_x decimal(20,4)")
     got = evaluation.with_rates(evaluation.field_scores(pairs, {"x": "number"})).first()
     assert (got.tp, got.fp, got.fn) == (2, 2, 2) and got.f1 == 0.5
@@ -233,7 +234,8 @@ def test_evaluation(spark):
     answers = spark.createDataFrame([(1, "not more than 1.75 times", 2, False, True), (2, None, 0, True, None)], "question_id int, answer string, citations int, refused boolean, faithful boolean")
     report = evaluation.answer_report(evaluation.score_answers(answers, golden)).first()
     assert (report.passed, report.questions, report.refusal_precision, report.refusal_recall) == (2, 3, 1.0, 1.0)
-    tally = evaluation.citation_tally(spark.createDataFrame([(True, True), (True, False), (False, False), (False, False)], "reverified boolean, evidence_matched boolean")).first()
+    tally = evaluation.citation_tally(spark.createDataFrame([(True, True), (True, False), (False, False), (False, False)], "reverified boolean, evidence_matched boolean"), spark.range(2)).first()
+    assert tally.recall == 0.5
     assert (tally.verification_rate, tally.precision) == (0.5, 0.25)
 
 
@@ -285,6 +287,14 @@ def test_portfolio(spark):
     assert (own.quote_start, own.quote_end, own.covenants) == (4, 11, ["gearing_ratio"])
 
 
+def test_quotes_with_compatible_characters(spark):
+    """Ligatures and full-width letters in quotes too short to align, and where they stand in the chunk as it is."""
+    rows = [(1, "\ufb01nal amount", "The final  amount is due"), (2, "final amount", "The \ufb01nal amount is due"), (3, "\uff32\uff2d 5", "of RM 5 million"), (4, "\uff32\uff2d 6", "of RM 5 million"), (5, "caf\u00e9", None)]
+    got = {r.id: r for r in verify.verify(spark.createDataFrame(rows, "id int, quote string, chunk_text string")).collect()}
+    assert [got[k].method for k in (1, 2, 3, 4, 5)] == ["normalised", "normalised", "normalised", "not_found", "not_found"]
+    assert [rows[k - 1][2][got[k].char_start : got[k].char_end] for k in (1, 2, 3)] == ["final  amount", "\ufb01nal amount", "RM 5"]
+
+
 def test_questions(spark):
     asked = ["Which holdings trip their rating trigger?", "Should we buy it?", "How much NAV is below A?", "What is the gearing covenant?", "Which instruments are rated below AA3?", "Green Ijarah", ""]
     assert column(spark, asked, questions.intent) == ["covenant_breach_check", "unsupported", "portfolio_query", "covenant_lookup", "instrument_lookup", "instrument_lookup", "unsupported"]
@@ -304,17 +314,27 @@ def test_readable_columns_exist(name):
 
 
 def test_answers_by_intent(spark):
-    asked = spark.createDataFrame([(1, "what is our exposure by portfolio"), (2, "which instruments are rated below AAA"), (3, "what is the gearing covenant"), (4, "find the weather of kuala lumpur"), (5, "should we buy"), (6, "what is our exposure to weather")], "query_id int, question string")
-    names = spark.createDataFrame([("Green Sukuk",)], "name string")
-    instruments = portfolio.enrich(spark.createDataFrame([("i", "Green Sukuk", "A1")], "instrument_id string, instrument_name string, current_rating string"))
-    held = spark.createDataFrame([("p", "i", D(5)), ("p", "i", None)], "portfolio_id string, instrument_id string, market_value decimal(20,4)")
-    covenants = spark.createDataFrame([("c1", "gearing_ratio", "not more than 1.75 times", 3, 0.9)], "clause_id string, covenant_type string, source_quote string, page_number int, confidence double")
-    hits = spark.createDataFrame([(4, "h", "rain in kuala lumpur")], "query_id int, chunk_id string, chunk_text string")
-    got = {r.query_id: r for r in questions.answer(asked, names, instruments, held, covenants, hits).collect()}
-    assert got[1].answer == "p 5.0000" and got[1].confidence == 0.95 and not got[1].refused
-    assert got[2].answer == "Green Sukuk A1" and got[3].answer == "not more than 1.75 times p.3" and got[3].citations == 1 and got[3].confidence == 0.9
-    assert got[4].confidence == 0.55 and not got[4].refused
-    assert got[5].refused and got[6].refused and got[6].confidence == 0 and got[6].answer is None
+    said = ["what is our exposure by portfolio", "which instruments are rated below AA", "what is the gearing covenant", "find the weather of kuala lumpur", "should we buy", "what is our exposure to weather", "which instruments are rated below BBB", "is Blue Sukuk in breach", "which are in breach", "what is the exposure of Growth Fund rated below AA", "what is the negative pledge of Green Sukuk", "what is the cross default"]
+    asked = spark.createDataFrame(list(enumerate(said, 1)), "query_id int, question string")
+    instruments = spark.createDataFrame([("i", "Green Sukuk", None, "A1"), ("j", "Blue Sukuk", None, "AAA"), ("k", "Red Bond", None, "NR")], "instrument_id string, instrument_name string, issuer_name string, current_rating string")
+    funds = spark.createDataFrame([("p", "Growth Fund"), ("q", "Other Fund")], "portfolio_id string, name string")
+    held = spark.createDataFrame([("p", "i", D(5)), ("p", "i", None), ("q", "i", D(7)), ("q", "j", D(1))], "portfolio_id string, instrument_id string, market_value decimal(20,4)")
+    covenants = spark.createDataFrame([("c1", "i", "gearing_ratio", "not more than 1.75 times", 3, 0.9), ("c2", "j", "gearing_ratio", "not more than 2 times", 4, 0.8)], "clause_id string, instrument_id string, covenant_type string, source_quote string, page_number int, confidence double")
+    terms = spark.createDataFrame([("i", "c1", "rating_trigger", "AA", "high"), ("j", "c2", "rating_trigger", "AAA", "high"), ("k", "c3", "rating_trigger", "A", "high")], "instrument_id string, clause_id string, covenant_type string, trigger_rating string, severity string")
+    hits = spark.createDataFrame([(4, "h", "rain in kuala lumpur"), (11, "h", "a pledge")], "query_id int, chunk_id string, chunk_text string")
+    answers, scopes, lines = questions.answer(asked, instruments, funds, held, covenants, terms, instruments.select("instrument_id", "current_rating"), hits)
+    got = {r.query_id: r for r in answers.collect()}
+    text = {}
+    for r in scopes.join(lines, "scope").collect():
+        text.setdefault(r.query_id, set()).add(r.line)
+    assert text[1] == {"p 2 5.0000", "q 2 8.0000"} and got[1].confidence == 0.95 and not got[1].refused
+    assert text[2] == {"Green Sukuk A1"} and got[2].headline == "1 instrument(s) rated below AA." and 7 not in text and got[7].refused
+    assert text[3] == {"not more than 1.75 times p.3", "not more than 2 times p.4"} and got[3].citations == 2 and got[3].confidence == 0.8
+    assert text[4] == {"rain in kuala lumpur"} and got[4].confidence == 0.55 and not got[4].refused
+    assert all(got[k].refused and got[k].confidence == 0 and got[k].headline is None for k in (5, 6, 12))
+    assert got[8].headline == "No covenant breach(es), 0 not evaluated." and got[8].n_lines == 1 and got[8].citations == 1
+    assert got[9].headline == "1 covenant breach(es), 1 not evaluated." and got[9].n_lines == 2
+    assert text[10] == {"p 2 5.0000"} and got[11].confidence == 0.55 and text[11] == {"a pledge"}
 
 
 def test_book_and_backlogs(spark):
