@@ -7,7 +7,9 @@ need be listed. A group holds distinct fingerprints within two bits of its varia
 
 Before the balls, the same idea on part of the bits leaves out fingerprints that have no partner at all: of three thirds
 of the bits, one holds at least two of any four differing bits, so the other two thirds differ in two at most and share a
-variant within one bit. 132 short rows stand against 2,081 then, and only fingerprints that met another one go on.
+variant within one bit. 132 short rows stand against 2,081 then, and only fingerprints that met one within four bits go on:
+at billions of fingerprints most keys have chance company. Neighbours in a key's order are compared, as many as NEAR on
+either side; in a longer group all go on, so that no group is held or paired in a task and none is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pactum.llm.shared import materialize, slices
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 THIRDS = ((0, 21), (21, 42), (42, 64))
+#: Fingerprints before and after one in a key's order that it is compared with; one that has more goes on unseen.
+NEAR = 8
 
 
 def _signed(x: int) -> int:
@@ -71,16 +75,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_partners(fps: DataFrame) -> DataFrame:
-    """Of distinct fingerprints (fp), those that share a variant on two thirds of the bits with another one. The third
-    left out is told by its lowest bit; if keys of two thirds should meet, a fingerprint more goes on, none less."""
+    """Of distinct fingerprints (fp), those that share a variant on two thirds of the bits with another one within four bits,
+    or with more than can be compared. The third left out is told by its lowest bit; if keys of two thirds should meet, a
+    fingerprint more goes on, none less."""
     keys = F.array(*[
         F.col("fp").bitwiseAND(F.lit(_signed(((1 << 64) - 1) ^ ((1 << b) - (1 << a))))).bitwiseXOR(F.lit(flip ^ _signed(1 << a)))
         for a, b in THIRDS
         for flip in _flips([i for i in range(BITS) if not a <= i < b], RADIUS // 4)
     ])
-    met = Window.partitionBy("key")
+    met, fp = Window.partitionBy("key").orderBy("fp"), F.col("fp")
     rows = _spread(fps).select("fp", F.explode(keys).alias("key"))
-    return rows.select("fp", F.min("fp").over(met).alias("low"), F.max("fp").over(met).alias("high")).where("low <> high").select("fp").distinct()
+    company = rows.select("fp", "key", F.lag("fp").over(met).alias("before"), F.lead("fp").over(met).alias("after")).where("before is not null or after is not null").select("fp", "key")
+    around = [f("fp", k).over(met) for f in (F.lag, F.lead) for k in range(1, NEAR + 1)]
+    seen = company.select("fp", F.array(*around).alias("around"), (F.lag("fp", NEAR + 1).over(met).isNotNull() | F.lead("fp", NEAR + 1).over(met).isNotNull()).alias("many"))
+    close = F.coalesce(F.exists("around", lambda x: F.bit_count(x.bitwiseXOR(fp)) <= RADIUS), F.lit(False))
+    return seen.where(F.col("many") | close).select("fp").distinct()
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
