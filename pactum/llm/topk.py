@@ -4,7 +4,8 @@ Rows are dealt into blocks; for each attribute (component of the quantised vecto
 binary digit, over all its rows. A query's scores are sums of those slices, shifted by the digits of the query's own
 components and added with bitmap arithmetic (three bitmaps of one weight become one, and a carry of the next). The top
 rows are then read off from the most significant slice of the sums downward; rows that tie at the boundary are taken in
-order of vec_id. Every block meets every block of queries, and k rows for each query and block go on.
+order of vec_id. The queries are sent to the blocks, up to QUERY_BLOCK of them at once, so the index is shuffled once for
+as many queries; k rows for each query and block go on.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K, SCALE, ROW_BLOCK, QUERY_BLOCK = 10, 1024, 1 << 15, 128
+K, SCALE = 10, 1024
+#: Least and greatest number of rows of a block, between which it follows the partitions of a shuffle; queries that meet a
+#: block at once.
+LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 18, 1 << 14
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -108,7 +112,7 @@ def top_rows(sums: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([rows, ties[: max(0, k - len(rows))]])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", row_block: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query (a condition on vec_id) holds, the k other rows with
     the greatest inner product of quantised components, ties to the smaller vec_id, all if there are fewer.
 
@@ -118,6 +122,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     rows = quantised(vectors, id_col, vec_col)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("v")).select("vec_id", "v.dim", "v.x")
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    if row_block is None:
+        row_block = min(MOST_BLOCK, max(LEAST_BLOCK, n // int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     row_blocks, query_blocks = max(1, math.ceil(n / row_block)), max(1, math.ceil(m / query_block))
     packed = "dim int, block int, ids binary, low binary, digits int, slices binary"
 
