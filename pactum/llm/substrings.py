@@ -14,6 +14,7 @@ read the same exchange.
 from __future__ import annotations
 
 import math
+import secrets
 from itertools import compress
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import pack, text_bytes, unpack, window_hashes, word_hashes, word_spans
+from pactum.llm.shared import pack, strong_hashes, text_bytes, unpack, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
@@ -34,8 +35,9 @@ class _Batch:
         texts = table.column("text").combine_chunks()
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
         data, at = text_bytes(texts)
-        starts, ends, self.first = word_spans(data, at)
-        self.words = word_hashes(data, starts, ends)
+        self.data = data
+        self.begin, self.end, self.first = word_spans(data, at)
+        self.words = word_hashes(data, self.begin, self.end)
         n = np.diff(self.first)
         self.place = np.arange(len(self.words)) - np.repeat(self.first[:-1], n)
         self.left = np.repeat(n, n) - self.place
@@ -45,6 +47,12 @@ class _Batch:
         """Indexes of words that begin a run of n words in a text with a whole window."""
         return np.flatnonzero(self.long & (self.left >= n))
 
+    def second(self, starts: np.ndarray, window: int, key: int) -> np.ndarray:
+        """A hash of the windows at starts that shares nothing with their first one: other keys from the bytes on."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        return strong_hashes(word_hashes(self.data, self.begin, self.end, key), starts, window, key)
+
 
 def _rows(batch: int, hashes: np.ndarray, flags: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
     """One row for each bucket with its hashes (ascending, each once), a byte of flags for each, and extra bits."""
@@ -59,14 +67,16 @@ def _rows(batch: int, hashes: np.ndarray, flags: np.ndarray, buckets: int, extra
 
 
 _PACKED = [("bucket", pa.int64()), ("batch", pa.int64()), ("hashes", pa.binary()), ("flags", pa.binary()), ("extra", pa.binary())]
-_PACKED_DDL, _FOUND_DDL = "bucket bigint, batch bigint, hashes binary, flags binary, extra binary", "batch bigint, hashes binary"
+_PACKED_DDL, _FOUND_DDL = "bucket bigint, batch bigint, hashes binary, flags binary, extra binary", "batch bigint, hashes binary, extra binary"
 
 
 def _once(hashes: np.ndarray, marks: np.ndarray, extra: np.ndarray | None = None):
-    """Each hash once, ascending; flag 1: it occurs again, flag 2: one of its marks is set."""
-    order = np.argsort(hashes, kind="stable")
+    """Each hash (with its extra) once, ascending; flag 1: it occurs again, flag 2: one of its marks is set."""
+    order = np.argsort(hashes, kind="stable") if extra is None else np.lexsort((extra, hashes))
     sorted_ = hashes[order]
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, bool)
+    if extra is not None and len(sorted_):
+        new[1:] |= extra[order][1:] != extra[order][:-1]
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(sorted_)))
     marked = np.add.reduceat(marks[order].astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
@@ -78,7 +88,7 @@ def _match(table: pa.Table, need_mark: bool) -> pa.Table:
     batches, found = table.column("batch").to_pylist(), []
     hashes = [unpack(x) for x in table.column("hashes").to_pylist()]
     flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
-    extra = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint32)
+    extra = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint64)
     every = np.concatenate(hashes)
     order = np.lexsort((extra, every)) if len(extra) else np.argsort(every, kind="stable")
     sorted_ = every[order]
@@ -93,16 +103,20 @@ def _match(table: pa.Table, need_mark: bool) -> pa.Table:
     hit[order] = np.repeat(many, np.diff(np.append(at, len(sorted_))))
     start = 0
     for batch, own in zip(batches, hashes, strict=True):
-        kept = own[hit[start : start + len(own)]]
+        some = hit[start : start + len(own)]
+        if some.any():
+            found.append((batch, pack(own[some]), extra[start : start + len(own)][some].tobytes() if len(extra) else b""))
         start += len(own)
-        if len(kept):
-            found.append((batch, pack(kept)))
-    return pa.table({"batch": pa.array([x[0] for x in found], pa.int64()), "hashes": pa.array([x[1] for x in found], pa.binary())})
+    return pa.table({c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate((("batch", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary())))})
 
 
-def _found(table: pa.Table) -> np.ndarray:
+def _found(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes found for a batch, ascending, and their extras in the same order."""
     parts = [unpack(x) for x in table.column("hashes").to_pylist()]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    extra = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint64)
+    order = np.lexsort((extra, hashes)) if len(extra) else np.argsort(hashes, kind="stable")
+    return hashes[order], extra[order] if len(extra) else extra
 
 
 def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -111,6 +125,15 @@ def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[np.minimum(np.searchsorted(found, values), len(found) - 1)] == values
 
 
+def _both_among(values: np.ndarray, extra: np.ndarray, found: np.ndarray, found_extra: np.ndarray) -> np.ndarray:
+    """Whether each pair of values is one of the pairs found; first values are nearly always enough to tell."""
+    at, stop, hit = np.searchsorted(found, values, "left"), np.searchsorted(found, values, "right"), np.zeros(len(values), bool)
+    while (open_ := np.flatnonzero((at < stop) & ~hit)).size:
+        hit[open_] = found_extra[at[open_]] == extra[open_]
+        at[open_] += 1
+    return hit
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, carried columns under their names after an underscore) of every row.
 
@@ -118,9 +141,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     anywhere else (same text included) is removed; windows are judged on the input. kept has the other words, joined by
     one space; spans are the removed runs as (start, end) in words, end excluded. A null or wordless text has none, kept is
     empty. Rows with equal ids are separate texts, so repeated rows repeat each other. Windows count as equal if two
-    hashes of 64 and 32 bits are. carry names columns to hand on as they are. An empty table gives an empty result.
+    64-bit hashes are that share nothing, from the bytes on: a rolling one, and a multilinear one of which the keys are
+    drawn anew for each run. carry names columns to hand on as they are. An empty table gives an empty result.
     """
-    half = (window + 1) // 2
+    half, key = (window + 1) // 2, secrets.randbits(63)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     batches = max(1, math.ceil(size / batch_bytes))
@@ -134,9 +158,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return _rows(batch, *_once(hashes, one.place[at] % half == 0)[:2], buckets)
 
     def around(table: pa.Table, hits: pa.Table) -> pa.Table:
-        found = _found(hits)
+        found = _found(hits)[0]
         if not table.num_rows or not len(found):
-            return _rows(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8), buckets)
+            return _rows(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8), buckets, np.zeros(0, np.uint64))
         one, batch = _Batch(table, window), table.column("batch")[0].as_py()
         at = one.starts(half)
         at = at[_among(window_hashes(one.words, half)[at] >> np.uint64(16), found)]
@@ -145,16 +169,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         np.add.at(near, at + 1, -1)
         starts = one.starts(window)
         starts = starts[np.cumsum(near)[starts] > 0]
-        second = (window_hashes(one.words, window, 1)[starts] >> np.uint64(32)).astype(np.uint32)
-        hashes, flags, extra = _once(window_hashes(one.words, window)[starts], np.zeros(len(starts), bool), second)
+        hashes, flags, extra = _once(window_hashes(one.words, window)[starts], np.zeros(len(starts), bool), one.second(starts, window, key))
         return _rows(batch, hashes, flags, buckets, extra)
 
     def remove(table: pa.Table, hits: pa.Table) -> pa.Table:
-        one, found = _Batch(table, window), _found(hits)
+        one, (found, extra) = _Batch(table, window), _found(hits)
         gone = np.zeros(len(one.words) + 1, np.int64)
         if len(found):
             starts = one.starts(window)
-            starts = starts[_among(window_hashes(one.words, window)[starts], found)]
+            hashes = window_hashes(one.words, window)
+            starts = starts[_among(hashes[starts], found)]
+            starts = starts[_both_among(hashes[starts], one.second(starts, window, key), found, extra)]
             np.add.at(gone, starts, 1)
             np.add.at(gone, starts + window, -1)
         covered = np.cumsum(gone)[:-1] > 0
