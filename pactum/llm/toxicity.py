@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import materialize, mix, slices, text_bytes, word_hashes, word_spans
+from pactum.llm.shared import materialize, mix, prefix_hashes, slices, text_bytes, word_spans
 
 #: Texts that the curve is fitted on.
 MAX_CALIBRATION = 8000
@@ -29,7 +29,7 @@ CUT = 3
 STEMS = (6, 4)
 DISCOUNT, THRESHOLD = 0.75, 0.3
 #: Bytes of text that are scored at once, and whose expressions are gathered at once.
-SLICE, GATHERED = 2 << 20, 16 << 20
+SLICE, GATHERED = 1 << 20, 2 << 20
 #: How much the shared counts weigh, as a multiple of a class's own; how much of a toxic text its own model explains,
 #: the rest being ordinary; the power of the length that divides the difference of log-likelihoods.
 STRENGTH, MIXTURE, LENGTH_POWER = 0.01, 0.01, 1.0
@@ -45,7 +45,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, ...]:
     data, at = text_bytes(texts)
     data = _FOLD[data]
     starts, ends, first = word_spans(data, at)
-    return *(word_hashes(data, starts, np.minimum(ends, starts + k)) for k in (1 << 40, *STEMS)), first
+    *stems, words = prefix_hashes(data, starts, [*(np.minimum(ends, starts + k) for k in STEMS), ends])
+    return words, *stems, first
 
 
 def _before(words: np.ndarray, first: np.ndarray) -> np.ndarray:
