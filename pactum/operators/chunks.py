@@ -98,7 +98,8 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     char_start, char_end, chunk_text, chunk_type, language, fts_config, section_title, hash).
 
     Ordinals run over a document, after those in after(document_id, ordinal) if given: text that came later, as from
-    recognition of scans, is chunked the same way and numbered on. A null or blank page has no chunks."""
+    recognition of scans, is chunked the same way and numbered on. A null or blank page has no chunks. A page that stands
+    twice under one number is numbered twice, in either order."""
     text = F.col("page_text")
     tables = F.coalesce(F.col("tables"), F.array().cast(SPAN)) if "tables" in pages.columns else F.array().cast(SPAN)
     own = pages.select("document_id", "page_number", F.col(text_col).alias("page_text"), tables.alias("tables")).where(text.isNotNull())
@@ -106,18 +107,20 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     item = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"))
     prose = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("heads").alias("h")), lambda z: F.when(z["h"], F.array(item(z["b"], F.lit("heading")))).otherwise(F.transform(split_long(text, z["b"], most), lambda s: item(s, F.lit("paragraph"))))))
     items = F.array_sort(F.concat(F.transform("tables", lambda t: item(t, F.lit("table"))).cast(ITEM), prose.cast(ITEM)))
-    found = once(parts, "items", items).select("document_id", "page_number", "page_text", F.col("items"), F.posexplode(grouped(F.col("items"), most)).alias("place", "c"))
-    found = found.withColumns({"chunk_text": _cut(text, F.col("c.start"), F.col("c.end"))}).where(F.trim(F.regexp_replace("chunk_text", r"\s+", " ")) != "")
-    lead = F.element_at(F.filter("items", lambda i: i["start"] == F.col("c.start")), 1)
-    title = F.when(lead["kind"] == "heading", F.substring(F.trim(_cut(text, lead["start"], lead["end"])), 1, 512))
-    page = Window.partitionBy("document_id", "page_number").orderBy("place")
-    out = once(found, "language", language(F.col("chunk_text"))).withColumns({"section_title": F.last(title, ignorenulls=True).over(page), "fts_config": text_search_config(F.col("language"))})
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page_number", "place")) - 1
+    whole = once(once(parts, "items", items), "chunks", F.filter(grouped(F.col("items"), most), lambda c: F.trim(F.regexp_replace(_cut(text, c["start"], c["end"]), r"\s+", " ")) != ""))
+    # titles and ordinals are worked out by page, before pages become chunks: one shuffle, of pages by their document
+    lead = lambda c: F.element_at(F.filter("items", lambda i: i["start"] == c["start"]), 1)
+    own_titles = F.transform("chunks", lambda c: F.when(lead(c)["kind"] == "heading", F.substring(F.trim(_cut(text, lead(c)["start"], lead(c)["end"])), 1, 512)))
+    whole = once(whole, "titles", own_titles)
+    before = F.sum(F.size("chunks")).over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
+    whole = whole.withColumn("base", F.coalesce(before, F.lit(0)))
     if after is not None:
-        out = out.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("base")), "document_id", "left")
-        number = number + F.coalesce("base", F.lit(0))
+        whole = whole.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("first")), "document_id", "left").withColumn("base", F.col("base") + F.coalesce("first", F.lit(0)))
+    found = whole.select("document_id", "page_number", "page_text", "titles", "base", F.posexplode("chunks").alias("place", "c")).withColumn("chunk_text", _cut(text, F.col("c.start"), F.col("c.end")))
+    title = F.try_element_at(F.filter(F.slice("titles", 1, F.col("place") + 1), lambda t: t.isNotNull()), F.lit(-1))
+    out = once(found, "language", language(F.col("chunk_text")))
     key = F.sha2(F.concat_ws("|", F.col("page_number").cast("string"), F.col("c.start").cast("string"), F.col("c.end").cast("string"), F.col("chunk_text")), 256)
-    return out.select("document_id", "page_number", number.alias("ordinal"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), "chunk_text", F.col("c.kind").alias("chunk_type"), "language", "fts_config", "section_title", key.alias("hash"))
+    return out.select("document_id", "page_number", (F.col("base") + F.col("place")).cast("int").alias("ordinal"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), "chunk_text", F.col("c.kind").alias("chunk_type"), "language", text_search_config(F.col("language")).alias("fts_config"), title.alias("section_title"), key.alias("hash"))
 
 
 def span_violations(chunks: DataFrame, pages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -36,7 +36,8 @@ def hits(chunks: DataFrame) -> DataFrame:
     """Every pattern's matches in every chunk, in one scan: the chunk's columns, pattern_id, clause_type, covenant_type,
     confidence, holds, and the match m(raw, start, end)."""
     one = lambda name, pattern, clause, covenant, sure, holds: F.transform(matches(F.col("chunk_text"), "(?i)" + pattern), lambda m: F.struct(F.lit(name).alias("pattern_id"), F.lit(clause).alias("clause_type"), F.lit(covenant).cast("string").alias("covenant_type"), F.lit(sure).alias("confidence"), F.lit(holds).alias("holds"), m.alias("m")))
-    return chunks.withColumn("hit", F.explode(F.concat(*[one(*p) for p in PATTERNS]))).select(*chunks.columns, "hit.*")
+    some = F.col("chunk_text").rlike("(?i)" + "|".join(f"(?:{p[1]})" for p in PATTERNS))
+    return chunks.where(some).withColumn("hit", F.explode(F.concat(*[one(*p) for p in PATTERNS]))).select(*chunks.columns, "hit.*")
 
 
 def _find(text: Column, what: str, start: Column) -> Column:
@@ -102,14 +103,13 @@ def with_terms(found: DataFrame, agencies: DataFrame | None = None) -> DataFrame
 
 def drop_overlaps(found: DataFrame, key: str = "hash") -> DataFrame:
     """Of extractions of one clause and covenant type in a chunk that overlap, the most confident stays, then the first:
-    greedy, in that order, so one that only overlaps a dropped one stays too. A fold over each group's spans."""
+    greedy, in that order, so one that only overlaps a dropped one stays too. A fold over each group's spans, beside its rows."""
     rows = found.withColumn("_id", F.struct((-F.col("confidence")).alias("c"), "char_start", "char_end", "pattern_id", F.col("m.start").alias("at")))
-    ranked = F.array_sort(F.collect_list("_id"))
     clash = lambda kept, x: F.exists(kept, lambda k: (x["char_start"] < k["char_end"]) & (k["char_start"] < x["char_end"]))
     kind = rows.select("_id").schema["_id"].dataType.simpleString()
-    kept = rows.groupBy(key, "clause_type", "covenant_type").agg(F.aggregate(ranked, F.array().cast(f"array<{kind}>"), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x)))).alias("_kept"))
-    left = kept.select(key, "clause_type", F.col("covenant_type").alias("_type"), F.explode("_kept").alias("_id"))
-    return rows.join(left, [key, "clause_type", "_id"]).where(F.col("covenant_type").eqNullSafe(F.col("_type"))).drop("_id", "_type")
+    rows = rows.withColumn("_all", F.collect_list("_id").over(Window.partitionBy(key, "clause_type", "covenant_type")))
+    kept = F.aggregate(F.array_sort("_all"), F.array().cast(f"array<{kind}>"), lambda a, x: F.when(clash(a, x), a).otherwise(F.concat(a, F.array(x))))
+    return rows.where((F.size("_all") == 1) | F.exists(kept, lambda k: k == F.col("_id"))).drop("_id", "_all")
 
 
 def extract(chunks: DataFrame) -> DataFrame:

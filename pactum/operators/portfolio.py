@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions.dates import next_on_or_after
 from pactum.functions.ratings import normalise, rank
+from pactum.sources.tables import saved
 
 
 def enrich(instruments: DataFrame) -> DataFrame:
@@ -153,7 +154,8 @@ def link_issuers(chunks: DataFrame, instruments: DataFrame, first: int = 20) ->
 
 
 def page_of(rows: DataFrame, order: list, page: int, size: int = 50) -> DataFrame:
-    """One page of sorted rows, the number clamped to those there are; order ends with a unique key. Only the rows up to the
-    page are kept while sorting, and only their number comes to the driver."""
+    """One page of sorted rows, the number clamped to those there are; order ends with a unique key. The rows are worked out
+    once; only those up to the page are kept while sorting, and only their number comes to the driver."""
+    rows = saved(rows)
     last = max(1, -(-rows.count() // size))
     return rows.orderBy(*order).offset((min(max(page, 1), last) - 1) * size).limit(size)

@@ -12,16 +12,22 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
-    """(chunk_id, lexeme, tf)."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.explode(terms(F.col(text_col))).alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text", wanted: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, lexeme, tf); of the lexemes in wanted(lexeme) only, if it is given, so that other words are not shuffled."""
+    words = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(terms(F.col(text_col))).alias("lexeme"))
+    words = words if wanted is None else words.join(wanted, "lexeme", "left_semi")
+    return words.groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, lexeme) of queries(query_id, question), each once."""
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("lexeme"))
 
 
 def keyword_top(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """queries(query_id, question) -> (query_id, chunk_id, score, rank): any term may match, the score is a tenth of the
     matched occurrences, ties to the smaller chunk_id; a question without terms finds nothing."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("lexeme"))
-    scored = index.join(asked, "lexeme").groupBy("query_id", "chunk_id").agg((F.sum("tf") / 10).alias("score"))
+    scored = index.join(asked_terms(queries), "lexeme").groupBy("query_id", "chunk_id").agg((F.sum("tf") / 10).alias("score"))
     return _top(scored, k)
 
 
@@ -30,18 +36,24 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+
+
+def unit(e: Column) -> Column:
+    """A vector of length 1 in double precision, null for one without a direction."""
+    x = e.cast("array<double>")
+    norm = F.sqrt(dot(x, x))
+    return F.when(norm > 0, F.transform(x, lambda v: v / norm))
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None) -> DataFrame:
     """vectors(chunk_id, embedding, model), queries(query_id, embedding, model) -> the k most similar of the same model.
     Vectors are dealt into parts, the stated queries are sent to each part, and k rows for each query and part go on."""
     parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = vectors.select("chunk_id", "model", F.col("embedding").alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
-    right = queries.select("query_id", "model", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    scored = left.join(right, ["model", "part"]).select("query_id", "chunk_id", "part", cosine(F.col("v"), F.col("q")).alias("score")).where("score is not null")
+    left = vectors.select("chunk_id", "model", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
+    right = queries.select("query_id", "model", unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    scored = left.join(right, ["model", "part"]).select("query_id", "chunk_id", "part", dot(F.col("v"), F.col("q")).alias("score")).where("score is not null")
     near = Window.partitionBy("part", "query_id").orderBy(F.desc("score"), "chunk_id")
     return _top(scored.withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= k).drop("_k", "part"), k)
 

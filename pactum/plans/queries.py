@@ -204,7 +204,7 @@ def content_dedup(spark, d):
 @query()
 def document_chunks(spark, d):
     """Chunks of every document; SQL cannot express the greedy splits, tests hold them against a plain loop."""
-    docs = tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
+    docs = tables.spread(table(spark, d, "documents")).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text")
     return chunks.chunk(docs)
 
 
@@ -304,8 +304,8 @@ TOKENS = "regexp_extract_all(lower(text), '[0-9a-z]+')"
 s AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM i JOIN q USING (w) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT item_id AS query_id, doc_id AS chunk_id, CAST(hits / 10.0 AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
 def keyword_search(spark, d):
-    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text", retrieval.asked_terms(asked).select("lexeme").distinct())
     return retrieval.keyword_top(index, asked)
 
 
