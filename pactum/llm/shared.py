@@ -181,16 +181,21 @@ def strong_hashes(words: np.ndarray, starts: np.ndarray, n: int, key: int) -> np
     return mix(out, 7)
 
 
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes, unless they are few; unsqueeze() gives them back."""
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(data) if len(data) >= 128 else b"\0" + data
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]) if data[:1] == b"\1" else data[1:]
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Ascending uint64 values; many of them as compressed planes of the differences' bytes. unpack() gives them back."""
-    if len(values) < 128:
-        return b"\0" + values.astype("<u8").tobytes()
+    """Ascending uint64 values as squeezed planes of the differences' bytes; unpack() gives them back."""
     step = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return b"\1" + zstandard.ZstdCompressor(level=1).compress(step.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return squeeze(step.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"\0":
-        return np.frombuffer(data, "<u8", offset=1)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import pack, strong_hashes, text_bytes, unpack, window_hashes, word_hashes, word_spans
+from pactum.llm.shared import pack, squeeze, strong_hashes, text_bytes, tidy, unpack, unsqueeze, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
+#: Bits by which rolling hashes are shortened to 48.
+_LOST = np.uint64(16)
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
 
 
@@ -55,14 +57,14 @@ class _Batch:
 
 
 def _rows(batch: int, hashes: np.ndarray, flags: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
-    """One row for each bucket with its hashes (ascending, each once), a byte of flags for each, and extra bits."""
-    bucket = hashes % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    """One row for each bucket, a range of the 48-bit hashes, with its hashes (ascending, each once), flags for each, and
+    extra bits."""
+    bucket = (hashes >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(24)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     out: list[tuple] = []
     for b in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[b] : cuts[b + 1]]
-        out.append((int(b), batch, pack(hashes[own]), flags[own].tobytes(), b"" if extra is None else extra[own].tobytes()))
+        own = slice(cuts[b], cuts[b + 1])
+        out.append((int(b), batch, pack(hashes[own]), squeeze(flags[own].tobytes()), b"" if extra is None else extra[own].tobytes()))
     return pa.table({k: pa.array([x[i] for x in out], kind) for i, (k, kind) in enumerate(_PACKED)})
 
 
@@ -87,7 +89,7 @@ def _match(table: pa.Table, need_mark: bool) -> pa.Table:
     """For each batch of a bucket, those of its hashes that occur in two places, of which one is marked if need_mark."""
     batches, found = table.column("batch").to_pylist(), []
     hashes = [unpack(x) for x in table.column("hashes").to_pylist()]
-    flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
+    flags = np.frombuffer(b"".join(map(unsqueeze, table.column("flags").to_pylist())), np.uint8)
     extra = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint64)
     every = np.concatenate(hashes)
     order = np.lexsort((extra, every)) if len(extra) else np.argsort(every, kind="stable")
@@ -103,20 +105,27 @@ def _match(table: pa.Table, need_mark: bool) -> pa.Table:
     hit[order] = np.repeat(many, np.diff(np.append(at, len(sorted_))))
     start = 0
     for batch, own in zip(batches, hashes, strict=True):
-        some = hit[start : start + len(own)]
+        some, odd = hit[start : start + len(own)], np.zeros(len(own), bool)
         if some.any():
-            found.append((batch, pack(own[some]), extra[start : start + len(own)][some].tobytes() if len(extra) else b""))
+            rest = b""
+            if len(extra):  # a first hash that a batch has with two second ones does not tell which of them was found
+                twice = own[1:] == own[:-1]
+                odd[1:] |= twice
+                odd[:-1] |= twice
+                rest = own[some & odd].tobytes() + extra[start : start + len(own)][some & odd].tobytes()
+            found.append((batch, pack(own[some & ~odd]), rest))
         start += len(own)
+    tidy()
     return pa.table({c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate((("batch", pa.int64()), ("hashes", pa.binary()), ("extra", pa.binary())))})
 
 
-def _found(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes found for a batch, ascending, and their extras in the same order."""
+def _found(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes found for a batch, ascending; pairs of hashes, in ascending order, for those that are not enough alone."""
     parts = [unpack(x) for x in table.column("hashes").to_pylist()]
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    extra = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint64)
-    order = np.lexsort((extra, hashes)) if len(extra) else np.argsort(hashes, kind="stable")
-    return hashes[order], extra[order] if len(extra) else extra
+    odd = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table.column("extra").to_pylist()]
+    first, second = np.concatenate([*odd, np.zeros((2, 0), np.uint64)], axis=1)
+    order = np.lexsort((second, first))
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), first[order], second[order]
 
 
 def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -141,8 +150,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     anywhere else (same text included) is removed; windows are judged on the input. kept has the other words, joined by
     one space; spans are the removed runs as (start, end) in words, end excluded. A null or wordless text has none, kept is
     empty. Rows with equal ids are separate texts, so repeated rows repeat each other. Windows count as equal if two
-    64-bit hashes are that share nothing, from the bytes on: a rolling one, and a multilinear one of which the keys are
-    drawn anew for each run. carry names columns to hand on as they are. An empty table gives an empty result.
+    hashes are that share nothing, from the bytes on: 48 bits of a rolling one, and 64 of a multilinear one of which the
+    keys are drawn anew for each run. carry names columns to hand on as they are. An empty table gives an empty result.
     """
     half, key = (window + 1) // 2, secrets.randbits(63)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
@@ -154,7 +163,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def anchors(table: pa.Table) -> pa.Table:
         one, batch = _Batch(table, window), table.column("batch")[0].as_py()
         at = one.starts(half)
-        hashes = window_hashes(one.words, half)[at] >> np.uint64(16)
+        hashes = window_hashes(one.words, half)[at] >> _LOST
         return _rows(batch, *_once(hashes, one.place[at] % half == 0)[:2], buckets)
 
     def around(table: pa.Table, hits: pa.Table) -> pa.Table:
@@ -163,23 +172,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return _rows(0, np.zeros(0, np.uint64), np.zeros(0, np.uint8), buckets, np.zeros(0, np.uint64))
         one, batch = _Batch(table, window), table.column("batch")[0].as_py()
         at = one.starts(half)
-        at = at[_among(window_hashes(one.words, half)[at] >> np.uint64(16), found)]
+        at = at[_among(window_hashes(one.words, half)[at] >> _LOST, found)]
         near = np.zeros(len(one.words) + 1, np.int64)
         np.add.at(near, np.maximum(at - half + 1, at - one.place[at]), 1)
         np.add.at(near, at + 1, -1)
         starts = one.starts(window)
         starts = starts[np.cumsum(near)[starts] > 0]
-        hashes, flags, extra = _once(window_hashes(one.words, window)[starts], np.zeros(len(starts), bool), one.second(starts, window, key))
+        hashes, flags, extra = _once(window_hashes(one.words, window)[starts] >> _LOST, np.zeros(len(starts), bool), one.second(starts, window, key))
         return _rows(batch, hashes, flags, buckets, extra)
 
     def remove(table: pa.Table, hits: pa.Table) -> pa.Table:
-        one, (found, extra) = _Batch(table, window), _found(hits)
+        one, (found, first, second) = _Batch(table, window), _found(hits)
         gone = np.zeros(len(one.words) + 1, np.int64)
-        if len(found):
+        if len(found) or len(first):
             starts = one.starts(window)
-            hashes = window_hashes(one.words, window)
-            starts = starts[_among(hashes[starts], found)]
-            starts = starts[_both_among(hashes[starts], one.second(starts, window, key), found, extra)]
+            hashes = window_hashes(one.words, window) >> _LOST
+            sure, open_ = starts[_among(hashes[starts], found)], starts[_among(hashes[starts], first)]
+            open_ = open_[_both_among(hashes[open_], one.second(open_, window, key), first, second)]
+            starts = np.concatenate([sure, open_])
             np.add.at(gone, starts, 1)
             np.add.at(gone, starts + window, -1)
         covered = np.cumsum(gone)[:-1] > 0
