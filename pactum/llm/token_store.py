@@ -1,9 +1,10 @@
 """Token ids in a content-addressed store.
 
 Texts become ids; a rolling hash over the ids cuts each document into chunks wherever its low bits are zero, so equal
-passages give equal chunks. A chunk is kept once, under the SHA-256 of its
-ids as bytes; a document is a recipe, the list of its
-chunks; a manifest is a Merkle tree over the recipes in ascending order of doc_id. Three Parquet tables below one folder:
+passages give equal chunks. A chunk is kept once, under the SHA-256 of its ids as bytes; a document is a recipe, the list
+of its chunks; a manifest is a Merkle tree over the recipes in ascending order of doc_id. Documents are read back only if
+the recipes still have the manifest's digests, and a chunk only if it has its own. A task sends each chunk on once, so a
+passage that all documents share is as many short rows as there are tasks. Three Parquet tables below one folder:
 
 chunks   digest, n, payload (the ids as little-endian 16 or 32-bit unsigned integers, compressed with zstd)
 recipes  doc_id, start, n_tokens, digests, lengths, shard, place; sorted by doc_id within shards, shards in order
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from pactum.llm.shared import mix, shared_folder, slices
 
 #: Ids that decide a cut; mean distance of cuts; least and greatest length of a chunk.
-SPAN, MEAN, LEAST, MOST = 16, 512, 128, 4096
-#: Words whose ids a worker keeps; beyond it starts anew.
-KEPT_WORDS = 400_000
+SPAN, MEAN, LEAST, MOST = 16, 1024, 256, 8192
+#: Words whose ids a worker keeps, twice: when as many are new, those not met since the last time are let go.
+KEPT_WORDS = 600_000
 BLOCK = 1024
 
 _tokenizers: dict[tuple[str, str], _Words] = {}
@@ -39,6 +40,8 @@ _SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in
 
 
 _ID = attrgetter("id")
+#: Signs that end words; the apostrophe, which the tokenizer treats by what follows, is none of them.
+_SIGNS = b".,;:!?*%&$#\")]}-"
 
 
 class _Words(dict):
@@ -52,39 +55,54 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.runs, self.code = Tokenizer.from_file(path), {}, code
+        self.library, self.code = Tokenizer.from_file(path), code
+        self.runs, self.old, self.old_runs, self.signs = {}, {}, {}, {}
         self.tokenize = self.library.model.tokenize
         self.plain = _splits_runs(self.library)
-        self.signs = {s: self.whole(s) for s in ".,"}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, run: str) -> bytes:
+    def letters(self, run: bytes) -> bytes:
         """Ids of a lower-case run of letters."""
-        got = self.runs.get(run)
+        got = self.old_runs.get(run)
         if got is None:
             if run.isascii():
-                got = array(self.code, map(_ID, self.tokenize(run))).tobytes()
-            elif max(run) < "\u0250":
-                got = array(self.code, map(_ID, self.tokenize(run.encode().decode("latin-1").translate(_SHOWN)))).tobytes()
+                got = array(self.code, map(_ID, self.tokenize(run.decode()))).tobytes()
             else:
-                got = self.whole(run)
-            self.runs[run] = got
+                got = array(self.code, map(_ID, self.tokenize(run.decode("latin-1").translate(_SHOWN)))).tobytes()
+        self.runs[run] = got
+        return got
+
+    def signed(self, tail: bytes) -> bytes:
+        """Ids of a run of signs at the end of a word."""
+        got = self.signs.get(tail)
+        if got is None:
+            if len(self.signs) > KEPT_WORDS:
+                self.signs.clear()
+            got = self.signs[tail] = self.whole(tail.decode())
         return got
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.runs.clear()
-        text = word.decode()
-        low = text.lower()
-        if self.plain and low.isalpha() and (low.isascii() or max(text) < "\u0250"):
-            got = self.letters(low)
-        elif self.plain and low[-1] in ".," and (stem := low[:-1]).isalpha() and (low.isascii() or max(text) < "\u0250"):
-            got = self.letters(stem) + self.signs[low[-1]]
-        else:
-            got = self.whole(text)
+        got = self.old.get(word)
+        if got is None:
+            if len(self) > KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
+                self.runs, self.old_runs = {}, self.runs
+            stem = word if word.isalpha() else word.rstrip(_SIGNS)  # of bytes: ASCII letters
+            if stem.isalpha():
+                low = stem.lower()
+            else:
+                text = stem.decode()
+                low = text.lower()
+                low = low.encode() if low.isalpha() and max(text) < "\u0250" else b""
+            if low and self.plain:
+                got = self.runs.get(low) or self.letters(low)
+                if len(stem) < len(word):
+                    got += self.signed(word[len(stem) :])
+            else:
+                got = self.whole(word.decode())
         self[word] = got
         return got
 
@@ -94,7 +112,7 @@ def _splits_runs(library) -> bool:
     tokenizer's words go through all of its steps."""
     of = lambda x: library.encode(x, add_special_tokens=False).ids
     direct = lambda x: [t.id for t in library.model.tokenize(x.encode().decode("latin-1").translate(_SHOWN))]
-    return all(of(x + s) == direct(x.lower()) + of(s) == of(x.lower()) + of(s) for x in ("Word", "\xc9t\xe9", "stra\xdfenbahnen", "a") for s in ".,")
+    return all(of(x + s) == direct(x.lower()) + of(s) == of(x.lower()) + of(s) for x in ("Word", "\xc9t\xe9", "stra\xdfenbahnen", "a") for s in (".", ",", "***", ".&&", ")-", "]:"))
 
 
 def encode_texts(texts: list[str], path: str, end_id: int, code: str = "I") -> list[np.ndarray]:
@@ -132,13 +150,14 @@ _HASHES = mix(np.arange(1 << 16, dtype=np.uint64))
 
 
 def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
-    """(kind, k, n, payload, recipe): a chunk row for each chunk that its batch holds first, a recipe row for each document."""
+    """(kind, k, n, payload, recipe): a chunk row for each chunk that its task meets first, a recipe row for each document,
+    under a digest of its id and chunks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        seen: set[bytes] = set()  # digests of a task's chunks: some 32 bytes for each 500 ids of its part of the texts
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                seen: set[bytes] = set()
                 keys, ns, payloads, recipes, kinds = [], [], [], [], []
                 press = zstandard.ZstdCompressor(level=1)
                 encoded = encode_texts([x or "" for x in part.column(1).to_pylist()], path, end_id, "I" if wide else "H")
@@ -160,7 +179,7 @@ def _chunked(docs: DataFrame, path: str, end_id: int, wide: bool) -> DataFrame:
                             recipes.append(None)
                             kinds.append("chunk")
                         start = end
-                    keys.append(str(doc_id).encode())
+                    keys.append(hashlib.sha256(f"{doc_id}|".encode() + b"".join(digests)).digest())
                     ns.append(len(ids))
                     payloads.append(None)
                     recipes.append({"doc_id": doc_id, "digests": digests, "lengths": lengths})
@@ -183,11 +202,13 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, i
     once = rows.groupBy("kind", "k", "recipe").agg(F.first("payload").alias("payload"), F.first("n").alias("n"), F.count("*").alias("copies"))
     once.write.partitionBy("kind").parquet(f"{folder}/parts")
     written = spark.read.schema(once.schema).parquet(f"{folder}/parts")
-    recipes = written.where("kind = 'recipe'").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("recipe.*", F.col("n").alias("n_tokens"))
-    recipes.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "digests").withColumn("shard", F.spark_partition_id()).write.parquet(f"{folder}/sorted")
+    recipes = written.where("kind = 'recipe'").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("recipe.*", F.col("n").alias("n_tokens"), "copy")
+    order = ["doc_id", "tie", "digests", "copy"]  # the rows of one id, and copies, may fill many shards
+    recipes = recipes.withColumn("tie", F.xxhash64("digests"))
+    recipes.repartitionByRange(parts, "doc_id", "tie", "copy").sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id()).write.parquet(f"{folder}/sorted")
     ordered = spark.read.schema(recipes.withColumn("shard", F.lit(0)).schema).parquet(f"{folder}/sorted")
     shards = ordered.groupBy("shard").agg(F.sum("n_tokens").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    row = Window.partitionBy("shard").orderBy("doc_id", "digests")
+    row = Window.partitionBy("shard").orderBy(*order)
     placed = ordered.join(F.broadcast(shards.select("shard", "base")), "shard").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(row) - 1)
     placed.select("doc_id", "start", "n_tokens", "digests", "lengths", "shard", "place").write.parquet(f"{folder}/recipes")
     manifest(read_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
@@ -222,6 +243,12 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
     return kept.exceptAll(now).union(now.exceptAll(kept))
 
 
+def checked(spark: SparkSession, folder: str) -> None:
+    """An error if the recipes are not those that the manifest was made of."""
+    if not verify(spark, folder).isEmpty():
+        raise ValueError(f"the recipes in {folder} do not match their manifest")
+
+
 def _ids(digest: bytes, n: int, payload: bytes) -> np.ndarray:
     """A chunk's ids; an error if they are not what the digest names."""
     data = zstandard.ZstdDecompressor().decompress(payload)
@@ -231,7 +258,8 @@ def _ids(digest: bytes, n: int, payload: bytes) -> np.ndarray:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, put together from its chunks."""
+    """(doc_id, start, n_tokens, ids) of every document, put together from its chunks once the manifest is found right."""
+    checked(spark, folder)
 
     def run(batches):
         for batch in batches:
@@ -282,7 +310,9 @@ def shift_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 def document_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document as the store holds it: the CRC-32 of its ids as little-endian
-    32-bit integers. Each chunk is read once and checked against its digest; only its CRC and length meet the recipes."""
+    32-bit integers. The recipes are held against the manifest first, each chunk is read once and checked against its
+    digest, and a document against its number of ids; only CRC and length of a chunk meet the recipes."""
+    checked(spark, folder)
 
     def sums(batches):
         for batch in batches:
@@ -297,8 +327,10 @@ def document_digests(spark: SparkSession, folder: str) -> DataFrame:
     lengths = F.col("lengths")
     pieces = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", F.transform(lengths, lambda x, i: F.aggregate(F.slice(lengths, i + 2, F.size(lengths)), F.lit(0).cast("long"), lambda a, b: a + b)).alias("tails"))).alias("seq", "piece"))
     pieces = pieces.select("doc_id", "start", "n_tokens", F.col("piece.digests").alias("digest"), (F.col("piece.tails") * 4).alias("tail"))
-    joined = pieces.join(read_chunks(spark, folder).mapInArrow(sums, "digest binary, n bigint, crc bigint"), "digest").select("doc_id", "start", "n", "crc", "tail")
-    return joined.mapInArrow(shifted, joined.schema).groupBy("doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    joined = pieces.join(read_chunks(spark, folder).mapInArrow(sums, "digest binary, n bigint, crc bigint"), "digest", "left").select("doc_id", "start", "n_tokens", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), "tail")
+    whole = joined.mapInArrow(shifted, joined.schema).groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
+    n = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error(F.lit("a document lacks chunks")).cast("bigint"))
+    return whole.select("doc_id", "start", n.alias("n_tokens"), "ids_crc32")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
