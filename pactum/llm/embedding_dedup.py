@@ -32,7 +32,7 @@ DEGREE, SLACK, BEAM = 16, 1.2, 24
 #: Rows of a cell that are dealt at once; visitors that search a shard at once; queries of a search that share arrays.
 SALT_ROWS, VISITORS, BLOCK = 8192, 1024, 256
 #: Radians by which a pivot may be farther than the second nearest and is visited still.
-NEARLY = 0.035
+NEARLY = 0.015
 #: Vectors that the audit compares with all rows of their label, and the least recall that passes.
 AUDITED, LEAST_RECALL = 100, 0.9
 
