@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import shutil
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pactum.llm import byte_bpe, components, embedding_dedup, html_text, licences, mixing, simhash, substrings, token_store, topk, toxicity
+from pactum.llm.shared import window_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside stand beside the ones they are asked to read.
@@ -117,6 +119,21 @@ def test_substrings(docs, rows, batch_bytes):
     assert substrings.repeats(docs.limit(0)).count() == 0
 
 
+def test_op6_tells_windows_of_one_rolling_hash_apart(docs, rows, monkeypatch):
+    """With rolling hashes of two bits the second hash decides everything."""
+    monkeypatch.setattr(substrings, "window_hashes", lambda words, n: window_hashes(words, n) & np.uint64(3 << 62))
+    one = substrings._Batch(pa.table({"text": [t for _, t, _ in rows]}), 35)
+    starts = one.starts(35)
+    first, second = substrings.window_hashes(one.words, 35)[starts] >> np.uint64(16), one.second(starts, 35, 9)
+    h, flags, extra = substrings._once(first, np.zeros(len(starts), bool), second)
+    table = substrings._rows(4, h, flags, 3, extra)
+    hits = [substrings._match(table.slice(k, 1), False) for k in range(table.num_rows)]
+    found, a, b = substrings._found(pa.concat_tables(hits))
+    got = set(starts[substrings._both_among(first, second, a, b)]) | set(starts[substrings._among(first, found)])
+    counts = Counter(second.tolist())
+    assert got == {s for s, x in zip(starts, second.tolist(), strict=True) if counts[x] > 1} and len(a) > 10
+
+
 def test_byte_bpe(docs, rows, spark):
     import tiktoken
 
@@ -158,11 +175,49 @@ def test_token_store(docs, rows, spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.ids) for r in token_store.read_documents(spark, folder).collect()) == sorted(expected)
     assert token_store.verify(spark, folder).count() == 0
     assert token_store.read_chunks(spark, folder).groupBy("digest").count().where("count > 1").count() == 0
+    recipes = token_store.read_recipes(spark, folder)
+    damaged = f"file://{tmp_path}/damaged"
+    shutil.copytree(f"{tmp_path}/store", f"{tmp_path}/damaged")
+    recipes.withColumn("start", F.col("start") + F.when(F.col("doc_id") == 12, 1).otherwise(0)).write.mode("overwrite").parquet(f"{damaged}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.document_digests(spark, damaged)
+    recipes.where("doc_id <> 12").write.mode("overwrite").parquet(f"{damaged}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_documents(spark, damaged)
+    recipes.write.mode("overwrite").parquet(f"{damaged}/recipes")
+    parts = spark.read.parquet(f"{folder}/parts").where("kind = 'chunk'")
+    parts.where(F.col("k") != parts.orderBy("k").first()["k"]).write.mode("overwrite").parquet(f"{damaged}/parts/kind=chunk")
+    with pytest.raises(Exception, match="lacks chunks"):
+        token_store.document_digests(spark, damaged).collect()
     empty = f"file://{tmp_path}/empty"
     token_store.write_store(docs.limit(0), empty, path)
     assert token_store.document_digests(spark, empty).count() == 0
 
 
+def test_token_store_words_and_wide_ids(spark, tmp_path, monkeypatch):
+    """Words of every kind against the library, while the kept ones are let go; repeated and null ids; ids of 32 bits."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 50)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(6)
+    pieces = ["ab", "Stra\xdfe", "\xc9t\xe9", "it's", "***", ".&", "x9", "'d", "-", ")", "\u0130", "e\u0301", "\u65e5", "\u00aa", "\u00b2", "\u00a0", "_", "#", "don", "\u01c5"]
+    texts = [" ".join("".join(rng.choice(pieces, int(rng.integers(1, 5)))) for _ in range(40)) for _ in range(200)]
+    for text, ids in zip(texts, token_store.encode_texts(texts, path, 1), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], text
+    rows = [(None if k % 3 else 7, texts[k % 30]) for k in range(90)]
+    folder = f"file://{tmp_path}/wide"
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), folder, path, end_id=70_000)
+    got = token_store.document_digests(spark, folder).collect()
+    expected = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in rows for x in [[*library.encode(t, add_special_tokens=False).ids, 70_000]]]
+    assert sorted(((r.doc_id is not None, r.n_tokens, r.ids_crc32) for r in got)) == sorted((i is not None, n, c) for i, n, c in expected)
+    starts, at = sorted((r.start, r.n_tokens, r.doc_id is not None) for r in got), 0
+    for start, n, _ in starts:
+        assert start == at
+        at += n
+    assert [x[2] for x in starts] == sorted(x[2] for x in starts)
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
@@ -210,10 +265,10 @@ def sound(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("limits", [(250, 600), (10, 20)])
+@pytest.mark.parametrize("limits", [(250, 600, 8), (10, 20, 8), (10, 20, 0)])
 def test_embedding_dedup(spark, limits, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL", limits[0])
-    monkeypatch.setattr(embedding_dedup, "SHARD", limits[1])
+    for name, value in zip(("CELL", "SHARD", "LEVELS"), limits, strict=True):
+        monkeypatch.setattr(embedding_dedup, name, value)
     rows = vectors_of(spark)
     table = spark.createDataFrame(rows, VECTORS)
     exact = {i: np.array(np.array(v, np.float32), float) if sound(v) and label is not None else None for i, v, label, *_ in rows}
@@ -235,6 +290,38 @@ def test_embedding_dedup(spark, limits, monkeypatch):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_audit_stops_a_run_that_misses_links(spark, monkeypatch):
+    table = spark.createDataFrame(vectors_of(spark), VECTORS)
+    assert embedding_dedup.audited(table).count() == table.count()
+    monkeypatch.setattr(embedding_dedup, "near_duplicates", lambda v, cosine: v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    with pytest.raises(RuntimeError, match="recall"):
+        embedding_dedup.audited(table)
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense", "copies"])
+def test_embedding_recall_by_density(spark, kind):
+    """One label with 2,500 vectors: in all directions with pairs of near copies, close together without near copies, and
+    1,500 near copies of one vector, which no shard holds."""
+    rng = np.random.default_rng(4)
+    if kind == "sparse":
+        base = rng.normal(size=(1250, 32))
+        x = np.concatenate([base, base + 0.12 * rng.normal(size=base.shape)])
+    elif kind == "dense":
+        x = rng.normal(size=32) * 1.8 + rng.normal(size=(2500, 32)) * 0.7
+    else:
+        x = np.concatenate([rng.normal(size=32) + 0.085 * rng.normal(size=(1500, 32)), rng.normal(size=(1000, 32))])
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, 0)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    true = (sims >= 0.98).sum(1)
+    links = np.array([got[k].n_links for k in range(len(x))])
+    assert (links <= true).all() and links.sum() >= 0.99 * true.sum()
+    if kind != "dense":
+        assert true.sum() > 1000 and links.sum() >= 0.999 * true.sum()
+
+
 @pytest.mark.parametrize("block", [1 << 15, 64])
 def test_topk(spark, block):
     rows = vectors_of(spark) + [(r[0] + 5000, r[1], *r[2:]) for r in vectors_of(spark)[:40]]
@@ -276,16 +363,129 @@ def test_html_text(spark):
     assert html.unescape("&am") == "&am"
 
 
+@pytest.mark.parametrize(("page", "expected"), [
+    ("<body class='has-sidebar'><article><p>Text here</p></article></body>", "Text here"),
+    ("<body class='menu-open'><article><p>Text here</p></article></body>", "Text here"),
+    ("<body class='single right-sidebar'><div class='content with-sidebar'><p>Hello</p><div class='sidebar'>Links</div></div>", "Hello"),
+    ("<article class='post comments-open'><p>A</p></article>", "A"),
+    ("<article><p>Text</p><section class='related-work'><p>Work</p></section><div class='banner-history'><p>History</p></div></article>", "Text\n\nWork\n\nHistory"),
+    ("<div id='comments-policy'><article><p>Policy</p></article></div>", "Policy"),
+    ("<article><p>Let <math><mi>x</mi></math> be one</p></article>", "Let x be one"),
+    ("<article><p>Read <a class='share-button'>Share this</a> on</p></article>", "Read on"),
+    ("<article><p>The article</p></article><article class='teaser'><p>Tease</p></article>", "The article"),
+    ("<main><p>Long text of main stands here.</p><article><p>card</p></article></main>", "Long text of main stands here."),
+    ("<div class='sidebar'><p>only text</p></div>", "only text"),
+    ("<article><p>Text</p></article><section class='comments'><article><p>" + "Reader " * 50 + "</p></article></section>", "Text"),
+    ("<div class='siteMenu'>Menu</div><div class='ad-box'>Buy</div><p>Text</p><div class='cookie-notice'>Cookies</div><div class='related-posts'><article><p>Other</p></article></div>", "Text"),
+    ("<div>" * 2000 + "<p>Deep</p>", "Deep"),
+])
+def test_html_names(page, expected):
+    assert html_text.page_text(page) == expected
+
+
+def test_html_style_tree(spark):
+    """Importance recomputed from the pages' parse, branch by branch; pages with equal blocks count once."""
+    shared = '<div class="box"><div class="x7">Same words on all pages</div></div>'
+    rows = [(k, f"http://h.example/{k}", f"<body><div class=top>Shop {k % 3}</div><div id=c{k}><p>Story {k}</p><p>{k % 4}</p></div>{shared if k % 2 else '<ul><li>a<li>b</ul>'}</body>") for k in range(20)]
+    rows += [(30, "http://h.example/copy", rows[0][2]), (31, "http://other.example/", rows[1][2])]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.node): (r.pages, r.importance) for r in html_text.style_tree(html_text.parse(table)).collect()}
+    expected = {}
+    for host in ("h.example", "other.example"):
+        pages = [html_text._Page(x) for x in dict.fromkeys(h for _, u, h in rows if host in u)]
+        for node in {n for p in pages for b in p.blocks for n in b[1]}:
+            own = [p for p in pages if node in p.styles]
+            styles, texts = Counter(tuple(p.styles[node]) for p in own), Counter((b[1], b[0]) for p in own for b in {(x[0], x[1]): x for x in p.blocks}.values() if node in b[1])
+            if len(own) < 2:
+                expected[host, node] = (len(own), 1.0)
+                continue
+            m = np.log(len(own))
+            style = sum(-c / len(own) * np.log(c / len(own)) for c in styles.values()) / m
+            content = 1 - sum(c * np.log(c) for c in texts.values()) / sum(texts.values()) / m
+            left = html_text.GAMMA ** len(styles)
+            expected[host, node] = (len(own), (1 - left) * style + left * content)
+    assert got.keys() == expected.keys()
+    for k, (pages, importance) in expected.items():
+        assert got[k][0] == pages and abs(got[k][1] - importance) < 1e-9
+    out = {r.page_id: r for r in html_text.extract(table).collect()}
+    assert out[1].text == "Shop 1\n\nStory 1\n\n1" and out[1].n_low == 1 and out[31].n_low == 0
+
+
+def test_html_low_branches_by_join_or_broadcast(spark, monkeypatch):
+    shared = "<div class=box>Same words on all pages</div>"
+    rows = [(k, f"http://h{k % 2}.example/{k}", f"<body><div id=c><p>Story {k}</p></div>{shared}</body>") for k in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = sorted(map(tuple, html_text.extract(table).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, html_text.extract(table).collect())) == first and first[0][2] == "Story 0"
+
+
 def test_licences(spark, rows):
-    found = [t for _, t in licences.TEMPLATES]
-    extra = [(200 + k, f"some words here\n{t}\nmore words", "s") for k, t in enumerate(found)] + [(300, "Licensed under the Frobnicator Vendor License, which has terms of its own you must read.", "s")]
-    got = {r.doc_id: r for r in licences.document_licences(docs_of(spark, rows + extra)).collect()}
-    for k, (family, _) in enumerate(licences.TEMPLATES):
-        assert got[200 + k].licences == family, (family, got[200 + k])
-    assert all(got[i].licences == "" and got[i].n_unknown == 0 for i, _, _ in rows) and got[300].n_confirmed == 0
+    known = {f"{f} {k}": (f, t) for f, k, t in licences.templates()}
+    prose = "It was late and the two of them had been walking along the river for hours without a word. "
+    extra = [(200 + k, f"some words here\n{t}\nmore words", "s") for k, (_, t) in enumerate(known.values())] + [(600 + k, f"{prose}{t} {prose}", "s") for k, (_, t) in enumerate(known.values())]
+    strange = ["Licensed under the Frobnicator Vendor License, which has terms of its own you must read.", "Licensed under the Nokia Open Source License.", "This work is licensed under the Hippocratic License 3.0.", "Released under the Elastic License 2.0."]
+    extra += [(1000 + k, t, "s") for k, t in enumerate(strange)] + [(1100 + k, t, "s") for k, t in enumerate(licences.PLAIN)] + [(None, "Released under the MIT License.", "s"), (None, "nothing", "s"), (3000, "x " * 200_000 + "\nReleased under the MIT License.", "s")]
+    got = [r for r in licences.document_licences(docs_of(spark, rows + extra)).collect()]
+    assert sorted(r.licences for r in got if r.doc_id is None) == ["", "mit"]
+    by = {r.doc_id: r for r in got}
+    for k, (family, text) in enumerate(known.values()):
+        for start in (200, 600) if text.endswith(".") else (200,):
+            assert by[start + k].licences == family, (family, text, by[start + k])
+    assert all(by[i].licences == "" and by[i].n_unknown == 0 for i, _, _ in rows)
+    assert all(by[1000 + k].licences == "" for k in range(len(strange))) and by[1000].n_unknown == 1
+    assert all(by[1100 + k].licences == "" for k in range(len(licences.PLAIN))) and by[3000].licences == "mit"
     assert licences.document_licences(docs_of(spark, rows).limit(0)).count() == 0
 
 
+HELD_OUT = [
+    ("mit", "This code is distributed under the MIT license, copyright the authors."), ("mit", "Foo is MIT licensed, as found in the LICENSE file."), ("apache", "Distributed under the terms of the Apache License, Version 2.0."), ("apache", "The sources are available under the Apache 2.0 license."),
+    ("gpl", "This file is part of Foo, which is licensed under the GNU General Public License version 2."), ("agpl", "Foo is licensed under the GNU Affero General Public License, version 3 or later."), ("agpl", "You can redistribute the server and/or modify it under the terms of the GNU Affero General Public License."),
+    ("lgpl", "The library is released under the GNU Lesser General Public License."), ("cc-by", "Text may be used under the Creative Commons Attribution 4.0 International License."), ("cc-by-sa", "The articles are licensed under a Creative Commons Attribution-ShareAlike 4.0 License."), ("cc-by-nd", "Released under CC BY-ND 4.0."), ("cc-by-nd", "This work is licensed under the Creative Commons Attribution-NoDerivs 3.0 Unported License."),
+    ("cc-by-nc", "Photos are CC BY-NC 2.0 licensed."), ("cc-by-nc-sa", "This tutorial is shared under CC BY-NC-SA 4.0."), ("cc-by-nc-nd", "Podcast licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."), ("bsd", "This project uses the BSD 2-Clause License."), ("isc", "Licensed under the ISC license."), ("epl", "Made available under the Eclipse Public License v2.0."), ("mpl", "The code is available under the Mozilla Public License 2.0."),
+    ("boost", "Use, modification and distribution are subject to the Boost Software License, Version 1.0."), ("zlib", "This library is distributed under the zlib license."), ("unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense."), ("cc0", "The data is released under the Creative Commons CC0 public domain dedication."), ("mit", 'The software is provided "as is", without warranty of any kind, express or implied.'),
+    ("", "Licensed under the Frobnicator License."), ("", "Released under the Elastic License 2.0."), ("", "This work is licensed under the Hippocratic License 3.0."), ("", "Licensed under the Intel Open Source License."), ("", "The software is covered by the Academic Free License."), ("", "Licensed under the Nokia Open Source License."), ("", "The licence to print money was revoked."), ("", "Their license plates were from Ohio."), ("", "Copyright infringement is a crime in most countries."), ("", "Permission to film in the Apache reservation was refused."),
+]
+
+
+def test_licences_of_sentences_that_no_fit_saw(spark):
+    """No family is confirmed that is not the one named, and most that are named are confirmed."""
+    rows = [(k, text, "s") for k, (_, text) in enumerate(HELD_OUT)] + [(500 + k, f"the house number {k} was in the long street of the town", "s") for k in range(300)]
+    got = {r.doc_id: r.licences for r in licences.document_licences(docs_of(spark, rows)).collect()}
+    assert [(text, family, got[k]) for k, (family, text) in enumerate(HELD_OUT) if got[k] not in ("", family)] == []
+    assert sum(got[k] == family for k, (family, _) in enumerate(HELD_OUT) if family) >= 20
+
+
+def test_licence_probabilities_and_agreement_by_hand(spark):
+    """Probabilities and agreement recomputed from the coefficients and the templates' grams."""
+    docs = spark.createDataFrame([("the cat sat",), ("a dog ran off",)], "sentence string")
+    model = licences.Classifier(spark, docs, licences.templates(), 100)
+    asked = ["Licensed under the Apache License, Version 2.0.", "We license cats to dogs.", "Licensed under CC BY-SA 4.0 or so."]
+    scored = model.score(spark.createDataFrame(list(enumerate(asked)), "key long, sentence string"))
+    w, b, at = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray(), {g: k for k, g in enumerate(model.vocabulary)}
+    grams = lambda s: (lambda x: {*x, *map(" ".join, zip(x, x[1:]))})([y for y in re.split(licences.GAP, s.lower()) if y])
+    weights = {r.gram: r.weight for r in model.grams.collect()}
+    lines = {}
+    for r in model.inverted.collect():
+        lines.setdefault((r.family, r.line), set()).add(r.gram)
+    compared = {r.key: r for r in model.agreement(scored, "key").collect()}
+    for r in scored.collect():
+        x = np.zeros(len(at))
+        x[[at[g] for g in grams(r.sentence) if g in at]] = 1
+        z = w @ x + b
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(r.p_none - p[0]) < 1e-9 and abs(r.probability - p[1:].max()) < 1e-9 and r.guess == model.families[1 + int(p[1:].argmax())]
+        if r.key in compared and r.key != 1:
+            own = grams(r.sentence)
+            size = sum(weights.get(g, 0) for g in own)
+            best = {}
+            for (family, _), line in lines.items():
+                s = 2 * sum(weights[g] for g in own & line) / (size + sum(weights[g] for g in line))
+                best[family] = max(best.get(family, 0), s)
+            assert abs(compared[r.key].similarity - best[r.guess]) < 1e-9
+            assert abs(compared[r.key].rival - max(v for f, v in best.items() if f != r.guess)) < 1e-9
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain, bad = [f"word{k}" for k in range(80)], ["vileish", "vileous", "grubby", "scornful"]
@@ -314,6 +514,84 @@ def test_toxicity(spark):
     assert len({r.score for r in toxicity.toxicity(table, marks.limit(0), held).collect()}) == 1
 
 
+def brute_evidence(labelled, everything, asked):
+    """Two interpolated Kneser-Ney models by dictionaries: the difference of log-likelihoods of each asked text."""
+    fold = lambda t: re.sub(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", b" ", t.encode()).lower().split()
+    discount, cut, strength = toxicity.DISCOUNT, toxicity.CUT, toxicity.STRENGTH
+    far, has = {}, {}
+    for text, c in labelled:
+        words = fold(text)
+        for k, w in enumerate(words):
+            h, g = words[k - 1] if k else None, words[k - 2] if k > 1 else None
+            far.setdefault((h, w), (set(), set()))[c].add(g)
+            has.setdefault(w, [0, 0])[c] = 1
+    n = {p: [len(x) for x in sides] for p, sides in far.items()}
+    tables = [{}, {}, {}]
+    for (_, w), counts in n.items():
+        own = tables[0].setdefault(w, [0, 0])
+        for c in (0, 1):
+            own[c] += counts[c] > 0
+    sixes = {}
+    for w, sides in has.items():
+        for c in (0, 1):
+            tables[1].setdefault(w[:6], [0, 0])[c] += sides[c]
+            sixes.setdefault((w[:6], w[:4]), [0, 0])[c] |= sides[c]
+    for (_, four), sides in sixes.items():
+        for c in (0, 1):
+            tables[2].setdefault(four, [0, 0])[c] += sides[c]
+    tables = [{k: v for k, v in t.items() if sum(v) >= cut} for t in tables]
+    tokens = [w for t in everything for w in fold(t)]
+    shares = [Counter(w[: (1 << 40, 6, 4)[k]] for w in tokens) for k in range(3)]
+    share = lambda k, x: (shares[k][x] + 0.5) / (len(tokens) + 1.0)
+    lifts = [{}, {}, {}]
+    for k in (2, 1, 0):
+        for c in (0, 1):
+            kinds, some = max(sum(v[c] for v in tables[k].values()), 1), sum(v[c] > 0 for v in tables[k].values())
+            for x, v in tables[k].items():
+                above = lifts[k + 1].get(x[: (6, 4)[k]], [1.0, 1.0])[c] if k < 2 else 1.0
+                lifts[k].setdefault(x, [0, 0])[c] = (max(v[c] - discount, 0) / share(k, x) + (discount * some + strength * kinds) * above) / (kinds * (1 + strength))
+    seen = {}
+    for (h, _), counts in n.items():
+        if h is not None:
+            for c in (0, 1):
+                own = seen.setdefault(h, [[0, 0.0], [0, 0.0]])[c]
+                own[0] += counts[c]
+                own[1] += min(counts[c], discount)
+    weight = lambda h, c: (seen[h][c][1] + strength * seen[h][c][0]) / (seen[h][c][0] * (1 + strength)) if h in seen and seen[h][c][0] else 1.0
+    out = []
+    for text in asked:
+        total, words = 0.0, fold(text)
+        for k, w in enumerate(words):
+            h = words[k - 1] if k and words[k - 1] in tables[0] else None
+            d = np.log(weight(h, 1) / weight(h, 0)) if h is not None else 0.0
+            level = next((j for j, x in enumerate((w, w[:6], w[:4])) if x in tables[j]), None)
+            if level == 0:
+                d += np.log(lifts[0][w][1] / lifts[0][w][0])
+                if h is not None and sum(n.get((h, w), (0, 0))) >= cut:
+                    both = [max(n[h, w][c] - discount, 0) / max(seen[h][c][0] * (1 + strength), 1e-9) + weight(h, c) * lifts[0][w][c] * share(0, w) for c in (0, 1)]
+                    own = np.log(both[1] / both[0])
+                    if abs(np.log1p(toxicity.MIXTURE * np.expm1(own)) - np.log1p(toxicity.MIXTURE * np.expm1(d))) >= toxicity.PRUNED:
+                        d = own
+            elif level:
+                x = (w[:6], w[:4])[level - 1]
+                d = np.log(lifts[level][x][1] / lifts[level][x][0])
+            total += np.log1p(toxicity.MIXTURE * np.expm1(d))
+        out.append(total / max(len(words), 1) ** toxicity.LENGTH_POWER)
+    return out
+
+
+def test_toxicity_evidence_by_hand(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"{a}{b}{c}" for a in ("word", "Stem", "other", "x-") for b in ("", "ab", "abcd") for c in range(6)]
+    texts = [(k, " ".join(rng.choice(vocabulary[k % 2 * 20 :], int(rng.integers(1, 40)))), "s") for k in range(200)] + [(900, None, "s"), (901, "", "s")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, texts).select("doc_id", "text"), labels, F.lit(True))
+    counted = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) > 0).collect()}
+    asked = [t for _, t, _ in texts[:60]] + ["unknown wordabc", "", "word1, word2; STEMAB3"]
+    expected = brute_evidence([(t, int(k % 3 == 0)) for k, t, _ in texts[:200] if k in counted], [t or "" for _, t, _ in texts], asked)
+    assert np.allclose(model.evidence(pa.array(asked)), expected, rtol=1e-9, atol=1e-12) and np.ptp(expected) > 0.001
+
+
 def test_toxicity_counts_every_labelled_text(spark):
     rng = np.random.default_rng(8)
     texts = [(k, " ".join(str(w) for w in rng.choice([f"word{j}" for j in range(40)] + [f"own{k // 40}x"], 30)), "s") for k in range(800)]
@@ -324,3 +602,38 @@ def test_toxicity_counts_every_labelled_text(spark):
     expected = {w for w, n in Counter(w for *_, w in contexts).items() if n >= toxicity.CUT}
     hashes = {w: int(toxicity._words(pa.array([w]))[0][0]) for w in expected}
     assert set(model.levels[0][0].tolist()) == set(hashes.values()) and sum(w.startswith("own") for w in expected) == 20
+
+
+def thue_morse(letters: str, n: int) -> str:
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_op6_keeps_windows_that_differ_in_one_long_word(spark):
+    """Words at which polynomial hashes modulo 2**64 fail, and words longer than a block of the hashing."""
+    line = [f"v{k}" for k in range(40)]
+    for a, b in ((thue_morse("ab", 2048), thue_morse("ba", 2048)), ("x" * 70_000 + "y" * 70_000, "x" * 70_000 + "y" * 69_999 + "z")):
+        texts = [" ".join([*line[:20], word, *line[21:]]) for word in (a, b, a)]
+        found = {r.doc_id: r for r in substrings.repeats(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts[:2])])).collect()}
+        assert [found[k].n_removed for k in (0, 1)] == [0, 0]
+        found = {r.doc_id: r for r in substrings.repeats(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+        assert [found[k].n_removed for k in (0, 1, 2)] == [40, 0, 40]
+
+
+def test_packed_hashes_come_back(spark):
+    from pactum.llm.shared import pack, unpack
+
+    for n in (0, 1, 100, 5000):
+        values = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
+        assert (unpack(pack(values)) == values).all()
+
+
+def test_hashes_of_long_and_short_words_agree_with_a_plain_sum():
+    from pactum.llm import shared
+
+    words = [b"a", b"", b"ab" * 50_000, b"c" * 65_536, b"d" * 65_537, b"e"]
+    data = np.frombuffer(b" ".join(w for w in words if w), np.uint8)
+    starts, ends, _ = shared.word_spans(data, np.array([0, len(data)]))
+    keys = shared._keys(9, 0, 100_000)
+    for word, got in zip([w for w in words if w], shared.word_hashes(data, starts, ends, 9), strict=True):
+        total = sum((c + 1) * int(k) for c, k in zip(word, keys[: len(word)], strict=True)) + len(word)
+        assert int(shared.mix(np.array([total & ((1 << 64) - 1)], np.uint64))[0]) == int(got)
