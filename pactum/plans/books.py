@@ -302,3 +302,70 @@ def streamed_pages(spark, d):
     read = spark.read.parquet(f"{folder}/out/pages").select(F.lit("page").alias("kind"), "page_number", F.col("char_count").cast("bigint").alias("n"))
     ink = spark.read.parquet(f"{folder}/out/chunks").groupBy("page_number").agg(F.sum(F.length(F.regexp_replace("chunk_text", r"\s", ""))).alias("n"))
     return read.union(ink.select(F.lit("ink"), "page_number", "n"))
+
+
+@query("""SELECT p_brand AS document_id, CASE WHEN bool_or(p_size % 10 = 1) AND NOT bool_or(p_size % 10 = 2) THEN 'MARC' WHEN bool_or(p_size % 10 = 2) AND NOT bool_or(p_size % 10 = 1) THEN 'RAM' END AS agency FROM part WHERE p_size > 40 GROUP BY 1
+UNION ALL SELECT 'all ' || p_type, CASE WHEN bool_or(p_size % 10 = 1) AND NOT bool_or(p_size % 10 = 2) THEN 'MARC' WHEN bool_or(p_size % 10 = 2) AND NOT bool_or(p_size % 10 = 1) THEN 'RAM' END FROM part GROUP BY p_type""")
+def agencies_named(spark, d):
+    """Documents that name one agency, both, or none."""
+    said = F.when(F.col("p_size") % 10 == 1, "as Malaysian Rating Corporation says").when(F.col("p_size") % 10 == 2, "rated by RAM").otherwise("no one")
+    rows = table(spark, d, "part").select("p_brand", "p_type", "p_size", said.alias("chunk_text"))
+    chunks_ = rows.where("p_size > 40").select(F.col("p_brand").alias("document_id"), "chunk_text").union(rows.select(F.concat(F.lit("all "), "p_type"), "chunk_text"))
+    return extraction.document_agency(chunks_)
+
+
+@query("""WITH x AS (SELECT p_partkey AS k, p_brand AS document_id, make_date(2026 + CAST(p_partkey % 5 AS INTEGER), CAST(p_size % 12 + 1 AS INTEGER), 15) AS call_date, CAST(101 + p_partkey % 9 AS DECIMAL(12,6)) AS call_price, ['optional', 'mandatory', 'make_whole', 'clean_up', 'tax', 'regulatory', 'optional'][p_partkey % 7 + 1] AS call_type, 'h' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS hash FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_id, call_date ORDER BY hash) AS n FROM x) SELECT document_id, call_date, call_price, call_type, 8 AS char_start FROM r WHERE n = 1""")
+def call_rows(spark, d):
+    """Call tables with dates, prices and types of every kind; one row a document and date."""
+    k = F.col("p_partkey")
+    said = F.concat(F.lit("Redeem: "), F.date_format(F.make_date(2026 + k % 5, F.col("p_size") % 12 + 1, F.lit(15)), "yyyy-MM-dd"), F.lit(" "), (101 + k % 9).cast("string"), F.lit(".00"), _item([" Optional", " Mandatory", "\nMake-whole", " Clean-up", " Tax", "\n Regulatory", ", then"], k % 7))
+    rows = tables.spread(table(spark, d, "part")).select(F.col("p_brand").alias("document_id"), said.alias("chunk_text"), F.concat(F.lit("h"), F.lpad(k.cast("string"), 9, "0")).alias("hash"))
+    return extraction.call_schedule(rows).select("document_id", "call_date", "call_price", "call_type", "char_start")
+
+
+@query("""WITH j AS (SELECT o_custkey AS d, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'e' || o_orderkey END AS e, o_orderdate AS made, o_orderstatus <> 'P' AS done FROM orders)
+SELECT c_custkey AS document_id, (SELECT arg_min(e, (made, id)) FROM j WHERE d = c_custkey AND e IS NOT NULL) AS first_error, (SELECT bool_and(done) FROM j WHERE d = c_custkey) AS terminal FROM customer""")
+def job_errors(spark, d):
+    """The first error of each document's jobs, and whether all have ended."""
+    k = F.col("o_orderkey")
+    jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded").alias("status"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("e"), k.cast("string"))).alias("error"), F.struct("o_orderdate", k).alias("created_at"))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"))
+    none = docs.limit(0).withColumns({"needs_vlm": F.lit(True), "embedding": F.lit(1.0)})
+    return review.document_status(docs, none, none, jobs).select("document_id", "first_error", "terminal")
+
+
+@query("""WITH c AS (SELECT event_id AS id, CAST(CASE WHEN event_id % 50 = 0 THEN -value ELSE value END AS DECIMAL(12,6)) AS cost, event_id % 4 = 0 AS hit FROM events) SELECT 'llm_calls' AS source, id, 'cost_not_negative' AS rule FROM c WHERE cost < 0 UNION ALL SELECT 'llm_calls', id, 'cache_hit_is_free' FROM c WHERE hit AND cost <> 0
+UNION ALL SELECT 'document_chunks', doc_id, 'ordered_span' FROM documents WHERE doc_id % 20 = 7 UNION ALL SELECT 'document_chunks', doc_id, 'start_not_negative' FROM documents WHERE doc_id % 30 = 4
+UNION ALL SELECT 'covenants', p_partkey, 'amount_has_currency' FROM part WHERE p_partkey % 6 = 1 UNION ALL SELECT 'covenants', p_partkey, 'confidence_range' FROM part WHERE p_size > 45""")
+def constraint_violations(spark, d):
+    """The shipped row constraints of three tables."""
+    k, e, p = F.col("doc_id"), F.col("event_id"), F.col("p_partkey")
+    costs = table(spark, d, "events").select(e.alias("id"), F.when(e % 50 == 0, -F.col("value")).otherwise(F.col("value")).cast("decimal(12,6)").alias("cost_usd"), (e % 4 == 0).alias("cache_hit"))
+    spans = table(spark, d, "documents").select(k.alias("id"), F.when(k % 30 == 4, -1).otherwise(5).alias("char_start"), F.when(k % 20 == 7, -2).otherwise(9).alias("char_end"))
+    terms = table(spark, d, "part").select(p.alias("id"), (F.col("p_size") / 45).alias("confidence"), F.lit(1).alias("threshold_amount"), F.when(p % 6 != 1, "MYR").alias("threshold_currency"))
+    found = [review.violations(rows, review.CONSTRAINTS[name], "id").select(F.lit(name).alias("source"), "id", "rule") for name, rows in (("llm_calls", costs), ("document_chunks", spans), ("covenants", terms))]
+    return found[0].union(found[1]).union(found[2])
+
+
+_DECIDED = """d AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_returnflag = 'A' THEN 'corrected' ELSE 'approved' END AS decision, l_linenumber || '-' || l_suppkey || '-' || l_partkey AS who, l_shipdate AS made FROM lineitem),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY id ORDER BY made, who, decision) AS k, o_orderstatus = 'P' AS open FROM d JOIN orders ON o_orderkey = id)"""
+
+
+@query(f"WITH {_DECIDED} SELECT 'conflict' AS kind, id AS review_id, decision, who AS reviewer FROM r WHERE NOT (open AND k = 1) UNION ALL SELECT 'audit', o_custkey, 'review_' || decision, who FROM r JOIN orders ON o_orderkey = id WHERE open AND k = 1 UNION ALL SELECT 'value', id, CASE WHEN decision = 'corrected' THEN 'new' END, who FROM r WHERE open AND k = 1")
+def decision_records(spark, d):
+    """What decisions leave: conflicts, audit rows, and the values that corrections put in."""
+    reviews = table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id"), F.lit("covenant").alias("entity_type"), F.col("o_custkey").alias("entity_id"), F.lit("old").alias("old_value"), F.lit(None).cast("string").alias("new_value"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("approved").alias("status"))
+    made = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("review_id"), F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "corrected").otherwise("approved").alias("decision"), F.lit("new").alias("new_value"), F.concat_ws("-", "l_linenumber", "l_suppkey", "l_partkey").alias("reviewer"), F.col("l_shipdate").alias("decided_at"))
+    after, conflicts, audit = review.apply_decisions(reviews, made)
+    values = after.where("reviewer is not null").select(F.lit("value").alias("kind"), "review_id", F.col("new_value").alias("decision"), "reviewer")
+    return conflicts.select(F.lit("conflict").alias("kind"), "review_id", "decision", "reviewer").union(audit.select(F.lit("audit"), "entity_id", "action", "actor")).union(values)
+
+
+@query("SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'approved' END AS status FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderstatus <> 'F' AND o_custkey % 3 = 0)")
+def rerun_reviews(spark, d):
+    """Reviews after documents were run again: pending ones of machine output that went are gone."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("clause_id"), F.col("o_custkey").alias("document_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("review_status"))
+    again = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("document_id"))
+    reviews = rows.select(F.col("clause_id").alias("entity_id"), F.when(F.col("clause_id") % 2 == 0, "pending").otherwise("approved").alias("status"))
+    return tables.replace_machine_output(rows, rows.limit(0), reviews, again)[1].select("entity_id", "status")
