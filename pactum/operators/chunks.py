@@ -40,6 +40,18 @@ def blocks(text: Column) -> Column:
     return _filled(F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: _trimmed(text, s)))
 
 
+def bodies(text: Column) -> Column:
+    """array<struct<start, end, body>>: blocks() with their text, taken as the blank lines part it: no block is looked up from
+    the beginning of a long text."""
+    gap = r"\n[ \t]*\n+"
+    pieces, gaps = F.split(text, gap, -1), F.concat(F.regexp_extract_all(text, F.lit(gap), F.lit(0)), F.array(F.lit("")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(F.zip_with(pieces, gaps, lambda p, g: F.struct(F.length(p).alias("p"), F.length(g).alias("g"))), begin, lambda a, x: F.struct((a["at"] + x["p"] + x["g"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    left = lambda p: F.regexp_replace(p, r"^\s+", "")
+    trimmed = F.zip_with(pieces, starts, lambda p, at: F.struct((at + F.length(p) - F.length(left(p))).cast("int").alias("start"), F.regexp_replace(left(p), r"\s+$", "").alias("body")))
+    return F.transform(F.filter(trimmed, lambda b: b["body"] != ""), lambda b: F.struct(b["start"].alias("start"), (b["start"] + F.length(b["body"])).cast("int").alias("end"), b["body"].alias("body")))
+
+
 def without(spans: Column, tables: Column) -> Column:
     """Spans less the table spans that they overlap: what stands on either side remains."""
 
@@ -103,24 +115,30 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     text = F.col("page_text")
     tables = F.coalesce(F.col("tables"), F.array().cast(SPAN)) if "tables" in pages.columns else F.array().cast(SPAN)
     own = pages.select("document_id", "page_number", F.col(text_col).alias("page_text"), tables.alias("tables")).where(text.isNotNull())
-    parts = once(once(own, "blocks", without(blocks(text), F.col("tables"))), "heads", F.transform("blocks", lambda b: is_heading(_cut(text, b["start"], b["end"]))))
-    item = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"))
-    prose = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("heads").alias("h")), lambda z: F.when(z["h"], F.array(item(z["b"], F.lit("heading")))).otherwise(F.transform(split_long(text, z["b"], most), lambda s: item(s, F.lit("paragraph"))))))
+    body = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), _cut(text, b["start"], b["end"]).alias("body"))
+    cut = F.when(F.size("tables") == 0, F.col("whole")).otherwise(F.transform(without(F.transform("whole", lambda b: _span(b["start"], b["end"])), F.col("tables")), body))
+    parts = once(once(once(own, "whole", bodies(text)), "blocks", cut), "heads", F.transform("blocks", lambda b: is_heading(b["body"])))
+    item = lambda s, kind, at=0: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), kind.alias("kind"))
+    pieces = lambda b: F.transform(split_long(b["body"], F.struct(F.lit(0).alias("start"), F.length(b["body"]).alias("end")), most), lambda s: item(s, F.lit("paragraph"), b["start"]))
+    prose = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("heads").alias("h")), lambda z: F.when(z["h"], F.array(item(z["b"], F.lit("heading")))).otherwise(pieces(z["b"]))))
     items = F.array_sort(F.concat(F.transform("tables", lambda t: item(t, F.lit("table"))).cast(ITEM), prose.cast(ITEM)))
-    whole = once(once(parts, "items", items), "chunks", F.filter(grouped(F.col("items"), most), lambda c: F.trim(F.regexp_replace(_cut(text, c["start"], c["end"]), r"\s+", " ")) != ""))
+    inked = lambda c: (c["kind"] != "table") | (F.trim(F.regexp_replace(_cut(text, c["start"], c["end"]), r"\s+", " ")) != "")
+    whole = once(once(parts, "items", items), "chunks", F.filter(grouped(F.col("items"), most), inked))
     # titles and ordinals are worked out by page, before pages become chunks: one shuffle, of pages by their document
-    lead = lambda c: F.element_at(F.filter("items", lambda i: i["start"] == c["start"]), 1)
-    own_titles = F.transform("chunks", lambda c: F.when(lead(c)["kind"] == "heading", F.substring(F.trim(_cut(text, lead(c)["start"], lead(c)["end"])), 1, 512)))
+    whole = once(whole, "headings", F.filter("items", lambda i: i["kind"] == "heading"))
+    lead = lambda c: F.try_element_at(F.filter("headings", lambda i: i["start"] == c["start"]), F.lit(1))
+    own_titles = F.when(F.size("headings") > 0, F.transform("chunks", lambda c: F.substring(F.trim(_cut(text, lead(c)["start"], lead(c)["end"])), 1, 512))).otherwise(F.array().cast("array<string>"))
     whole = once(whole, "titles", own_titles)
     before = F.sum(F.size("chunks")).over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
     whole = whole.withColumn("base", F.coalesce(before, F.lit(0)))
     if after is not None:
         whole = whole.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("first")), "document_id", "left").withColumn("base", F.col("base") + F.coalesce("first", F.lit(0)))
-    found = whole.select("document_id", "page_number", "page_text", "titles", "base", F.posexplode("chunks").alias("place", "c")).withColumn("chunk_text", _cut(text, F.col("c.start"), F.col("c.end")))
-    title = F.try_element_at(F.filter(F.slice("titles", 1, F.col("place") + 1), lambda t: t.isNotNull()), F.lit(-1))
+    # a page's text ends here: its chunks go on without it
+    made = F.arrays_zip(F.col("chunks").alias("c"), F.transform("chunks", lambda c: _cut(text, c["start"], c["end"])).alias("chunk_text"), F.transform("chunks", lambda c, k: F.try_element_at(F.filter(F.slice("titles", 1, k + 1), lambda t: t.isNotNull()), F.lit(-1))).alias("title"))
+    found = whole.select("document_id", "page_number", "base", F.posexplode(made).alias("place", "made")).select("document_id", "page_number", "base", "place", "made.*")
     out = once(found, "language", language(F.col("chunk_text")))
     key = F.sha2(F.concat_ws("|", F.col("page_number").cast("string"), F.col("c.start").cast("string"), F.col("c.end").cast("string"), F.col("chunk_text")), 256)
-    return out.select("document_id", "page_number", (F.col("base") + F.col("place")).cast("int").alias("ordinal"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), "chunk_text", F.col("c.kind").alias("chunk_type"), "language", text_search_config(F.col("language")).alias("fts_config"), title.alias("section_title"), key.alias("hash"))
+    return out.select("document_id", "page_number", (F.col("base") + F.col("place")).cast("int").alias("ordinal"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), "chunk_text", F.col("c.kind").alias("chunk_type"), "language", text_search_config(F.col("language")).alias("fts_config"), F.col("title").alias("section_title"), key.alias("hash"))
 
 
 def span_violations(chunks: DataFrame, pages: DataFrame, text_col: str = "text") -> DataFrame:
