@@ -6,7 +6,8 @@ after another backs off to the word, a rare word to its stems, and all levels to
 classes share, so a rare expression weighs little until a class has shown it in several contexts. A toxic text is taken as
 mostly ordinary words with some of its own, so its model is interpolated with the ordinary one.
 
-The models count every labelled text of either class, so their tables grow with the labelled vocabulary; only the
+The models count every labelled text of either class, so their tables grow with the labelled vocabulary (40 bytes a word and
+stem on the driver); pairs are judged on the executors, and those that say no more than their words go. Only the
 curve's two numbers are fitted on a bounded sample (max_calibration texts). The shared counts cover every document. They
 are taken for expressions of labelled texts alone: where neither class has shown one, its shared count is the same factor
 of both likelihoods and falls out of their difference.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import materialize, mix, prefix_hashes, slices, text_bytes, word_spans
+from pactum.llm.shared import discard, materialize, mix, prefix_hashes, slices, text_bytes, word_spans
 
 #: Texts that the curve is fitted on.
 MAX_CALIBRATION = 8000
@@ -33,6 +34,9 @@ SLICE, GATHERED = 1 << 20, 2 << 20
 #: How much the shared counts weigh, as a multiple of a class's own; how much of a toxic text its own model explains,
 #: the rest being ordinary; the power of the length that divides the difference of log-likelihoods.
 STRENGTH, MIXTURE, LENGTH_POWER = 0.01, 0.01, 1.0
+#: Pairs of words of which the evidence differs by less from what they back off to are left to that: nearly all are, so
+#: what goes through the driver and to all executors is the words, and the few pairs that tell.
+PRUNED = 0.005
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -165,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | Non
     """docs(doc_id, text), labels(doc_id, toxic) -> the model. Labels are read where `allowed` (a condition on doc_id)
     holds: three quarters of those for the counts (max_docs texts a class, if given), the others for the curve. Null labels are
     left out; an id labelled twice counts as toxic if one label says so. Without texts of both classes the evidence is 0
-    and all scores are equal."""
+    and all scores are equal; without texts for the curve they are next to 0."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
     classes = own.where(~curve).select("toxic").distinct().count()
@@ -200,25 +204,35 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | Non
             lifts[k].append((np.maximum(spread - DISCOUNT, 0) / share + pull) / (all_kinds * (1 + strength)))
     by_context = seen_in.where("h <> 0").groupBy("h").agg(*by_class("n{}"), *by_class(f"least(n{{}}, {DISCOUNT}d)", "t"))
     contexts = by_context.join(usual.select(F.col("w").alias("h")), "h", "left_semi").toArrow()
-    pairs = seen_in.where("h <> 0").where(F.col("n0") + F.col("n1") >= CUT).toArrow()
-    h, w = (np.array(pairs[x], np.int64).view(np.uint64) for x in ("h", "w"))
-    at_word, at_context = _find(keys[0], w), _find(keys[0], h)
-    both = (at_word >= 0) & (at_context >= 0)
-    pair_keys, at_word, at_context = _pair(h[both], w[both]), at_word[both], at_context[both]
-    order = np.argsort(pair_keys)
     place = _find(keys[0], np.array(contexts["h"], np.int64).view(np.uint64))
-    logs_context, logs_pair = [], []
+    seen, weight = [], []
     for c in (0, 1):
-        seen, taken = np.zeros(len(keys[0])), np.zeros(len(keys[0]))
-        seen[place[place >= 0]], taken[place[place >= 0]] = np.array(contexts[f"n{c}"], float)[place >= 0], np.array(contexts[f"t{c}"], float)[place >= 0]
-        weight = np.where(seen > 0, (taken + strength * seen) / np.maximum(seen * (1 + strength), 1e-9), 1.0)
-        direct = np.maximum(np.array(pairs[f"n{c}"], float)[both] - DISCOUNT, 0) / np.maximum(seen[at_context] * (1 + strength), 1e-9)
-        single = (lifts[0][c] * (shares[0] + 0.5) / (total + 1.0))[at_word]
-        logs_context.append(np.log(weight))
-        logs_pair.append(np.log(direct + weight[at_context] * single)[order])
-    pair_keys = pair_keys[order]
+        n, taken = np.zeros(len(keys[0])), np.zeros(len(keys[0]))
+        n[place[place >= 0]], taken[place[place >= 0]] = np.array(contexts[f"n{c}"], float)[place >= 0], np.array(contexts[f"t{c}"], float)[place >= 0]
+        seen.append(np.maximum(n * (1 + strength), 1e-9))
+        weight.append(np.where(n > 0, (taken + strength * n) / seen[c], 1.0))
+    single = [lifts[0][c] * (shares[0] + 0.5) / (total + 1.0) for c in (0, 1)]
+    context_diff, word_diff = np.log(weight[1]) - np.log(weight[0]), np.log(lifts[0][1]) - np.log(lifts[0][0])
+    shared = docs.sparkSession.sparkContext.broadcast((keys[0], seen, weight, single, context_diff, word_diff))
+
+    def telling(batches):
+        known, seen, weight, single, context_diff, word_diff = shared.value
+        for batch in batches:
+            h, w = (np.array(batch.column(x), np.int64).view(np.uint64) for x in ("h", "w"))
+            at_word, at_context = _find(known, w), _find(known, h)
+            both = (at_word >= 0) & (at_context >= 0)
+            at_word, at_context = at_word[both], at_context[both]
+            logs = [np.log(np.maximum(np.array(batch.column(f"n{c}"), float)[both] - DISCOUNT, 0) / seen[c][at_context] + weight[c][at_context] * single[c][at_word]) for c in (0, 1)]
+            diff, plain = logs[1] - logs[0], context_diff[at_context] + word_diff[at_word]
+            keep = np.abs(np.log1p(mixture * np.expm1(diff)) - np.log1p(mixture * np.expm1(plain))) >= PRUNED
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(h[both], w[both])[keep].view(np.int64)), pa.array(diff[keep])], ["pair", "diff"])
+
+    found = seen_in.where("h <> 0").where(F.col("n0") + F.col("n1") >= CUT).select("h", "w", "n0", "n1").mapInArrow(telling, "pair bigint, diff double").toArrow()
+    pair_keys = np.array(found["pair"], np.int64).view(np.uint64)
+    order = np.argsort(pair_keys)
     levels = [(x, np.log(lift[1]) - np.log(lift[0])) for x, lift in zip(keys, lifts, strict=True)]
-    model = Model(levels, logs_context[1] - logs_context[0], pair_keys, logs_pair[1] - logs_pair[0], mixture, length_power)
+    model = Model(levels, context_diff, pair_keys[order], np.array(found["diff"], float)[order], mixture, length_power)
+    discard(seen_in, known, usual)
     _fit_curve(model, docs, sample_ids(own, curve, max_calibration, "doc_id"))
     return model
 
@@ -227,9 +241,12 @@ def _fit_curve(model: Model, docs: DataFrame, ids: DataFrame) -> None:
     """Logistic regression of the label on the evidence, by Newton's method with a slight pull of the slope to 0."""
     found = _scored(docs.join(F.broadcast(ids), "doc_id"), model, "evidence", ["toxic"]).select("toxic", "evidence").toArrow()
     y, x = np.array(found["toxic"], float), np.array(found["evidence"], float)
+    if not len(y):  # nothing says that anything is toxic
+        model.slope, model.offset = 0.0, -20.0
+        return
     scale = (x.std() if len(x) else 0.0) or 1.0
     a, b = 0.0, 0.0
-    for _ in range(50 if len(y) else 0):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
         v, e = p * (1 - p) + 1e-9, y - p
         g, m = np.array([(e * x / scale).sum() - 0.1 * a, e.sum() - 0.01 * b]), np.array([[(v * (x / scale) ** 2).sum() + 0.1, (v * x / scale).sum()], [(v * x / scale).sum(), v.sum() + 0.01]])
@@ -257,7 +274,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     """(doc_id, held_out, score, predicted, carried columns) of every row, from its whole text alone. Labels of held_out
     ids are not read.
 
-    A null, empty or wordless text has no evidence either way and gets the curve's value at 0. Repeated rows get equal
+    A null, empty or wordless text has no evidence either way and gets the curve's value at 0. Without labels no text is toxic. Repeated rows get equal
     scores; an empty table gives an empty result; columns that are neither named nor carried are not read."""
     out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
