@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import materialize
+from pactum.llm.shared import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         new = materialize(_small_star(_large_star(now)))
         new_n, same = new.count(), new.join(now, ["a", "b"], "left_anti").isEmpty()
-        if same and new_n == now.count():
+        same = same and new_n == now.count()
+        discard(new if same else now)
+        if same:
             break
         now = new
     else:

@@ -154,8 +154,9 @@ _ROWS = "rep bigint, n bigint, e array<double>, cell string, member boolean"
 _RESULT = "rep bigint, links bigint, other bigint"
 
 
-def _deal(rows: DataFrame, sizes: DataFrame, level: int, cosine: float) -> DataFrame:
-    """rows(rep, n, e, cell, member) of cells that are too large -> the same, each row in the cells of its pivots."""
+def _deal(rows: DataFrame, sizes: DataFrame, level: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """rows(rep, n, e, cell, member) of cells that are too large -> (the same, each row in the cells of its pivots; the table
+    of pivots that they are read from)."""
     own = rows.join(sizes, "cell")
     ranked = own.where("member").withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rep", F.lit(level)), "rep"))).where(F.col("k") <= PIVOTS)
     pivots = materialize(ranked.where(F.col("k") <= F.greatest(F.lit(3), F.ceil(F.col("size") / CELL))).groupBy("cell", "size").agg(F.collect_list(F.struct("k", "e")).alias("pivots")))
@@ -181,15 +182,17 @@ def _deal(rows: DataFrame, sizes: DataFrame, level: int, cosine: float) -> DataF
         tidy()
         return out.append_column("member", pa.array(home[at, pivot] & member[at]))
 
-    return left.select("rep", "n", "e", "cell", "member", "salt").groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(nearest, _ROWS)
+    return left.select("rep", "n", "e", "cell", "member", "salt").groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(nearest, _ROWS), pivots
 
 
-def shards(distinct: DataFrame, cosine: float = COSINE) -> DataFrame:
+def shards(distinct: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, list[DataFrame]]:
     """distinct(rep, n, e, cell) -> (rep, n, e, cell, member): the leaf cells that each vector is a member of or visits. No
-    cell has more than SHARD members, or about CELL where hashing had to part them."""
+    cell has more than SHARD members, or about CELL where hashing had to part them. Beside it the tables it is read from."""
+    tables: list[DataFrame] = []
     leaves, rows = None, distinct.withColumn("member", F.lit(True))
     for level in range(LEVELS + 1):
         rows = materialize(rows)
+        tables.append(rows)
         sizes = rows.groupBy("cell").agg(F.count_if("member").alias("size")).where(F.col("size") > SHARD)
         if sizes.isEmpty():
             break
@@ -197,11 +200,12 @@ def shards(distinct: DataFrame, cosine: float = COSINE) -> DataFrame:
         leaves = small if leaves is None else leaves.union(small)
         large = rows.join(sizes, "cell", "left_semi").select(*rows.columns)
         if level < LEVELS:
-            rows = _deal(large, sizes, level, cosine)
+            rows, pivots = _deal(large, sizes, level, cosine)
+            tables.append(pivots)
         else:
             parts = F.ceil(F.col("size") / CELL)
             rows = large.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select("rep", "n", "e", F.concat_ws("/", "cell", F.concat(F.lit("h"), "part")).alias("cell"), (F.col("member") & (F.pmod(F.xxhash64("rep", F.lit("part")), parts) == F.col("part"))).alias("member"))
-    return rows if leaves is None else leaves.union(rows.select(*leaves.columns))
+    return rows if leaves is None else leaves.union(rows.select(*leaves.columns)), tables
 
 
 def _counted(query, node, here: int, homes: list, places: list) -> np.ndarray:
@@ -261,8 +265,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(sound)
     distinct = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")))
-    spread = shards(distinct.where(F.col("rep").isNotNull()).select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")), cosine)
+    spread, tables = shards(distinct.where(F.col("rep").isNotNull()).select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")), cosine)
     spread = materialize(spread.withColumn("number", F.xxhash64("cell")).drop("cell"))
+    discard(*tables)
 
     def build(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("rep"))
@@ -280,6 +285,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = materialize(dealt.select("number", "salt", "rep", "n", "e", "member", "asks", F.when(F.col("member"), F.col("near")).alias("near"), "homes", "places").groupBy("number", "salt").applyInArrow(lambda t: _search(t, cosine), _RESULT))
 
     roots = connected_components(found.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    discard(spread)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     by_rep = distinct.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = good.join(by_rep, ["label", "e"]).select("vec_id", "n_links", "component_id")

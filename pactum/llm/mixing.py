@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pactum.llm.shared import materialize
+from pactum.llm.shared import discard, materialize
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 SHIFT, SALTS, STARTS = 24, 64, 32
@@ -64,10 +64,11 @@ def solve_rates(counts: DataFrame, targets: DataFrame, tolerance: float = 1e-6,
         moved = F.when((step > low) & (step < high), step).otherwise((low + high) / 2)
         done = F.abs(got - goal) <= tolerance * F.greatest(goal, F.lit(1.0))
         full = goal >= MOST * F.col("source_size")
-        state = materialize(state.drop("miss").join(sums, "source_key", "left").withColumns({
+        old, state = state, materialize(state.drop("miss").join(sums, "source_key", "left").withColumns({
             "t": F.when(full, F.lit(1e12)).when(done, F.col("t")).otherwise(moved), "low": low, "high": high,
             "miss": F.when(full | done | (high - low < 1e-12), F.lit(0.0)).otherwise(F.abs(got - goal)),
         }).select(*state.columns))
+        discard(old)
         if not (state.agg(F.max("miss")).first()[0] or 0.0):
             break
     return state

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactum.llm.components import connected_components
-from pactum.llm.shared import materialize, slices
+from pactum.llm.shared import discard, materialize, slices
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 THIRDS = ((0, 21), (21, 42), (42, 64))
@@ -121,7 +121,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _with_roots(distinct: DataFrame) -> DataFrame:
     """distinct(fp, least) -> (fp, least, root): the fingerprint that stands for its component."""
-    roots = connected_components(fingerprint_links(materialize(with_partners(distinct.select("fp")))))
+    partners = materialize(with_partners(distinct.select("fp")))
+    roots = connected_components(fingerprint_links(partners))
+    discard(partners)
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
