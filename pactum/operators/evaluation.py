@@ -28,11 +28,19 @@ def same(kind: str, expected: Column, actual: Column) -> Column:
 def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS) -> DataFrame:
     """scored(group, label_id, prediction_id, score) -> one-to-one pairs, best score first, ties by label then prediction.
 
-    Groups are the labels and predictions of one document and type. One of at most `most` pairs is assigned in a task; a
-    larger one in rounds, in each of which the pairs go that are the best of both their sides, and all pairs of what they
-    take with them: the same pairs, without a task that holds the group."""
-    kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
-    large = scored.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
+    Groups are the labels and predictions of one document and type. In a round the pairs go that are the best of both their
+    sides, and all pairs of what they take with them, which gives the same pairs without a task that holds a group. After
+    the first round, which settles most groups, those of at most `most` pairs left are settled in a task."""
+    names, order = scored.columns, (F.desc("score"), "label_id", "prediction_id")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema)
+    by = lambda side: Window.partitionBy(*group, side)
+
+    def rounded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs that are settled, pairs of which both sides are still open)."""
+        best = rows.withColumns({"_l": F.row_number().over(by("label_id").orderBy(*order)), "_p": F.row_number().over(by("prediction_id").orderBy(*order))})
+        marked = best.withColumn("_t", (F.col("_l") == 1) & (F.col("_p") == 1))
+        gone = saved(marked.withColumn("_gone", F.bool_or("_t").over(by("label_id")) | F.bool_or("_t").over(by("prediction_id"))).select(*names, "_t", "_gone"))
+        return gone.where("_t").select(*names), gone.where("not _gone").select(*names)
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         left, right, kept = set(), set(), []
@@ -44,15 +52,14 @@ def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS)
                 kept.append(k)
         return rows.loc[kept]
 
-    if large.isEmpty():
-        return scored.groupBy(*group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
-    out = scored.join(large, group, "left_anti").select(*scored.columns).groupBy(*group).applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in scored.columns))
-    rest = saved(scored.join(large, group, "left_semi").select(*scored.columns))
-    best = lambda side: F.row_number().over(Window.partitionBy(*group, side).orderBy(F.desc("score"), "label_id", "prediction_id"))
+    out, rest = rounded(scored)
+    sizes = rest.groupBy(*group).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > most).drop("_n")
+    out = out.unionByName(rest.join(sizes.where(F.col("_n") <= most).drop("_n"), group, "left_semi").select(*names).groupBy(*group).applyInPandas(assign, kinds))
+    rest = rest.join(large, group, "left_semi").select(*names)
     while not rest.isEmpty():
-        taken = saved(rest.withColumns({"_l": best("label_id"), "_p": best("prediction_id")}).where("_l = 1 and _p = 1").select(*scored.columns))
+        taken, rest = rounded(rest)
         out = out.unionByName(taken)
-        rest = saved(rest.join(taken.select(*group, "label_id"), [*group, "label_id"], "left_anti").join(taken.select(*group, "prediction_id"), [*group, "prediction_id"], "left_anti").select(*scored.columns))
     return out
 
 

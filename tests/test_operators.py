@@ -348,3 +348,22 @@ def test_book_and_backlogs(spark):
     docs = spark.createDataFrame([("d",), ("e",), ("f",)], "document_id string")
     assert sorted(r[0] for r in portfolio.without_covenants(docs, clauses, clauses.where("clause_id = 'c1'").select("clause_id")).collect()) == ["e", "f"]
     assert [r.clause_id for r in review.unverified(clauses).collect()] == ["c2"]
+
+
+def test_greedy_matches_as_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, a, b, rng.randrange(4)) for g in range(6) for a in range(5) for b in range(6) if rng.random() < 0.7]
+    expected = []
+    for g in range(6):
+        left, right = set(), set()
+        for _, a, b, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2])):
+            if a not in left and b not in right:
+                expected.append((g, a, b))
+                left.add(a)
+                right.add(b)
+    scored = spark.createDataFrame(rows, "document_id int, label_id int, prediction_id int, score int")
+    for most in (20_000, 0):
+        assert sorted(tuple(r)[:3] for r in evaluation.greedy_matches(scored, ["document_id"], most).collect()) == sorted(expected)
+    assert evaluation.greedy_matches(scored.limit(0), ["document_id"]).count() == 0
