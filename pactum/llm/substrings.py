@@ -143,17 +143,28 @@ def _both_among(values: np.ndarray, extra: np.ndarray, found: np.ndarray, found_
     return hit
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _same_first(firsts: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Which of the windows away from anchors share their first hash with one near an anchor: such windows differ from it, as
+    equal ones would be near an anchor themselves."""
+    away, known = np.flatnonzero(~near), np.unique(firsts[near])
+    spread = np.zeros(1 << 22, bool)
+    spread[known & np.uint64(spread.size - 1)] = True
+    away = away[spread[firsts[away] & np.uint64(spread.size - 1)]]
+    return away[_among(firsts[away], known)]
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, first_bits: int = 48) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans, carried columns under their names after an underscore) of every row.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Each word covered by a window of `window` words whose sequence also starts
     anywhere else (same text included) is removed; windows are judged on the input. kept has the other words, joined by
     one space; spans are the removed runs as (start, end) in words, end excluded. A null or wordless text has none, kept is
     empty. Rows with equal ids are separate texts, so repeated rows repeat each other. Windows count as equal if two
-    hashes are that share nothing, from the bytes on: 48 bits of a rolling one, and 64 of a multilinear one of which the
-    keys are drawn anew for each run. carry names columns to hand on as they are. An empty table gives an empty result.
-    """
-    half, key = (window + 1) // 2, secrets.randbits(63)
+    hashes are that share nothing, from the bytes on: first_bits (48 at most) of a rolling one, and 64 of a multilinear one of
+    which the keys are drawn anew for each run. A window is never removed on its rolling hash alone: where a batch has windows
+    of one rolling hash and several second ones, both are sent back. carry names columns to hand on as they are. An empty
+    table gives an empty result."""
+    half, key, lost = (window + 1) // 2, secrets.randbits(63), np.uint64(64 - first_bits)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     batches = max(1, math.ceil(size / batch_bytes))
@@ -177,8 +188,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         np.add.at(near, np.maximum(at - half + 1, at - one.place[at]), 1)
         np.add.at(near, at + 1, -1)
         starts = one.starts(window)
-        starts = starts[np.cumsum(near)[starts] > 0]
-        hashes, flags, extra = _once(window_hashes(one.words, window)[starts] >> _LOST, np.zeros(len(starts), bool), one.second(starts, window, key))
+        firsts, is_near = window_hashes(one.words, window)[starts] >> lost, np.cumsum(near)[starts] > 0
+        some = np.concatenate([np.flatnonzero(is_near), _same_first(firsts, is_near)])
+        starts, firsts = starts[some], firsts[some]
+        hashes, flags, extra = _once(firsts, np.zeros(len(starts), bool), one.second(starts, window, key))
         return _rows(batch, hashes, flags, buckets, extra)
 
     def remove(table: pa.Table, hits: pa.Table) -> pa.Table:
@@ -186,7 +199,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         gone = np.zeros(len(one.words) + 1, np.int64)
         if len(found) or len(first):
             starts = one.starts(window)
-            hashes = window_hashes(one.words, window) >> _LOST
+            hashes = window_hashes(one.words, window) >> lost
+            # a first hash that is found alone has one second hash among all windows of the batch
             sure, open_ = starts[_among(hashes[starts], found)], starts[_among(hashes[starts], first)]
             open_ = open_[_both_among(hashes[open_], one.second(open_, window, key), first, second)]
             starts = np.concatenate([sure, open_])

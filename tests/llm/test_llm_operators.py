@@ -134,6 +134,14 @@ def test_op6_tells_windows_of_one_rolling_hash_apart(docs, rows, monkeypatch):
     assert got == {s for s, x in zip(starts, second.tolist(), strict=True) if counts[x] > 1} and len(a) > 10
 
 
+@pytest.mark.parametrize("bits", [12, 16, 20])
+def test_op6_removes_no_window_by_its_first_hash_alone(docs, rows, bits):
+    """All three passes with rolling hashes of few bits, by which windows far from any anchor meet found ones all the time."""
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.repeats(docs, first_bits=bits).collect())
+    assert got == Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.repeats(docs).collect())
+    assert got == Counter(brute_repeats(rows))
+
+
 def test_byte_bpe(docs, rows, spark):
     import tiktoken
 
