@@ -31,14 +31,6 @@ def rank(rating: Column) -> Column:
     return F.when(place >= 0, place)
 
 
-def is_below(rating: Column, threshold: Column) -> Column:
-    return rank(rating) > rank(threshold)
-
-
-def is_at_or_below(rating: Column, threshold: Column) -> Column:
-    return rank(rating) >= rank(threshold)
-
-
 def notches_between(rating: Column, threshold: Column) -> Column:
     """Signed distance, positive where rating is worse."""
     return rank(rating) - rank(threshold)

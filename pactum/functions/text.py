@@ -11,6 +11,7 @@ SCALES = {"k": 3, "thousand": 3, "ribu": 3, "m": 6, "mm": 6, "mn": 6, "mil": 6,
 MALAY = "yang dan dengan untuk adalah ini itu pada dalam akan tidak oleh kepada daripada bagi atau hendaklah sekiranya boleh telah juga serta seperti kerana tersebut mana-mana syarikat perjanjian tarikh nilai terbitan pemegang amaun".split()
 ENGLISH = "the and of to in for shall is are this that with be by or any such which from not as has have been may will at on under each other all".split()
 
+# How a mark, a number and a scale word stand together.
 _MARK = r"(ringgit|myr|usd|us\$|sgd|eur|jpy|rm|\$)"
 _SCALE = "(" + "|".join(sorted(SCALES, key=lambda w: (-len(w), w))) + ")"
 MONEY = rf"(?i){_MARK}\s*(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:\s*{_SCALE}\b)?"
@@ -66,8 +67,9 @@ def largest_money(text: Column, currency: str | None = None) -> Column:
 
 
 def language(text: Column) -> Column:
-    """'ms' or 'en' by at least two function words and more than the other's, else 'unknown'."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+(?:-[a-z']+)*"), F.lit(0))
+    """'ms' or 'en' by at least two function words and more than the other's, else 'unknown'. Words are runs of letters and
+    apostrophes, so a hyphen parts them and a marker with a hyphen is never met."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
     count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
     malay, english = count(MALAY), count(ENGLISH)
     return F.when((malay >= 2) & (malay > english), "ms").when((english >= 2) & (english > malay), "en").otherwise("unknown")

@@ -27,10 +27,35 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written once to a work folder and read back, where several later steps start from it."""
+    """df written once to a work folder and read back, where several later steps start from it. Whoever is done with it
+    discards it; what a returned DataFrame still reads goes with clear_saved()."""
     path = f"{work_folder(df.sparkSession)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    _SAVED.append(path)
+    return out
+
+
+_SAVED: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote, once nothing is going to read them again."""
+    for df in tables:
+        _delete(df.sparkSession, df.folder)
+        _SAVED.remove(df.folder)
+
+
+def clear_saved(spark: SparkSession) -> None:
+    """Deletes all that saved() has written and nobody has discarded: at the end of a job, when its results are stored."""
+    while _SAVED:
+        _delete(spark, _SAVED.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -101,16 +126,21 @@ READABLE = {
 }
 
 
-def publish_views(tables: dict[str, DataFrame], most: int = 1000) -> list[str]:
-    """Temporary views of the readable tables with their readable columns, at most 1,000 rows each; other tables stay hidden."""
+def publish_views(tables: dict[str, DataFrame]) -> list[str]:
+    """Temporary views of the readable tables with their readable columns, whole; other tables stay hidden."""
     names = []
     for name, columns in READABLE.items():
         if name in tables:
-            tables[name].select(*[c for c in columns if c in tables[name].columns]).limit(most).createOrReplaceTempView(name)
+            tables[name].select(*[c for c in columns if c in tables[name].columns]).createOrReplaceTempView(name)
             names.append(name)
     return names
 
 
+def analyst_result(spark: SparkSession, statement: str, most: int = 1000) -> DataFrame:
+    """An analyst's statement over the views: it reads all rows, and at most `most` rows of its result come back."""
+    return spark.sql(statement).limit(most)
+
+
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append-only sinks: audit and query logs, evaluation results (json)."""
     df.write.mode("append").format(fmt).save(path)
