@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.functions.joins import overlapping
 from pactum.sources.tables import saved
 
-#: Pairs of labels and predictions of one group that are assigned in a task.
-GROUP_PAIRS = 20_000
+#: Pairs of labels and predictions of one group that are assigned in a task; pairs of all the groups that a task takes at once.
+GROUP_PAIRS, TASK_PAIRS = 20_000, 100_000
 FIELDS = {"threshold_ratio": "number", "threshold_amount": "number", "threshold_currency": "text", "operator": "enum", "trigger_rating": "text", "rating_agency": "text"}
 
 
@@ -30,7 +31,7 @@ def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS)
 
     Groups are the labels and predictions of one document and type. In a round the pairs go that are the best of both their
     sides, and all pairs of what they take with them, which gives the same pairs without a task that holds a group. After
-    the first round, which settles most groups, those of at most `most` pairs left are settled in a task."""
+    the first round, which settles most groups, those of at most `most` pairs left are settled in tasks of many groups each."""
     names, order = scored.columns, (F.desc("score"), "label_id", "prediction_id")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema)
     by = lambda side: Window.partitionBy(*group, side)
@@ -43,19 +44,23 @@ def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS)
         return gone.where("_t").select(*names), gone.where("not _gone").select(*names)
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        """The pairs of many whole groups, best first: those of which both sides are open when they are met."""
+        rows = rows.sort_values(["score", "label_id", "prediction_id"], ascending=[False, True, True])
+        sides = zip(*(rows[c].tolist() for c in group), strict=True), rows["label_id"].tolist(), rows["prediction_id"].tolist()
         left, right, kept = set(), set(), []
-        for k in rows.sort_values(["score", "label_id", "prediction_id"], ascending=[False, True, True]).index:
-            a, b = rows.at[k, "label_id"], rows.at[k, "prediction_id"]
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                kept.append(k)
-        return rows.loc[kept]
+        for key, label, prediction in zip(*sides, strict=True):
+            kept.append((key, label) not in left and (key, prediction) not in right)
+            if kept[-1]:
+                left.add((key, label))
+                right.add((key, prediction))
+        return rows[kept][names]
 
     out, rest = rounded(scored)
     sizes = rest.groupBy(*group).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") > most).drop("_n")
-    out = out.unionByName(rest.join(sizes.where(F.col("_n") <= most).drop("_n"), group, "left_semi").select(*names).groupBy(*group).applyInPandas(assign, kinds))
+    small = rest.join(sizes.where(F.col("_n") <= most).drop("_n"), group, "left_semi").select(*names)
+    buckets = max(1, -(-rest.count() // TASK_PAIRS))
+    out = out.unionByName(small.withColumn("_b", F.pmod(F.xxhash64(*group), F.lit(buckets))).groupBy("_b").applyInPandas(assign, kinds))
     rest = rest.join(large, group, "left_semi").select(*names)
     while not rest.isEmpty():
         taken, rest = rounded(rest)
@@ -73,11 +78,14 @@ def match_covenants(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     return greedy_matches(joined.select("document_id", "covenant_type", "label_id", "prediction_id", score.alias("score")), ["document_id", "covenant_type"])
 
 
-def match_calls(calls: DataFrame, labels: DataFrame) -> DataFrame:
-    """Call labels with predicted calls of their document within three days, the nearest first; rows a person entered are no
-    predictions."""
-    near = labels.join(calls.where("method <> 'human'").select("document_id", F.col("call_date").alias("found"), "prediction_id"), "document_id").where(F.abs(F.datediff("call_date", "found")) <= 3)
-    return greedy_matches(near.select("document_id", "label_id", "prediction_id", (-F.abs(F.datediff("call_date", "found"))).alias("score")), ["document_id"])
+def match_calls(calls: DataFrame, labels: DataFrame, days: int = 3) -> DataFrame:
+    """Call labels with predicted calls of their document within three days: each label in the order of labels takes the first
+    prediction that is left, (document_id, label_id, prediction_id, days). Rows a person entered are no predictions."""
+    found = calls.where("method <> 'human'").select("document_id", F.col("call_date").alias("found"), "prediction_id")
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    near = overlapping(labels.select("document_id", "label_id", "call_date"), found, ["document_id"], (day("call_date") - days, day("call_date") + days + 1), (day("found"), day("found") + 1), 2 * days + 1)
+    pairs = near.select("document_id", "label_id", "prediction_id", F.lit(0).alias("score"), F.abs(F.datediff("call_date", "found")).alias("days"))
+    return greedy_matches(pairs, ["document_id"]).drop("score")
 
 
 def field_scores(pairs: DataFrame, fields: dict[str, str] = FIELDS) -> DataFrame:

@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pactum.functions.joins import overlapping
 from pactum.functions.ratings import normalise
 from pactum.functions.text import largest_money, matches, once
 
 CONTEXT, MIN_QUOTE, CANDIDATES = 400, 60, 200
+#: Characters of a bin in which spans of a chunk meet.
+SPAN_BIN = 256
 _TAIL = r"[^.;]{0,80}?of\s+not\s+(more|less)\s+than\s+(\d+(?:\.\d+)?)\s*(?:times|x\b)"
 _NOTCH = r"((?:AAA|AA[+-]?|A[+-]?|BBB[+-]?|BB[+-]?|B[+-]?|CCC[+-]?|CC|C|D)(?:[123])?)"
 # What covenants say, as (name, pattern, clause type, covenant type, confidence, what its groups hold).
@@ -139,11 +142,13 @@ def merge_spans(spans: DataFrame, key: str, context: int = CONTEXT) -> DataFrame
 
 
 def candidates(chunks: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """Candidate spans of every chunk, at most `limit` a document, in page order."""
+    """Candidate spans of every chunk, at most `limit` a document: those of the chunks that come first by hash, numbered in the
+    order of pages."""
     spans = hits(chunks).select("hash", F.length("chunk_text").alias("length"), "m.start", "m.end", F.coalesce("covenant_type", "clause_type").alias("hint"))
     found = merge_spans(spans, "hash").join(chunks.select("hash", "document_id", "page_number", "ordinal"), "hash")
+    cut = Window.partitionBy("document_id").orderBy("hash", "start")
     order = Window.partitionBy("document_id").orderBy("page_number", "ordinal", "start")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return found.withColumn("_cut", F.row_number().over(cut)).where(F.col("_cut") <= limit).drop("_cut").withColumn("place", F.row_number().over(order))
 
 
 def uncovered(semantic: DataFrame, regex: DataFrame) -> DataFrame:
@@ -185,10 +190,11 @@ def match_rules(model: DataFrame, rules: DataFrame) -> DataFrame:
     """For each model record (record_id, hash, char_start, char_end, covenant_type) the rule extraction of its chunk that
     overlaps it: of the same type if there is one, then with the largest overlap. Columns are prefixed llm_ and rule_."""
     named = lambda df, p: df.select(*[F.col(c).alias(c if c == "hash" else f"{p}_{c}") for c in df.columns])
-    joined = named(model, "llm").join(named(rules, "rule"), "hash")
+    span = lambda p: (F.col(f"{p}_char_start"), F.col(f"{p}_char_end"))
+    joined = overlapping(named(model, "llm"), named(rules, "rule"), ["hash"], span("llm"), span("rule"), SPAN_BIN)
     overlap = F.least("llm_char_end", "rule_char_end") - F.greatest("llm_char_start", "rule_char_start")
     best = Window.partitionBy("llm_record_id").orderBy(F.col("llm_covenant_type").eqNullSafe(F.col("rule_covenant_type")).desc(), F.desc("overlap"), "rule_char_start", "rule_covenant_type")
-    return joined.withColumn("overlap", overlap).where("overlap > 0").withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    return joined.withColumn("overlap", overlap).withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
 def validate_records(records: DataFrame) -> DataFrame:
