@@ -1,16 +1,17 @@
 """Quotes against their chunks: exact, then with white space, look-alikes and compatible characters made equal, then by the
 best alignment of long quotes. Expressions do the first and, but for compatible characters (ligatures, full-width letters),
-the second; only rows that fail both reach a vectorised function."""
+the second; only rows that fail both reach a vectorised function, in one pass over the rows."""
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.functions.alignment import best_windows
+
 FUZZY, SHORTEST = 0.92, 40
 # Look-alike quotes, dashes and the non-breaking space.
 ALIKE = dict.fromkeys("‘’‚‛", "'") | dict.fromkeys("“”„‟", '"') | dict.fromkeys("‐‑‒–—―", "-") | {" ": " "}
@@ -46,24 +47,6 @@ def _find_folded(quote: str, text: str) -> tuple[int, int] | None:
     return None if place < 0 else (at[place], at[place + len(sought) - 1] + 1)
 
 
-def _align(quote: str, text: str) -> tuple[float, int, int]:
-    """The stretch of text as long as the quote that has most of it, and the share."""
-    blocks = difflib.SequenceMatcher(None, quote, text, autojunk=False).get_matching_blocks()
-    best = (0.0, 0, 0)
-    for b in blocks:
-        start = max(0, min(b.b - b.a, len(text) - len(quote)))
-        window = text[start : start + len(quote)]
-        best = max(best, (difflib.SequenceMatcher(None, quote, window, autojunk=False).ratio(), start, start + len(window)), key=lambda x: (x[0], -x[1]))
-    return best
-
-
-def _align_folded(quote: str, text: str) -> tuple[float, int, int]:
-    """_align() of both in folded form, with places in the text as it is."""
-    folded, at = _folded(text)
-    score, start, end = _align(_fold(quote), folded)
-    return (score, at[start], at[end - 1] + 1) if end > start else (score, 0, 0)
-
-
 def verify(pairs: DataFrame, legs: tuple[str, ...] = ("exact", "normalised", "fuzzy")) -> DataFrame:
     """pairs(quote, chunk_text) -> adds verified, score, char_start, char_end (in the chunk as it is) and method. A blank or
     null quote and a null chunk are not verified."""
@@ -78,32 +61,29 @@ def verify(pairs: DataFrame, legs: tuple[str, ...] = ("exact", "normalised", "fu
     start = F.when(exact, F.col("_at") - 1).when(alike, F.instr("_low", F.col("_found")) - 1).cast("int")
     length = F.when(exact, F.length(quote)).when(alike, F.length("_found"))
     rows = rows.withColumns({"score": F.when(exact, 1.0).when(alike, 0.99).otherwise(0.0), "char_start": start, "char_end": (start + length).cast("int")}).drop("_blank", "_at", "_found", "_low")
-    if "normalised" in legs:
-        odd = (F.col("method") == "not_found") & text.isNotNull() & (quote.rlike(r"[^\x00-\x7F]") | text.rlike(r"[^\x00-\x7F]"))
-        rows = rows.where(~F.coalesce(odd, F.lit(False))).unionByName(_compatible(rows.where(odd)))
-    if "fuzzy" in legs:
-        open_ = (F.col("method") == "not_found") & (F.length(F.trim(quote)) >= SHORTEST) & text.isNotNull()
-        rows = rows.where(~F.coalesce(open_, F.lit(False))).unionByName(_fuzzy(rows.where(open_)))
+    odd = (F.col("method") == "not_found") & text.isNotNull() & (quote.rlike(r"[^\x00-\x7F]") | text.rlike(r"[^\x00-\x7F]")) if "normalised" in legs else F.lit(False)
+    long = (F.col("method") == "not_found") & text.isNotNull() & (F.length(F.trim(quote)) >= SHORTEST) if "fuzzy" in legs else F.lit(False)
+    if "normalised" in legs or "fuzzy" in legs:
+        # rows that are settled pass through as nulls: what comes before is worked out once
+        rows = rows.withColumns({"_odd": F.coalesce(odd, F.lit(False)), "_long": F.coalesce(long, F.lit(False))})
+        open_ = F.col("_odd") | F.col("_long")
+        rows = rows.withColumn("_f", F.pandas_udf(_rest, "method string, score double, char_start int, char_end int")(F.when(open_, quote), F.when(open_, text), "_odd", "_long"))
+        late = lambda c: F.when(F.col("_f.method").isNotNull(), F.col(f"_f.{c}")).otherwise(F.col(c))
+        rows = rows.withColumns({c: late(c) for c in ("score", "char_start", "char_end", "method")}).drop("_f", "_odd", "_long")
     return rows.withColumn("verified", F.col("method").isin("exact", "normalised", "fuzzy"))
 
 
-def _compatible(rows: DataFrame) -> DataFrame:
-    """The second leg for characters that no table of single letters makes equal."""
-
-    @F.pandas_udf("char_start int, char_end int")
-    def find(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_find_folded(q, t) or (None, None) for q, t in zip(quotes, texts, strict=True)], columns=["char_start", "char_end"], dtype="Int32")
-
-    out = rows.withColumn("_f", find("quote", "chunk_text"))
-    hit = F.col("_f.char_start").isNotNull()
-    return out.withColumns({"method": F.when(hit, "normalised").otherwise("not_found"), "score": F.when(hit, 0.99).otherwise(0.0), "char_start": F.col("_f.char_start"), "char_end": F.col("_f.char_end")}).drop("_f")
-
-
-def _fuzzy(rows: DataFrame) -> DataFrame:
-    @F.pandas_udf("score double, char_start int, char_end int")
-    def align(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_align_folded(q, t) for q, t in zip(quotes, texts, strict=True)], columns=["score", "char_start", "char_end"])
-
-    out = rows.withColumn("_f", align("quote", "chunk_text"))
-    hit = F.col("_f.score") >= FUZZY
-    return out.withColumns({"method": F.when(hit, "fuzzy").otherwise("not_found"), "score": F.when(hit, F.col("_f.score")).otherwise(0.0), "char_start": F.when(hit, F.col("_f.char_start")), "char_end": F.when(hit, F.col("_f.char_end"))}).drop("_f")
+def _rest(quotes: pd.Series, texts: pd.Series, odd: pd.Series, long: pd.Series) -> pd.DataFrame:
+    """The second leg for characters that no table of single letters makes equal, then the third, for the rows that need them."""
+    out: list[tuple] = [(None, None, None, None)] * len(quotes)
+    late = []
+    for k, (quote, text, is_odd, is_long) in enumerate(zip(quotes, texts, odd, long, strict=True)):
+        found = _find_folded(quote, text) if is_odd else None
+        if found:
+            out[k] = ("normalised", 0.99, *found)
+        elif is_long:
+            late.append((k, _fold(quote), *_folded(text)))
+    for (k, _, _, at), best in zip(late, best_windows([(quote, folded) for _, quote, folded, _ in late], FUZZY), strict=True):
+        if best:
+            out[k] = ("fuzzy", best[0], at[best[1]], at[best[2] - 1] + 1)
+    return pd.DataFrame(out, columns=["method", "score", "char_start", "char_end"]).astype({"char_start": "Int32", "char_end": "Int32"})
