@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,18 +144,87 @@ def cite(clauses: DataFrame, chunks: DataFrame, clause_ids: DataFrame, chunk_ids
     return a.union(b)
 
 
-def link_issuers(chunks: DataFrame, instruments: DataFrame, first: int = 20) -> DataFrame:
-    """(document_id, instrument_id): the one instrument whose issuer's name, white space and case apart, stands in a
-    document's first chunks, from the beginning of a word; none if several do. Names meet documents by their first word, and
-    a document's text only those names; words are letters and digits of any script."""
-    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    head = chunks.where(F.col("ordinal") < first).groupBy("document_id").agg(plain(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_text"))), lambda x: x["chunk_text"]), " ")).alias("head"))
-    word = r"[\p{L}\p{N}]+"
-    words = head.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit(word), F.lit(0)))).alias("word"))
-    names = instruments.select("instrument_id", plain(F.col("issuer_name")).alias("name")).withColumn("word", F.regexp_extract("name", word, 0)).where("word <> ''")
-    near = words.join(names, "word").groupBy("document_id").agg(F.collect_set(F.struct("instrument_id", "name")).alias("near"))
-    found = head.join(near, "document_id").select("document_id", "head", F.explode("near").alias("n")).where(F.contains("head", F.col("n.name"))).select("document_id", F.col("n.instrument_id").alias("instrument_id")).distinct()
-    return found.groupBy("document_id").agg(F.count("*").alias("n"), F.min("instrument_id").alias("instrument_id")).where("n = 1").drop("n")
+#: Bytes of names that are sent to all executors at once, with what the automaton needs for each name besides its letters.
+NAME_BYTES, NAME_EXTRA = 4 << 20, 64
+_automata: dict[int, ahocorasick.Automaton] = {}
+
+
+def _collapsed(text: str | None) -> str:
+    return " ".join((text or "").split()).lower()
+
+
+def _automaton(number: int, names: list[tuple]) -> ahocorasick.Automaton:
+    """The automaton of a part of the names, built once by each worker; a name has its rows and one of its instruments."""
+    if number not in _automata:
+        _automata.clear()
+        known: dict[str, tuple] = {}
+        for name, n, one in names:
+            name = _collapsed(name)
+            n, one = (n + known[name][0], min(one, known[name][1])) if name in known else (n, one)
+            known[name] = (n, one)
+        made = ahocorasick.Automaton()
+        for name, value in known.items():
+            if name:
+                made.add_word(name, (name, *value))
+        made.make_automaton()
+        _automata[number] = made
+    return _automata[number]
+
+
+def _names_in(names) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _automaton(names.id, names.value)
+        for batch in batches:
+            rows = []
+            for document, pieces in zip(batch.column("document_id").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
+                met = {value for _, value in made.iter(_collapsed(" ".join(p["chunk_text"] for p in pieces)))} if len(made) else set()
+                if met:
+                    rows.append((document, sum(v[1] for v in met), min(v[2] for v in met)))
+            types = (batch.schema.field("document_id").type, pa.int64(), names.kind)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["document_id", "n", "instrument_id"])
+
+    return find
+
+
+class _Names:
+    """A part of the names as all executors have it."""
+
+    def __init__(self, number: int, sent, kind: pa.DataType):
+        self.id, self._sent, self.kind = number, sent, kind
+
+    @property
+    def value(self) -> list[tuple]:
+        return self._sent.value
+
+
+def link_issuers(chunks: DataFrame, instruments: DataFrame, first: int = 20, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """(document_id, instrument_id): the one instrument whose issuer's name, white space and case apart, stands anywhere in a
+    document's first chunks, inside words too; none if several do. Blank names and null texts match nothing.
+
+    Distinct names are dealt into parts of at most name_bytes, measured before any is sent; each part is an automaton that
+    every executor builds, and a document's text runs through it once, so time does not depend on the number of names."""
+    spark = chunks.sparkSession
+    heads = chunks.where((F.col("ordinal") < first) & F.col("chunk_text").isNotNull()).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_text"))).alias("pieces"))
+    names = saved(instruments.where("trim(issuer_name) <> ''").groupBy("issuer_name").agg(F.count("*").alias("n"), F.min("instrument_id").alias("one")))
+    size, parts = F.octet_length("issuer_name") + NAME_EXTRA, 1
+    part = lambda: F.pmod(F.xxhash64("issuer_name"), F.lit(parts))
+    total = names.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    parts = max(1, -(-total * 5 // (name_bytes * 4)))
+    while parts > 1 and (names.groupBy(part()).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] or 0) > max(name_bytes, 1 << 12):
+        parts *= 2
+    heads = saved(heads) if parts > 1 else heads
+    kind = pa.string() if instruments.schema["instrument_id"].dataType.simpleString() == "string" else pa.int64()
+    ddl = f"document_id {chunks.schema['document_id'].dataType.simpleString()}, n bigint, instrument_id {'string' if kind == pa.string() else 'bigint'}"
+    found = None
+    for k in range(parts):
+        own = [tuple(r) for r in names.where(part() == k).collect()]
+        met = heads.mapInArrow(_names_in(_Names(next(_numbers), spark.sparkContext.broadcast(own), kind)), ddl)
+        found = met if found is None else found.unionByName(met)
+    one = found.groupBy("document_id").agg(F.sum("n").alias("n"), F.min("instrument_id").alias("instrument_id")).where("n = 1").drop("n")
+    return one.withColumn("instrument_id", F.col("instrument_id").cast(instruments.schema["instrument_id"].dataType))
+
+
+_numbers = itertools.count()
 
 
 def page_of(rows: DataFrame, order: list, page: int, size: int = 50) -> DataFrame:
