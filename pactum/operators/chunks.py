@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum.functions.text import garbled_ratio, language, matches, once, text_search_config
+from pactum.sources.tables import saved
 
 MAX_CHARS, HEADING_CHARS, HEADING_UPPER = 1200, 120, 0.70
 SPAN, ITEM = "array<struct<start:int,end:int>>", "array<struct<start:int,end:int,kind:string>>"
@@ -70,7 +71,9 @@ def is_heading(body: Column) -> Column:
 
 
 def split_long(text: Column, span: Column, most: int = MAX_CHARS) -> Column:
-    """A span in pieces of at most `most` characters: as many sentences as fit, a longer sentence cut hard."""
+    """A span in pieces of at most `most` characters. Rule: sentences (ended by . ! ? ; and white space) are taken while the piece
+    from its first to their last character fits; one that alone is too long is cut every `most` characters, and what is left of
+    it goes on; each piece is trimmed."""
     ends = F.transform(matches(_cut(text, span["start"], span["end"]), r"(?s).+?(?:[.!?;]\s+|$)"), lambda m: span["start"] + m["end"])
     begin = F.struct(span["start"].alias("start"), span["start"].alias("packed"), F.array().cast(SPAN).alias("out"))
 
@@ -109,7 +112,7 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     """pages(document_id, page_number, text[, tables array<struct<start,end>>]) -> chunks (document_id, page_number, ordinal,
     char_start, char_end, chunk_text, chunk_type, language, fts_config, section_title, hash).
 
-    Ordinals run over a document, after those in after(document_id, ordinal) if given: text that came later, as from
+    The pages are cut at once, into a work table; no document is any one task's. Ordinals run over a document, after those in after(document_id, ordinal) if given: text that came later, as from
     recognition of scans, is chunked the same way and numbered on. A null or blank page has no chunks. A page that stands
     twice under one number is numbered twice, in either order."""
     text = F.col("page_text")
@@ -129,10 +132,9 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     lead = lambda c: F.try_element_at(F.filter("headings", lambda i: i["start"] == c["start"]), F.lit(1))
     own_titles = F.when(F.size("headings") > 0, F.transform("chunks", lambda c: F.substring(F.trim(_cut(text, lead(c)["start"], lead(c)["end"])), 1, 512))).otherwise(F.array().cast("array<string>"))
     whole = once(whole, "titles", own_titles)
-    before = F.sum(F.size("chunks")).over(Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
-    whole = whole.withColumn("base", F.coalesce(before, F.lit(0)))
-    if after is not None:
-        whole = whole.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("first")), "document_id", "left").withColumn("base", F.col("base") + F.coalesce("first", F.lit(0)))
+    # written once, with a number for each row: ordinals are counted without the text, and come back to it by that number
+    pages_ = saved(whole.select("document_id", "page_number", "page_text", "chunks", "titles", F.size("chunks").alias("n"), F.monotonically_increasing_id().alias("row")))
+    whole = pages_.join(first_ordinals(pages_, after), "row")
     # a page's text ends here: its chunks go on without it
     made = F.arrays_zip(F.col("chunks").alias("c"), F.transform("chunks", lambda c: _cut(text, c["start"], c["end"])).alias("chunk_text"), F.transform("chunks", lambda c, k: F.try_element_at(F.filter(F.slice("titles", 1, k + 1), lambda t: t.isNotNull()), F.lit(-1))).alias("title"))
     found = whole.select("document_id", "page_number", "base", F.posexplode(made).alias("place", "made")).select("document_id", "page_number", "base", "place", "made.*")
@@ -141,6 +143,23 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     return out.select("document_id", "page_number", (F.col("base") + F.col("place")).cast("int").alias("ordinal"), F.col("c.start").alias("char_start"), F.col("c.end").alias("char_end"), "chunk_text", F.col("c.kind").alias("chunk_type"), "language", text_search_config(F.col("language")).alias("fts_config"), F.col("title").alias("section_title"), key.alias("hash"))
 
 
+#: Pages of a document that are numbered together.
+PAGE_RANGE = 1000
+
+
+def first_ordinals(pages: DataFrame, after: DataFrame | None = None, width: int = PAGE_RANGE) -> DataFrame:
+    """pages(row, document_id, page_number, n chunks) -> (row, base): the ordinal of the page's first chunk, counted over ranges of
+    pages first, then within each, after the ordinals in after(document_id, ordinal)."""
+    rows = pages.select("row", "document_id", "page_number", "n", F.floor(F.col("page_number") / width).alias("_range"))
+    ranges = rows.groupBy("document_id", "_range").agg(F.sum("n").alias("n"))
+    before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(F.col("document_id").alias("_document"), F.col("_range").alias("_r"), F.coalesce(F.sum("n").over(before("_range").partitionBy("document_id")), F.lit(0)).alias("start"))
+    if after is not None:
+        starts = starts.join(after.groupBy("document_id").agg((F.max("ordinal") + 1).alias("first")), F.col("_document") == F.col("document_id"), "left").withColumn("start", F.col("start") + F.coalesce("first", F.lit(0))).drop("document_id", "first")
+    own = rows.withColumn("own", F.coalesce(F.sum("n").over(before("page_number", "row").partitionBy("document_id", "_range")), F.lit(0)))
+    return own.join(starts, F.col("document_id").eqNullSafe(F.col("_document")) & F.col("_range").eqNullSafe(F.col("_r"))).select("row", (F.col("own") + F.col("start")).alias("base"))
+
+
 def span_violations(chunks: DataFrame, pages: DataFrame, text_col: str = "text") -> DataFrame:
     """Chunks that are not the slice of their page that they claim to be; must be empty."""
     own = pages.select("document_id", "page_number", F.col(text_col).alias("page_text"))

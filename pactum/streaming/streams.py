@@ -10,23 +10,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pactum.operators.chunks import assess_pages, chunk
+from pactum.sources.stored import read_stored, upsert_stored
+from pactum.sources.tables import discard, saved
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def drain(pages: DataFrame, out: str, checkpoint: str, index: Callable[[DataFrame], DataFrame] | None = None):
-    """Queued pages -> quality, chunks and, if given, an index, batch by batch until the queue is empty. The checkpoint is the
-    claim; a batch that is run again overwrites its own output."""
+ORDINALS = "document_id string, first bigint, next bigint, batch bigint"
+
 
-    def one(batch: DataFrame, batch_id: int) -> None:
-        assessed = assess_pages(batch)
-        assessed.write.mode("overwrite").parquet(f"{out}/pages/batch={batch_id}")
-        chunks = chunk(batch)
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-        if index is not None:
-            index(chunks).write.mode("overwrite").parquet(f"{out}/index/batch={batch_id}")
+def drain_batch(batch: DataFrame, batch_id: int, out: str, index: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A batch of pages -> quality, chunks and, if given, an index, each in the batch's own folder, which a replay overwrites.
 
-    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Chunks are numbered on over batches. `{out}/ordinals` keeps for each document where the numbers of its last batch began and
+    where those of the next begin, in buckets of which only the batch's are read and rewritten. A batch that is run again finds
+    its own number there and begins where it began, so it gives the same chunks and leaves the same state."""
+    spark = batch.sparkSession
+    assess_pages(batch).write.mode("overwrite").parquet(f"{out}/pages/batch={batch_id}")
+    own = batch.withColumn("document_id", F.col("document_id").cast("string"))
+    state = read_stored(spark, f"{out}/ordinals", ORDINALS).join(own.select("document_id").distinct(), "document_id", "left_semi")
+    begin = F.when(F.col("batch") == batch_id, F.col("first")).otherwise(F.col("next"))
+    known = saved(state.select("document_id", begin.alias("begin")))
+    place = f"{out}/chunks/batch={batch_id}"
+    chunk(own, after=known.select("document_id", (F.col("begin") - 1).alias("ordinal"))).write.mode("overwrite").parquet(place)
+    chunks = spark.read.parquet(place)
+    moved = chunks.groupBy("document_id").agg(F.min("ordinal").cast("bigint").alias("first"), (F.max("ordinal") + 1).cast("bigint").alias("next")).withColumn("batch", F.lit(batch_id).cast("bigint"))
+    upsert_stored(f"{out}/ordinals", moved.where("document_id is not null"), ["document_id"])
+    if index is not None:
+        index(chunks).write.mode("overwrite").parquet(f"{out}/index/batch={batch_id}")
+    discard(known)
+
+
+def drain(pages: DataFrame, out: str, checkpoint: str, index: Callable[[DataFrame], DataFrame] | None = None):
+    """Queued pages -> drain_batch(), batch by batch until the queue is empty. The checkpoint is the claim. A document whose pages
+    come in several batches, in the order of pages, has the ordinals that one batch would have given it."""
+    work = lambda batch, batch_id: drain_batch(batch, batch_id, out, index)
+    return pages.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_uploads(uploads: DataFrame, within: str = "1 day") -> DataFrame:
@@ -35,35 +54,54 @@ def first_uploads(uploads: DataFrame, within: str = "1 day") -> DataFrame:
 
 
 class _Streak(StatefulProcessor):
-    """Failures of a key since its last success, forgotten some time after the last."""
+    """Failures of a key since its last success. Events wait in a list until the watermark has passed them, since until then
+    an earlier one may come; timers wake the key, and events are then applied in the order of their times."""
 
-    def __init__(self, window_s: float, keep_s: float):
-        self.window_s, self.keep_s = window_s, keep_s
+    def __init__(self, window: int, keep: int):
+        self.window, self.keep = window, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getValueState("times", "at array<double>")
+        self.times = handle.getValueState("times", "at array<bigint>")
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, succeeded boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = list(self.times.get()[0]) if self.times.exists() else []
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            now = row.ts.timestamp()
-            if row.succeeded:
-                at = []
-                continue
-            at = [t for t in at if t >= now - self.window_s] + [now]
-            out.append((key[0], row.ts, len(at)))
-        self.times.update((at,))
+    def _wake(self, at: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if at:
-            self.handle.registerTimer(int((at[-1] + self.keep_s) * 1000))
-        yield pd.DataFrame(out, columns=["key", "ts", "failures"])
+        self.handle.registerTimer(at // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(r.at), int(r.event_id), bool(r.succeeded)) for part in rows for r in part.itertuples()]
+        self.waiting.appendList(new)
+        timers, first = list(self.handle.listTimers()), min(x[0] for x in new)
+        if not timers or first // 1000 < min(timers):
+            self._wake(first)
+        yield pd.DataFrame([], columns=["key", "at", "failures"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.times.clear()
-        yield pd.DataFrame([], columns=["key", "ts", "failures"])
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        at = list(self.times.get()[0]) if self.times.exists() else []
+        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [x for x in rows if x[0] <= mark], [x for x in rows if x[0] > mark]
+        out = []
+        for now, _, succeeded in ready:
+            at = [] if succeeded else [t for t in at if t >= now - self.window] + [now]
+            if not succeeded:
+                out.append((key[0], now, len(at)))
+        if at and not rest and at[-1] + self.keep <= mark:
+            at = []
+        if at:
+            self.times.update((at,))
+        else:
+            self.times.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+            if at:
+                self._wake(at[-1] + self.keep)
+        yield pd.DataFrame(out, columns=["key", "at", "failures"])
 
     def close(self) -> None:
         pass
@@ -71,9 +109,12 @@ class _Streak(StatefulProcessor):
 
 def failure_monitor(events: DataFrame, key: str, window_s: float = 900, keep_s: float = 86_400, late: str = "1 hour") -> DataFrame:
     """events(key, ts, event_id, succeeded) -> (key, ts, failures) for each failure: those since the last success within the
-    window. Events later than the watermark are dropped; a key without failures for keep_s is forgotten."""
-    rows = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", "event_id", "succeeded")
-    return rows.groupBy("key").transformWithStateInPandas(_Streak(window_s, keep_s), "key string, ts timestamp, failures int", "Append", "EventTime")
+    window, in the order of event times, whatever order they came in within the watermark: a row comes out once the watermark
+    has passed it. Events later than the watermark are dropped; a key without failures for keep_s is forgotten. Rows of
+    a null key only carry their time to the watermark: one of them, later than all others by the delay, ends a stream."""
+    rows = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"), "event_id", "succeeded")
+    found = rows.groupBy("key").transformWithStateInPandas(_Streak(int(window_s * 1e6), int(keep_s * 1e6)), "key string, at bigint, failures int", "Append", "EventTime")
+    return found.where("key is not null").select("key", F.timestamp_micros("at").alias("ts"), "failures")
 
 
 class _Spend(StatefulProcessor):
