@@ -102,10 +102,10 @@ def pattern_quotes(spark, d):
     return extraction.extract(said(spark, d)).select("hash", "pattern_id", "quote", "char_start", "char_end", "operator", "threshold_ratio", "threshold_amount", "threshold_currency", "trigger_rating", "rating_agency", "severity")
 
 
-@query(f"""WITH {_SAID_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k) AS place FROM said WHERE m < 13) SELECT document_id, 'h' || k AS hash, 'regex' AS leg, 0 AS span_start, CAST(28 + length(quote) + 23 AS INTEGER) AS span_end FROM c WHERE place <= 20
+@query(f"""WITH {_SAID_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY 'h' || k) AS place FROM said WHERE m < 13) SELECT document_id, 'h' || k AS hash, 'regex' AS leg, 0 AS span_start, CAST(28 + length(quote) + 23 AS INTEGER) AS span_end FROM c WHERE place <= 20
 UNION ALL SELECT document_id, 'h' || k, 'semantic', 5, 9 FROM said WHERE 'h' || k NOT IN (SELECT 'h' || k FROM c WHERE place <= 20)""")
 def candidate_spans(spark, d):
-    """Regex candidates, at most twenty a document in page order, and semantic ones of chunks that have none."""
+    """Regex candidates, at most twenty a document in the order of chunk ids, and semantic ones of chunks that have none."""
     own = said(spark, d)
     found = extraction.candidates(own, 20).select("document_id", "hash", F.lit("regex").alias("leg"), F.col("start").cast("int").alias("span_start"), F.col("end").cast("int").alias("span_end"))
     semantic = own.select("document_id", "hash", F.lit("semantic").alias("leg"), F.lit(5).alias("span_start"), F.lit(9).alias("span_end"))
@@ -136,7 +136,7 @@ def matched_calls(spark, d):
     first = table(spark, d, "lineitem").groupBy(k).agg(F.min_by(F.to_date("l_shipdate"), "l_linenumber").alias("call_date"))
     labels = first.select(k.alias("document_id"), k.alias("label_id"), "call_date")
     found = first.select(k.alias("document_id"), (k + 1).alias("prediction_id"), F.date_add("call_date", (k % 7).cast("int")).alias("call_date"), F.when(k % 10 == 0, "human").otherwise("rule").alias("method"))
-    return evaluation.match_calls(found, labels).select("label_id", (-F.col("score")).cast("bigint").alias("days"))
+    return evaluation.match_calls(found, labels).select("label_id", F.col("days").cast("bigint").alias("days"))
 
 
 @query("SELECT count(*) AS predicted, count(*) FILTER (WHERE l_returnflag <> 'R') AS reverified, count(*) FILTER (WHERE l_returnflag = 'A') AS matched, (SELECT count(*) FROM orders) AS labels, round(count(*) FILTER (WHERE l_returnflag <> 'R') / count(*), 9) AS verification_rate, round(count(*) FILTER (WHERE l_returnflag = 'A') / count(*), 9) AS precision, round(count(*) FILTER (WHERE l_returnflag = 'A') / (SELECT count(*) FROM orders), 9) AS recall FROM lineitem")
@@ -239,9 +239,9 @@ def appended_logs(spark, d):
     return counts[0].union(counts[1])
 
 
-@query("SELECT least(count(*), 1000) AS rows, 6 AS columns FROM part UNION ALL SELECT least((SELECT count(*) FROM lineitem), 1000), 4")
+@query("SELECT count(*) AS rows, 6 AS columns FROM part UNION ALL SELECT count(*), 4 FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def readable_views(spark, d):
-    """The views that analysts may read: readable columns only, at most a thousand rows."""
+    """The views that analysts may read: readable columns only, all rows."""
     book = instruments(spark, d)
     tables.publish_views({"instruments": book.withColumn("secret", F.lit(1)), "portfolio_holdings": holdings(spark, d), "llm_calls": calls(spark, d)})
     names = ("instruments", "portfolio_holdings")
@@ -249,6 +249,13 @@ def readable_views(spark, d):
     return out[0].union(out[1])
 
 
+@query(f"WITH {SQL_HOLD} SELECT portfolio_id, instrument_id, count(*) AS positions, CAST(sum(market_value) AS DECIMAL(30,4)) AS total FROM hold GROUP BY 1, 2 ORDER BY portfolio_id, instrument_id LIMIT 1000")
+def analyst_results(spark, d):
+    """An analyst's totals over all holdings, of which the first thousand rows come back."""
+    tables.publish_views({"portfolio_holdings": holdings(spark, d)})
+    return tables.analyst_result(spark, "select portfolio_id, instrument_id, count(*) as positions, cast(sum(market_value) as decimal(30,4)) as total from portfolio_holdings group by 1, 2 order by portfolio_id, instrument_id")
+
+
 @query("SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0 OR c_custkey IN (SELECT o_custkey FROM orders) EXCEPT SELECT s_suppkey FROM supplier")
 def set_operations(spark, d):
     """Union, then difference, as analysts may write them."""
@@ -278,9 +285,21 @@ def streamed_uploads(spark, d):
 @query("""WITH e AS (SELECT event_id, ts, user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('error', 'purchase')), g AS (SELECT *, coalesce(max(CASE WHEN ok THEN n END) OVER (PARTITION BY user_id ORDER BY n), 0) AS last FROM e)
 SELECT CAST(a.user_id AS VARCHAR) AS key, a.ts, CAST(count(*) AS INTEGER) AS failures FROM g a JOIN g b ON b.user_id = a.user_id AND b.last = a.last AND NOT b.ok AND b.n <= a.n AND b.ts >= a.ts - INTERVAL 2880 MINUTE WHERE NOT a.ok GROUP BY a.user_id, a.ts, a.n""")
 def streamed_failures(spark, d):
+    """Events that arrive up to a day late, in four batches and an end, counted in the order in which they happened."""
     spark.conf.set(*streams.STATE_STORE)
-    rows = _stream(spark, d, "events").where("event_type in ('error', 'purchase')").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") == "purchase").alias("succeeded"))
-    return _to_end(streams.failure_monitor(rows, "user_id", 2880 * 60, 400 * 86_400)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    late = F.make_dt_interval(hours=F.col("event_id") % 5 * 6)
+    rows = table(spark, d, "events").where("event_type in ('error', 'purchase')").select(F.col("user_id").cast("string").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") == "purchase").alias("succeeded"))
+    span = rows.agg(F.unix_seconds(F.min("ts")).alias("low"), F.unix_seconds(F.max("ts")).alias("high")).first()
+    quarter = F.least(F.floor((F.unix_seconds(F.col("ts") + late) - span.low) * 4 / max(1, span.high - span.low + 1)), F.lit(3))
+    arrivals = [rows.where(quarter == k) for k in range(4)]
+    arrivals.append(rows.limit(1).select(F.lit(None).cast("string").alias("user"), F.timestamp_seconds(F.lit(span.high + 90_000 * 2)).alias("ts"), F.lit(0).cast(rows.schema["event_id"].dataType).alias("event_id"), F.lit(True).alias("succeeded")))
+    folder = tables.work_folder(spark)
+    for k, batch in enumerate(arrivals):
+        batch.write.parquet(f"{folder}/in/{k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+        found = streams.failure_monitor(stream, "user", 2880 * 60, 400 * 86_400, "25 hours")
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(round(CAST(value AS DECIMAL(12,6)) * 1000000) AS BIGINT) AS micros, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -181,7 +181,7 @@ def document_quality(spark, d):
 _M, _E = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (text.MALAY, text.ENGLISH))
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+(?:-[a-z'']+)*') AS ws FROM documents),
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS ws FROM documents),
 v AS (SELECT doc_id, len([x for x in ws if list_contains({_M}, x)]) AS m, len([x for x in ws if list_contains({_E}, x)]) AS e FROM w)
 SELECT doc_id, CASE WHEN m >= 2 AND m > e THEN 'ms' WHEN e >= 2 AND e > m THEN 'en' ELSE 'unknown' END AS language FROM v""")
 def language_vote(spark, d):
@@ -305,7 +305,7 @@ s AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM i JOIN q USIN
 SELECT item_id AS query_id, doc_id AS chunk_id, CAST(hits / 10.0 AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
 def keyword_search(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text", retrieval.asked_terms(asked).select("lexeme").distinct())
+    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text", retrieval.asked_terms(asked).select("fts_config", "lexeme").distinct())
     return retrieval.keyword_top(index, asked)
 
 
@@ -501,7 +501,8 @@ def named_entities(spark, d):
 @query("SELECT doc_id AS document_id, doc_id AS instrument_id FROM documents WHERE doc_id % 3 > 0 AND doc_id IN (SELECT p_partkey FROM part)")
 def issuer_links(spark, d):
     k = F.col("doc_id")
-    head = table(spark, d, "documents").select(k.alias("document_id"), F.lit(0).alias("ordinal"), F.concat_ws(" ", "text", F.when(k % 3 > 0, F.concat(F.lit("Issuer\n  No"), k.cast("string"), F.lit("x  BERHAD")))).alias("chunk_text"))
+    inside = F.when(k % 3 == 1, F.lit("aboutNo")).otherwise("Issuer\n  No")
+    head = table(spark, d, "documents").select(k.alias("document_id"), F.lit(0).alias("ordinal"), F.concat_ws(" ", "text", F.when(k % 3 > 0, F.concat(inside, k.cast("string"), F.lit("x  BERHAD"), F.when(k % 3 == 1, "s").otherwise(" .")))).alias("chunk_text"))
     names = table(spark, d, "part").select(F.col("p_partkey").alias("instrument_id"), F.concat(F.lit("No"), F.col("p_partkey").cast("string"), F.lit("x Berhad")).alias("issuer_name"))
     return portfolio.link_issuers(head, names)
 
@@ -603,7 +604,7 @@ def extractor_agreement(spark, d):
     return ledger.agreement(rows).withColumn("agreement", F.round("agreement", 9))
 
 
-@query(f"""WITH w AS (SELECT source, regexp_extract_all(lower(text), '[a-z'']+(?:-[a-z'']+)*') AS ws FROM documents), v AS (SELECT source, len([x for x in ws if list_contains({_M}, x)]) AS m, len([x for x in ws if list_contains({_E}, x)]) AS e FROM w),
+@query(f"""WITH w AS (SELECT source, regexp_extract_all(lower(text), '[a-z'']+') AS ws FROM documents), v AS (SELECT source, len([x for x in ws if list_contains({_M}, x)]) AS m, len([x for x in ws if list_contains({_E}, x)]) AS e FROM w),
 l AS (SELECT source, CASE WHEN m >= 2 AND m > e THEN 'ms' WHEN e >= 2 AND e > m THEN 'en' END AS g FROM v) SELECT source AS document_id, CASE count(DISTINCT g) WHEN 0 THEN 'unknown' WHEN 1 THEN max(g) ELSE 'mixed' END AS language FROM l GROUP BY 1""")
 def document_languages(spark, d):
     rows = tables.spread(table(spark, d, "documents")).select(F.col("source").alias("document_id"), text.language(F.col("text")).alias("language"))

@@ -5,12 +5,13 @@ import random
 import re
 from decimal import Decimal as D
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pactum.functions import dates, ratings, text
+from pactum.functions import alignment, dates, joins, ratings, stemming, text
 from pactum.operators import chunks, evaluation, extraction, ledger, portfolio, questions, retrieval, review, rules, verify
-from pactum.sources import tables
+from pactum.sources import stored, tables
 
 
 def column(spark, values, f, kind="string"):
@@ -22,8 +23,6 @@ def test_ratings(spark):
     raw = ["AA1", "AA3", "A2", "BBB3", "AA1(s)", "AA-  stable", "aaa (cg)", "AAA1", "D2", "NR", "", None, "A+ watch negative", "bb "]
     assert column(spark, raw, ratings.normalise) == ["AA+", "AA-", "A", "BBB-", "AA+", "AA-", "AAA", None, None, None, None, None, "A+", "BB"]
     assert column(spark, ["AAA", "AA1", "D", "x"], ratings.rank) == [0, 1, 21, None]
-    assert column(spark, ["AA-", "A-", "BBB3"], lambda c: ratings.is_below(c, F.lit("A"))) == [False, True, True]
-    assert column(spark, ["A", "A-"], lambda c: ratings.is_at_or_below(c, F.lit("A"))) == [True, True]
 
 
 def test_dates(spark):
@@ -367,3 +366,285 @@ def test_greedy_matches_as_a_plain_loop(spark):
     for most in (20_000, 0):
         assert sorted(tuple(r)[:3] for r in evaluation.greedy_matches(scored, ["document_id"], most).collect()) == sorted(expected)
     assert evaluation.greedy_matches(scored.limit(0), ["document_id"]).count() == 0
+
+
+def test_language_words_are_parted_by_hyphens(spark):
+    texts = ["a state-of-the-art plant and so", "mana-mana yang lain", "yang dan state-of-the-art", "the issuer's and the trustee's"]
+    assert column(spark, texts, text.language) == ["en", "unknown", "unknown", "en"]
+
+
+def plain_stem(word):
+    """The public rules once more, letter by letter."""
+    vowels = "aeiouy"
+    own = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+    if len(word) <= 2:
+        return word
+    if word in own:
+        return own[word]
+    if word in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes"):
+        return word
+    w = list(word)
+    for k, c in enumerate(w):
+        if c == "y" and (k == 0 or w[k - 1] in vowels):
+            w[k] = "Y"
+    w = "".join(w)
+
+    def region(start):
+        for k in range(start + 1, len(w)):
+            if w[k - 1] in vowels and w[k] not in vowels:
+                return k + 1
+        return len(w)
+
+    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None) or region(0)
+    r2 = region(r1)
+
+    def short_end(x):
+        if len(x) == 2:
+            return x[0] in vowels and x[1] not in vowels
+        return len(x) > 2 and x[-3] not in vowels and x[-2] in vowels and x[-1] not in vowels + "wxY"
+
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in vowels for c in w[:-2]):
+        w = w[:-1]
+    if w in ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"):
+        return w
+    end = next((s for s in ("eedly", "ingly", "edly", "eed", "ing", "ed") if w.endswith(s)), None)
+    if end in ("eed", "eedly"):
+        w = w[: -len(end)] + "ee" if len(w) - len(end) >= r1 else w
+    elif end and any(c in vowels for c in w[: -len(end)]):
+        w = w[: -len(end)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w[-2:] in ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"):
+            w = w[:-1]
+        elif len(w) <= r1 and short_end(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in vowels:
+        w = w[:-1] + "i"
+
+    def swapped(table, valid):
+        end = max((s for s in table if w.endswith(s)), key=len, default=None)
+        return w[: -len(end)] + table[end] if end and valid(end, w[: -len(end)]) else w
+
+    w = swapped({"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}, lambda s, x: len(x) >= r1 and (s != "ogi" or x.endswith("l")) and (s != "li" or x[-1:] in tuple("cdeghkmnrt")))
+    w = swapped({"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}, lambda s, x: len(x) >= r1 and (s != "ative" or len(x) >= r2))
+    w = swapped(dict.fromkeys("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), ""), lambda s, x: len(x) >= r2 and (s != "ion" or x[-1:] in ("s", "t")))
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not short_end(w[:-1])) or w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.lower()
+
+
+def test_english_stems(spark):
+    known = {"consigned": "consign", "consistency": "consist", "consolatory": "consolatori", "knackeries": "knackeri", "kneeling": "kneel", "hopping": "hop", "hoping": "hope", "generic": "generic", "generate": "generat", "ties": "tie", "cries": "cri", "agreed": "agre", "feed": "feed", "rationalization": "ration", "geology": "geolog", "ratings": "rate", "proceeds": "proceed", "electricity": "electr", "skies": "sky", "news": "news", "gas": "gas", "yes": "yes", "enjoyed": "enjoy", "redemption": "redempt", "roll": "roll", "controlling": "control", "by": "by", "3rd": "3rd", "rm30": "rm30"}
+    rng = random.Random(8)
+    starts, ends = ["rat", "oblig", "hop", "gener", "yield", "matur", "contr", "iss", "arsen", "trustee", "b", "sky", "fall", "emplo", "x", "bowl", "apolog", "stra"], ["", "s", "es", "ed", "eed", "ing", "ingly", "ational", "ation", "izer", "fulness", "ousli", "biliti", "ogi", "li", "icate", "ative", "ement", "ion", "sion", "ll", "e", "y", "ies", "ied", "us", "ss", "edly", "tional", "ization"]
+    words = sorted({rng.choice(starts) + rng.choice(ends) + rng.choice(ends) for _ in range(900)} | set(known))
+    got = dict(zip(words, column(spark, words, stemming.english_stem), strict=True))
+    assert {w: got[w] for w in known} == known and {w: plain_stem(w) for w in known} == known
+    assert {w: s for w, s in got.items() if s != plain_stem(w)} == {}
+
+
+def test_search_by_the_language_of_each_row(spark):
+    rows = spark.createDataFrame([(1, "The ratings were downgraded, downgraded.", "english"), (2, "the downgrade", "simple"), (3, "downgrades of the issuer", "english"), (4, None, "english"), (5, "of the", "english")], "chunk_id long, chunk_text string, fts_config string")
+    asked = spark.createDataFrame([(1, "downgrading"), (2, "the downgrade"), (3, "of"), (4, "?!")], "query_id long, question string")
+    got = sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 3)) for r in retrieval.keyword_top(retrieval.postings(rows), asked).collect())
+    assert got == [(1, 1, 1, 0.2), (1, 2, 3, 0.1), (2, 1, 1, 0.2), (2, 2, 2, 0.2), (2, 3, 3, 0.1)]
+
+
+def test_blocks_are_read_as_far_as_the_floor(spark):
+    """A frequent lexeme is many blocks, and few of them are read for its top; the result is that of reading everything."""
+    rng = random.Random(3)
+    texts = [" ".join(["common"] * (30 if k < 8 else 1 + k % 2) + rng.choices("abcdefgh", k=4) + ["rare"] * (k % 400 == 0)) for k in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, chunk_text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "common rare"), (3, "a b c common"), (4, "absent"), (5, "rare a")], "query_id long, question string")
+    index = retrieval.postings(rows).cache()
+    blocks, directory = retrieval.posting_blocks(index, 16)
+    got = sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 3)) for r in retrieval.search_blocks(blocks, directory, asked, 5, 16).collect())
+    expected = []
+    for q, words in ((1, ["common"]), (2, ["common", "rare"]), (3, ["a", "b", "c", "common"]), (5, ["rare", "a"])):
+        scores = sorted(((-sum(t.split().count(w) for w in words), k) for k, t in enumerate(texts)))[:5]
+        expected += [(q, n + 1, k, round(-s / 10, 3)) for n, (s, k) in enumerate(scores)]
+    assert got == sorted(expected)
+    need = retrieval.needed_bands(blocks, directory, asked, 5, 16).where("query_id = 1").agg(F.sum("parts")).first()[0]
+    assert blocks.where("lexeme = 'common'").count() > 200 and need <= 2
+    assert max(r.n for r in blocks.select(F.size("postings").alias("n")).collect()) < 64
+
+
+def test_vectors_by_buckets(spark):
+    """Enough of the exact leg's rows are found, in few of the buckets; with all of them probed, every row."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 24))
+    rows = [(k, [float(x) for x in centres[k % 12] + 0.3 * rng.standard_normal(24)], "m" if k % 50 else "other") for k in range(1500)] + [(9000, [0.0] * 24, "m"), (9001, None, "m"), (9002, [1.0, 2.0], "m")]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, model string")
+    asked = v.where("chunk_id % 40 = 1 or chunk_id = 9000").select(F.col("chunk_id").alias("query_id"), "embedding", "model")
+    exact = retrieval.vector_top(v, asked, 10)
+    found, probes = retrieval.vector_top_indexed(v, asked, 10)
+    assert probes < 64 and retrieval.recall(found, exact).first().recall >= 0.9
+    whole = retrieval.bucket_top(retrieval.projection_buckets(v), asked, 10, probes=64)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, exact.collect()))
+    m = {k: np.array(e) for k, e, model in rows if model == "m" and e and len(e) == 24 and any(e)}
+    for q in (1, 41, 81):
+        scores = sorted(m, key=lambda k: (-round(float(m[k] @ m[q] / np.linalg.norm(m[k]) / np.linalg.norm(m[q])), 9), k))[:10]
+        assert [r.chunk_id for r in exact.where(f"query_id = {q}").orderBy("rank").collect()] == scores
+
+
+def test_issuers_anywhere_in_the_text(spark):
+    names = ["Retail REIT Berhad", "Bank", "Bank Nasional", "  ", None, "BANK", "Ümlaut AG", "Zeta Holdings"]
+    instruments = spark.createDataFrame([(f"i{k}", n) for k, n in enumerate(names)], "instrument_id string, issuer_name string")
+    docs = [("d1", 0, "the retail\nreit   BERHAD is"), ("d2", 0, "a Bank is two instruments"), ("d3", 0, "pseudoretail reit berhadx"), ("d4", 0, "zeta"), ("d4", 1, "holdings and more"), ("d5", 0, "nothing"), ("d6", 25, "Zeta Holdings too late"), ("d7", 0, None), ("d8", 0, "ümlaut ag, zeta holdings"), ("d9", 3, "an ÜMLAUT AG")]
+    chunks_ = spark.createDataFrame(docs, "document_id string, ordinal int, chunk_text string")
+    expected = [("d1", "i0"), ("d3", "i0"), ("d4", "i7"), ("d9", "i6")]
+    for most in (1 << 20, 100):  # one automaton, and names dealt into several
+        assert sorted(map(tuple, portfolio.link_issuers(chunks_, instruments, name_bytes=most).collect())) == expected
+    assert portfolio.link_issuers(chunks_, instruments.limit(0)).count() == 0
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_best_windows_as_all_windows():
+    """The score, and the first of the best windows, as comparing the quote with every window gives them."""
+    rng = random.Random(1)
+    pairs = [("", "abc"), ("x" * 50, ""), ("ab" * 40, "ab" * 80), ("a quote that is longer than its text by far", "a quote that is longer than its text")]
+    for _ in range(60):
+        letters = rng.choice(["abcd ", "abcdefghijklmnopqrstuvwxyz     ", "ab", "日本é😀 "])
+        line = "".join(rng.choice(letters) for _ in range(rng.randint(30, 200)))
+        m, at = rng.randint(40, 130), rng.randint(-12, 150)
+        quote = ["#"] * rng.randint(0, 6) * (at < 0) + list(line[max(at, 0) : at + m] or "none")
+        for _ in range(rng.randint(0, len(quote) // 9)):
+            k, kind = rng.randrange(len(quote)), rng.random()
+            if kind < 0.35:
+                quote[k] = "Z"
+            elif kind < 0.7 or len(quote) < 6:
+                quote.insert(k, rng.choice(letters))
+            else:
+                del quote[k]
+        pairs.append(("".join(quote), line))
+
+    def all_windows(quote, line):
+        if len(quote) > len(line):
+            best = all_windows(line, quote)
+            return best and (best[0], 0, len(line))
+        best = None
+        for at in range(-len(quote) + 1, len(line) if quote else 0):
+            a, b = max(at, 0), min(at + len(quote), len(line))
+            score = 2 * common(quote, line[a:b]) / (len(quote) + b - a)
+            best = (score, a, b) if score >= 0.92 and (best is None or score > best[0]) else best
+        return best
+
+    found = alignment.best_windows(pairs, 0.92)
+    assert found == [all_windows(*p) for p in pairs] and sum(f is not None for f in found) > 35
+
+
+def test_fuzzy_quotes_in_one_pass(spark):
+    prose = "The Issuer shall not create or permit to subsist any security interest over its assets."
+    quote = "The Issuer shall not create or permit to subsist any security interest[1] over its assets."
+    rows = spark.createDataFrame([(1, quote, "Before. " + prose + " After."), (2, quote, "Something else entirely is written here, at some length, and more."), (3, "short quote[1]", "a short quote"), (4, prose.replace("fi", "ﬁ"), prose), (5, None, prose), (6, quote, None), (7, quote, prose)], "k int, quote string, chunk_text string")
+    out = verify.verify(rows)
+    got = {r.k: r for r in out.collect()}
+    assert [got[k].method for k in (1, 2, 3, 4, 5, 6, 7)] == ["fuzzy", "not_found", "not_found", "exact", "empty", "not_found", "fuzzy"]
+    line = "Before. " + prose + " After."
+    assert 0.95 < got[1].score < 1 and prose[:-1] in line[got[1].char_start : got[1].char_end] and got[7].char_end == len(prose)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan") == 1
+
+
+def test_overlaps_of_many_spans_in_one_chunk(spark):
+    """10,000 spans of one chunk: the pairs that meet in a bin are no more than a few for each overlap."""
+    n = 10_000
+    left = spark.range(n).select(F.lit("h").alias("hash"), F.col("id").alias("a"), (F.col("id") * 40).alias("s"), (F.col("id") * 40 + 30).alias("e"))
+    right = spark.range(n).select(F.lit("h").alias("hash"), F.col("id").alias("b"), (F.col("id") * 40 + 20).alias("t"), (F.col("id") * 40 + 60).alias("u"))
+    met = joins.overlapping(left, right, ["hash"], (F.col("s"), F.col("e")), (F.col("t"), F.col("u")), 64)
+    assert met.count() == 2 * n - 1 and met.select("a", "b").distinct().count() == 2 * n - 1
+    # without the test of each pair: what the bins bring together
+    wide = joins.overlapping(left.withColumns({"s": F.floor(F.col("s") / 64) * 64, "e": F.floor(F.col("e") / 64) * 64 + 64}), right, ["hash"], (F.col("s"), F.col("e")), (F.col("t"), F.col("u")), 64)
+    assert wide.count() < 6 * n
+
+
+def test_overlaps_as_all_pairs(spark):
+    rng = random.Random(6)
+    span = lambda: (rng.choice("ab"), *sorted((rng.randrange(-50, 400), rng.randrange(-50, 400))))
+    x, y = [span() for _ in range(60)] + [("a", None, 5), (None, 1, 9)], [span() for _ in range(60)] + [("a", 3, None)]
+    left = spark.createDataFrame([(k, *r) for k, r in enumerate(x)], "i int, key string, s int, e int")
+    right = spark.createDataFrame([(k, *r) for k, r in enumerate(y)], "j int, key string, t int, u int")
+    expected = sorted((i, j) for i, (k, s, e) in enumerate(x) for j, (m, t, u) in enumerate(y) if k == m and None not in (k, s, e, t, u) and s < e and t < u and s < u and t < e)
+    for width in (7, 100, 5000):
+        met = joins.overlapping(left, right, ["key"], (F.col("s"), F.col("e")), (F.col("t"), F.col("u")), width)
+        assert sorted((r.i, r.j) for r in met.collect()) == expected
+
+
+def test_stored_tables_rewrite_what_changes(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    read = lambda: sorted((r.k, r.v) for r in stored.read_stored(spark, path, "k long, v string").collect())
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert stored.upsert_stored(path, frame([]), ["k"], 8) == [] and read() == []
+    stored.upsert_stored(path, frame([(k, f"v{k}") for k in range(200)]), ["k"], 8)
+    before = files()
+    assert stored.upsert_stored(path, frame([(k, f"v{k}") for k in range(50)]), ["k"], 8) == [] and files() == before
+    touched = stored.upsert_stored(path, frame([(7, None), (8, "v8")]), ["k"], 8)
+    assert len(touched) == 1 and read() == sorted([(k, f"v{k}") for k in range(200) if k != 7] + [(7, None)], key=lambda r: r[0])
+    kept = {p for p, at in files().items() if before.get(p) == at}
+    assert len({p.split("bucket=")[1].split("/")[0] for p in kept}) == 7
+    assert stored.upsert_stored(path, frame([(7, None)]), ["k"], 8) == []
+    assert stored.append_new(path, frame([(7, "new"), (500, "a"), (500, "a")]), ["k"], 8) and (500, "a") in read() and (7, "new") not in read()
+    # rows of a key may go, and the last of a bucket with them
+    stored.replace_rows(path, spark.range(501).select(F.col("id").alias("k")), frame([]), ["k"], 8)
+    assert read() == []
+
+
+def test_stored_index_replaces_changed_chunks_only(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    rows = spark.createDataFrame([(k, f"word{k} gearing gearing", "english") for k in range(60)] + [(60, None, "english")], "chunk_id long, chunk_text string, fts_config string")
+    assert len(stored.store_index(path, rows, "m", buckets=8)) == 8 and stored.store_index(path, rows, "m", buckets=8) == []
+    one = rows.where("chunk_id = 3").withColumn("chunk_text", F.lit("ratings"))
+    assert len(stored.store_index(path, one, "m", buckets=8)) == 1
+    words = stored.read_stored(spark, f"{path}/postings", "chunk_id long, fts_config string, lexeme string, tf long")
+    assert sorted((r.lexeme, r.tf) for r in words.where("chunk_id = 3").collect()) == [("rate", 1)] and words.count() == 59 * 2 + 1
+    assert {r.model for r in stored.read_stored(spark, f"{path}/vectors", "chunk_id long, sha256 string, model string, tokens int, places array<int>, weights array<double>").collect()} == {"m"}
+    assert len(stored.store_index(path, one, "n", buckets=8)) == 1
+    with pytest.raises(Exception, match="number of dimensions"):
+        stored.store_index(path, one, "p", dimensions=1, buckets=8)
+
+
+def test_numbers_of_a_document_with_most_pages(spark):
+    """Ordinals over ranges of pages, some pages blank, one number twice, null numbers first."""
+    rng = random.Random(2)
+    pages = [("a", k, rng.choice([0, 1, 3])) for k in range(40)] + [("a", 7, 2), ("a", None, 2), ("b", 5, 1), (None, 1, 4)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "row long, document_id string, page_number int, n int")
+    after = spark.createDataFrame([("b", 4), ("a", 1), ("a", 9)], "document_id string, ordinal int")
+    for width in (3, 1000):
+        got = {r.row: r.base for r in chunks.first_ordinals(rows, after, width).collect()}
+        for name, first in (("a", 10), ("b", 5), (None, 0)):
+            at = first
+            for i in sorted((i for i, p in enumerate(pages) if p[0] == name), key=lambda i: (pages[i][1] is not None, pages[i][1] or 0, i)):
+                assert got[i] == at
+                at += pages[i][2]
+        assert len(got) == len(pages)
+
+
+def test_analysts_read_all_and_get_a_thousand(spark):
+    tables.publish_views({"covenants": spark.range(3000).select(F.col("id").alias("covenant_id"), F.lit("x").alias("covenant_type"))})
+    assert tables.analyst_result(spark, "select count(*) as n from covenants").first().n == 3000
+    assert tables.analyst_result(spark, "select covenant_id from covenants").count() == 1000
+    assert tables.analyst_result(spark, "select covenant_id from covenants limit 7").count() == 7
+
+
+def test_work_tables_are_deleted(spark):
+    a, b = tables.saved(spark.range(3)), tables.saved(spark.range(4))
+    tables.discard(a)
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()
+    assert b.count() == 4
+    tables.clear_saved(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        b.collect()
