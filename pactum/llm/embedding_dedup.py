@@ -261,11 +261,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     and are their own component. Equal vectors are one vector with a count, so copies link with each other and share
     all else without being paired. Repeated rows count once and each get the result. An empty table gives an empty one.
     A group of g different near copies costs g * g / CELL searches, since each link counts; groups of equal vectors cost one."""
-    sound = F.col("label").isNotNull() & _sound(F.col("e"))
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _sound(F.col("e"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).cast("string").alias("label"))
     good = rows.where(sound)
-    distinct = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")))
-    spread, tables = shards(distinct.where(F.col("rep").isNotNull()).select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")), cosine)
+    # a vector is known by a number of its own, as an id may stand on several
+    distinct = materialize(good.groupBy("label", "e").agg(F.min("vec_id").alias("low"), F.countDistinct("vec_id").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    spread, tables = shards(distinct.select("rep", "n", "e", F.concat_ws("|", F.size("e"), "label").alias("cell")), cosine)
     spread = materialize(spread.withColumn("number", F.xxhash64("cell")).drop("cell"))
     discard(*tables)
 
@@ -287,10 +288,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     roots = connected_components(found.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     discard(spread)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = distinct.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = distinct.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_rep = linked.join(lows, "root").select("label", "e", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = good.join(by_rep, ["label", "e"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("bigint"), "vec_id")
-    return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = AUDITED, cosine: float = COSINE) -> DataFrame:
@@ -302,7 +305,8 @@ def audit_recall(vectors: DataFrame, found: DataFrame, sample: int = AUDITED, co
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     near = dot(F.col("embedding"), F.col("x")) >= cosine * F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("x"), F.col("x")))
     true = pairs.groupBy("q").agg(F.count(F.when(near, 1)).alias("true_links"))
-    return found.join(F.broadcast(true), F.col("vec_id") == F.col("q")).select("vec_id", "n_links", "true_links")
+    by_id = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    return by_id.join(F.broadcast(true), F.col("vec_id") == F.col("q")).select("vec_id", "n_links", "true_links")
 
 
 def audited(vectors: DataFrame, cosine: float = COSINE, least: float = LEAST_RECALL) -> DataFrame:

@@ -308,6 +308,17 @@ def shift_crc(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _pieces(batches):
+    """Recipes (doc_id, start, n_tokens, digests, lengths) -> a row for each chunk, with the bytes behind it in its document."""
+    for batch in batches:
+        n = np.diff(np.asarray(batch.column("digests").offsets))
+        lengths = np.asarray(batch.column("lengths").flatten()).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        tail = 4 * (np.repeat(total[np.cumsum(n)], n) - total[1:])
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in ("doc_id", "start", "n_tokens")], batch.column("digests").flatten(), pa.array(tail)], ["doc_id", "start", "n_tokens", "digest", "tail"])
+
+
 def document_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document as the store holds it: the CRC-32 of its ids as little-endian
     32-bit integers. The recipes are held against the manifest first, each chunk is read once and checked against its
@@ -324,9 +335,8 @@ def document_digests(spark: SparkSession, folder: str) -> DataFrame:
             crc, tail = np.array(batch.column("crc")).astype(np.uint32), np.array(batch.column("tail"))
             yield batch.set_column(batch.schema.get_field_index("crc"), "crc", pa.array(shift_crc(crc, tail).astype(np.int64)))
 
-    lengths = F.col("lengths")
-    pieces = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", F.transform(lengths, lambda x, i: F.aggregate(F.slice(lengths, i + 2, F.size(lengths)), F.lit(0).cast("long"), lambda a, b: a + b)).alias("tails"))).alias("seq", "piece"))
-    pieces = pieces.select("doc_id", "start", "n_tokens", F.col("piece.digests").alias("digest"), (F.col("piece.tails") * 4).alias("tail"))
+    recipes = read_recipes(spark, folder).select("doc_id", "start", "n_tokens", "digests", "lengths")
+    pieces = recipes.mapInArrow(_pieces, f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start bigint, n_tokens bigint, digest binary, tail bigint")
     joined = pieces.join(read_chunks(spark, folder).mapInArrow(sums, "digest binary, n bigint, crc bigint"), "digest", "left").select("doc_id", "start", "n_tokens", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), "tail")
     whole = joined.mapInArrow(shifted, joined.schema).groupBy("doc_id", "start", "n_tokens").agg(F.sum("n").alias("n"), F.bit_xor("crc").alias("ids_crc32"))
     n = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error(F.lit("a document lacks chunks")).cast("bigint"))

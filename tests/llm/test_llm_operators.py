@@ -4,6 +4,7 @@ import hashlib
 import html
 import re
 import shutil
+import time
 import zlib
 from collections import Counter
 
@@ -202,6 +203,21 @@ def test_token_store(docs, rows, spark, tmp_path):
     assert token_store.document_digests(spark, empty).count() == 0
 
 
+def test_token_store_pieces_of_many_chunks():
+    """What stands behind each of a document's chunks is added up in one pass."""
+    rng = np.random.default_rng(2)
+    lengths = [rng.integers(1, 5000, n).astype(np.int32) for n in (3, 0, 100_000, 1)]
+    digests = [[str(k).encode() for k in range(len(x))] for x in lengths]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4], pa.int64()), pa.array([0] * 4, pa.int64()), pa.array([int(x.sum()) for x in lengths], pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(lengths, pa.list_(pa.int32()))], ["doc_id", "start", "n_tokens", "digests", "lengths"])
+    begun = time.time()
+    [out] = token_store._pieces([batch.slice(0, 4)])
+    assert time.time() - begun < 1
+    [out2] = token_store._pieces([batch.slice(2, 2)])
+    expected = np.concatenate([4 * (x.sum() - np.cumsum(x.astype(np.int64))) for x in lengths])
+    assert (np.asarray(out.column("tail")) == expected).all() and out.column("digest").to_pylist() == sum(digests, [])
+    assert out2.column("doc_id").to_pylist() == [3] * 100_000 + [4] and (np.asarray(out2.column("tail")) == expected[3:]).all()
+
+
 def test_token_store_words_and_wide_ids(spark, tmp_path, monkeypatch):
     """Words of every kind against the library, while the kept ones are let go; repeated and null ids; ids of 32 bits."""
     from tokenizers import Tokenizer
@@ -298,6 +314,12 @@ def test_embedding_dedup(spark, limits, monkeypatch):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_rows_without_an_id_and_ids_of_several_vectors(spark):
+    rows = [(None, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (5, [1.0, 0.01, 0.0], 1), (5, [0.0, 0.0, 1.0], 1), (7, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (3, [0.0, 0.01, 1.0], 2)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(0, 0, None, True)] * 2 + [(5, 2, 5, True), (5, 0, 5, True), (7, 2, 5, False), (9, 2, 5, False), (9, 2, 5, False), (3, 0, 3, True)], key=str)
+
+
 def test_embedding_audit_stops_a_run_that_misses_links(spark, monkeypatch):
     table = spark.createDataFrame(vectors_of(spark), VECTORS)
     assert embedding_dedup.audited(table).count() == table.count()
