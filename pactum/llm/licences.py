@@ -38,6 +38,13 @@ SENTENCE = r"\r?\n[ \t]*(?:\r?\n)+|\r?\n(?![ \t]*[a-z])|(?<=[.!?;][\"')\]]{0,2})
 #: Every licence sentence has one of these.
 SURE_MARKS = r"licen[cs]|copyright|copyleft|permission|redistribut|warrant|unencumbered|public domain|free of charge|spdx|creative commons|cc[ -]by|cc0|gpl|as is|as-is|merchantab|misrepresent"
 MARKS = SURE_MARKS + r"|permit|liab|attribution|patent|trademark|endorse|waive"
+#: A sentence that grants has one of these; one that has any of those names a licence to set it aside.
+GRANTS = r"licen[cs]ed|releas|distribut|available|permi(?:t|ssion)|publish|dedicat|subject to|terms|govern|cover|\bunder\b|spdx|as[- ]is|warrant|waive|redistribut|\bfree\b|unencumbered|copy of|copies|visit|refer|\buses?\b|\bsee\b|\bmay\b|do what|conditions|shared|liab|includes"
+DENIES = r"(?:\b(?:not|never|no longer|nor)|n['\u2019]t)\s+(?:[a-z]+\s+){0,2}(?:licen[cs]ed|released|distributed|available|covered|governed|published|offered)\s+(?:[a-z]+\s+)?(?:under|by|as)\b|\b(?:unlike|instead of|rather than|as opposed to|in contrast to|incompatible with|not compatible with)\b"
+#: Several licences in one sentence: what says so, what stands between their names, what stands before them.
+SEVERAL = r"(?i)\b(?:dual|dually|tri|double|multi)[- ]?licen[cs]ed|\b(?:either|both)\b|your (?:choice|option)|\blicen[cs]es\b|spdx-license-identifier:.*\s(?:or|and)\s"
+BETWEEN = r"(?i),?\s+(?:or|and|as well as)\s+|\s*[/;]\s*"
+BEFORE = r"(?i)^.*\b(?:licen[cs]ed|released|distributed|available|offered|provided)\b|^\s*(?:(?:both|either|under|of|the|a|an|terms|your|choice|option|at|by)\b\s*)+|\blicen[cs]es\b|[()]|[.]\s*$"
 
 # Wording of public licence notices by family, a tuple for each template.
 TEMPLATES = [
@@ -103,6 +110,12 @@ def templates() -> list[tuple[str, int, str]]:
         out += [(family, f"Text is available under the Creative Commons {words} License 3.0; additional terms may apply."), (family, f"This work is licensed under the Creative Commons {words.replace('NoDerivatives', 'NoDerivs')} 2.5 License.")]
         out += [(family, f"This work is licensed under a Creative Commons {words} 4.0 International License."), (family, f"Licensed under {short} 4.0."), (family, f"This work is licensed under {short} 3.0, a Creative Commons {words} 3.0 Unported License."), (family, f"To view a copy of this license, visit http://creativecommons.org/licenses/{family[3:]}/4.0/ Creative Commons {words}."), (family, f"Except where otherwise noted, content is available under {short} 4.0 ({words} 4.0 International).")]
     out += [(family, f"SPDX-License-Identifier: {name}") for family, name in SPDX.items()]
+    out += [(family, f"Licensed under the {family.upper()} license.") for family in ("gpl", "lgpl", "agpl", "gfdl", "mpl", "epl", "eupl", "cddl")]
+    gnu = {"gpl": ("GPL", ("2.0", "3.0")), "lgpl": ("LGPL", ("2.0", "2.1", "3.0")), "agpl": ("AGPL", ("3.0",)), "gfdl": ("GFDL", ("1.2", "1.3"))}
+    more = [(family, f"{name}-{version}-{end}") for family, (name, versions) in gnu.items() for version in versions for end in ("only", "or-later")]
+    more += [(family, f"{family.upper()}-{version}") for family in COMMONS for version in ("2.0", "2.5", "3.0")]
+    more += [("bsd", "BSD-2-Clause"), ("apache", "Apache-1.1"), ("mpl", "MPL-1.1"), ("epl", "EPL-1.0")]
+    out += [(family, f"SPDX-License-Identifier: {name}") for family, name in more if name != SPDX[family]]
     return [(family, k, text) for k, (family, text) in enumerate(out)]
 
 
@@ -203,10 +216,19 @@ class Classifier:
         return both.groupBy(key).agg(F.coalesce(F.max(F.when(own, F.col("s"))), F.lit(0.0)).alias("similarity"), F.coalesce(F.max(F.when(~own, F.col("s"))), F.lit(0.0)).alias("rival"))
 
 
+def licence_names(sentence: Column) -> Column:
+    """What a sentence of several licences says of each, as a sentence of its own; names of over eight words are left out."""
+    spdx = F.lower(sentence).rlike("spdx-license-identifier:")
+    names = F.transform(F.split(F.regexp_replace(sentence, "(?i)spdx-license-identifier:", ""), BETWEEN), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), BEFORE, ""), BEFORE, "")))
+    short = F.filter(names, lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= 8))
+    return F.transform(short, lambda x: F.when(spdx, F.concat(F.lit("SPDX-License-Identifier: "), x)).otherwise(F.concat(F.lit("Licensed under the "), x, F.when(F.lower(x).rlike("licen[cs]e"), "").otherwise(" License"), F.lit("."))))
+
+
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_plain: int = MAX_PLAIN) -> tuple[DataFrame, DataFrame]:
     """(found, marked). found(row, place, sentence, family, probability, similarity, confirmed) has every sentence that is more
-    likely a licence than none; family is UNKNOWN where probability and comparison do not confirm one. marked(row, doc_id,
-    sentences) has all rows of docs.
+    likely a licence than none; family is UNKNOWN where probability and comparison do not confirm one. A sentence that is not
+    confirmed and speaks of several licences is judged name by name, and has a row for each family that is. A sentence that
+    denies a licence, or names one without granting anything, confirms none. marked(row, doc_id, sentences) has all rows of docs.
 
     Null and empty texts have no sentences; repeated rows and ids, and rows without an id, are rows of their own; an empty
     table gives empty results. Every sentence of every text is looked at; only the sample for the fit is bounded."""
@@ -214,10 +236,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     lines = marked.select("row", F.posexplode("sentences").alias("place", "sentence"))
     quiet = lines.where(~F.lower("sentence").rlike(SURE_MARKS))
     found = Classifier(docs.sparkSession, quiet, templates(), max_plain)
-    scored = materialize(found.score(lines).where("p_none < 0.5").select("row", "place", "sentence", "grams", "guess", "probability").withColumn("key", F.monotonically_increasing_id()))
-    compared = scored.join(found.agreement(scored, "key"), "key", "left")
-    sure = F.coalesce((F.col("guess") != UNKNOWN) & (F.col("probability") >= found.threshold) & (F.col("similarity") >= SIMILAR) & (F.col("similarity") >= F.col("rival") + MARGIN), F.lit(False))
-    return compared.select("row", "place", "sentence", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", sure.alias("confirmed")), marked
+
+    def judged(rows: DataFrame) -> DataFrame:
+        compared = rows.join(found.agreement(rows, "key"), "key", "left")
+        sure = F.coalesce((F.col("guess") != UNKNOWN) & (F.col("probability") >= found.threshold) & (F.col("similarity") >= SIMILAR) & (F.col("similarity") >= F.col("rival") + MARGIN), F.lit(False))
+        return compared.select("row", "place", "sentence", F.when(sure & F.col("grants"), F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", (sure & F.col("grants")).alias("confirmed"), "grants")
+
+    key, low = F.monotonically_increasing_id(), F.lower("sentence")
+    scored = materialize(found.score(lines).where("p_none < 0.5").select("row", "place", "sentence", "grams", "guess", "probability", (low.rlike(GRANTS) & ~low.rlike(DENIES)).alias("grants")).withColumn("key", key))
+    whole = materialize(judged(scored))
+    several = whole.where(~F.col("confirmed") & F.col("grants") & F.col("sentence").rlike(SEVERAL)).select("row", "place", F.col("sentence").alias("said"), "grants", F.explode(licence_names(F.col("sentence"))).alias("sentence"))
+    names = materialize(found.score(several).where("p_none < 0.5").select("row", "place", "said", "grants", "sentence", "grams", "guess", "probability").withColumn("key", key))
+    each = judged(names).where("confirmed").join(names.select("row", "place", "said").distinct(), ["row", "place"])
+    each = each.groupBy("row", "place", F.col("said").alias("sentence"), "family").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity")).withColumn("confirmed", F.lit(True))
+    whole = whole.drop("grants")
+    return whole.join(each.select("row", "place").distinct(), ["row", "place"], "left_anti").unionByName(each), marked
 
 
 def document_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

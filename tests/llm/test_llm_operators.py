@@ -486,6 +486,23 @@ def test_licences_of_sentences_that_no_fit_saw(spark):
     assert sum(got[k] == family for k, (family, _) in enumerate(HELD_OUT) if family) >= 20
 
 
+NO_GRANTS = ["The program is not licensed under the GNU General Public License.", "Unlike software under the MIT License, this product may not be copied.", "He wrote an essay on why the GNU General Public License matters.", "The sources aren't released under the Apache License, Version 2.0.", "We chose our own terms rather than the Mozilla Public License, version 2.0."]
+SEVERAL = [
+    ("apache,mit", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."), ("gpl,mit", "Dual licensed under the MIT and GPL licenses."), ("apache,mit", "SPDX-License-Identifier: MIT OR Apache-2.0"), ("gpl", "SPDX-License-Identifier: GPL-2.0-only"), ("lgpl", "SPDX-License-Identifier: LGPL-3.0-or-later"), ("agpl", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("cc-by-sa", "SPDX-License-Identifier: CC-BY-SA-3.0"),
+    ("mit", "Released under both the MIT License and the Frobnicator Vendor License."),
+]
+
+
+def test_licences_denied_named_and_several(spark):
+    rows = [(k, text, "s") for k, text in enumerate(NO_GRANTS)] + [(100 + k, text, "s") for k, (_, text) in enumerate(SEVERAL)] + [(500 + k, f"the house number {k} was in the long street of the town", "s") for k in range(300)]
+    got = {r.doc_id: r for r in licences.document_licences(docs_of(spark, rows)).collect()}
+    assert [(text, got[k].licences) for k, text in enumerate(NO_GRANTS) if got[k].licences] == []
+    right = [set(got[100 + k].licences.split(",")) - {""} <= set(names.split(",")) for k, (names, _) in enumerate(SEVERAL)]
+    assert all(right), [(text, got[100 + k].licences) for k, (_, text) in enumerate(SEVERAL) if not right[k]]
+    missed = [(text, got[100 + k].licences) for k, (names, text) in enumerate(SEVERAL) if got[100 + k].licences != names]
+    assert missed == []
+
+
 def test_licence_probabilities_and_agreement_by_hand(spark):
     """Probabilities and agreement recomputed from the coefficients and the templates' grams."""
     docs = spark.createDataFrame([("the cat sat",), ("a dog ran off",)], "sentence string")
