@@ -24,6 +24,8 @@ from pactum.llm.shared import discard, materialize, mix, prefix_hashes, slices,
 
 #: Texts that the curve is fitted on.
 MAX_CALIBRATION = 8000
+#: Ids of labelled texts that are sent to all executors, 16 bytes each; more are joined by key.
+MAX_SENT = 1 << 21
 #: Expressions that the labelled texts show in fewer contexts are left to what they back off to.
 CUT = 3
 #: Stems (first bytes of a word) that a rare word backs off to, the longer first.
@@ -72,6 +74,11 @@ def _find(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == sought, at, -1)
 
 
+def sent(ids: DataFrame, most: int) -> DataFrame:
+    """A table of ids for a join: sent to all executors if it is counted to have at most `most` rows, else joined by key."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def sample_ids(labels: DataFrame, keep: Column, most: int, id_col: str) -> DataFrame:
     """At most `most` ids of labelled rows, spread evenly by a hash of the id: the same on each run."""
     return labels.where(keep).orderBy(F.xxhash64(id_col), id_col).limit(most)
@@ -165,10 +172,10 @@ def _corpus_counts(docs: DataFrame, tables: list[np.ndarray]) -> tuple[list[np.n
     return np.split(counts, np.cumsum([len(t) for t in tables])[:-1]), int(n[key < 0].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | None = None, max_calibration: int = MAX_CALIBRATION, mixture: float = MIXTURE, length_power: float = LENGTH_POWER, strength: float = STRENGTH) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | None = None, max_calibration: int = MAX_CALIBRATION, max_sent: int = MAX_SENT, mixture: float = MIXTURE, length_power: float = LENGTH_POWER, strength: float = STRENGTH) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic) -> the model. Labels are read where `allowed` (a condition on doc_id)
     holds: three quarters of those for the counts (max_docs texts a class, if given), the others for the curve. Null labels are
-    left out; an id labelled twice counts as toxic if one label says so. Without texts of both classes the evidence is 0
+    left out; labelled ids are sent to all executors up to max_sent of them, else joined by key; an id labelled twice counts as toxic if one label says so. Without texts of both classes the evidence is 0
     and all scores are equal; without texts for the curve they are next to 0."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
@@ -176,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int | Non
     counted = own.where(~curve & F.lit(classes == 2))
     if max_docs is not None:
         counted = sample_ids(counted, F.col("toxic") == 1, max_docs, "doc_id").union(sample_ids(counted, F.col("toxic") == 0, max_docs, "doc_id"))
-    seen_in, known = _count_contexts(docs.join(F.broadcast(counted), "doc_id").select("text", "toxic"))
+    seen_in, known = _count_contexts(docs.join(sent(counted, max_sent), "doc_id").select("text", "toxic"))
     by_class = lambda x, name="n": [F.sum(F.expr(x.format(c))).cast("double").alias(f"{name}{c}") for c in (0, 1)]
     forms = ["w", *(f"s{k}" for k in STEMS)]
     # spreads: a word counts the different words before it, a stem the different longer forms that begin with it

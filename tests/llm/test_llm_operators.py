@@ -649,6 +649,8 @@ def test_toxicity_counts_every_labelled_text(spark):
     expected = {w for w, n in Counter(w for *_, w in contexts).items() if n >= toxicity.CUT}
     hashes = {w: int(toxicity._words(pa.array([w]))[0][0]) for w in expected}
     assert set(model.levels[0][0].tolist()) == set(hashes.values()) and sum(w.startswith("own") for w in expected) == 20
+    joined = toxicity.fit(docs_of(spark, texts).select("doc_id", "text"), labels, F.lit(True), max_sent=10)
+    assert all((a == b).all() for x, y in zip(model.levels, joined.levels, strict=True) for a, b in zip(x, y, strict=True)) and abs(model.slope - joined.slope) < 1e-9
 
 
 def thue_morse(letters: str, n: int) -> str:
