@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from pactum.functions.joins import overlapping
 from pactum.sources.tables import saved
 
-#: Pairs of labels and predictions of one group that are assigned in a task; pairs of all the groups that a task takes at once.
-GROUP_PAIRS, TASK_PAIRS = 20_000, 100_000
+#: Pairs of labels and predictions of a group that need no more rounds.
+GROUP_PAIRS = 20_000
 FIELDS = {"threshold_ratio": "number", "threshold_amount": "number", "threshold_currency": "text", "operator": "enum", "trigger_rating": "text", "rating_agency": "text"}
 
 
@@ -30,8 +32,10 @@ def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS)
     """scored(group, label_id, prediction_id, score) -> one-to-one pairs, best score first, ties by label then prediction.
 
     Groups are the labels and predictions of one document and type. In a round the pairs go that are the best of both their
-    sides, and all pairs of what they take with them, which gives the same pairs without a task that holds a group. After
-    the first round, which settles most groups, those of at most `most` pairs left are settled in tasks of many groups each."""
+    sides, and all pairs of what they take with them, which gives the same pairs without a task that holds a group. A first
+    round settles most groups. Of the others those of at most `most` pairs are passed through in order; larger ones go on in
+    rounds while a round settles a tenth of their pairs, and what resists, such as long chains of ties, is passed through
+    too: sorted on disk, pair by pair, with only the ids of one group's matches in memory."""
     names, order = scored.columns, (F.desc("score"), "label_id", "prediction_id")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema)
     by = lambda side: Window.partitionBy(*group, side)
@@ -43,28 +47,33 @@ def greedy_matches(scored: DataFrame, group: list[str], most: int = GROUP_PAIRS)
         gone = saved(marked.withColumn("_gone", F.bool_or("_t").over(by("label_id")) | F.bool_or("_t").over(by("prediction_id"))).select(*names, "_t", "_gone"))
         return gone.where("_t").select(*names), gone.where("not _gone").select(*names)
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of many whole groups, best first: those of which both sides are open when they are met."""
-        rows = rows.sort_values(["score", "label_id", "prediction_id"], ascending=[False, True, True])
-        sides = zip(*(rows[c].tolist() for c in group), strict=True), rows["label_id"].tolist(), rows["prediction_id"].tolist()
-        left, right, kept = set(), set(), []
-        for key, label, prediction in zip(*sides, strict=True):
-            kept.append((key, label) not in left and (key, prediction) not in right)
-            if kept[-1]:
-                left.add((key, label))
-                right.add((key, prediction))
-        return rows[kept][names]
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of pairs in order, group by group, those of which both sides are open when they are met."""
+        now, left, right = None, set(), set()
+        for rows in batches:
+            kept = []
+            for key, label, prediction in zip(zip(*(rows[c].tolist() for c in group), strict=True), rows["label_id"].tolist(), rows["prediction_id"].tolist(), strict=True):
+                if key != now:
+                    now, left, right = key, set(), set()
+                kept.append(label not in left and prediction not in right)
+                if kept[-1]:
+                    left.add(label)
+                    right.add(prediction)
+            yield rows[kept]
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(passed, kinds)
 
     out, rest = rounded(scored)
     sizes = rest.groupBy(*group).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > most).drop("_n")
-    small = rest.join(sizes.where(F.col("_n") <= most).drop("_n"), group, "left_semi").select(*names)
-    buckets = max(1, -(-rest.count() // TASK_PAIRS))
-    out = out.unionByName(small.withColumn("_b", F.pmod(F.xxhash64(*group), F.lit(buckets))).groupBy("_b").applyInPandas(assign, kinds))
-    rest = rest.join(large, group, "left_semi").select(*names)
-    while not rest.isEmpty():
-        taken, rest = rounded(rest)
-        out = out.unionByName(taken)
+    large = rest.join(sizes.where(F.col("_n") > most).drop("_n"), group, "left_semi").select(*names)
+    out = out.unionByName(in_order(rest.join(sizes.where(F.col("_n") <= most).drop("_n"), group, "left_semi").select(*names)))
+    n = large.count()
+    while n:
+        taken, large = rounded(large)
+        out, before, n = out.unionByName(taken), n, large.count()
+        if n > 0.9 * before:
+            return out.unionByName(in_order(large))
     return out
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +36,28 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
-    _SAVED.append(path)
+    _saved().append(path)
     return out
 
 
 _SAVED: list[str] = []
+_INNER: ContextVar[list[str] | None] = ContextVar("saved", default=None)
+
+
+def _saved() -> list[str]:
+    inner = _INNER.get()
+    return _SAVED if inner is None else inner
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What saved() writes inside is deleted at the end: for a job that stores its results inside."""
+    token = _INNER.set([])
+    try:
+        yield
+    finally:
+        clear_saved(spark)
+        _INNER.reset(token)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -49,13 +69,13 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once nothing is going to read them again."""
     for df in tables:
         _delete(df.sparkSession, df.folder)
-        _SAVED.remove(df.folder)
+        _saved().remove(df.folder)
 
 
 def clear_saved(spark: SparkSession) -> None:
     """Deletes all that saved() has written and nobody has discarded: at the end of a job, when its results are stored."""
-    while _SAVED:
-        _delete(spark, _SAVED.pop())
+    while _saved():
+        _delete(spark, _saved().pop())
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -648,3 +648,23 @@ def test_work_tables_are_deleted(spark):
     tables.clear_saved(spark)
     with pytest.raises(Exception):  # noqa: B017
         b.collect()
+    c = tables.saved(spark.range(5))
+    with tables.scratch(spark):
+        d = tables.saved(spark.range(6))
+        assert d.count() == 6
+    with pytest.raises(Exception):  # noqa: B017
+        d.collect()
+    assert c.count() == 5
+
+
+@pytest.mark.parametrize("most", [1, 20, 20_000])
+def test_matches_of_large_groups_of_ties(spark, most):
+    """One group of equal scores, where a round settles a single pair, beside groups that rounds settle."""
+    rng = random.Random(9)
+    rows = [("ties", a, b, 0) for a in range(25) for b in range(25) if (a + b) % 9] + [(f"g{g}", a, b, rng.randrange(4)) for g in range(8) for a in range(6) for b in range(7)] + [(None, 1, 1, 2), (None, 1, 2, 3)]
+    got = evaluation.greedy_matches(spark.createDataFrame(rows, "document_id string, label_id int, prediction_id int, score int"), ["document_id"], most)
+    expected = set()
+    for g, a, b, score in sorted(rows, key=lambda r: (str(r[0]), -r[3], r[1], r[2])):
+        if not any(x[0] == g and (x[1] == a or x[2] == b) for x in expected):
+            expected.add((g, a, b, score))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
