@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pactum.functions.joins import overlapping
-from pactum.functions.ratings import NOTCHES
-from pactum.operators import chunks, evaluation, questions, retrieval
+from pactum.functions.ratings import NOTCHES, notches_between
+from pactum.operators import chunks, evaluation, portfolio, questions, retrieval, rules
 from pactum.plans.books import laid_out
-from pactum.plans.queries import _OTHER, SQL_INST, SQL_NOTCHES, TOKENS, _item, holdings, instruments, query, table, triggers
+from pactum.plans.queries import _OTHER, SQL_INST, SQL_NOTCHES, TOKENS, _item, asked, holdings, instruments, query, table, triggers
 from pactum.sources import stored, tables
 from pactum.streaming import streams
 
@@ -193,3 +193,30 @@ def answer_lines(spark, d):
     funds = table(spark, d, "customer").select(F.col("c_custkey").alias("portfolio_id"), F.col("c_name").alias("name"))
     _, scopes, lines = questions.answer(asked, book, funds, holdings(spark, d), covenants, terms, book.select("instrument_id", "current_rating"), hits)
     return lines.join(scopes.select("scope").distinct(), "scope").select("scope", "item", "line", "cited")
+
+
+@query("SELECT 'id' AS asked, p_partkey AS instrument_id FROM part WHERE p_partkey = 7 UNION ALL SELECT 'isin', p_partkey FROM part WHERE p_size * 1000 + p_partkey % 1000 = 7007 UNION ALL SELECT 'isin and name', p_partkey FROM part WHERE p_size % 5 = 2 AND contains(lower(p_name), 'ring')")
+def instruments_asked_for(spark, d):
+    """Instruments by id, by ISIN, and by ISIN and a part of the name."""
+    book, size = instruments(spark, d), F.col("p_size")
+    isin = lambda number: book.withColumn("isin", F.concat(F.lit("MY"), number.cast("string")))
+    found = [("id", portfolio.find_instruments(book, instrument_id=7)), ("isin", portfolio.find_instruments(isin(size * 1000 + F.col("instrument_id") % 1000), isin="MY7007")), ("isin and name", portfolio.find_instruments(isin(size % 5), isin="MY2", name="Ring"))]
+    rows = [df.select(F.lit(name).alias("asked"), "instrument_id") for name, df in found]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query(f"WITH {SQL_INST} SELECT instrument_id, 'rating_trigger' AS covenant_type, ns[t + 1] AS trigger_rating, CAST(r - t AS INTEGER) AS below FROM inst WHERE r > t")
+def breach_rows(spark, d):
+    """Only what is in breach: not what is at risk, nor what cannot be judged."""
+    terms = triggers(spark, d).where("source_clause_id is null").select("instrument_id", "trigger_rating", "severity").withColumn("covenant_type", F.lit("rating_trigger"))
+    judged = rules.evaluate(terms.join(instruments(spark, d).select("instrument_id", "current_rating"), "instrument_id"))
+    return rules.breaches(judged).select("instrument_id", "covenant_type", "trigger_rating", notches_between(F.col("current_rating"), F.col("trigger_rating")).alias("below"))
+
+
+@query("""WITH w AS (SELECT p_partkey, unnest([x for x in list_distinct(list_concat(regexp_extract_all(lower(p_name), '[a-z]+'), CASE p_partkey % 6 WHEN 0 THEN ['should', 'buy'] WHEN 3 THEN ['limit'] WHEN 5 THEN ['summarise'] ELSE [] END)) if length(x) >= 2]) AS word FROM part), n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS x FROM part WHERE p_size > 49)
+SELECT p_partkey AS query_id, word FROM w WHERE word NOT IN (SELECT x FROM n) OR word IN ('should', 'buy', 'limit', 'summarise')""")
+def unknown_word_list(spark, d):
+    """The words themselves that no name and no vocabulary of a question has."""
+    names = table(spark, d, "part").where("p_size > 49").select(F.col("p_name").alias("name"))
+    found = questions.unsupported_terms(asked(spark, d), names, ["breach", "exposure", "maturity", "gearing"])
+    return found.select("query_id", F.explode("unsupported").alias("word"))
