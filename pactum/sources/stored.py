@@ -16,7 +16,7 @@ from pactum.functions.text import token_estimate
 from pactum.operators.retrieval import hashed_embedding, postings
 from pactum.sources.tables import discard, saved
 
-BUCKETS = 64
+BUCKETS, FILE_ROWS = 64, 1_000_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -43,16 +43,19 @@ def _touched(df: DataFrame) -> list[int]:
     return sorted(r.bucket for r in df.select("bucket").distinct().collect())
 
 
-def replace_rows(path: str, groups: DataFrame, new: DataFrame, keys: list[str], buckets: int = BUCKETS) -> list[int]:
+def replace_rows(path: str, groups: DataFrame, new: DataFrame, keys: list[str], buckets: int = BUCKETS, file_rows: int = FILE_ROWS) -> list[int]:
     """Rows of the table whose keys are in `groups` (each once) give way to `new`, which has any number of rows for each key, or
-    none. -> the buckets rewritten. Keys are not null."""
+    none. -> the buckets rewritten, in files of some file_rows rows. Keys are not null. The number of buckets is the table's
+    for good: a change costs its buckets, so large tables want many."""
     spark, own = groups.sparkSession, groups.withColumn("bucket", _bucket(keys, buckets))
     touched = _touched(own)
     if not touched:
         return []
     kept = read_stored(spark, path, _kinds(new)).where(F.col("bucket").isin(touched)).join(own.select(*keys), keys, "left_anti")
-    rows = saved(kept.unionByName(new.withColumn("bucket", _bucket(keys, buckets))).repartition("bucket"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows = saved(kept.unionByName(new.withColumn("bucket", _bucket(keys, buckets))))
+    # a bucket is as many tasks' as it has files
+    files = max(1, -(-rows.count() // (len(touched) * file_rows)))
+    rows.repartition("bucket", F.pmod(F.hash(*keys), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).partitionBy("bucket").parquet(path)
     # a bucket that nothing is left of is not overwritten by anything
     for bucket in set(touched) - set(_touched(rows)):
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")

@@ -597,6 +597,8 @@ def test_stored_tables_rewrite_what_changes(spark, tmp_path):
     assert len({p.split("bucket=")[1].split("/")[0] for p in kept}) == 7
     assert stored.upsert_stored(path, frame([(7, None)]), ["k"], 8) == []
     assert stored.append_new(path, frame([(7, "new"), (500, "a"), (500, "a")]), ["k"], 8) and (500, "a") in read() and (7, "new") not in read()
+    stored.replace_rows(path, spark.range(501).select(F.col("id").alias("k")), frame([(k, "w") for k in range(400)]), ["k"], 8, 10)
+    assert read() == [(k, "w") for k in range(400)] and len(list(tmp_path.rglob("bucket=3/*.parquet"))) > 2
     # rows of a key may go, and the last of a bucket with them
     stored.replace_rows(path, spark.range(501).select(F.col("id").alias("k")), frame([]), ["k"], 8)
     assert read() == []
