@@ -169,9 +169,9 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int |
     each part, and k rows for each query and part go on. Vectors without a direction are found by nothing and find nothing."""
     parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = vectors.select("chunk_id", "model", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part")).where("v is not null").withColumn("size", F.size("v"))
-    right = queries.select("query_id", "model", unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).where("q is not null").withColumn("size", F.size("q"))
-    keys = ["model", "size", "part"]
-    return _top(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scores(k), _scored_ddl(vectors, queries)), k)
+    right = queries.select("query_id", F.col("model").alias("_model"), unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).where("q is not null").withColumn("_size", F.size("q"))
+    # keys of other names: both sides may come from one table
+    return _top(left.groupBy("model", "size", "part").cogroup(right.groupBy("_model", "_size", "_part")).applyInArrow(_scores(k), _scored_ddl(vectors, queries)), k)
 
 
 def _codes(tables: int, bits: int, probes: int, seed: int = 7):
@@ -218,10 +218,10 @@ def bucket_top(index: DataFrame, queries: DataFrame, k: int = 10, tables: int =
     parts = parts or max(1, -(-index.count() // (tables << 16)))
     asked = queries.select("query_id", "model", unit(F.col("embedding")).alias("v")).where("v is not null").withColumn("size", F.size("v"))
     probed = asked.mapInArrow(_codes(tables, bits, probes), f"{_ddl(asked)}, hash_table int, code bigint").withColumnRenamed("v", "q")
-    right = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = probed.select("query_id", "q", *[F.col(c).alias(f"_{c}") for c in ("model", "size", "hash_table", "code")], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
     left = index.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
     keys = ["model", "size", "hash_table", "code", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scores(k), _scored_ddl(index, queries))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInArrow(_scores(k), _scored_ddl(index, queries))
     return _top(found.distinct(), k)
 
 

@@ -220,3 +220,15 @@ def unknown_word_list(spark, d):
     names = table(spark, d, "part").where("p_size > 49").select(F.col("p_name").alias("name"))
     found = questions.unsupported_terms(asked(spark, d), names, ["breach", "exposure", "maturity", "gearing"])
     return found.select("query_id", F.explode("unsupported").alias("word"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), i AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY 1, 2), q AS (SELECT DISTINCT item_id, unnest({TOKENS}) AS w FROM benchmark), s AS (SELECT item_id AS q, doc_id AS c, sum(tf) AS x FROM i JOIN q USING (w) GROUP BY 1, 2),
+k AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY x DESC, c) AS n FROM s), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), t AS (SELECT a.vec_id AS q, b.vec_id AS c, list_cosine_similarity(a.e, b.e) AS x FROM e a JOIN benchmark ON item_id = a.vec_id, e b),
+v AS (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY round(x, 9) DESC, c) AS n FROM t), f AS (SELECT q, c, sum(1.0 / (60 + n)) AS x FROM (SELECT * FROM k WHERE n <= 40 UNION ALL SELECT * FROM v WHERE n <= 40) GROUP BY 1, 2), r AS (SELECT q AS query_id, c AS chunk_id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(x, 12) DESC, c) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 10""")
+def hybrid_search(spark, d):
+    """Both legs over whole tables, words of the documents and vectors of the same ids, fused by rank."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("m").alias("model"))
+    queries = items.join(v.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
+    index = retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text", retrieval.asked_terms(items).select("fts_config", "lexeme").distinct())
+    return retrieval.hybrid(index, v, queries).select("query_id", "chunk_id", "rank")
