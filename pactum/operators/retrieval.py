@@ -13,8 +13,8 @@ from pactum.functions.stemming import english_stem, is_stop_word
 from pactum.sources.tables import discard, saved
 
 OFFSET, OVERSAMPLE, DIMENSIONS = 60, 4, 1024
-#: Postings of a block; queries that meet a part's vectors in one product.
-BLOCK, QUERIES_AT_ONCE = 128, 256
+#: Postings of a block; deals of a lexeme's postings; queries that meet a part's vectors in one product.
+BLOCK, SALTS, QUERIES_AT_ONCE = 128, 8, 256
 
 
 def terms(text: Column) -> Column:
@@ -103,9 +103,12 @@ def search_blocks(blocks: DataFrame, directory: DataFrame, queries: DataFrame, k
     return _top(found.groupBy("query_id", "chunk_id").agg((F.sum("tf") / 10).alias("score")), k)
 
 
-def keyword_top(index: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
-    """search_blocks() over postings(), blocked here."""
-    return search_blocks(*posting_blocks(index, block), queries, k, block)
+def keyword_top(index: DataFrame, queries: DataFrame, k: int = 10, salts: int = SALTS) -> DataFrame:
+    """What search_blocks() finds, from postings() that no one has blocked yet: every posting asked for is read, once. A lexeme's
+    postings are dealt by chunk, and its questions sent to each deal, so a frequent one is no task's alone."""
+    left = index.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    right = asked_terms(queries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _top(left.join(right, [*LEXEME, "salt"]).groupBy("query_id", "chunk_id").agg((F.sum("tf") / 10).alias("score")), k)
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:

@@ -91,7 +91,20 @@ def stemmed_search(spark, d):
     words = F.concat(F.lit("The "), F.repeat(F.concat(_item([f for f, _ in FORMS], k % 8), F.lit(" ")), (1 + F.col("p_size") % 3).cast("int")))
     own = table(spark, d, "part").select(k.alias("chunk_id"), words.alias("chunk_text"), F.when(k % 3 == 0, "simple").otherwise("english").alias("fts_config"))
     asked = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("int").alias("query_id"), F.concat(F.lit("the "), _item([w for w, _ in STEMS], F.col("n_nationkey"))).alias("question"))
-    return retrieval.keyword_top(retrieval.postings(own), asked, 200, 16)
+    return retrieval.search_blocks(*retrieval.posting_blocks(retrieval.postings(own), 16), asked, 200, 16)
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents), i AS (SELECT doc_id, w, count(*) AS tf FROM d GROUP BY 1, 2), q AS (SELECT DISTINCT item_id, unnest(list_slice({TOKENS}, 1, 2)) AS w FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS hits FROM i JOIN q USING (w) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id AS query_id, doc_id AS chunk_id, CAST(hits / 10.0 AS DOUBLE) AS score, rank FROM r WHERE rank <= 10""")
+def blocked_search(spark, d):
+    """Questions of two words on an index of blocks that is written first and then read only as far as each floor."""
+    words = F.array_join(F.slice(retrieval.terms(F.col("text")), 1, 2), " ")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("question"))
+    index = tables.saved(retrieval.postings(tables.spread(table(spark, d, "documents")), "doc_id", "text"))
+    blocks, directory = (tables.saved(df) for df in retrieval.posting_blocks(index))
+    tables.discard(index)
+    return retrieval.search_blocks(blocks, directory, asked)
 
 
 @query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS queries, true AS enough")
