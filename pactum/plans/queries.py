@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum.functions import dates, text
-from pactum.functions.ratings import NOTCHES, is_investment_grade, normalise, notches_between, rank
+from pactum.functions.ratings import NOTCHES, is_investment_grade, notches_between, rank
 from pactum.operators import chunks, evaluation, extraction, ledger, portfolio, questions, retrieval, review, rules, verify
 from pactum.sources import tables
 
