@@ -29,8 +29,9 @@ COSINE = 0.98
 CELL, SHARD, PIVOTS, LEVELS = 250, 600, 256, 8
 #: Neighbours kept by pruning, its slack, vectors held during a search.
 DEGREE, SLACK, BEAM = 16, 1.2, 24
-#: Rows of a cell that are dealt at once; visitors that search a shard at once; queries of a search that share arrays.
-SALT_ROWS, VISITORS, BLOCK = 8192, 1024, 256
+#: Rows of a cell that are dealt at once, each perhaps to all pivots; visitors that search a shard at once; queries of a
+#: search that share arrays; components of vectors that are gathered at once.
+SALT_ROWS, VISITORS, BLOCK, GATHER = 1024, 1024, 256, 1 << 20
 #: Radians by which a pivot may be farther than the second nearest and is visited still.
 NEARLY = 0.015
 #: Vectors that the audit compares with all rows of their label, and the least recall that passes.
@@ -81,27 +82,31 @@ def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def graph(x: np.ndarray, neighbours: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """(adjacency table filled up with -1, medoid): every link in both directions, and links between the medoid and the
-    middle of each part that none reaches, since a dense group's nearest neighbours are all of its own."""
+    """(n x n table of links, medoid): every link in both directions, and links between the medoid and the middle of each
+    part that none reaches, since a dense group's nearest neighbours are all of its own."""
     n = len(x)
     a = np.repeat(np.arange(n), [len(own) for own in neighbours])
     b = np.concatenate([*neighbours, np.zeros(0, int)]).astype(int)
     part, start = _parts(n, a, b), int(np.argmax(x @ x.mean(0)))
     middles = np.array([rows[np.argmax(x[rows] @ x[rows].mean(0))] for p in np.unique(part) if p != part[start] for rows in [np.flatnonzero(part == p)]], int)
-    hub = np.full(len(middles), start)
-    pairs = np.unique(np.concatenate([a * n + b, b * n + a, middles * n + hub, hub * n + middles]))
-    a, b = pairs // n, pairs % n
-    count = np.bincount(a, minlength=n)
-    out = np.full((n, max(1, int(count.max(initial=0)))), -1)
-    out[a, np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)] = b
+    out = np.zeros((n, n), bool)
+    out[a, b] = out[b, a] = True
+    out[middles, start] = out[start, middles] = True
     return out, start
 
 
-def range_search(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarray, own: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def _dots(a: np.ndarray, b: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The inner product of row at[k] of a and row to[k] of b for each k, GATHER components at once."""
+    step = max(1, GATHER // max(1, a.shape[1]))
+    return np.concatenate([np.zeros(0, a.dtype), *(np.einsum("ij,ij->i", a[at[k : k + step]], b[to[k : k + step]]) for k in range(0, len(at), step))])
+
+
+def range_search(x: np.ndarray, links: np.ndarray, start: int, queries: np.ndarray, own: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row of x) within the range that a search of each query reaches from the medoid and from its own row
-    (own: its number, -1 if it has none), a block of queries at once. It moves in single precision and verifies in double."""
-    n, width, fine = len(x), table.shape[1], (x, queries)
-    x, queries = x.astype(np.float32), queries.astype(np.float32)
+    (own: its number, -1 if it has none), a block of queries at once. It moves in single precision and verifies in double.
+    Its arrays hold a value for each query of the block and row of x, however many links the rows have."""
+    n, fine = len(x), (x, queries)
+    x, queries, steps = x.astype(np.float32), queries.astype(np.float32), links.astype(np.float32)
     found: list[np.ndarray] = []
     for first in range(0, len(queries), BLOCK):
         asked, at = queries[first : first + BLOCK], own[first : first + BLOCK]
@@ -110,17 +115,12 @@ def range_search(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarr
 
         def see(q: np.ndarray, v: np.ndarray, asked=asked, seen=seen, sims=sims) -> None:
             seen[q, v] = True
-            for k in range(0, len(q), 1 << 14):
-                part = slice(k, k + (1 << 14))
-                sims[q[part], v[part]] = np.einsum("ij,ij->i", asked[q[part]], x[v[part]])
+            sims[q, v] = _dots(asked, x, q, v)
 
         def visit(query: np.ndarray, node: np.ndarray, done=done, seen=seen, see=see) -> None:
             done[query, node] = True
-            q, v = np.repeat(query, width), table[node].ravel()
-            fresh = v >= 0
-            q, v = q[fresh], v[fresh]
-            fresh = ~seen[q, v]
-            see(q[fresh], v[fresh])
+            at, v = np.nonzero(links[node] & ~seen[query])
+            see(query[at], v)
 
         see(every, np.full(len(asked), start))
         at_home = np.flatnonzero(at >= 0)
@@ -134,13 +134,14 @@ def range_search(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarr
             if not live.any():
                 break
             visit(every[live], held[every, best][live])
-        while True:  # the range: every vector within it is expanded
-            query, node = np.nonzero((sims >= cosine - 1e-5) & ~done)
-            if not len(query):
+        while True:  # the range: every vector within it is expanded, all of a round by one product with the links
+            front = (sims >= cosine - 1e-5) & ~done
+            if not front.any():
                 break
-            visit(query, node)
+            done |= front
+            see(*np.nonzero((front.astype(np.float32) @ steps > 0) & ~seen))
         query, node = np.nonzero(sims >= cosine - 1e-5)
-        true = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", fine[1][first + query[k : k + (1 << 14)]], fine[0][node[k : k + (1 << 14)]]) >= cosine for k in range(0, len(query), 1 << 14))])
+        true = _dots(fine[1][first : first + BLOCK], fine[0], query, node) >= cosine
         found.append(np.stack([first + query[true], node[true]]))
     return tuple(np.concatenate([*found, np.zeros((2, 0), int)], axis=1))
 
@@ -208,19 +209,23 @@ def shards(distinct: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, list
     return rows if leaves is None else leaves.union(rows.select(*leaves.columns)), tables
 
 
-def _counted(query, node, here: int, homes: list, places: list) -> np.ndarray:
+def _holds(column: pa.ChunkedArray, values: np.ndarray) -> np.ndarray:
+    """(rows x values) 1 where the row's list has the value, else 0; values ascend."""
+    lists = column.combine_chunks()
+    flat, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    out, at = np.zeros((len(lists), len(values)), np.float32), np.searchsorted(values, flat)
+    known = at < len(values)
+    known[known] = values[at[known]] == flat[known]
+    out[row[known], at[known]] = 1
+    return out
+
+
+def _counted(query: np.ndarray, node: np.ndarray, here: int, homes: pa.ChunkedArray, places: pa.ChunkedArray) -> np.ndarray:
     """Which pairs (query, node) this shard counts: those of which no shard with a lesser number has the query, and the node
     as a member."""
-    others = np.unique(np.concatenate([np.array(h, np.int64) for h in homes] or [np.zeros(0, np.int64)]))
+    others = np.unique(homes.combine_chunks().flatten().to_numpy(zero_copy_only=False))
     others = others[others < here]
-    if not len(others) or not len(query):
-        return np.ones(len(query), bool)
-    present = np.array([np.isin(others, p) for p in places])
-    belongs = np.array([np.isin(others, h) for h in homes])
-    out = np.ones(len(query), bool)
-    for k in range(len(others)):
-        out &= ~(present[query, k] & belongs[node, k])
-    return out
+    return ~((_holds(places, others) @ _holds(homes, others).T > 0)[query, node])
 
 
 def _search(table: pa.Table, cosine: float) -> pa.Table:
@@ -229,7 +234,7 @@ def _search(table: pa.Table, cosine: float) -> pa.Table:
     order = np.argsort(~np.array(table.column("member")), kind="stable")  # members first
     table = table.take(pa.array(order))
     ids, n = np.array(table.column("rep")), int(np.array(table.column("member")).sum())
-    x, homes, places = _matrix(table.column("e")), table.column("homes").to_pylist(), table.column("places").to_pylist()
+    x = _matrix(table.column("e"))
     at = {v: k for k, v in enumerate(ids[:n].tolist())}
     near = [np.array([at[v] for v in own or () if v in at], int) for own in table.column("near").to_pylist()[:n]]
     if not n:
@@ -243,7 +248,7 @@ def _search(table: pa.Table, cosine: float) -> pa.Table:
     pairs = np.unique(np.concatenate([query * len(ids) + node, node[both] * len(ids) + query[both]]))
     query, node = pairs // len(ids), pairs % len(ids)
     query, node = query[query != node], node[query != node]
-    counted = _counted(query, node, table.column("number")[0].as_py(), homes[:n], places)
+    counted = _counted(query, node, table.column("number")[0].as_py(), table.column("homes")[:n], table.column("places"))
     totals = np.bincount(query[counted], np.array(table.column("n"))[node[counted]], len(ids)).astype(np.int64)
     rank = np.argsort(np.argsort(ids))
     by = np.argsort(ids)

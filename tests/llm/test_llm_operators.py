@@ -5,6 +5,7 @@ import html
 import re
 import shutil
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -352,6 +353,34 @@ def test_embedding_recall_by_density(spark, kind):
         assert true.sum() > 1000 and links.sum() >= 0.999 * true.sum()
 
 
+def test_embedding_search_of_a_shard_of_near_copies_in_little_memory():
+    """600 near copies in a shard, 1,000 that visit it: all links, few bytes for each pair of rows however many links there are."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=64) + 0.05 * rng.normal(size=(1600, 64))
+    near = [own.tolist() for own in embedding_dedup.prune(embedding_dedup._matrix(pa.chunked_array([pa.array(x[:600].tolist())])))]
+    # member 0 is also one of shard 3, which counts its links with the visitors
+    places = {"homes": [[3, 7]] + [[7]] * 599 + [[3]] * 1000, "places": [[3, 7]] + [[7]] * 599 + [[3, 7]] * 1000}
+    table = pa.table({"number": [7] * 1600, "rep": list(range(1600)), "n": [1] * 1600, "e": x.tolist(), "member": [k < 600 for k in range(1600)], "asks": [True] * 1600, "near": near + [None] * 1000, **places})
+    tracemalloc.start()
+    got = embedding_dedup._search(table, 0.98)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(got["rep"].to_pylist(), got["links"].to_pylist(), strict=True)) == {k: 599 for k in range(1600)}
+    assert set(got["other"].to_pylist()) == {0}
+    assert peak < 128 << 20
+
+
+def test_embedding_deal_in_parts(spark, monkeypatch):
+    """The rows of a cell that are dealt at once change no cell of theirs."""
+    monkeypatch.setattr(embedding_dedup, "SALT_ROWS", 64)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=16) + 0.05 * rng.normal(size=(1500, 16))
+    rows = spark.createDataFrame([(k, 1, v.tolist(), "c", True) for k, v in enumerate(x)], "rep long, n long, e array<double>, cell string, member boolean")
+    dealt, _ = embedding_dedup._deal(rows, spark.createDataFrame([("c", 1500)], "cell string, size long"), 0, 0.98)
+    got = dealt.groupBy("rep").agg(F.count("*").alias("cells"), F.count_if("member").alias("homes")).collect()
+    assert len(got) == 1500 and all((r.cells, r.homes) == (6, 2) for r in got)
+
+
 @pytest.mark.parametrize("block", [1 << 15, 64])
 def test_topk(spark, block):
     rows = vectors_of(spark) + [(r[0] + 5000, r[1], *r[2:]) for r in vectors_of(spark)[:40]]
