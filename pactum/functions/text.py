@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: for expressions over array items, where there are no columns."""
+    return F.transform(F.array(value), use)[0]
+
+
 def money_amount(raw: Column) -> Column:
     """decimal(20,4) amount of one mention, scaled by its word."""
     number = F.replace(F.regexp_extract(raw, MONEY, 2), F.lit(","), F.lit("")).try_cast("decimal(20,4)")
@@ -69,10 +76,9 @@ def largest_money(text: Column, currency: str | None = None) -> Column:
 def language(text: Column) -> Column:
     """'ms' or 'en' by at least two function words and more than the other's, else 'unknown'. Words are runs of letters and
     apostrophes, so a hyphen parts them and a marker with a hyphen is never met."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0))
-    count = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-    malay, english = count(MALAY), count(ENGLISH)
-    return F.when((malay >= 2) & (malay > english), "ms").when((english >= 2) & (english > malay), "en").otherwise("unknown")
+    count = lambda words, known: F.size(F.filter(words, lambda w: w.isin(known)))
+    counts = let(F.regexp_extract_all(F.lower(text), F.lit("[a-z']+"), F.lit(0)), lambda words: F.struct(count(words, MALAY).alias("ms"), count(words, ENGLISH).alias("en")))
+    return let(counts, lambda n: F.when((n["ms"] >= 2) & (n["ms"] > n["en"]), "ms").when((n["en"] >= 2) & (n["en"] > n["ms"]), "en").otherwise("unknown"))
 
 
 def text_search_config(lang: Column) -> Column:

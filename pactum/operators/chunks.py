@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactum.functions.text import garbled_ratio, language, matches, once, text_search_config
+from pactum.functions.joins import by_key
+from pactum.functions.text import garbled_ratio, language, let, matches, once, text_search_config
 from pactum.sources.tables import saved
 
 MAX_CHARS, HEADING_CHARS, HEADING_UPPER = 1200, 120, 0.70
@@ -23,10 +24,12 @@ def _span(start: Column, end: Column) -> Column:
 
 def _trimmed(text: Column, s: Column) -> Column:
     """A span without the white space at its ends."""
-    body = _cut(text, s["start"], s["end"])
-    left = F.length(body) - F.length(F.regexp_replace(body, r"^\s+", ""))
-    right = F.length(body) - F.length(F.regexp_replace(body, r"\s+$", ""))
-    return _span(F.least(s["start"] + left, s["end"]), F.greatest(s["end"] - right, F.least(s["start"] + left, s["end"])))
+
+    def ends(cut):
+        start = s["end"] - F.length(cut)
+        return let(start, lambda at: _span(at, at + F.length(F.regexp_replace(cut, r"\s+\z", ""))))
+
+    return let(F.regexp_replace(_cut(text, s["start"], s["end"]), r"^\s+", ""), ends)
 
 
 def _filled(spans: Column) -> Column:
@@ -49,7 +52,7 @@ def bodies(text: Column) -> Column:
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     starts = F.aggregate(F.zip_with(pieces, gaps, lambda p, g: F.struct(F.length(p).alias("p"), F.length(g).alias("g"))), begin, lambda a, x: F.struct((a["at"] + x["p"] + x["g"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
     left = lambda p: F.regexp_replace(p, r"^\s+", "")
-    trimmed = F.zip_with(pieces, starts, lambda p, at: F.struct((at + F.length(p) - F.length(left(p))).cast("int").alias("start"), F.regexp_replace(left(p), r"\s+$", "").alias("body")))
+    trimmed = F.zip_with(pieces, starts, lambda p, at: let(left(p), lambda own: F.struct((at + F.length(p) - F.length(own)).cast("int").alias("start"), F.regexp_replace(own, r"\s+\z", "").alias("body"))))
     return F.transform(F.filter(trimmed, lambda b: b["body"] != ""), lambda b: F.struct(b["start"].alias("start"), (b["start"] + F.length(b["body"])).cast("int").alias("end"), b["body"].alias("body")))
 
 
@@ -65,30 +68,33 @@ def without(spans: Column, tables: Column) -> Column:
 
 def is_heading(body: Column) -> Column:
     """One short line that doesn't end like a sentence, whose letters are mostly capitals."""
-    text = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
-    letters, capitals = F.length(F.regexp_replace(text, r"\P{L}", "")), F.length(F.regexp_replace(text, r"\P{Lu}", ""))
-    return (F.length(text) > 0) & ~F.contains(text, F.lit("\n")) & (F.length(text) <= HEADING_CHARS) & ~text.rlike("[.,;]$") & (letters > 0) & (capitals >= HEADING_UPPER * letters)
+
+    def holds(text):
+        letters, capitals = F.length(F.regexp_replace(text, r"\P{L}", "")), F.length(F.regexp_replace(text, r"\P{Lu}", ""))
+        return F.length(text).between(1, HEADING_CHARS) & ~F.contains(text, F.lit("\n")) & ~text.rlike("[.,;]$") & (letters > 0) & (capitals >= HEADING_UPPER * letters)
+
+    return let(F.trim(F.regexp_replace(body, r"^\s+|\s+\z", "")), holds)
 
 
 def split_long(text: Column, span: Column, most: int = MAX_CHARS) -> Column:
     """A span in pieces of at most `most` characters. Rule: sentences (ended by . ! ? ; and white space) are taken while the piece
     from its first to their last character fits; one that alone is too long is cut every `most` characters, and what is left of
     it goes on; each piece is trimmed."""
-    ends = F.transform(matches(_cut(text, span["start"], span["end"]), r"(?s).+?(?:[.!?;]\s+|$)"), lambda m: span["start"] + m["end"])
+    # sentences follow each other without gaps, so their lengths are their places
+    sentences = F.regexp_extract_all(_cut(text, span["start"], span["end"]), F.lit(r"(?s).+?(?:[.!?;]\s+|\z)"), F.lit(0))
     begin = F.struct(span["start"].alias("start"), span["start"].alias("packed"), F.array().cast(SPAN).alias("out"))
 
-    def step(a, end):
-        fits = end - a["start"] <= most
+    def step(a, sentence):
+        start, end = F.greatest(a["start"], a["packed"]), a["packed"] + F.length(sentence)
         closed = F.when(a["packed"] > a["start"], F.array(_span(a["start"], a["packed"]))).otherwise(F.array().cast(SPAN))
-        start = F.greatest(a["start"], a["packed"])
+        cuts = lambda hard: F.when(hard > 0, F.transform(F.sequence(F.lit(0), F.greatest(hard - 1, F.lit(0))), lambda k: _span(start + k * most, start + (k + 1) * most))).otherwise(F.array().cast(SPAN))
+        moved = lambda hard: F.struct((start + hard * most).alias("start"), end.alias("packed"), F.concat(a["out"], closed, cuts(hard)).alias("out"))
         hard = F.greatest(F.lit(0), F.ceil((end - start) / most).cast("int") - 1)
-        cuts = F.when(hard > 0, F.transform(F.sequence(F.lit(0), F.greatest(hard - 1, F.lit(0))), lambda k: _span(start + k * most, start + (k + 1) * most))).otherwise(F.array().cast(SPAN))
-        moved = F.struct((start + hard * most).alias("start"), end.alias("packed"), F.concat(a["out"], closed, cuts).alias("out"))
-        return F.when(fits, F.struct(a["start"].alias("start"), end.alias("packed"), a["out"].alias("out"))).otherwise(moved)
+        return F.when(end - a["start"] <= most, F.struct(a["start"].alias("start"), end.alias("packed"), a["out"].alias("out"))).otherwise(let(hard, moved))
 
     last = lambda a: F.concat(a["out"], F.when(a["packed"] > a["start"], F.array(_span(a["start"], a["packed"]))).otherwise(F.array().cast(SPAN)))
     short = span["end"] - span["start"] <= most
-    return F.when(short, F.array(_span(span["start"], span["end"]))).otherwise(_filled(F.transform(F.aggregate(ends, begin, step, last), lambda s: _trimmed(text, s))))
+    return F.when(short, F.array(_span(span["start"], span["end"]))).otherwise(_filled(F.transform(F.aggregate(sentences, begin, step, last), lambda s: _trimmed(text, s))))
 
 
 def grouped(items: Column, most: int = MAX_CHARS) -> Column:
@@ -134,7 +140,7 @@ def chunk(pages: DataFrame, text_col: str = "text", most: int = MAX_CHARS, after
     whole = once(whole, "titles", own_titles)
     # written once, with a number for each row: ordinals are counted without the text, and come back to it by that number
     pages_ = saved(whole.select("document_id", "page_number", "page_text", "chunks", "titles", F.size("chunks").alias("n"), F.monotonically_increasing_id().alias("row")))
-    whole = pages_.join(first_ordinals(pages_, after), "row")
+    whole = by_key(pages_).join(first_ordinals(pages_, after), "row")
     # a page's text ends here: its chunks go on without it
     made = F.arrays_zip(F.col("chunks").alias("c"), F.transform("chunks", lambda c: _cut(text, c["start"], c["end"])).alias("chunk_text"), F.transform("chunks", lambda c, k: F.try_element_at(F.filter(F.slice("titles", 1, k + 1), lambda t: t.isNotNull()), F.lit(-1))).alias("title"))
     found = whole.select("document_id", "page_number", "base", F.posexplode(made).alias("place", "made")).select("document_id", "page_number", "base", "place", "made.*")
@@ -162,7 +168,7 @@ def first_ordinals(pages: DataFrame, after: DataFrame | None = None, width: int
 
 def span_violations(chunks: DataFrame, pages: DataFrame, text_col: str = "text") -> DataFrame:
     """Chunks that are not the slice of their page that they claim to be; must be empty."""
-    own = pages.select("document_id", "page_number", F.col(text_col).alias("page_text"))
+    own = by_key(pages.select("document_id", "page_number", F.col(text_col).alias("page_text")))
     return chunks.join(own, ["document_id", "page_number"], "left").where(~_cut(F.col("page_text"), F.col("char_start"), F.col("char_end")).eqNullSafe(F.col("chunk_text"))).drop("page_text")
 
 

@@ -48,7 +48,7 @@ def question_answers(spark, d):
 def laid_out(spark: SparkSession, d: str) -> DataFrame:
     """A page for each part: a heading, a line, a table, and a paragraph that is short, of forty sentences, or of one."""
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(k, F.col("p_brand").alias("document_id"), F.concat(F.lit("TERMS OF ISSUE "), k.cast("string"), F.lit("\n\nGearing stays low in year "), k.cast("string"), F.lit(". The issuer reports it.\n\n")).alias("head"), F.concat(F.lit("a | b\n1 | "), k.cast("string")).alias("grid"), F.when(k % 3 == 0, F.repeat(F.lit("Sentence of the thing number it is here. "), F.lit(40))).when(k % 3 == 1, F.repeat(F.lit("x"), F.lit(2500))).otherwise("Short end.").alias("tail"))
+    rows = tables.spread(table(spark, d, "part")).select(k, F.col("p_brand").alias("document_id"), F.concat(F.lit("TERMS OF ISSUE "), k.cast("string"), F.lit("\n\nGearing stays low in year "), k.cast("string"), F.lit(". The issuer reports it.\n\n")).alias("head"), F.concat(F.lit("a | b\n1 | "), k.cast("string")).alias("grid"), F.when(k % 3 == 0, F.repeat(F.lit("Sentence of the thing number it is here. "), F.lit(40))).when(k % 3 == 1, F.repeat(F.lit("x"), F.lit(2500))).otherwise("Short end.").alias("tail"))
     at = F.length("head")
     return rows.select("document_id", k.alias("page_number"), F.concat("head", "grid", F.lit("\n\n \t\n"), "tail").alias("ocr_text"), F.array(F.struct(at.alias("start"), (at + F.length("grid")).alias("end"))).alias("tables"))
 

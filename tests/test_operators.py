@@ -670,3 +670,11 @@ def test_matches_of_large_groups_of_ties(spark, most):
         if not any(x[0] == g and (x[1] == a or x[2] == b) for x in expected):
             expected.add((g, a, b, score))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_pages_are_not_sent_to_all_executors(spark):
+    """Pages that a query makes are far larger than the files that they are made from, by which Spark would judge them."""
+    pages = spark.range(50).select(F.col("id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), F.repeat(F.lit("Words that say little. "), F.lit(100)).alias("text"))
+    found = chunks.span_violations(chunks.chunk(pages), pages)
+    joined = re.findall(r"\w+Join", found._jdf.queryExecution().executedPlan().toString())
+    assert joined[:2] == ["SortMergeJoin", "SortMergeJoin"] and found.count() == 0
