@@ -265,7 +265,8 @@ def set_operations(spark, d):
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table's files as a stream. The path is a pattern, which may stand for a file as well as for a folder of files."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _to_end(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactum.operators.chunks import chunk
+from pactum.plans import books
 from pactum.sources.stored import read_stored
 from pactum.streaming import streams
 
@@ -102,3 +103,14 @@ def test_spend_admission(spark, tmp_path):
     stream = files(spark, tmp_path, rows, "request_id long, document_id string, ts timestamp, estimate double").withColumn("estimate", F.col("estimate").cast("decimal(12,6)"))
     got = {r.request_id: (r.admitted, r.spent_micros) for r in drained(spark, streams.spend_admission(stream), tmp_path)}
     assert got == {1: (True, 3_000_000), 2: (True, 4_500_000), 3: (False, 4_500_000), 4: (True, 5_000_000), 5: (True, 5_000_000)}
+
+
+def test_streams_of_tables_that_are_folders(spark, tmp_path):
+    """A table is one file or a folder of files."""
+    rows = spark.createDataFrame([(k, f"Text {k}.", "s", 7) for k in range(6)], "doc_id long, text string, source string, n_chars long")
+    rows.repartition(3).write.parquet(f"file://{tmp_path}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file/documents.parquet")
+    got = [sorted(map(tuple, books.streamed_pages(spark, f"file://{tmp_path}/{d}").collect())) for d in ("folder", "file")]
+    assert got == [sorted((kind, k, n) for k in range(6) for kind, n in (("page", 7), ("ink", 6)))] * 2
