@@ -133,7 +133,8 @@ SELECT doc AS label_id, doc % 7 AS days FROM one WHERE doc % 7 <= 3 AND doc % 10
 def matched_calls(spark, d):
     """A call label for each order and a predicted call some days later: those within three days, none that a person made."""
     k = F.col("l_orderkey")
-    first = table(spark, d, "lineitem").groupBy(k).agg(F.min_by(F.to_date("l_shipdate"), "l_linenumber").alias("call_date"))
+    # lines may share a number: the earliest of them, since both sides below must get the same one
+    first = table(spark, d, "lineitem").groupBy(k).agg(F.min(F.struct("l_linenumber", F.to_date("l_shipdate").alias("day")))["day"].alias("call_date"))
     labels = first.select(k.alias("document_id"), k.alias("label_id"), "call_date")
     found = first.select(k.alias("document_id"), (k + 1).alias("prediction_id"), F.date_add("call_date", (k % 7).cast("int")).alias("call_date"), F.when(k % 10 == 0, "human").otherwise("rule").alias("method"))
     return evaluation.match_calls(found, labels).select("label_id", F.col("days").cast("bigint").alias("days"))

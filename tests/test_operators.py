@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pactum.functions import alignment, dates, joins, ratings, stemming, text
 from pactum.operators import chunks, evaluation, extraction, ledger, portfolio, questions, retrieval, review, rules, verify
+from pactum.plans import books
 from pactum.sources import stored, tables
 
 
@@ -678,3 +679,14 @@ def test_pages_are_not_sent_to_all_executors(spark):
     found = chunks.span_violations(chunks.chunk(pages), pages)
     joined = re.findall(r"\w+Join", found._jdf.queryExecution().executedPlan().toString())
     assert joined[:2] == ["SortMergeJoin", "SortMergeJoin"] and found.count() == 0
+
+
+def test_calls_of_lines_that_share_a_number(spark, tmp_path, monkeypatch):
+    """Which of such lines gives the date does not depend on the order in which rows come."""
+    lines = [(k, 1, dt.datetime(2026, 1, 1 + (k + n) % 9)) for k in range(1, 9) for n in range(4)]
+    monkeypatch.setattr(evaluation, "match_calls", lambda found, labels: labels.withColumn("days", F.datediff("call_date", F.lit("2026-01-01"))))
+    got = []
+    for k, rows in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate timestamp").coalesce(1).write.parquet(f"file://{tmp_path}/{k}/lineitem.parquet")
+        got.append(sorted(map(tuple, books.matched_calls(spark, f"file://{tmp_path}/{k}").collect())))
+    assert got[0] == got[1] and len(got[0]) == 8
