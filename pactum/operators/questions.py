@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactum.functions.joins import by_key
 from pactum.functions.ratings import NOTCHES, normalise, rank
 from pactum.operators.rules import evaluate
 from pactum.sources.tables import READABLE, saved
@@ -57,8 +58,8 @@ def unsupported_terms(questions: DataFrame, names: DataFrame, extra: list[str] |
     words = questions.select("query_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0)))).alias("place", "word"))
     odd = words.where((F.length("word") >= 2) & ~F.col("word").isin(known_words(extra)))
     named = names.select(F.explode(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    left = odd.join(named, "word", "left_anti").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("unsupported"))
-    return questions.join(left, "query_id", "left").withColumn("unsupported", F.coalesce("unsupported", F.array().cast("array<string>")))
+    left = odd.join(by_key(named), "word", "left_anti").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("unsupported"))
+    return questions.join(by_key(left), "query_id", "left").withColumn("unsupported", F.coalesce("unsupported", F.array().cast("array<string>")))
 
 
 def _runs(words: Column, most: int = 12) -> Column:
@@ -76,10 +77,10 @@ def mentioned_entities(questions: DataFrame, names: DataFrame) -> DataFrame:
     asked = questions.select("query_id", "question", F.explode(_runs(words(F.col("question")))).alias("run"))
     own = names.select("name").distinct().select("name", F.explode(_runs(words(F.col("name")))).alias("run"))
     unique = own.groupBy("run").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n = 1").select("run", "name")
-    by_run = asked.join(unique, "run").select("query_id", "name")
+    by_run = asked.join(by_key(unique), "run").select("query_id", "name")
     first = names.select("name", F.array_join(F.slice(words(F.col("name")), 1, 2), " ").alias("run")).where("run <> ''").distinct()
     single = questions.select("query_id", "question", F.explode(F.array_distinct(words(F.col("question")))).alias("run"))
-    whole = asked.select("query_id", "question", "run").union(single).join(first, "run").where(F.contains(F.lower("question"), F.lower("name"))).select("query_id", "name")
+    whole = asked.select("query_id", "question", "run").union(single).join(by_key(first), "run").where(F.contains(F.lower("question"), F.lower("name"))).select("query_id", "name")
     return by_run.union(whole).distinct()
 
 
@@ -131,20 +132,21 @@ def answer(questions: DataFrame, instruments: DataFrame, portfolios: DataFrame,
     instruments(instrument_id, instrument_name, issuer_name, current_rating), portfolios(portfolio_id, name), holdings(
     portfolio_id, instrument_id, market_value), covenants(clause_id, instrument_id, covenant_type, source_quote, page_number,
     confidence), terms and facts as rules.evaluate takes them, terms with clause_id, hits(query_id, chunk_id, chunk_text)."""
-    rated = instruments.select("instrument_id", "instrument_name", "issuer_name", "current_rating", rank(F.col("current_rating")).alias("rank"))
+    rated = saved(instruments.select("instrument_id", "instrument_name", "issuer_name", "current_rating", rank(F.col("current_rating")).alias("rank")))
     called = rated.select("instrument_id", F.explode(F.array("instrument_name", "issuer_name")).alias("name")).where("name is not null").distinct()
     names = called.select("name").union(portfolios.select("name")).distinct()
     asked = saved(unsupported_terms(classify(questions), names)).withColumn("_no", (F.col("intent") == "unsupported") | F.col("intent").isin(*STRUCTURED) & (F.size("unsupported") > 0))
     go = asked.where("not _no").select("query_id", "question", "intent", "covenant_type", "rating_below")
     named = saved(mentioned_entities(go, names))
-    own_instruments = named.join(called, "name").select("query_id", "instrument_id").distinct()
-    own_portfolios = named.join(portfolios.select("name", "portfolio_id"), "name").select("query_id", "portfolio_id").distinct()
+    own_instruments = by_key(named).join(called, "name").select("query_id", "instrument_id").distinct()
+    own_portfolios = by_key(named).join(portfolios.select("name", "portfolio_id"), "name").select("query_id", "portfolio_id").distinct()
     kind, below = F.col("intent"), F.col("rating_below")
     by_name = F.when(kind == "portfolio_query", F.col("_p")).when((kind == "document_search") | (kind == "instrument_lookup") & below.isNotNull(), F.lit(False)).otherwise(F.col("_i"))
     marks = own_instruments.select("query_id").distinct().withColumn("_i", F.lit(True)), own_portfolios.select("query_id").distinct().withColumn("_p", F.lit(True))
-    scoped = go.join(marks[0], "query_id", "left").join(marks[1], "query_id", "left").withColumn("own", F.coalesce(by_name, F.lit(False)) | (kind == "document_search"))
+    scoped = go.join(by_key(marks[0]), "query_id", "left").join(by_key(marks[1]), "query_id", "left").withColumn("own", F.coalesce(by_name, F.lit(False)) | (kind == "document_search"))
     asked_for = F.when(kind == "covenant_lookup", F.col("covenant_type")).when(kind.isin("instrument_lookup", "portfolio_query"), below)
     scoped = saved(scoped.withColumn("scope", F.concat_ws("|", kind, F.coalesce(asked_for, F.lit(ALL)), F.when(F.col("own"), F.col("query_id").cast("string")).otherwise(ALL))))
+    # kinds times thresholds, so a few dozen rows; all else is joined by key, since it grows with the book or the log
     shared = scoped.where("not own").select("scope", "intent", "covenant_type", "rating_below").distinct()
     mine = scoped.where("own").select("query_id", "scope", "intent", "covenant_type", "rating_below")
     of = lambda rows, what: rows.where(kind == what)
@@ -152,39 +154,40 @@ def answer(questions: DataFrame, instruments: DataFrame, portfolios: DataFrame,
     # a threshold becomes the ranks below it, so that joins are on equal ranks
     ranks = lambda rows: rows.where(below.isNotNull()).withColumn("rank", F.explode(F.sequence(rank(below) + 1, F.lit(len(NOTCHES)))))
 
-    picked = mine.join(own_instruments, "query_id").drop("query_id")
-    found = ranks(of(shared, "instrument_lookup")).select("scope", "rank").join(rated, "rank").select("scope", *rated.columns).unionByName(everything(rated, "instrument_lookup")).unionByName(of(picked, "instrument_lookup").select("scope", "instrument_id").join(rated, "instrument_id"))
+    picked = by_key(mine).join(own_instruments, "query_id").drop("query_id")
+    found = F.broadcast(ranks(of(shared, "instrument_lookup")).select("scope", "rank")).join(rated, "rank").select("scope", *rated.columns).unionByName(everything(rated, "instrument_lookup")).unionByName(of(picked, "instrument_lookup").select("scope", "instrument_id").join(by_key(rated), "instrument_id"))
     lines = _lines(found, F.col("instrument_id"), F.concat_ws(" ", "instrument_name", "current_rating"))
 
-    held = holdings.join(rated.select("instrument_id", "rank"), "instrument_id").groupBy("portfolio_id", "rank").agg(F.count("*").alias("n"), F.sum("market_value").alias("v"))
+    # dealt by portfolio once: no sum below has to move rows again, over all notches there are many times as many
+    held = holdings.join(by_key(rated.select("instrument_id", "rank")), "instrument_id").repartition("portfolio_id").groupBy("portfolio_id", "rank").agg(F.count("*").alias("n"), F.sum("market_value").alias("v"))
     whole = held.groupBy("portfolio_id").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    cut = ranks(of(shared, "portfolio_query")).select("scope", "rank").join(held, "rank").select("scope", "portfolio_id", "n", "v")
-    mine_p = of(mine, "portfolio_query").join(own_portfolios, "query_id").drop("query_id")
-    cut = cut.unionByName(ranks(mine_p).select("scope", "portfolio_id", "rank").join(held, ["portfolio_id", "rank"]).select("scope", "portfolio_id", "n", "v"))
+    cut = F.broadcast(ranks(of(shared, "portfolio_query")).select("scope", "rank")).join(held, "rank").select("scope", "portfolio_id", "n", "v")
+    mine_p = by_key(of(mine, "portfolio_query")).join(own_portfolios, "query_id").drop("query_id")
+    cut = cut.unionByName(by_key(ranks(mine_p).select("scope", "portfolio_id", "rank")).join(held, ["portfolio_id", "rank"]).select("scope", "portfolio_id", "n", "v"))
     cut = cut.groupBy("scope", "portfolio_id").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    cut = cut.unionByName(everything(whole, "portfolio_query")).unionByName(mine_p.where(below.isNull()).select("scope", "portfolio_id").join(whole, "portfolio_id"))
+    cut = cut.unionByName(everything(whole, "portfolio_query")).unionByName(by_key(mine_p.where(below.isNull()).select("scope", "portfolio_id")).join(whole, "portfolio_id"))
     lines = lines.unionByName(_lines(cut, F.col("portfolio_id"), F.concat_ws(" ", F.col("portfolio_id").cast("string"), F.col("n").cast("string"), F.coalesce("v", F.lit(0)).cast("decimal(30,4)").cast("string"))))
 
     have = covenants.select("clause_id", "instrument_id", "covenant_type", "source_quote", "page_number", "confidence")
-    typed = of(shared, "covenant_lookup").where("covenant_type is not null").select("scope", "covenant_type").join(have, "covenant_type")
-    chosen = of(picked, "covenant_lookup").select("scope", "instrument_id", F.col("covenant_type").alias("_t")).join(have, "instrument_id").where("_t is null or _t = covenant_type").drop("_t")
+    typed = F.broadcast(of(shared, "covenant_lookup").where("covenant_type is not null").select("scope", "covenant_type")).join(have, "covenant_type")
+    chosen = of(picked, "covenant_lookup").select("scope", "instrument_id", F.col("covenant_type").alias("_t")).join(by_key(have), "instrument_id").where("_t is null or _t = covenant_type").drop("_t")
     cited = typed.unionByName(everything(have, "covenant_lookup")).unionByName(chosen)
     lines = lines.unionByName(_lines(cited, F.col("clause_id"), F.concat_ws(" p.", "source_quote", F.col("page_number").cast("string")), F.col("clause_id"), F.coalesce("confidence", F.lit(0.5))))
 
-    judged = evaluate(terms.join(facts, "instrument_id", "left")).select("instrument_id", "clause_id", "covenant_type", "status", "explanation")
-    judged = everything(judged, "covenant_breach_check").unionByName(of(picked, "covenant_breach_check").select("scope", "instrument_id").join(judged, "instrument_id"))
+    judged = evaluate(terms.join(by_key(facts), "instrument_id", "left")).select("instrument_id", "clause_id", "covenant_type", "status", "explanation")
+    judged = everything(judged, "covenant_breach_check").unionByName(by_key(of(picked, "covenant_breach_check").select("scope", "instrument_id")).join(judged, "instrument_id"))
     open_ = F.col("status") == "insufficient_data"
     lines = lines.unionByName(_lines(judged, F.concat_ws(" ", F.col("instrument_id").cast("string"), "covenant_type", F.coalesce(F.col("clause_id").cast("string"), F.lit(""))), F.col("explanation"), F.when(~open_, F.col("clause_id")), 0.95, F.col("status") == "breach", open_))
 
-    passages = hits.join(scoped.where(kind.isin("document_search", "covenant_lookup")).select("query_id"), "query_id").withColumn("scope", F.concat_ws("|", F.lit("passages"), F.lit(ALL), F.col("query_id").cast("string")))
+    passages = hits.join(by_key(scoped.where(kind.isin("document_search", "covenant_lookup")).select("query_id")), "query_id").withColumn("scope", F.concat_ws("|", F.lit("passages"), F.lit(ALL), F.col("query_id").cast("string")))
     lines = lines.unionByName(_lines(passages, F.col("chunk_id"), F.col("chunk_text"), F.col("chunk_id"), 0.55))
 
     lines = saved(lines)
     sums = lines.groupBy("scope").agg(F.count_if(~F.col("open")).alias("n_lines"), F.count_if("open").alias("n_open"), F.count_if("breach").alias("breaches"), F.count("cited").alias("citations"), F.min("confidence").alias("confidence"))
     passage = F.concat_ws("|", F.lit("passages"), F.lit(ALL), F.col("query_id").cast("string"))
-    known = scoped.select("query_id", "intent", "rating_below", F.when(kind == "document_search", passage).otherwise(F.col("scope")).alias("scope")).join(sums, "scope", "left")
+    known = scoped.select("query_id", "intent", "rating_below", F.when(kind == "document_search", passage).otherwise(F.col("scope")).alias("scope")).join(by_key(sums), "scope", "left")
     # a covenant question that no covenant answers is searched for
-    again = known.where((kind == "covenant_lookup") & F.col("n_lines").isNull()).select("query_id", "intent", "rating_below", passage.alias("scope")).join(sums, "scope", "left")
+    again = known.where((kind == "covenant_lookup") & F.col("n_lines").isNull()).select("query_id", "intent", "rating_below", passage.alias("scope")).join(by_key(sums), "scope", "left")
     known = known.where(~((kind == "covenant_lookup") & F.col("n_lines").isNull())).unionByName(again)
     n = F.coalesce("n_lines", F.lit(0))
     some = F.when(n.isNull(), False).otherwise((n > 0) | (F.coalesce("n_open", F.lit(0)) > 0))
@@ -194,5 +197,5 @@ def answer(questions: DataFrame, instruments: DataFrame, portfolios: DataFrame,
     words = F.when(kind == "instrument_lookup", F.concat(n.cast("string"), F.lit(" instrument(s)"), F.when(below.isNotNull(), rest).otherwise(" matched"), F.lit("."))).when(kind == "portfolio_query", F.concat(n.cast("string"), F.lit(" portfolio(s)"), rest, F.lit("."))).when(kind == "covenant_breach_check", F.concat(F.when(F.col("breaches") > 0, F.col("breaches").cast("string")).otherwise("No"), F.lit(" covenant breach(es), "), F.coalesce("n_open", F.lit(0)).cast("string"), F.lit(" not evaluated."))).otherwise(F.concat(n.cast("string"), F.lit(" passage(s).")))
     sure = F.when((kind == "covenant_breach_check") & (n == 0), F.lit(0.4)).otherwise(F.col("confidence"))
     given = known.select("query_id", "scope", F.when(~refused, words).alias("headline"), n.alias("n_lines"), F.coalesce("citations", F.lit(0)).alias("citations"), F.when(refused, 0.0).otherwise(sure).alias("confidence"), refused.alias("refused"))
-    answers = asked.select("query_id", "intent").join(given, "query_id", "left").select("query_id", "intent", "headline", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("refused", F.lit(True)).alias("refused"))
+    answers = asked.select("query_id", "intent").join(by_key(given), "query_id", "left").select("query_id", "intent", "headline", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("refused", F.lit(True)).alias("refused"))
     return answers, given.where("not refused").select("query_id", "scope"), lines

@@ -31,7 +31,7 @@ CAST(n AS BIGINT) AS n_lines, CAST(CASE WHEN m IN (1, 5, 7, 9, 10) THEN n ELSE 0
 def question_answers(spark, d):
     """Every intent of the question log: notch asked for, names, verdicts, fall-back to search, refusals."""
     k = F.col("p_partkey")
-    part = table(spark, d, "part")
+    part = tables.spread(table(spark, d, "part"))
     asked = part.select(k.alias("query_id"), F.replace(F.replace(_item(ASKED, k % 11), F.lit("{k}"), k.cast("string")), F.lit("{n}"), _item(NOTCHES, k * 3 % 22)).alias("question"))
     book = instruments(spark, d).withColumns({"instrument_name": F.concat(F.lit("Bond zz"), F.col("instrument_id").cast("string")), "issuer_name": F.lit(None).cast("string")})
     funds = table(spark, d, "customer").select(F.col("c_custkey").alias("portfolio_id"), F.concat(F.lit("Fund yy"), F.col("c_custkey").cast("string")).alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pactum.functions.joins import overlapping
+from pactum.functions.joins import by_key, overlapping
 from pactum.functions.ratings import NOTCHES, notches_between
 from pactum.operators import chunks, evaluation, portfolio, questions, retrieval, rules
 from pactum.plans.books import laid_out
@@ -196,7 +196,7 @@ UNION ALL SELECT 'covenant_lookup|gearing_ratio|' || k, 'c' || k, 'q p.1', 'c' |
 def answer_lines(spark, d):
     """What answers are made of: the scope of each question that is answered, and every line of it with what it cites."""
     k = F.col("p_partkey")
-    part = table(spark, d, "part")
+    part = tables.spread(table(spark, d, "part"))
     asked = part.select(k.alias("query_id"), F.replace(F.replace(_item(LINES, k % 4), F.lit("{k}"), k.cast("string")), F.lit("{n}"), _item(NOTCHES, k * 3 % 22)).alias("question"))
     book = instruments(spark, d).withColumns({"instrument_name": F.concat(F.lit("Bond zz"), F.col("instrument_id").cast("string")), "issuer_name": F.lit(None).cast("string")})
     clause = F.concat(F.lit("c"), k.cast("string"))
@@ -205,7 +205,7 @@ def answer_lines(spark, d):
     hits = part.select(k.alias("query_id"), F.explode(F.array(*map(F.lit, "ab"))).alias("chunk_id")).withColumn("chunk_text", F.concat(F.lit("passage "), "chunk_id"))
     funds = table(spark, d, "customer").select(F.col("c_custkey").alias("portfolio_id"), F.col("c_name").alias("name"))
     _, scopes, lines = questions.answer(asked, book, funds, holdings(spark, d), covenants, terms, book.select("instrument_id", "current_rating"), hits)
-    return lines.join(scopes.select("scope").distinct(), "scope").select("scope", "item", "line", "cited")
+    return lines.join(by_key(scopes.select("scope").distinct()), "scope").select("scope", "item", "line", "cited")
 
 
 @query("SELECT 'id' AS asked, p_partkey AS instrument_id FROM part WHERE p_partkey = 7 UNION ALL SELECT 'isin', p_partkey FROM part WHERE p_size * 1000 + p_partkey % 1000 = 7007 UNION ALL SELECT 'isin and name', p_partkey FROM part WHERE p_size % 5 = 2 AND contains(lower(p_name), 'ring')")

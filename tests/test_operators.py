@@ -690,3 +690,25 @@ def test_calls_of_lines_that_share_a_number(spark, tmp_path, monkeypatch):
         spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate timestamp").coalesce(1).write.parquet(f"file://{tmp_path}/{k}/lineitem.parquet")
         got.append(sorted(map(tuple, books.matched_calls(spark, f"file://{tmp_path}/{k}").collect())))
     assert got[0] == got[1] and len(got[0]) == 8
+
+
+def test_answers_are_joined_by_key(spark, monkeypatch):
+    """What grows with the book or the log is sent to no executor whole, however small Spark takes it to be."""
+    asked = spark.createDataFrame([(1, "which instruments are rated below AA"), (2, "is Blue Sukuk in breach"), (3, "what is the gearing of Blue Sukuk"), (4, "what is the exposure of Growth Fund")], "query_id int, question string")
+    instruments = spark.createDataFrame([("i", "Green Sukuk", None, "A1"), ("j", "Blue Sukuk", None, "AAA")], "instrument_id string, instrument_name string, issuer_name string, current_rating string")
+    funds = spark.createDataFrame([("p", "Growth Fund")], "portfolio_id string, name string")
+    held = spark.createDataFrame([("p", "i", D(5))], "portfolio_id string, instrument_id string, market_value decimal(20,4)")
+    covenants = spark.createDataFrame([("c2", "j", "gearing_ratio", "2 times", 4, 0.8)], "clause_id string, instrument_id string, covenant_type string, source_quote string, page_number int, confidence double")
+    terms = spark.createDataFrame([("j", "c2", "rating_trigger", "AAA", "high")], "instrument_id string, clause_id string, covenant_type string, trigger_rating string, severity string")
+    hits = spark.createDataFrame([(4, "h", "rain")], "query_id int, chunk_id string, chunk_text string")
+    plans, keep = [], questions.saved
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(questions, "saved", seen)
+    answers, _, _ = questions.answer(asked, instruments, funds, held, covenants, terms, instruments.select("instrument_id", "current_rating"), hits)
+    seen(answers)
+    # the only ones are the scopes that many questions share: instruments, portfolios, covenants by what is asked for
+    assert [p.count("BroadcastHashJoin") for p in plans] == [0] * (len(plans) - 2) + [3, 0]
