@@ -43,6 +43,14 @@ def test_drain_is_idempotent(spark, tmp_path):
     assert sorted({r.document_id for r in chunks.collect()}) == ["d", "e"] and chunks.count() == chunks.select("hash").distinct().count()
 
 
+def test_a_batch_of_one_file_is_all_cores_work(spark, tmp_path):
+    schema = "document_id string, page_number int, text string, image_area_ratio double, has_text_layer boolean, has_table_hint boolean, table_extraction_failed boolean"
+    rows = [("d", k, f"Page {k}. " * 9, 0.1, True, False, False) for k in range(40)]
+    streams.drain_batch(spark.createDataFrame(rows, schema).coalesce(1), 0, f"file://{tmp_path}/out")
+    assert len(list(tmp_path.glob("out/pages/batch=0/*.parquet"))) == spark.sparkContext.defaultParallelism
+    assert [r.ordinal for r in spark.read.parquet(f"file://{tmp_path}/out/chunks").orderBy("page_number").collect()] == list(range(40))
+
+
 PAGES = "document_id string, page_number int, text string, image_area_ratio double, has_text_layer boolean, has_table_hint boolean, table_extraction_failed boolean"
 
 
