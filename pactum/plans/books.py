@@ -76,7 +76,8 @@ def chunk_coverage(spark, d):
     per = found.groupBy("document_id").agg(F.sum(F.length(F.regexp_replace("chunk_text", r"\s", ""))).alias("ink"), F.bool_and(F.length("chunk_text") <= 1200).alias("short"), F.sort_array(F.collect_list(F.struct("ordinal", "char_start", "char_end"))).alias("c"))
     order = F.forall(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (F.col("c")[i]["ordinal"] == i) & ((i == 0) | (F.col("c")[i]["char_start"] >= F.col("c")[F.greatest(i - 1, F.lit(0))]["char_end"])))
     lines = F.size(F.filter(F.split("text", "\n"), chunks.is_heading))
-    return docs.select(F.col("doc_id"), F.size(chunks.blocks(F.col("text"))).alias("blocks"), lines.cast("bigint").alias("headings")).join(per.select(F.col("document_id").alias("doc_id"), "ink", "short", order.alias("in_order")), "doc_id")
+    # a blank text has no chunks, and nothing that they could lack
+    return docs.select(F.col("doc_id"), F.size(chunks.blocks(F.col("text"))).alias("blocks"), lines.cast("bigint").alias("headings"), "text").where("text is not null").join(per.select(F.col("document_id").alias("doc_id"), "ink", "short", order.alias("in_order")), "doc_id", "left").fillna({"ink": 0, "short": True, "in_order": True}).drop("text")
 
 
 #: A sentence for each pattern, and one for none; {s} is a number. The first has two matches that overlap once widened.

@@ -712,3 +712,10 @@ def test_answers_are_joined_by_key(spark, monkeypatch):
     seen(answers)
     # the only ones are the scopes that many questions share: instruments, portfolios, covenants by what is asked for
     assert [p.count("BroadcastHashJoin") for p in plans] == [0] * (len(plans) - 2) + [3, 0]
+
+
+def test_coverage_of_blank_texts(spark, tmp_path):
+    """A blank text has a row, as in the query's SQL, and a null one has none."""
+    spark.createDataFrame([(1, "TERMS\n\nText."), (2, ""), (3, " \n\n "), (4, None)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, books.chunk_coverage(spark, f"file://{tmp_path}").collect()))
+    assert got == [(1, 2, 1, 10, True, True), (2, 0, 0, 0, True, True), (3, 0, 0, 0, True, True)]
